@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cedarlog.functions.text import let
-from cedarlog.functions.variants import as_text, as_variant, first_truthy, is_string
+from cedarlog.functions.variants import first_not_string, first_text
 
 # Promoted column and the context keys that may hold it, in order.
 PROMOTED = {
@@ -42,26 +42,28 @@ def kv_context(body: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))
 
 
-def to_variant_map(m: Column) -> Column:
-    return F.transform_values(m, lambda _, v: as_variant(v))
-
-
-def with_key(m: Column, key: str, value: Column) -> Column:
-    """``m`` with one key set, replacing what it held."""
-    rest = F.map_filter(
-        F.coalesce(m, F.from_json(F.lit("{}"), "map<string,variant>")), lambda k, _: k != key
+def json_with(json_text: Column, key: str, value: Column) -> Column:
+    """JSON text of an object with one more member at its end; a NULL value adds none."""
+    member = F.substring(F.to_json(F.struct(value.alias(key))), 2, 1 << 30)
+    head = F.regexp_replace(json_text, r"\s*\}$", "")
+    return (
+        F.when(value.isNull(), json_text)
+        .when(head.rlike(r"^\{\s*$"), F.concat(F.lit("{"), member))
+        .otherwise(F.concat(head, F.lit(","), member))
     )
-    return F.map_concat(rest, F.create_map(F.lit(key), as_variant(value)))
 
 
-def promote_attributes(context: Column) -> dict[str, Column]:
-    """Columns read from the context, each from its first key that holds a value."""
-    return {name: as_text(first_truthy(context, *keys)) for name, keys in PROMOTED.items()}
+def promote_attributes(texts: Column, json: Column) -> dict[str, Column]:
+    """Columns read from the context, each from its first key that holds a value.
+
+    ``texts`` is the context as a string map; ``json`` the variant it came from, if any.
+    """
+    return {name: first_text(texts, json, keys) for name, keys in PROMOTED.items()}
 
 
-def promoted_not_text(context: Column) -> Column:
+def promoted_not_text(texts: Column, json: Column) -> Column:
     """True where a promoted value is not a JSON text."""
     flag = F.lit(False)
     for keys in PROMOTED.values():
-        flag = flag | F.coalesce(~is_string(first_truthy(context, *keys)), F.lit(False))
+        flag = flag | first_not_string(texts, json, keys)
     return flag

@@ -20,29 +20,44 @@ IPV4_MARK = "<IP_REDACTED>"
 CARD_MARK = "<CC_REDACTED>"
 SSN_MARK = "<SSN_REDACTED>"
 
-# (?U): digits and word bounds of every script, whatever the JVM's own default is.
+# How the patterns are run. Each pair finds the same texts as the pattern above it, in linear
+# time: a match of EMAIL starts where its run of characters starts, or right after the match
+# before; the others start at a digit. (?U) means digits and word bounds of every script,
+# whatever the JVM's own default is. The third item is a character every match contains.
+_RUN = "[a-zA-Z0-9_.+-]"
+_FAST_EMAIL = rf"(?:(?<!{_RUN})|\G){_RUN}++@[a-zA-Z0-9-]++\.[a-zA-Z0-9-.]++"
+_FAST_IPV4 = r"(?U)(?=[0-9]{1,3}[.][0-9])" + IPV4
+
 MASKS = (
-    (EMAIL, EMAIL_MARK),
-    ("(?U)" + IPV4, IPV4_MARK),
-    ("(?U)" + CARD, CARD_MARK),
-    ("(?U)" + SSN, SSN_MARK),
+    (_FAST_EMAIL, EMAIL_MARK, "@"),
+    (_FAST_IPV4, IPV4_MARK, "."),
+    (r"(?U)(?=\d)" + CARD, CARD_MARK, None),
+    (r"(?U)(?=\d)" + SSN, SSN_MARK, "-"),
 )
 
+# What every text with something to mask contains. Most texts do not, and one look settles it.
+SUSPECT = r"(?U)@|\.[0-9]{1,3}\.[0-9]|\d(?:[ -]*\d){12}|\d{3}-\d{2}-\d{4}"
+# The same for JSON text, where an escape may hide a character.
+SUSPECT_JSON = SUSPECT + r"|\\"
+
 # Objects nested deeper than this are masked as one text.
 MAX_DEPTH = 6
 
 
 def mask_text(c: Column) -> Column:
     """Replace e-mail addresses, IPv4 addresses, card and social security numbers."""
-    for pattern, mark in MASKS:
-        c = F.regexp_replace(c, pattern, mark)
-    return c
+    out = c
+    for pattern, mark, needed in MASKS:
+        masked = F.regexp_replace(out, pattern, mark)
+        # Marks hold none of these characters, so the text as given can be asked.
+        out = masked if needed is None else F.when(F.contains(c, F.lit(needed)), masked).otherwise(out)
+    return F.when(c.rlike(SUSPECT), out).otherwise(c)
 
 
 def leaks(c: Column) -> Column:
     """True where any masked kind still occurs."""
     found = F.lit(False)
-    for pattern, _ in MASKS:
+    for pattern, _, _ in MASKS:
         found = found | c.rlike(pattern)
     return found
 
@@ -68,14 +83,22 @@ def _mask_value(v: Column, depth: int) -> Column:
     return masked.when(kind.startswith("OBJECT"), inner).otherwise(v)
 
 
-def mask_context(m: Column, depth: int = MAX_DEPTH) -> Column:
-    """Mask a ``map<string,variant>``: texts, texts in lists, and the same inside objects.
+def mask_json(json: Column, texts: Column, depth: int = MAX_DEPTH) -> Column:
+    """Mask a JSON object (variant) to JSON text; ``texts`` is its string map.
 
-    Numbers, booleans and objects inside lists stay as they are, and so do keys.
+    Masks texts, texts in lists, and the same inside objects. Numbers, booleans and objects
+    inside lists stay as they are, and so do keys. Only values whose text is suspect are
+    taken apart.
     """
-    return F.transform_values(m, lambda _, v: _mask_value(v, depth))
+    return F.to_json(
+        F.transform_values(
+            json.try_cast("map<string,variant>"),
+            lambda k, v: F.when(
+                F.try_element_at(texts, k).rlike(SUSPECT_JSON), _mask_value(v, depth)
+            ).otherwise(v),
+        )
+    )
 
 
 def mask_string_map(m: Column) -> Column:
     return F.transform_values(m, lambda _, v: mask_text(v))
-

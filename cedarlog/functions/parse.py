@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cedarlog.functions.text import collapse_space, strip
-from cedarlog.functions.variants import as_text, as_variant, first_truthy, is_string, json_object
+from cedarlog.functions.text import collapse_space, compute, strip
+from cedarlog.functions.variants import first_not_string, first_text, json_object, texts_of
 from cedarlog.session import require_utc
 
 # The three line layouts, their time formats and the defaults for missing fields.
@@ -34,24 +34,29 @@ TYPE_COERCED = "type_coerced"
 _FLAGS = "(?sU)^"
 _SEP = "\x01"  # cannot occur inside any group but the last one
 
-_LINE, _JSON, _FORMAT, _GROUPS = "_line", "_json", "_format", "_groups"
+_LINE, _JSON, _FORMAT, _GROUPS, _TEXTS = "_line", "json", "format", "_groups", "_texts"
+
+# JSON keys of each field, in the order they are tried.
+TIME_KEYS = ("timestamp", "time", "date")
+SEVERITY_KEYS = ("severity", "level")
+SERVICE_KEYS = ("service", "app")
+MESSAGE_KEYS = ("message", "msg")
 
 
 def with_format(df: DataFrame, line: str = "value") -> DataFrame:
     """Strip lines, drop blank ones and decide each line's format; the first match wins."""
-    stripped = df.withColumn(_LINE, strip(F.col(line))).filter(F.length(_LINE) > 0)
-    parsed = stripped.withColumn(
-        _JSON, F.when(F.col(_LINE).startswith("{"), json_object(F.col(_LINE)))
-    )
+    filled = df.filter(F.col(line).rlike(r"(?U)\S"))
     text = F.col(_LINE)
-    return parsed.withColumn(
-        _FORMAT,
+    stripped = compute(filled, {_LINE: strip(F.col(line))})
+    parsed = compute(stripped, {_JSON: F.when(text.startswith("{"), json_object(text))})
+    layout = (
         F.when(F.col(_JSON).isNotNull(), "json")
         .when(text.rlike(_FLAGS + STANDARD), "standard")
         .when(text.rlike(_FLAGS + SYSLOG), "syslog")
         .when(text.rlike(_FLAGS + ACCESS), "nginx")
-        .otherwise("fallback"),
+        .otherwise("fallback")
     )
+    return compute(parsed, {_FORMAT: layout})
 
 
 def _groups(pattern: str, order: str, n: int) -> Column:
@@ -72,38 +77,38 @@ def parse_lines(
     ingest_ts: str | Column,
     line: str = "value",
 ) -> DataFrame:
-    """Add ``format, timestamp, ts_ok, severity, service_name, body, context, parse_error``.
+    """Add ``format, timestamp, ts_ok, severity, service_name, body, context, json, parse_error``.
 
     ``default_year`` completes times without a year; ``ingest_ts`` stands in for times that
-    cannot be read (then ``ts_ok`` is false). ``context`` is a ``map<string,variant>``.
+    cannot be read (then ``ts_ok`` is false). ``context`` is a string map; for JSON lines
+    ``json`` is the object with its types.
     """
     require_utc(df.sparkSession)
     year = default_year if isinstance(default_year, Column) else F.lit(default_year)
     now = ingest_ts if isinstance(ingest_ts, Column) else F.lit(ingest_ts)
-    fmt, js, g = F.col(_FORMAT), F.col(_JSON), F.col(_GROUPS)
+    fmt, js, g, texts = F.col(_FORMAT), F.col(_JSON), F.col(_GROUPS), F.col(_TEXTS)
 
-    split = with_format(df, line).withColumn(
-        _GROUPS,
-        F.when(fmt == "standard", _groups(STANDARD, "1234", 4))
-        .when(fmt == "syslog", _groups(SYSLOG, "1234", 4))
-        .when(fmt == "nginx", _groups(ACCESS + ".*", "1452", 4)),
+    split = compute(
+        with_format(df, line),
+        {
+            _GROUPS: F.when(fmt == "standard", _groups(STANDARD, "1234", 4))
+            .when(fmt == "syslog", _groups(SYSLOG, "1234", 4))
+            .when(fmt == "nginx", _groups(ACCESS + ".*", "1452", 4)),
+            _TEXTS: F.when(fmt == "json", texts_of(F.col(_LINE))),
+        },
     )
-    fields = split.withColumns(
+    pick = lambda keys: F.when(fmt == "json", first_text(texts, js, keys))
+    fields = compute(
+        split,
         {
-            "_when": first_truthy(js, "timestamp", "time", "date"),
-            "_level": first_truthy(js, "severity", "level"),
-            "_name": first_truthy(js, "service", "app"),
-            "_text": first_truthy(js, "message", "msg"),
-            "_request": F.when(fmt == "nginx", F.regexp_extract(_LINE, _FLAGS + ACCESS, 3)),
-        }
+            "_when": pick(TIME_KEYS),
+            "_level": pick(SEVERITY_KEYS),
+            "_name": pick(SERVICE_KEYS),
+            "_text": pick(MESSAGE_KEYS),
+        },
     )
-    used = [F.col("_level"), F.col("_name"), F.col("_text")]
-    coerced = F.lit(False)
-    for v in used:
-        coerced = coerced | F.coalesce(~is_string(v), F.lit(False))
-
     moment = (
-        F.when(fmt == "json", iso_time(as_text(F.col("_when"))))
+        F.when(fmt == "json", iso_time(F.col("_when")))
         .when(fmt == "standard", F.try_to_timestamp(g[0], F.lit(STANDARD_TIME)))
         .when(
             fmt == "syslog",
@@ -119,43 +124,38 @@ def parse_lines(
             ),
         )
     )
-    texts = lambda **kv: F.create_map(
-        *[x for k, v in kv.items() for x in (F.lit(k), as_variant(v))]
-    )
-    timed = fields.withColumn("_moment", moment)
-    out = timed.withColumns(
+    coerced = F.lit(False)
+    for keys in (SEVERITY_KEYS, SERVICE_KEYS, MESSAGE_KEYS):
+        coerced = coerced | first_not_string(texts, js, keys)
+    failed = F.when(
+        fmt == "fallback",
+        F.when(F.col(_LINE).rlike(r"(?s)^\{.*\}$"), JSON_STRICT).otherwise(UNKNOWN_FORMAT),
+    ).when((fmt == "json") & coerced, TYPE_COERCED)
+    plain = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v)])
+    out = compute(
+        compute(fields, {"_moment": moment, "parse_error": failed}),
         {
             "timestamp": F.coalesce(F.col("_moment"), now.cast("timestamp")),
             "ts_ok": F.col("_moment").isNotNull(),
-            "severity": F.when(
-                fmt == "json", F.coalesce(as_text(F.col("_level")), F.lit(DEFAULT_SEVERITY))
-            )
+            "severity": F.when(fmt == "json", F.coalesce(F.col("_level"), F.lit(DEFAULT_SEVERITY)))
             .when(fmt == "standard", g[1])
             .when(fmt == "fallback", UNKNOWN_SEVERITY)
             .otherwise(DEFAULT_SEVERITY),
-            "service_name": F.when(
-                fmt == "json", F.coalesce(as_text(F.col("_name")), F.lit(DEFAULT_SERVICE))
-            )
+            "service_name": F.when(fmt == "json", F.coalesce(F.col("_name"), F.lit(DEFAULT_SERVICE)))
             .when(fmt.isin("standard", "syslog"), g[2])
             .when(fmt == "nginx", ACCESS_SERVICE)
             .otherwise(DEFAULT_SERVICE),
-            "body": F.when(fmt == "json", F.coalesce(as_text(F.col("_text")), F.col(_LINE)))
+            "body": F.when(fmt == "json", F.coalesce(F.col("_text"), F.col(_LINE)))
             .when(fmt.isin("standard", "syslog"), g[3])
-            .when(fmt == "nginx", F.concat_ws(" ", F.col("_request"), g[1]))
+            .when(
+                fmt == "nginx",
+                F.concat_ws(" ", F.regexp_extract(_LINE, _FLAGS + ACCESS, 3), g[1]),
+            )
             .otherwise(F.col(_LINE)),
-            "parse_error": F.when(
-                fmt == "fallback",
-                F.when(F.col(_LINE).rlike(r"(?s)^\{.*\}$"), JSON_STRICT).otherwise(UNKNOWN_FORMAT),
-            ).when((fmt == "json") & coerced, TYPE_COERCED),
-        }
-    )
-    out = out.withColumn(
-        "context",
-        F.when(fmt == "json", js)
-        .when(fmt == "syslog", texts(host=g[1]))
-        .when(fmt == "nginx", texts(client_ip=g[0], status=g[1], bytes=g[2]))
-        .when(fmt == "fallback", texts(parse_error=F.col("parse_error"))),
-    )
-    return out.withColumnRenamed(_FORMAT, "format").drop(
-        _LINE, _JSON, _GROUPS, "_when", "_level", "_name", "_text", "_request", "_moment"
+            "context": F.when(fmt == "json", texts)
+            .when(fmt == "syslog", plain(host=g[1]))
+            .when(fmt == "nginx", plain(client_ip=g[0], status=g[1], bytes=g[2]))
+            .when(fmt == "fallback", plain(parse_error=F.col("parse_error"))),
+        },
     )
+    return out.drop(_LINE, _GROUPS, _TEXTS, "_when", "_level", "_name", "_text", "_moment")

@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def strip(c: Column) -> Column:
-    """Trim every kind of white space at both ends (``trim`` alone takes only blanks)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Trim every kind of white space at both ends (``trim`` alone takes only blanks).
+
+    Most texts need no trimming, which a look at their two end characters tells.
+    """
+    ends = F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1)))
+    return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(c, r"(?U)^\s+|\s+$", "")).otherwise(c)
 
 
 def collapse_space(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+", " ")
+    """Each run of white space as one blank; most texts already are that way."""
+    return F.when(
+        c.rlike(r"(?U)\s\s|[\s&&[^ ]]"), F.regexp_replace(c, r"(?U)\s+", " ")
+    ).otherwise(c)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -30,3 +37,15 @@ def tokens(c: Column) -> Column:
 def cut(c: Column, n: int, mark: str = "...") -> Column:
     """The text cut to ``n`` characters with a mark when something was cut."""
     return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit(mark))).otherwise(c)
+
+
+def compute(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add or replace columns that are computed exactly once for each row.
+
+    A plain projection may be inlined into every later expression and filter that uses it, so
+    a filter on one parsed field would parse the line again. Predicates do not move below a
+    generator, and a one-element array generates one row.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*kept, F.inline(F.array(row)))

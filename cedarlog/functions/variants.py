@@ -1,4 +1,4 @@
-"""Helpers over variant values, the in-flight form of open JSON fields."""
+"""Helpers over JSON objects: a variant for types, a string map for texts."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def json_object(line: Column) -> Column:
-    """``map<string,variant>`` of a line that is one strict JSON object, else NULL.
+    """Variant of a line that is one strict JSON object, else NULL.
 
     The line is parsed inside a one-element array because the parser ignores text that
     follows a complete value.
@@ -15,9 +15,12 @@ def json_object(line: Column) -> Column:
     boxed = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
     alone = F.try_variant_get(boxed, "$[1]", "variant").isNull()
     shaped = line.startswith("{") & line.endswith("}")
-    return F.when(
-        shaped & alone, F.try_variant_get(boxed, "$[0]", "map<string,variant>")
-    )
+    return F.when(shaped & alone, F.try_variant_get(boxed, "$[0]", "variant"))
+
+
+def texts_of(line: Column) -> Column:
+    """``map<string,string>`` of a JSON object; nested values as JSON text."""
+    return F.from_json(line, "map<string,string>")
 
 
 def is_string(v: Column) -> Column:
@@ -32,15 +35,32 @@ def as_variant(c: Column) -> Column:
     return c.cast("variant")
 
 
-def truthy(v: Column) -> Column:
-    """``v`` unless it is missing, null, an empty text, zero, false or an empty container."""
-    text = as_text(v)
-    empty = F.when(is_string(v), text == "").otherwise(
-        text.isin("false", "{}", "[]") | F.coalesce(text.try_cast("double") == 0, F.lit(False))
+def _not_string(json: Column, key: str) -> Column:
+    return F.coalesce(~is_string(F.try_variant_get(json, f"$.{key}", "variant")), F.lit(False))
+
+
+def truthy_text(texts: Column, json: Column, key: str) -> Column:
+    """The text of a key unless it is missing, null, empty, zero, false or an empty container.
+
+    Only texts that could be such a value make it look up the JSON type.
+    """
+    text = F.try_element_at(texts, F.lit(key))
+    nothing = (text == "") | (
+        text.rlike(r"^(?:false|\[\s*\]|\{\s*\}|-?0[0.]*(?:[eE].*)?)$") & _not_string(json, key)
     )
-    return F.when(text.isNotNull() & ~empty, v)
+    return F.when(~nothing, text)
+
+
+def first_text(texts: Column, json: Column, keys: tuple[str, ...]) -> Column:
+    """The first of several keys that holds a value worth using, as text."""
+    return F.coalesce(*[truthy_text(texts, json, k) for k in keys])
 
 
-def first_truthy(m: Column, *keys: str) -> Column:
-    """The first of several keys that holds a value worth using, as a variant."""
-    return F.coalesce(*[truthy(F.try_element_at(m, F.lit(k))) for k in keys])
+def first_not_string(texts: Column, json: Column, keys: tuple[str, ...]) -> Column:
+    """True where the value :func:`first_text` picks is not a JSON text."""
+    out = F.lit(False)
+    for k in reversed(keys):
+        text = truthy_text(texts, json, k)
+        odd = text.rlike(r"^(?:true$|[-0-9\[{])") & _not_string(json, k)
+        out = F.when(text.isNotNull(), odd).otherwise(out)
+    return out

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cedarlog.functions.text import collapse_space, strip
+from cedarlog.functions.text import collapse_space, compute, strip
 from cedarlog.operators.joins import is_small, join_by_weight
 from cedarlog.session import materialise
 
@@ -27,6 +27,7 @@ from cedarlog.session import materialise
 WILDCARD = "<*>"
 SIMILARITY = 0.5
 
+DIGIT_WORD = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 PREFIX_TOKENS = 1
 LEAF_SIGNATURES = 5_000
 LEAF_TOKENS = 2_000_000
@@ -36,7 +37,7 @@ _ASSIGNMENT = "sig string, template string, weight bigint"
 
 def signature(message: Column) -> Column:
     """Every blank-separated word that holds a digit becomes the wildcard."""
-    return F.regexp_replace(message, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", WILDCARD)
+    return F.regexp_replace(message, DIGIT_WORD, WILDCARD)
 
 
 def normal_message(message: Column) -> Column:
@@ -262,11 +263,12 @@ def params(message: Column, template: Column) -> Column:
 
 def with_signature_template(df: DataFrame, col: str = "message") -> DataFrame:
     """The stateless form: the signature itself is the template, no second pass."""
-    template = signature(normal_message(F.col(col)))
+    norm = compute(df, {"_norm": normal_message(F.col(col))})
     return (
-        df.withColumn("template", template)
+        compute(norm, {"template": signature(F.col("_norm"))})
         .withColumn("template_id", template_id(F.col("template")))
-        .withColumn("params", params(F.col(col), F.col("template")))
+        .withColumn("params", F.regexp_extract_all("_norm", F.lit(DIGIT_WORD), F.lit(0)))
+        .drop("_norm")
     )
 
 

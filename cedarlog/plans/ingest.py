@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from cedarlog import schema
 from cedarlog.functions.context import (
+    json_with,
     kv_context,
     promote_attributes,
     promoted_not_text,
-    to_variant_map,
-    with_key,
 )
-from cedarlog.functions.mask import mask_context, mask_text
+from cedarlog.functions.mask import SUSPECT_JSON, mask_json, mask_string_map, mask_text
+from cedarlog.functions.variants import texts_of
 from cedarlog.functions.parse import TYPE_COERCED, parse_lines
+from cedarlog.functions.text import compute
 from cedarlog.operators.templates import (
     assign_signatures,
     assign_templates,
@@ -38,29 +39,36 @@ def structure(
     from the masked message only where the layout itself gave no context.
     """
     parsed = parse_lines(lines, default_year, ingest_ts, line)
-    masked = parsed.withColumn("message", mask_text(F.col("body"))).drop("body")
-    given = F.col("context")
-    contexts = masked.withColumn(
-        "_context",
-        F.when(
-            given.isNull() | (F.size(given) == 0), to_variant_map(kv_context(F.col("message")))
-        ).otherwise(mask_context(given)),
-    )
-    attributes = contexts.withColumns(promote_attributes(F.col("_context"))).withColumn(
-        "parse_error",
-        F.coalesce("parse_error", F.when(promoted_not_text(F.col("_context")), TYPE_COERCED)),
+    masked = compute(parsed, {"message": mask_text(F.col("body"))}).drop("body")
+    given, js, context = F.col("context"), F.col("json"), F.col("_context")
+    as_given = F.to_json(js)
+    contexts = compute(
+        masked,
+        {
+            "_context": F.when(
+                given.isNull() | (F.size(given) == 0), F.to_json(kv_context(F.col("message")))
+            )
+            .when(js.isNull(), F.to_json(mask_string_map(given)))
+            .when(as_given.rlike(SUSPECT_JSON), mask_json(js, given))
+            .otherwise(as_given)
+        },
     )
+    read = compute(contexts, {"_texts": texts_of(context)})
+    texts = F.col("_texts")
     source = F.col("source_file") if "source_file" in lines.columns else F.lit(None).cast("string")
-    stamped = F.when(source.isNull(), F.col("_context")).otherwise(
-        with_key(F.col("_context"), "source_file", source)
-    )
-    return (
-        attributes.withColumn("context", F.to_json(stamped))
-        .withColumn("source_file", source)
-        .withColumn("trace_id", F.lit(None).cast("string"))
-        .withColumn("log_date", F.to_date("timestamp"))
-        .drop("_context", line)
-    )
+    return compute(
+        read,
+        {
+            **promote_attributes(texts, js),
+            "parse_error": F.coalesce(
+                "parse_error", F.when(promoted_not_text(texts, js), TYPE_COERCED)
+            ),
+            "context": json_with(context, "source_file", source),
+            "source_file": source,
+            "trace_id": F.lit(None).cast("string"),
+            "log_date": F.to_date("timestamp"),
+        },
+    ).drop("_context", "_texts", "json", line)
 
 
 def as_log_table(df: DataFrame) -> DataFrame:

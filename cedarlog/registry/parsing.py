@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cedarlog.functions.context import kv_context, promote_attributes
-from cedarlog.functions.mask import leaks, mask_context, mask_text
+from cedarlog.functions.mask import leaks, mask_json, mask_text
 from cedarlog.functions.parse import iso_time, parse_lines
+from cedarlog.functions.variants import texts_of
 from cedarlog.operators.stitch import is_head, stitch
 from cedarlog.plans.ingest import quarantine, structure, with_signatures
 from cedarlog.registry.base import (
@@ -232,9 +233,9 @@ def mask_context_query(spark, d):
             F.col("value").cast("decimal(14,2)").cast("string").alias("amount"),
         )
     )
-    safe = F.to_json(mask_context(F.from_json(text, "map<string,variant>")))
+    safe = mask_json(F.parse_json("raw"), texts_of(F.col("raw")))
     get = lambda path: F.get_json_object("safe", path)
-    return e.select("event_id", safe.alias("safe")).select(
+    return e.select("event_id", text.alias("raw")).select("event_id", safe.alias("safe")).select(
         "event_id", get("$.mail").alias("mail"), get("$.net.peer.addr").alias("addr"),
         get("$.net.peer.port").alias("port"), get("$.tags[0]").alias("tag"),
         get("$.hops[0].ip").alias("kept"), get("$.n").alias("n"), get("$.amount").alias("amount"),
@@ -284,7 +285,6 @@ def promote_attributes_query(spark, d):
             F.lit(0).alias("app_id"),
         )
     )
-    ctx = F.from_json(text, "map<string,variant>")
-    return e.select("event_id", ctx.alias("ctx")).select(
-        "event_id", *[c.alias(n) for n, c in promote_attributes(F.col("ctx")).items()]
-    )
+    both = e.select("event_id", texts_of(text).alias("texts"), F.parse_json(text).alias("json"))
+    found = promote_attributes(F.col("texts"), F.col("json"))
+    return both.select("event_id", *[c.alias(n) for n, c in found.items()])
