@@ -6,17 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cedarlog.functions.text import let
-from cedarlog.functions.variants import first_not_string, first_text
-
-# Promoted column and the context keys that may hold it, in order.
-PROMOTED = {
-    "environment": ("environment", "env"),
-    "app_id": ("app_id",),
-    "department": ("department", "dept"),
-    "host": ("host",),
-    "region": ("region",),
-}
-
+from cedarlog.functions.variants import PROMOTED, first_of
 
 def kv_context(body: Column) -> Column:
     """``k=v`` words of a text as ``map<string,string>``; the last of equal keys wins.
@@ -53,17 +43,6 @@ def json_with(json_text: Column, key: str, value: Column) -> Column:
     )
 
 
-def promote_attributes(texts: Column, json: Column) -> dict[str, Column]:
-    """Columns read from the context, each from its first key that holds a value.
-
-    ``texts`` is the context as a string map; ``json`` the variant it came from, if any.
-    """
-    return {name: first_text(texts, json, keys) for name, keys in PROMOTED.items()}
-
-
-def promoted_not_text(texts: Column, json: Column) -> Column:
-    """True where a promoted value is not a JSON text."""
-    flag = F.lit(False)
-    for keys in PROMOTED.values():
-        flag = flag | first_not_string(texts, json, keys)
-    return flag
+def promote_attributes(fields: Column) -> dict[str, Column]:
+    """Columns read from the context, each from its first key that holds a value."""
+    return {name: first_of(fields, keys) for name, keys in PROMOTED.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cedarlog.functions.variants import as_text, as_variant, is_string
+from cedarlog.functions.variants import as_text, as_variant, is_string, members
 
 # What is masked, in this order, and by what.
 EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
@@ -23,16 +23,16 @@ SSN_MARK = "<SSN_REDACTED>"
 # How the patterns are run. Each pair finds the same texts as the pattern above it, in linear
 # time: a match of EMAIL starts where its run of characters starts, or right after the match
 # before; the others start at a digit. (?U) means digits and word bounds of every script,
-# whatever the JVM's own default is. The third item is a character every match contains.
+# whatever the JVM's own default is.
 _RUN = "[a-zA-Z0-9_.+-]"
 _FAST_EMAIL = rf"(?:(?<!{_RUN})|\G){_RUN}++@[a-zA-Z0-9-]++\.[a-zA-Z0-9-.]++"
 _FAST_IPV4 = r"(?U)(?=[0-9]{1,3}[.][0-9])" + IPV4
 
 MASKS = (
-    (_FAST_EMAIL, EMAIL_MARK, "@"),
-    (_FAST_IPV4, IPV4_MARK, "."),
-    (r"(?U)(?=\d)" + CARD, CARD_MARK, None),
-    (r"(?U)(?=\d)" + SSN, SSN_MARK, "-"),
+    (_FAST_EMAIL, EMAIL_MARK),
+    (_FAST_IPV4, IPV4_MARK),
+    (r"(?U)(?=\d)" + CARD, CARD_MARK),
+    (r"(?U)(?=\d)" + SSN, SSN_MARK),
 )
 
 # What every text with something to mask contains. Most texts do not, and one look settles it.
@@ -41,46 +41,46 @@ SUSPECT = r"(?U)@|\.[0-9]{1,3}\.[0-9]|\d(?:[ -]*\d){12}|\d{3}-\d{2}-\d{4}"
 SUSPECT_JSON = SUSPECT + r"|\\"
 
 # Objects nested deeper than this are masked as one text.
-MAX_DEPTH = 6
+MAX_DEPTH = 4
 
 
 def mask_text(c: Column) -> Column:
     """Replace e-mail addresses, IPv4 addresses, card and social security numbers."""
-    out = c
-    for pattern, mark, needed in MASKS:
-        masked = F.regexp_replace(out, pattern, mark)
-        # Marks hold none of these characters, so the text as given can be asked.
-        out = masked if needed is None else F.when(F.contains(c, F.lit(needed)), masked).otherwise(out)
-    return F.when(c.rlike(SUSPECT), out).otherwise(c)
+    return F.when(c.rlike(SUSPECT), _replace_all(c)).otherwise(c)
+
+
+def _replace_all(c: Column) -> Column:
+    for pattern, mark in MASKS:
+        c = F.regexp_replace(c, pattern, mark)
+    return c
 
 
 def leaks(c: Column) -> Column:
     """True where any masked kind still occurs."""
     found = F.lit(False)
-    for pattern, _, _ in MASKS:
+    for pattern, _ in MASKS:
         found = found | c.rlike(pattern)
     return found
 
 
-def _mask_list_item(v: Column) -> Column:
-    return F.when(is_string(v), as_variant(mask_text(as_text(v)))).otherwise(v)
+def _masked(v: Column) -> Column:
+    return as_variant(_replace_all(as_text(v)))
 
 
 def _mask_value(v: Column, depth: int) -> Column:
     kind = F.schema_of_variant(v)
-    masked = F.when(kind == "STRING", as_variant(mask_text(as_text(v)))).when(
-        kind.startswith("ARRAY"),
-        as_variant(F.transform(v.try_cast("array<variant>"), _mask_list_item)),
+    items = F.transform(
+        v.try_cast("array<variant>"), lambda x: F.when(is_string(x), _masked(x)).otherwise(x)
     )
     if depth == 0:
-        inner = as_variant(mask_text(as_text(v)))
-    else:
-        inner = F.to_variant_object(
-            F.transform_values(
-                v.try_cast("map<string,variant>"), lambda _, x: _mask_value(x, depth - 1)
-            )
-        )
-    return masked.when(kind.startswith("OBJECT"), inner).otherwise(v)
+        return F.when((kind == "STRING") | kind.startswith("OBJECT"), _masked(v)).otherwise(v)
+    inner = F.transform_values(members(v), lambda _, x: _mask_value(x, depth - 1))
+    return (
+        F.when(kind == "STRING", _masked(v))
+        .when(kind.startswith("ARRAY"), as_variant(items))
+        .when(kind.startswith("OBJECT"), F.to_variant_object(inner))
+        .otherwise(v)
+    )
 
 
 def mask_json(json: Column, texts: Column, depth: int = MAX_DEPTH) -> Column:
@@ -92,7 +92,7 @@ def mask_json(json: Column, texts: Column, depth: int = MAX_DEPTH) -> Column:
     """
     return F.to_json(
         F.transform_values(
-            json.try_cast("map<string,variant>"),
+            members(json),
             lambda k, v: F.when(
                 F.try_element_at(texts, k).rlike(SUSPECT_JSON), _mask_value(v, depth)
             ).otherwise(v),

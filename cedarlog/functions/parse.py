@@ -10,7 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cedarlog.functions.text import collapse_space, compute, strip
-from cedarlog.functions.variants import first_not_string, first_text, json_object, texts_of
+from cedarlog.functions.variants import (
+    FIELD_KEYS,
+    MESSAGE_KEYS,
+    ODD_MEMBER,
+    SERVICE_KEYS,
+    SEVERITY_KEYS,
+    TIME_KEYS,
+    fields_of,
+    first_in,
+    first_of,
+    json_object,
+    not_texts,
+    texts_of,
+    worthwhile,
+)
 from cedarlog.session import require_utc
 
 # The three line layouts, their time formats and the defaults for missing fields.
@@ -35,13 +49,7 @@ _FLAGS = "(?sU)^"
 _SEP = "\x01"  # cannot occur inside any group but the last one
 
 _LINE, _JSON, _FORMAT, _GROUPS, _TEXTS = "_line", "json", "format", "_groups", "_texts"
-
-# JSON keys of each field, in the order they are tried.
-TIME_KEYS = ("timestamp", "time", "date")
-SEVERITY_KEYS = ("severity", "level")
-SERVICE_KEYS = ("service", "app")
-MESSAGE_KEYS = ("message", "msg")
-
+_CLEAN, _ODD, _KNOWN, _MOMENT = "_clean", "odd_keys", "_known", "_moment"
 
 def with_format(df: DataFrame, line: str = "value") -> DataFrame:
     """Strip lines, drop blank ones and decide each line's format; the first match wins."""
@@ -77,16 +85,19 @@ def parse_lines(
     ingest_ts: str | Column,
     line: str = "value",
 ) -> DataFrame:
-    """Add ``format, timestamp, ts_ok, severity, service_name, body, context, json, parse_error``.
+    """Add ``format, timestamp, ts_ok, severity, service_name, body, context, json, odd_keys,
+    parse_error``.
 
     ``default_year`` completes times without a year; ``ingest_ts`` stands in for times that
-    cannot be read (then ``ts_ok`` is false). ``context`` is a string map; for JSON lines
-    ``json`` is the object with its types.
+    cannot be read (then ``ts_ok`` is false). ``context`` is a string map. JSON lines have
+    ``json``, the object with its types, instead; ``odd_keys`` lists its keys that hold no text
+    where that could matter.
     """
     require_utc(df.sparkSession)
     year = default_year if isinstance(default_year, Column) else F.lit(default_year)
     now = ingest_ts if isinstance(ingest_ts, Column) else F.lit(ingest_ts)
-    fmt, js, g, texts = F.col(_FORMAT), F.col(_JSON), F.col(_GROUPS), F.col(_TEXTS)
+    text, fmt, js, g = F.col(_LINE), F.col(_FORMAT), F.col(_JSON), F.col(_GROUPS)
+    texts, known = F.col(_TEXTS), F.col(_KNOWN)
 
     split = compute(
         with_format(df, line),
@@ -94,21 +105,22 @@ def parse_lines(
             _GROUPS: F.when(fmt == "standard", _groups(STANDARD, "1234", 4))
             .when(fmt == "syslog", _groups(SYSLOG, "1234", 4))
             .when(fmt == "nginx", _groups(ACCESS + ".*", "1452", 4)),
-            _TEXTS: F.when(fmt == "json", texts_of(F.col(_LINE))),
+            _TEXTS: F.when((fmt == "json") & text.rlike(ODD_MEMBER), texts_of(text)),
         },
     )
-    pick = lambda keys: F.when(fmt == "json", first_text(texts, js, keys))
-    fields = compute(
+    cleaned = compute(
         split,
         {
-            "_when": pick(TIME_KEYS),
-            "_level": pick(SEVERITY_KEYS),
-            "_name": pick(SERVICE_KEYS),
-            "_text": pick(MESSAGE_KEYS),
+            _CLEAN: F.when(texts.isNotNull(), F.to_json(worthwhile(js, texts))),
+            _ODD: F.when(texts.isNotNull(), not_texts(js)),
         },
     )
+    fields = compute(
+        cleaned,
+        {_KNOWN: F.when(fmt == "json", fields_of(F.coalesce(F.col(_CLEAN), text), FIELD_KEYS))},
+    )
     moment = (
-        F.when(fmt == "json", iso_time(F.col("_when")))
+        F.when(fmt == "json", iso_time(first_of(known, TIME_KEYS)))
         .when(fmt == "standard", F.try_to_timestamp(g[0], F.lit(STANDARD_TIME)))
         .when(
             fmt == "syslog",
@@ -126,36 +138,43 @@ def parse_lines(
     )
     coerced = F.lit(False)
     for keys in (SEVERITY_KEYS, SERVICE_KEYS, MESSAGE_KEYS):
-        coerced = coerced | first_not_string(texts, js, keys)
+        coerced = coerced | first_in(known, keys, F.col(_ODD))
     failed = F.when(
         fmt == "fallback",
-        F.when(F.col(_LINE).rlike(r"(?s)^\{.*\}$"), JSON_STRICT).otherwise(UNKNOWN_FORMAT),
-    ).when((fmt == "json") & coerced, TYPE_COERCED)
+        F.when(text.rlike(r"(?s)^\{.*\}$"), JSON_STRICT).otherwise(UNKNOWN_FORMAT),
+    ).when(F.col(_ODD).isNotNull() & coerced, TYPE_COERCED)
     plain = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v)])
-    out = compute(
-        compute(fields, {"_moment": moment, "parse_error": failed}),
+    or_else = lambda keys, value: F.coalesce(first_of(known, keys), value)
+
+    timed = compute(fields, {_MOMENT: moment, "parse_error": failed})
+    named = compute(
+        timed,
         {
-            "timestamp": F.coalesce(F.col("_moment"), now.cast("timestamp")),
-            "ts_ok": F.col("_moment").isNotNull(),
-            "severity": F.when(fmt == "json", F.coalesce(F.col("_level"), F.lit(DEFAULT_SEVERITY)))
+            "timestamp": F.coalesce(F.col(_MOMENT), now.cast("timestamp")),
+            "ts_ok": F.col(_MOMENT).isNotNull(),
+            "severity": F.when(fmt == "json", or_else(SEVERITY_KEYS, F.lit(DEFAULT_SEVERITY)))
             .when(fmt == "standard", g[1])
             .when(fmt == "fallback", UNKNOWN_SEVERITY)
             .otherwise(DEFAULT_SEVERITY),
-            "service_name": F.when(fmt == "json", F.coalesce(F.col("_name"), F.lit(DEFAULT_SERVICE)))
+            "service_name": F.when(fmt == "json", or_else(SERVICE_KEYS, F.lit(DEFAULT_SERVICE)))
             .when(fmt.isin("standard", "syslog"), g[2])
             .when(fmt == "nginx", ACCESS_SERVICE)
             .otherwise(DEFAULT_SERVICE),
-            "body": F.when(fmt == "json", F.coalesce(F.col("_text"), F.col(_LINE)))
+        },
+    )
+    out = compute(
+        named,
+        {
+            "body": F.when(fmt == "json", or_else(MESSAGE_KEYS, text))
             .when(fmt.isin("standard", "syslog"), g[3])
             .when(
                 fmt == "nginx",
                 F.concat_ws(" ", F.regexp_extract(_LINE, _FLAGS + ACCESS, 3), g[1]),
             )
-            .otherwise(F.col(_LINE)),
-            "context": F.when(fmt == "json", texts)
-            .when(fmt == "syslog", plain(host=g[1]))
+            .otherwise(text),
+            "context": F.when(fmt == "syslog", plain(host=g[1]))
             .when(fmt == "nginx", plain(client_ip=g[0], status=g[1], bytes=g[2]))
             .when(fmt == "fallback", plain(parse_error=F.col("parse_error"))),
         },
     )
-    return out.drop(_LINE, _GROUPS, _TEXTS, "_when", "_level", "_name", "_text", "_moment")
+    return out.drop(_LINE, _GROUPS, _TEXTS, _CLEAN, _KNOWN, _MOMENT)

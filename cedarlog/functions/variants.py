@@ -1,10 +1,29 @@
-"""Helpers over JSON objects: a variant for types, a string map for texts."""
+"""JSON objects: a variant for types, a string map for texts, a struct for the known keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# JSON keys of each field, in the order they are tried.
+TIME_KEYS = ("timestamp", "time", "date")
+SEVERITY_KEYS = ("severity", "level")
+SERVICE_KEYS = ("service", "app")
+MESSAGE_KEYS = ("message", "msg")
+PROMOTED = {
+    "environment": ("environment", "env"),
+    "app_id": ("app_id",),
+    "department": ("department", "dept"),
+    "host": ("host",),
+    "region": ("region",),
+}
+
+FIELD_KEYS = TIME_KEYS + SEVERITY_KEYS + SERVICE_KEYS + MESSAGE_KEYS
+PROMOTED_KEYS = tuple(k for keys in PROMOTED.values() for k in keys)
+
+# A known key with a value that is not a text, or an empty one; or a key spelt with escapes.
+ODD_MEMBER = r'"(?:' + "|".join(FIELD_KEYS + PROMOTED_KEYS) + r')"\s*:\s*(?:[^"\s]|"")|\\u'
+
 
 def json_object(line: Column) -> Column:
     """Variant of a line that is one strict JSON object, else NULL.
@@ -18,9 +37,18 @@ def json_object(line: Column) -> Column:
     return F.when(shaped & alone, F.try_variant_get(boxed, "$[0]", "variant"))
 
 
-def texts_of(line: Column) -> Column:
+def texts_of(json_text: Column) -> Column:
     """``map<string,string>`` of a JSON object; nested values as JSON text."""
-    return F.from_json(line, "map<string,string>")
+    return F.from_json(json_text, "map<string,string>")
+
+
+def fields_of(json_text: Column, keys: tuple[str, ...]) -> Column:
+    """Struct of texts of the given keys."""
+    return F.from_json(json_text, ", ".join(f"`{k}` string" for k in keys))
+
+
+def members(json: Column) -> Column:
+    return json.try_cast("map<string,variant>")
 
 
 def is_string(v: Column) -> Column:
@@ -35,32 +63,38 @@ def as_variant(c: Column) -> Column:
     return c.cast("variant")
 
 
-def _not_string(json: Column, key: str) -> Column:
-    return F.coalesce(~is_string(F.try_variant_get(json, f"$.{key}", "variant")), F.lit(False))
-
+def _nothing(kind: Column, text: Column) -> Column:
+    """Null, an empty text, zero, false, or an empty container."""
+    return (
+        F.when(kind == "STRING", text == "")
+        .when((kind == "VOID") | text.isNull(), True)
+        .otherwise(
+            text.rlike(r"^(?:false|\[\s*\]|\{\s*\})$")
+            | F.coalesce(text.try_cast("double") == 0, F.lit(False))
+        )
+    )
 
-def truthy_text(texts: Column, json: Column, key: str) -> Column:
-    """The text of a key unless it is missing, null, empty, zero, false or an empty container.
 
-    Only texts that could be such a value make it look up the JSON type.
-    """
-    text = F.try_element_at(texts, F.lit(key))
-    nothing = (text == "") | (
-        text.rlike(r"^(?:false|\[\s*\]|\{\s*\}|-?0[0.]*(?:[eE].*)?)$") & _not_string(json, key)
+def worthwhile(json: Column, texts: Column) -> Column:
+    """Members of an object that hold a value worth using."""
+    return F.map_filter(
+        members(json), lambda k, v: ~_nothing(F.schema_of_variant(v), F.try_element_at(texts, k))
     )
-    return F.when(~nothing, text)
 
 
-def first_text(texts: Column, json: Column, keys: tuple[str, ...]) -> Column:
-    """The first of several keys that holds a value worth using, as text."""
-    return F.coalesce(*[truthy_text(texts, json, k) for k in keys])
+def not_texts(json: Column) -> Column:
+    """Keys of the members whose value is not a text."""
+    return F.map_keys(F.map_filter(members(json), lambda _, v: ~is_string(v)))
 
 
-def first_not_string(texts: Column, json: Column, keys: tuple[str, ...]) -> Column:
-    """True where the value :func:`first_text` picks is not a JSON text."""
-    out = F.lit(False)
-    for k in reversed(keys):
-        text = truthy_text(texts, json, k)
-        odd = text.rlike(r"^(?:true$|[-0-9\[{])") & _not_string(json, k)
-        out = F.when(text.isNotNull(), odd).otherwise(out)
-    return out
+def first_of(fields: Column, keys: tuple[str, ...]) -> Column:
+    """The first of several keys that holds a text that is not empty."""
+    return F.coalesce(*[F.nullif(fields[k], F.lit("")) for k in keys])
+
+
+def first_in(fields: Column, keys: tuple[str, ...], odd_keys: Column) -> Column:
+    """True where the key :func:`first_of` picks is one of ``odd_keys``."""
+    used = F.coalesce(
+        *[F.when(F.length(fields[k]) > 0, F.lit(k)) for k in keys]
+    )
+    return F.coalesce(F.array_contains(odd_keys, used), F.lit(False))

@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cedarlog import schema
-from cedarlog.functions.context import (
-    json_with,
-    kv_context,
-    promote_attributes,
-    promoted_not_text,
-)
+from cedarlog.functions.context import json_with, kv_context, promote_attributes
 from cedarlog.functions.mask import SUSPECT_JSON, mask_json, mask_string_map, mask_text
-from cedarlog.functions.variants import texts_of
 from cedarlog.functions.parse import TYPE_COERCED, parse_lines
-from cedarlog.functions.text import compute
+from cedarlog.functions.text import compute, let
+from cedarlog.functions.variants import (
+    PROMOTED,
+    PROMOTED_KEYS,
+    fields_of,
+    first_in,
+    texts_of,
+    worthwhile,
+)
 from cedarlog.operators.templates import (
     assign_signatures,
     assign_templates,
@@ -39,36 +41,46 @@ def structure(
     from the masked message only where the layout itself gave no context.
     """
     parsed = parse_lines(lines, default_year, ingest_ts, line)
-    masked = compute(parsed, {"message": mask_text(F.col("body"))}).drop("body")
     given, js, context = F.col("context"), F.col("json"), F.col("_context")
-    as_given = F.to_json(js)
+    odd, raw, texts, fields = (F.col(c) for c in ("odd_keys", "_raw", "_texts", "_fields"))
+
+    masked = compute(parsed, {"message": mask_text(F.col("body")), "_raw": F.to_json(js)})
+    looked = compute(masked, {"_texts": F.when(raw.rlike(SUSPECT_JSON), texts_of(raw))})
+    nothing = (js.isNull() & given.isNull()) | (raw == "{}")
     contexts = compute(
-        masked,
+        looked,
         {
-            "_context": F.when(
-                given.isNull() | (F.size(given) == 0), F.to_json(kv_context(F.col("message")))
-            )
+            "_context": F.when(nothing, F.to_json(kv_context(F.col("message"))))
             .when(js.isNull(), F.to_json(mask_string_map(given)))
-            .when(as_given.rlike(SUSPECT_JSON), mask_json(js, given))
-            .otherwise(as_given)
+            .when(texts.isNotNull(), mask_json(js, texts))
+            .otherwise(raw)
         },
     )
-    read = compute(contexts, {"_texts": texts_of(context)})
-    texts = F.col("_texts")
+    usable = let(
+        context, lambda c: F.to_json(let(texts_of(c), lambda t: worthwhile(F.parse_json(c), t)))
+    )
+    cleaned = compute(contexts, {"_clean": F.when(odd.isNotNull(), usable).otherwise(context)})
+    read = compute(cleaned, {"_fields": fields_of(F.col("_clean"), PROMOTED_KEYS)})
+    coerced = F.lit(False)
+    for keys in PROMOTED.values():
+        coerced = coerced | first_in(fields, keys, odd)
     source = F.col("source_file") if "source_file" in lines.columns else F.lit(None).cast("string")
-    return compute(
+    stored = compute(
         read,
         {
-            **promote_attributes(texts, js),
+            **promote_attributes(fields),
             "parse_error": F.coalesce(
-                "parse_error", F.when(promoted_not_text(texts, js), TYPE_COERCED)
+                "parse_error", F.when(odd.isNotNull() & coerced, TYPE_COERCED)
             ),
             "context": json_with(context, "source_file", source),
             "source_file": source,
             "trace_id": F.lit(None).cast("string"),
             "log_date": F.to_date("timestamp"),
         },
-    ).drop("_context", "_texts", "json", line)
+    )
+    return stored.drop(
+        "body", "json", "odd_keys", "_raw", "_texts", "_context", "_clean", "_fields", line
+    )
 
 
 def as_log_table(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cedarlog.functions.context import kv_context, promote_attributes
 from cedarlog.functions.mask import leaks, mask_json, mask_text
 from cedarlog.functions.parse import iso_time, parse_lines
-from cedarlog.functions.variants import texts_of
+from cedarlog.functions.variants import PROMOTED_KEYS, fields_of, texts_of, worthwhile
 from cedarlog.operators.stitch import is_head, stitch
 from cedarlog.plans.ingest import quarantine, structure, with_signatures
 from cedarlog.registry.base import (
@@ -285,6 +285,9 @@ def promote_attributes_query(spark, d):
             F.lit(0).alias("app_id"),
         )
     )
-    both = e.select("event_id", texts_of(text).alias("texts"), F.parse_json(text).alias("json"))
-    found = promote_attributes(F.col("texts"), F.col("json"))
-    return both.select("event_id", *[c.alias(n) for n, c in found.items()])
+    js, texts = F.parse_json("raw"), texts_of(F.col("raw"))
+    clean = e.select("event_id", text.alias("raw")).select(
+        "event_id", fields_of(F.to_json(worthwhile(js, texts)), PROMOTED_KEYS).alias("fields")
+    )
+    found = promote_attributes(F.col("fields"))
+    return clean.select("event_id", *[c.alias(n) for n, c in found.items()])

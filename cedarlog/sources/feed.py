@@ -93,14 +93,15 @@ def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .otherwise(F.concat(F.lit("Page view /item/"), k_text))
     )
-    return (
-        base.withColumn("client_ip", ip)
-        .withColumn("message", message)
-        .withColumn("latency_ms", F.col("k"))
-        .withColumn("path", F.concat(F.lit("/item/"), k_text))
-        .withColumn("status", F.when(F.col("severity") == "INFO", 200).otherwise(500))
-        .withColumn("bytes", F.col("k") * 10 + 100)
-        .withColumn("trace_id", F.concat_ws("-", user_text, F.date_format("timestamp", "yyyyMMddHH")))
+    return base.withColumn("client_ip", ip).withColumns(
+        {
+            "message": message,
+            "latency_ms": F.col("k"),
+            "path": F.concat(F.lit("/item/"), k_text),
+            "status": F.when(F.col("severity") == "INFO", 200).otherwise(500),
+            "bytes": F.col("k") * 10 + 100,
+            "trace_id": F.concat_ws("-", user_text, F.date_format("timestamp", "yyyyMMddHH")),
+        }
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cedarlog.functions.text import compute
+
 # File written for each service.
 SERVICE_FILES = {
     "payment-service": "payment.log",
@@ -70,14 +72,16 @@ def access_line() -> Column:
 def render_lines(events: DataFrame, fmt: str | Column) -> DataFrame:
     """Add ``value`` (the line) and ``file_name``; unknown formats give a free-text line."""
     f = F.lit(fmt) if isinstance(fmt, str) else fmt
-    return events.withColumn(
-        "value",
+    line = (
         F.when(f == "standard", standard_line())
         .when(f == "json", json_line())
         .when(f == "syslog", syslog_line())
         .when(f == "nginx", access_line())
-        .otherwise(F.concat(F.lit("unreadable entry "), F.col("event_id").cast("string"))),
-    ).withColumn("file_name", pick(F.col("service_name"), SERVICE_FILES))
+        .otherwise(F.concat(F.lit("unreadable entry "), F.col("event_id").cast("string")))
+    )
+    return compute(
+        events, {"value": line, "file_name": pick(F.col("service_name"), SERVICE_FILES)}
+    )
 
 
 def write_lines(rendered: DataFrame, folder: str) -> None:
