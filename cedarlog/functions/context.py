@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cedarlog.functions.text import let
-from cedarlog.functions.variants import PROMOTED, first_of
+from cedarlog.functions.variants import PROMOTED, first_of, members
 
 def kv_context(body: Column) -> Column:
     """``k=v`` words of a text as ``map<string,string>``; the last of equal keys wins.
@@ -32,6 +32,12 @@ def kv_context(body: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))
 
 
+def json_without(json_text: Column, key: str) -> Column:
+    """JSON text of an object without one member; texts that lack the name are not parsed."""
+    rest = F.map_filter(members(F.parse_json(json_text)), lambda k, _: k != key)
+    return F.when(F.contains(json_text, F.lit(f'"{key}"')), F.to_json(rest)).otherwise(json_text)
+
+
 def json_with(json_text: Column, key: str, value: Column) -> Column:
     """JSON text of an object with one more member at its end; a NULL value adds none."""
     member = F.substring(F.to_json(F.struct(value.alias(key))), 2, 1 << 30)

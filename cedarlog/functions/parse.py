@@ -17,12 +17,13 @@ from cedarlog.functions.variants import (
     SERVICE_KEYS,
     SEVERITY_KEYS,
     TIME_KEYS,
+    boxed_json,
     fields_of,
     first_in,
     first_of,
-    json_object,
     not_texts,
     texts_of,
+    unboxed,
     worthwhile,
 )
 from cedarlog.session import require_utc
@@ -56,7 +57,8 @@ def with_format(df: DataFrame, line: str = "value") -> DataFrame:
     filled = df.filter(F.col(line).rlike(r"(?U)\S"))
     text = F.col(_LINE)
     stripped = compute(filled, {_LINE: strip(F.col(line))})
-    parsed = compute(stripped, {_JSON: F.when(text.startswith("{"), json_object(text))})
+    boxed = compute(stripped, {"_box": boxed_json(text)})
+    parsed = compute(boxed, {_JSON: unboxed(F.col("_box"))}).drop("_box")
     layout = (
         F.when(F.col(_JSON).isNotNull(), "json")
         .when(text.rlike(_FLAGS + STANDARD), "standard")

@@ -25,16 +25,19 @@ PROMOTED_KEYS = tuple(k for keys in PROMOTED.values() for k in keys)
 ODD_MEMBER = r'"(?:' + "|".join(FIELD_KEYS + PROMOTED_KEYS) + r')"\s*:\s*(?:[^"\s]|"")|\\u'
 
 
-def json_object(line: Column) -> Column:
-    """Variant of a line that is one strict JSON object, else NULL.
+def boxed_json(line: Column) -> Column:
+    """Variant of a one-element array around a line that looks like a JSON object, else NULL.
 
-    The line is parsed inside a one-element array because the parser ignores text that
-    follows a complete value.
+    The box is needed because the parser ignores text that follows a complete value.
     """
-    boxed = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
-    alone = F.try_variant_get(boxed, "$[1]", "variant").isNull()
     shaped = line.startswith("{") & line.endswith("}")
-    return F.when(shaped & alone, F.try_variant_get(boxed, "$[0]", "variant"))
+    return F.when(shaped, F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))))
+
+
+def unboxed(box: Column) -> Column:
+    """The object of :func:`boxed_json` when the line was exactly one."""
+    alone = F.try_variant_get(box, "$[1]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(box, "$[0]", "variant"))
 
 
 def texts_of(json_text: Column) -> Column:

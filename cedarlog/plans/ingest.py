@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cedarlog import schema
-from cedarlog.functions.context import json_with, kv_context, promote_attributes
+from cedarlog.functions.context import json_with, json_without, kv_context, promote_attributes
 from cedarlog.functions.mask import SUSPECT_JSON, mask_json, mask_string_map, mask_text
 from cedarlog.functions.parse import TYPE_COERCED, parse_lines
 from cedarlog.functions.text import compute, let
@@ -59,7 +59,13 @@ def structure(
     usable = let(
         context, lambda c: F.to_json(let(texts_of(c), lambda t: worthwhile(F.parse_json(c), t)))
     )
-    cleaned = compute(contexts, {"_clean": F.when(odd.isNotNull(), usable).otherwise(context)})
+    cleaned = compute(
+        contexts,
+        {
+            "_clean": F.when(odd.isNotNull(), usable).otherwise(context),
+            "_base": json_without(context, "source_file"),
+        },
+    )
     read = compute(cleaned, {"_fields": fields_of(F.col("_clean"), PROMOTED_KEYS)})
     coerced = F.lit(False)
     for keys in PROMOTED.values():
@@ -72,14 +78,14 @@ def structure(
             "parse_error": F.coalesce(
                 "parse_error", F.when(odd.isNotNull() & coerced, TYPE_COERCED)
             ),
-            "context": json_with(context, "source_file", source),
+            "context": json_with(F.col("_base"), "source_file", source),
             "source_file": source,
             "trace_id": F.lit(None).cast("string"),
             "log_date": F.to_date("timestamp"),
         },
     )
     return stored.drop(
-        "body", "json", "odd_keys", "_raw", "_texts", "_context", "_clean", "_fields", line
+        "body", "json", "odd_keys", "_raw", "_texts", "_context", "_clean", "_base", "_fields", line
     )
 
 

@@ -121,8 +121,8 @@ def topk_threshold(spark, d):
     "hybrid_rerank",
     f"""WITH cand AS ({_top(k=10)}), q AS (SELECT item_id, text FROM benchmark),
     t AS (SELECT c.*, d.text AS a, q.text AS b FROM cand c JOIN documents d ON d.doc_id = c.id JOIN q ON q.item_id = c.query_id),
-    s AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(a), '\\s+'), t -> t <> '')) AS x,
-          list_distinct(list_filter(string_split_regex(lower(b), '\\s+'), t -> t <> '')) AS y FROM t),
+    s AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(a), '\\s+'), lambda t: t <> '')) AS x,
+          list_distinct(list_filter(string_split_regex(lower(b), '\\s+'), lambda t: t <> '')) AS y FROM t),
     r AS (SELECT query_id, id, similarity, round(0.7 * similarity + (1 - 0.7) * (CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0
           ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END), 6) AS score FROM s)
     SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM r

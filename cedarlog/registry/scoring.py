@@ -61,14 +61,15 @@ def rule_validate(spark, d):
     "rule_select",
     with_feed(
         _VERDICT
-        + """ SELECT s.service_name, v.pattern, v.attempt FROM (SELECT DISTINCT service_name FROM logs) s
+        + """ SELECT s.service_name, v.pattern, CAST(v.attempt AS VARCHAR) AS attempt FROM (SELECT DISTINCT service_name FROM logs) s
         LEFT JOIN (SELECT * FROM verdict WHERE ok AND attempt <= 3
                    QUALIFY row_number() OVER (PARTITION BY service_name ORDER BY attempt) = 1) v
         ON v.service_name = s.service_name"""
     ),
 )
 def rule_select(spark, d):
-    return r.select_rules(_messages(spark, d), _rules(spark))
+    chosen = r.select_rules(_messages(spark, d), _rules(spark))
+    return chosen.withColumn("attempt", F.col("attempt").cast("string"))
 
 
 @query(
@@ -165,8 +166,8 @@ def score_sql(spark, d):
 
 _PAIRS = """pairs AS (SELECT a.conv_id, a.turn, a.text AS predicted, b.text AS expected
   FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1),
-sets AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(predicted), '\\s+'), t -> t <> '')) AS p,
-  list_distinct(list_filter(string_split_regex(lower(expected), '\\s+'), t -> t <> '')) AS e FROM pairs),
+sets AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(predicted), '\\s+'), lambda t: t <> '')) AS p,
+  list_distinct(list_filter(string_split_regex(lower(expected), '\\s+'), lambda t: t <> '')) AS e FROM pairs),
 scored AS (SELECT conv_id, turn, CASE WHEN len(p) = 0 OR len(e) = 0 THEN 0.0 ELSE
   len(list_intersect(p, e)) / len(list_distinct(list_concat(p, e))) END AS raw FROM sets)"""
 
