@@ -20,7 +20,7 @@ def strip(c: Column) -> Column:
 def collapse_space(c: Column) -> Column:
     """Each run of white space as one blank; most texts already are that way."""
     return F.when(
-        c.rlike(r"(?U)\s\s|[\s&&[^ ]]"), F.regexp_replace(c, r"(?U)\s+", " ")
+        c.rlike(r"(?U)\s(?:(?<! )|\s)"), F.regexp_replace(c, r"(?U)\s+", " ")
     ).otherwise(c)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cedarlog import schema
 from cedarlog.functions.context import json_with, json_without, kv_context, promote_attributes
-from cedarlog.functions.mask import SUSPECT_JSON, mask_json, mask_string_map, mask_text
+from cedarlog.functions.mask import mask_json, mask_string_map, mask_text, suspect_json
 from cedarlog.functions.parse import TYPE_COERCED, parse_lines
 from cedarlog.functions.text import compute, let
 from cedarlog.functions.variants import (
@@ -25,7 +25,7 @@ from cedarlog.operators.templates import (
     templates_of,
     with_signature_template,
 )
-from cedarlog.sources.lines import CURRENT_LOGS, path_exists, read_lines
+from cedarlog.sources.lines import CURRENT_LOGS, path_exists, read_lines, spread
 from cedarlog.sources.tables import write_logs
 
 # A time this far from the load is a guessed year or a wrong clock.
@@ -45,7 +45,7 @@ def structure(
     odd, raw, texts, fields = (F.col(c) for c in ("odd_keys", "_raw", "_texts", "_fields"))
 
     masked = compute(parsed, {"message": mask_text(F.col("body")), "_raw": F.to_json(js)})
-    looked = compute(masked, {"_texts": F.when(raw.rlike(SUSPECT_JSON), texts_of(raw))})
+    looked = compute(masked, {"_texts": F.when(suspect_json(raw), texts_of(raw))})
     nothing = (js.isNull() & given.isNull()) | (raw == "{}")
     contexts = compute(
         looked,
@@ -132,7 +132,7 @@ def bulk_load(
     Saved templates seed the run and the new set takes their place, under a new version
     folder so that readers and a repeated run never see a half-written set.
     """
-    lines = read_lines(spark, landing_zone, glob)
+    lines = spread(read_lines(spark, landing_zone, glob))
     if lines.isEmpty():
         return False
     structured = structure(lines, default_year, ingest_ts)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cedarlog.sources import feed, render
+from cedarlog.sources.lines import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,7 +40,7 @@ def stamp(c: str | Column = "timestamp") -> Column:
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``event_id, value, source_file, event_ts``: the event feed as log lines."""
-    e = feed.event_logs(spark, sf_dir)
+    e = feed.event_logs(spark, sf_dir, spread)
     return render.render_lines(e, F.col("line_format")).select(
         "event_id", "value", F.col("file_name").alias("source_file"),
         F.col("timestamp").alias("event_ts"),

@@ -8,6 +8,7 @@ from cedarlog.operators import retrieval as rt
 from cedarlog.operators.templates import with_signature_template
 from cedarlog.registry.base import query, sql_stamp, stamp, with_feed
 from cedarlog.sources import feed
+from cedarlog.sources.lines import spread
 
 
 def _context():
@@ -138,7 +139,8 @@ def hybrid_rerank(spark, d):
 @query("embed_hashing")
 def embed_hashing(spark, d):
     """Word-hash vectors of all documents, searched with all benchmark items."""
-    docs = rt.embed(feed.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "text")
+    texts = spread(feed.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    docs = rt.embed(texts, "text")
     asked = rt.embed(
         feed.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text"
     )

@@ -37,9 +37,9 @@ def _nth(i: Column, values: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
 
 
-def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structured log events, one per row of ``events``."""
-    e = table(spark, sf_dir, "events")
+def event_logs(spark: SparkSession, sf_dir: str, read=lambda df: df) -> DataFrame:
+    """Structured log events, one per row of ``events``; ``read`` may lay the rows out anew."""
+    e = read(table(spark, sf_dir, "events"))
     k = F.get_json_object("props", "$.k").cast("bigint")
     kind, user, service = F.col("event_type"), F.col("user_id"), F.col("service_name")
     amount = F.col("value").cast("decimal(14,2)").cast("string")

@@ -49,9 +49,14 @@ def read_lines(
     return reader.text(folder).select(*columns)
 
 
-def spread_unsplittable(lines: DataFrame, partitions: int) -> DataFrame:
-    """Even out rows after reading gzip files, each of which is one task."""
-    return lines.repartition(partitions)
+def spread(rows: DataFrame) -> DataFrame:
+    """Even out rows when the scan has fewer tasks than the cluster has cores.
+
+    That is so for a few gzip files or single row groups, which cannot be split. Inputs with
+    enough splits pass unchanged, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def stream_lines(
