@@ -39,13 +39,12 @@ def json_without(json_text: Column, key: str) -> Column:
 
 
 def json_with(json_text: Column, key: str, value: Column) -> Column:
-    """JSON text of an object with one more member at its end; a NULL value adds none."""
-    member = F.substring(F.to_json(F.struct(value.alias(key))), 2, 1 << 30)
-    head = F.regexp_replace(json_text, r"\s*\}$", "")
+    """Compact JSON text of an object with one more member at its end; NULL adds none."""
+    member = F.to_json(F.struct(value.alias(key)))
+    head = F.left(json_text, F.length(json_text) - 1)
+    more = F.concat(head, F.lit(","), F.substring(member, 2, 1 << 30))
     return (
-        F.when(value.isNull(), json_text)
-        .when(head.rlike(r"^\{\s*$"), F.concat(F.lit("{"), member))
-        .otherwise(F.concat(head, F.lit(","), member))
+        F.when(value.isNull(), json_text).when(json_text == "{}", member).otherwise(more)
     )
 
 
