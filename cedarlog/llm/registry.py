@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cedarlog.llm import quality, toxicity
+from cedarlog.llm import decontaminate, line_dedup, mixing, quality, toxicity
 from cedarlog.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,71 @@ def _scored(docs: DataFrame, held_out, score, threshold: float) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_SPACE = r"[^\x20\x09-\x0D]+"
+
+
+_LINE_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, text) AS k,
+             CASE WHEN coalesce(text, '') = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(text, chr(10)) END AS ls,
+             coalesce(text, '') AS text FROM documents),
+  l AS (SELECT k, generate_subscripts(ls, 1) AS p, unnest(ls) AS line FROM d),
+  w1 AS (SELECT k, p, 1 AS n, line AS h FROM l WHERE length(line) >= {line_dedup.MIN_CHARS}),
+  wm AS (SELECT k, p, {line_dedup.MIN_LINES} AS n,
+           array_to_string(ls[p : p + {line_dedup.MIN_LINES} - 1], chr(10)) AS h
+         FROM (SELECT k, ls, unnest(generate_series(1, len(ls) - {line_dedup.MIN_LINES} + 1)) AS p FROM d)),
+  later AS (SELECT k, p, n FROM (SELECT *, row_number() OVER (PARTITION BY n, h ORDER BY k, p) AS i
+            FROM (SELECT * FROM w1 UNION ALL SELECT * FROM wm)) WHERE i > 1),
+  gone AS (SELECT DISTINCT k, unnest(generate_series(p, p + n - 1)) AS p FROM later),
+  kept AS (SELECT k, count(*) FILTER (WHERE g.p IS NOT NULL) AS n_removed,
+             string_agg(line, chr(10) ORDER BY l.p) FILTER (WHERE g.p IS NULL) AS t
+           FROM l LEFT JOIN gone g USING (k, p) GROUP BY k)
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (k)"""
+
+
+@query("op1_line_dedup", _LINE_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return out.select(
+        "row.doc_id", "n_lines", "n_removed",
+        F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+_MIX_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_SPACE}')) AS BIGINT) AS size,
+             substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS h FROM documents),
+  s AS (SELECT source, CAST(sum(size) AS HUGEINT) AS s,
+          CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS HUGEINT) AS w
+        FROM d GROUP BY source),
+  o AS (SELECT *, sum(s) OVER () AS t, coalesce(sum(s) OVER before, 0) AS sb,
+          sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS wf
+        FROM s WINDOW before AS (ORDER BY s * 10 // w, source NULLS LAST
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  c AS (SELECT *, (t - 3 * sb) * w > 3 * s * wf AS capped FROM o),
+  f AS (SELECT *, t - 3 * coalesce(sum(s) FILTER (WHERE capped) OVER (), 0) AS free,
+          sum(w) FILTER (WHERE NOT capped) OVER () AS wu FROM c),
+  g AS (SELECT source, CAST(s AS BIGINT) AS source_size,
+          CASE WHEN capped THEN CAST(3 * s AS DOUBLE) ELSE CAST(free AS DOUBLE) * CAST(w AS DOUBLE) / CAST(wu AS DOUBLE) END AS target
+        FROM f),
+  b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS base FROM g),
+  q AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.base, target - base * source_size AS rest,
+          sum(size) OVER (PARTITION BY b.source ORDER BY h) AS until,
+          sum(size) OVER (PARTITION BY b.source, h) AS tied
+        FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (base + CASE WHEN rest > 0 AND (until + until - tied) / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM q"""
+
+
+@query("op2_mixing", _MIX_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op5_quality_classifier")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
@@ -41,3 +106,33 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
     return _scored(docs, toxicity.held_out(), toxicity.scorer(docs, model), toxicity.THRESHOLD)
+
+
+_LEAK_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, text) AS k,
+             regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM documents),
+  b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM benchmark),
+  w AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, ws[p : p + least(len(ws), 10) - 1] AS h
+        FROM (SELECT item_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 9))) AS p FROM b WHERE len(ws) > 0)),
+  sizes AS (SELECT DISTINCT n FROM w),
+  dw AS (SELECT k, p, n, ws[p : p + n - 1] AS h
+         FROM (SELECT k, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS p FROM d, sizes)),
+  hit AS (SELECT k, p, dw.n, item_id FROM dw JOIN w ON dw.n = w.n AND dw.h = w.h),
+  pos AS (SELECT k, count(DISTINCT q) AS n_hit FROM (SELECT k, unnest(generate_series(p, p + n - 1)) AS q FROM hit) GROUP BY k),
+  its AS (SELECT k, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+          FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS i FROM hit WHERE item_id IS NOT NULL) GROUP BY k)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (k) LEFT JOIN its USING (k)"""
+
+
+@query("op10_decontaminate", _LEAK_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
+    ).drop("copy")
