@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cedarlog.llm import decontaminate, line_dedup, mixing, quality, toxicity
+from cedarlog.llm import decontaminate, line_dedup, mixing, near_dedup, quality, toxicity
 from cedarlog.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,33 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+_NEAR_SQL = f"""
+WITH RECURSIVE d AS (SELECT min(k) AS k, ws, CASE WHEN len(ws) = 0 THEN t END AS bare FROM (
+    SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS k, coalesce(text, '') AS t,
+      regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM documents) GROUP BY 2, 3),
+  own AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS r, doc_id, coalesce(text, '') AS t,
+      regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM documents),
+  sh AS (SELECT k, s, count(*) AS c FROM (
+      SELECT k, array_to_string(ws[p : p + 4], ' ') AS s
+      FROM (SELECT k, ws, unnest(generate_series(1, greatest(1, len(ws) - 4))) AS p FROM d WHERE len(ws) > 0)) GROUP BY 1, 2),
+  n AS (SELECT k, sum(c) AS n FROM sh GROUP BY 1),
+  pr AS (SELECT a.k AS u, b.k AS v, sum(least(a.c, b.c)) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.k < b.k GROUP BY 1, 2),
+  ln AS (SELECT u, v FROM pr JOIN n x ON x.k = u JOIN n y ON y.k = v WHERE i >= 0.8 * (x.n + y.n - i)),
+  e AS (SELECT u, v FROM ln UNION SELECT v, u FROM ln),
+  walk AS (SELECT k, k AS root FROM d UNION SELECT e.v, walk.root FROM walk JOIN e ON e.u = walk.k),
+  comp AS (SELECT k, min(root) AS root FROM walk GROUP BY 1),
+  placed AS (SELECT own.doc_id, own.t, comp.root FROM own
+    JOIN d ON d.ws = own.ws AND (len(own.ws) > 0 OR d.bare = own.t) JOIN comp ON comp.k = d.k),
+  named AS (SELECT root, count(DISTINCT (doc_id, t)) AS class_size FROM placed GROUP BY 1)
+SELECT placed.doc_id, own.doc_id AS class_id, class_size
+FROM placed JOIN named USING (root) JOIN own ON own.r = placed.root"""
+
+
+@query("op4_near_dedup", _NEAR_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.label(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op5_quality_classifier")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
