@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cedarlog.llm import decontaminate, line_dedup, mixing, near_dedup, quality, toxicity
+from cedarlog.llm import decontaminate, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
 from cedarlog.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,27 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"),
         F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
     ).drop("copy")
+
+
+_SPAN_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, text) AS k,
+             regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS ws FROM documents),
+  w AS (SELECT k, p, md5(array_to_string(ws[p : p + 19], ' ')) AS h
+        FROM (SELECT k, ws, unnest(generate_series(1, len(ws) - 19)) AS p FROM d)),
+  later AS (SELECT k, p FROM (SELECT k, p, row_number() OVER (PARTITION BY h ORDER BY k, p) AS i FROM w) WHERE i > 1),
+  gone AS (SELECT DISTINCT k, unnest(generate_series(p, p + 19)) AS p FROM later),
+  l AS (SELECT k, generate_subscripts(ws, 1) AS p, unnest(ws) AS word FROM d),
+  kept AS (SELECT k, count(*) FILTER (WHERE g.p IS NOT NULL) AS n_removed,
+             string_agg(word, ' ' ORDER BY l.p) FILTER (WHERE g.p IS NULL) AS t
+           FROM l LEFT JOIN gone g USING (k, p) GROUP BY k)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (k)"""
+
+
+@query("op9_substring_dedup", _SPAN_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_substrings(read(spark, sf_dir, "documents"))
+    return out.select(
+        "row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
