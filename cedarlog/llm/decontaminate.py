@@ -54,7 +54,8 @@ def _bytes(df: DataFrame, text: Column) -> int:
 def prefixes(documents: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """``token, at, window, items``: each window under its rarest word, which stands at ``at``."""
     vocabulary = wanted.select(F.explode("window").alias("token")).distinct()
-    if _bytes(vocabulary, F.col("token")) <= MAX_BROADCAST_BYTES:
+    small = _bytes(vocabulary, F.col("token")) <= MAX_BROADCAST_BYTES
+    if small:
         vocabulary = F.broadcast(vocabulary)
     counted = (
         documents.select(F.explode(words(F.col(text_col))).alias("token"))
@@ -62,6 +63,8 @@ def prefixes(documents: DataFrame, wanted: DataFrame, text_col: str) -> DataFram
         .groupBy("token")
         .agg(F.count("*").alias("n"))
     )
+    if small:  # no larger than the vocabulary
+        counted = F.broadcast(counted)
     keyed = wanted.withColumn("id", F.xxhash64("window"))
     rarest = (
         keyed.select("window", "items", F.posexplode("window").alias("at", "token"))
