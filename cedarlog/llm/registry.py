@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cedarlog.llm import decontaminate, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
+from cedarlog.llm import decontaminate, fingerprints, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
 from cedarlog.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, quality.held_out(), quality.scorer(docs, model), quality.THRESHOLD)
 
 
+@query("op6_fingerprints")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return fingerprints.with_next(docs, fingerprints.lexicon(docs)).withColumnRenamed("id", "doc_id")
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
