@@ -58,7 +58,8 @@ def repeated_runs(documents: DataFrame, id_col: str = "doc_id", text_col: str =
                   min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """``_id, _text_hash, runs``: for each document with later copies the maximal runs of their lines,
     ``array<struct<start, end>>`` in order, lines from 0, ``end`` excluded."""
-    split = documents.select(*doc_key(id_col, text_col), _lines(F.col(text_col)).alias("lines")).dropDuplicates(_KEY)
+    # Repeated rows have equal positions, and a position is not later than itself.
+    split = documents.select(*doc_key(id_col, text_col), _lines(F.col(text_col)).alias("lines"))
     lines = split.select(*_KEY, F.posexplode("lines").alias("pos", "line")).select(
         *_KEY, "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"),
         (F.length("line") >= min_chars).alias("long"),
