@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cedarlog.llm import decontaminate, fingerprints, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
+from cedarlog.llm import decontaminate, fingerprints, licenses, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
 from cedarlog.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query("op3_license_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.scan_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scanned.select("doc_id", "license.*").drop("detections")
+
+
 _NEAR_SQL = f"""
 WITH RECURSIVE d AS (SELECT min(k) AS k, ws, CASE WHEN len(ws) = 0 THEN t END AS bare FROM (
     SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS k, coalesce(text, '') AS t,
