@@ -118,3 +118,26 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
         F.when(F.col("runs").isNull(), text).otherwise(F.array_join(F.flatten(kept), "\n")).alias("kept_text"),
     )
+
+
+def clean(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars",
+          min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The documents without later copies of lines, in their own columns; ``length_col`` follows the text.
+
+    A document of which nothing but later copies was there is gone.
+    """
+    out = dedup_lines(documents, id_col, text_col, min_lines, min_chars).filter(
+        (F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))
+    )
+    changed = F.col("n_removed") > 0
+
+    def column(name: str) -> Column:
+        own = F.col("row")[name]
+        if name == text_col:
+            return F.col("kept_text").alias(name)
+        if name == length_col:
+            kind = documents.schema[name].dataType
+            return F.when(changed, F.length("kept_text").cast(kind)).otherwise(own).alias(name)
+        return own.alias(name)
+
+    return out.select(*[column(c) for c in documents.columns])

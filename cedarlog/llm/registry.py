@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cedarlog.llm import decontaminate, fingerprints, licenses, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
+from cedarlog.llm import decontaminate, fingerprints, html_extract, licenses, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
 from cedarlog.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,6 +140,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(docs, fingerprints.lexicon(docs)).withColumnRenamed("id", "doc_id")
 
 
+@query("op7_html_extract")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(read(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")

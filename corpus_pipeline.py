@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cedarlog.llm import toxicity
-from cedarlog.llm.common import materialise, read
+from cedarlog.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
+from cedarlog.llm.common import fresh, materialise, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,17 +14,44 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of line runs go; documents that were nothing else go with them."""
+    return line_dedup.clean(docs)
 
-#: The toxicity stage is a fitted model, which SQL cannot express.
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near copies stays."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, numbered by ``copy``."""
+    (name,) = fresh(docs, "copy")
+    return mixing.mix_documents(docs).select("row.*", F.col("copy").alias(name))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources to target weights", mix_sources),
+]
+
+#: The first stage is a fitted model, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again before the next."""
     docs = read(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = materialise(docs, f"stage-{i}")
+            docs = materialise(docs, f"stage-{i + 1}")
     return docs
