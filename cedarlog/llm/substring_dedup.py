@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,26 +80,37 @@ def sections(words: np.ndarray, cut: np.ndarray):
     return doc[first], edges[at[first]], path, first - cut[doc[first]], size
 
 
-def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by ``keys``, and for that order the first of each group of equal keys."""
-    order = np.lexsort(keys[::-1])
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    return order, new
+def _codes(ids: pa.Array) -> np.ndarray:
+    """Equal numbers for equal ids, null as well."""
+    if isinstance(ids, pa.ChunkedArray):
+        ids = ids.combine_chunks()
+    return pa.compute.fill_null(ids.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
 
 
 def _coordinates(batch: pa.RecordBatch) -> np.ndarray:
-    """The place of each row of a batch in the order of documents."""
-    ids = pa.table([batch.column(0), batch.column(1)], names=["i", "h"])
-    null = ids.column(0).is_null()
-    ids = ids.add_column(0, "known", pa.compute.invert(null))
-    order = pa.compute.sort_indices(ids, [("known", "ascending"), ("i", "ascending"), ("h", "ascending")]).to_numpy()
+    """The place of each row of a batch in the order of documents; equal for equal keys."""
+    ids, hashes = batch.column(0), batch.column(1)
+    keys = pa.table({"known": ids.is_valid(), "i": ids, "h": hashes})
+    order = pa.compute.sort_indices(keys, [(c, "ascending") for c in ("known", "i", "h")]).to_numpy()
+    code, h = _codes(ids)[order], hashes.to_numpy(zero_copy_only=False)[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (code[1:] != code[:-1]) | (h[1:] != h[:-1])
     rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    rank[order] = np.cumsum(new)
     return rank
 
 
+def _first_copies(new: np.ndarray, *coordinate: np.ndarray) -> np.ndarray:
+    """Rows at the coordinate of the first of their group: it, or a repeated row of the input.
+
+    Rows are sorted by group and coordinate, ``new`` marks the first of each group.
+    """
+    other = new.copy()
+    if len(new):
+        other[1:] |= np.any([c[1:] != c[:-1] for c in coordinate], axis=0)
+    return new[np.flatnonzero(other)][np.cumsum(other) - 1] if len(new) else new
+
+
 def _per_document(batch: pa.RecordBatch, salt: np.uint64 | None = None):
     raw, bounds = tx.text_bytes(batch.column(2))
     for i, j in tx.blocks(bounds):
@@ -118,11 +130,13 @@ def _cut_sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if not parts:
             continue
         doc, edge, path, start, size = (np.concatenate(c) for c in zip(*parts, strict=True))
-        rank = _coordinates(batch)
-        order, new = _groups(edge, path, rank[doc], start)
-        order, new = order, np.ones(len(order), bool)
+        rank = _coordinates(batch)[doc]
+        order = np.lexsort((start, rank, path, edge))
         e, p = edge[order], path[order]
+        new = np.ones(len(order), bool)
         new[1:] = (e[1:] != e[:-1]) | (p[1:] != p[:-1])
+        once = new | ~_first_copies(new, rank[order], start[order])
+        order, e, p, new = order[once], e[once], p[once], new[once]
         state = np.where(new, ASK, GONE)
         # The third and later paths of an edge are known to branch off.
         opens = np.ones(len(order), bool)
@@ -146,7 +160,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Ta
         if not len(batch):
             continue
         keys = batch.column(key).to_numpy(zero_copy_only=False)
-        last = int(np.searchsorted(keys != keys[-1], False)) if keys[0] != keys[-1] else 0
+        last = 0
         if keys[0] != keys[-1]:
             last = len(keys) - int(np.argmax((keys != keys[-1])[::-1]))
             held.append(batch.slice(0, last))
@@ -176,7 +190,8 @@ def _settle_sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         new[1:] = opens[1:] | (p[1:] != p[:-1])
         at = np.flatnonzero(opens)
         paths = np.repeat(np.add.reduceat(new.astype(int), at), np.diff(np.append(at, len(e)))) if len(e) else new
-        own = np.where(~new, GONE, np.where(paths > 1, UNROLL, ASK))
+        first = _first_copies(new, _codes(table.column(0))[asked], _column(table, "_text_hash")[asked], _column(table, "start")[asked])
+        own = np.where(~first, GONE, np.where(paths > 1, UNROLL, ASK))
         state[asked] = own
         told = pa.array(state != ASK)
         out = pa.table(
@@ -206,10 +221,13 @@ def _cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not parts:
             continue
         doc, h1, h2, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order, _ = _groups(h1, h2, _coordinates(batch)[doc], pos)
+        rank = _coordinates(batch)[doc]
+        order = np.lexsort((pos, rank, h2, h1))
         h1, h2 = h1[order], h2[order]
         new = np.ones(len(order), bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        once = new | ~_first_copies(new, rank[order], pos[order])
+        order, h1, h2, new = order[once], h1[once], h2[once], new[once]
         to = np.where(new, h1, tx.mix(h1 + pos[order].astype(np.uint64)))
         state = np.where(new, ASK, GONE).astype(np.int8)
         yield _emit(
@@ -223,10 +241,11 @@ def _settle_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         edge, path, state = _column(table, "edge"), _column(table, "path"), _column(table, "state")
         asked = np.flatnonzero(state == ASK)
         e, p = edge[asked], path[asked]
-        again = np.zeros(len(e), bool)
-        again[1:] = (e[1:] == e[:-1]) & (p[1:] == p[:-1])
+        new = np.ones(len(e), bool)
+        new[1:] = (e[1:] != e[:-1]) | (p[1:] != p[:-1])
+        first = _first_copies(new, _codes(table.column(0))[asked], _column(table, "_text_hash")[asked], _column(table, "start")[asked])
         gone = state == GONE
-        gone[asked[again]] = True
+        gone[asked[~first]] = True
         out = pa.table(
             [table.column(0), table.column(1), table.column("start"), table.column("size")], names=[*_KEY, "start", "size"]
         ).filter(pa.array(gone))
