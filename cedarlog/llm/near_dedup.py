@@ -9,9 +9,11 @@ number of rank cells follows from the total weight: about as many darts hit for
 
 Documents with equal words are one text. Bands of the signature are joined: the texts of a bucket meet its most
 central member, and every such pair is verified by exact similarity. Components of the links so far are
-found, and then all pairs that share a bucket across two components are verified as well. So no pair of
-linked components is compared again, no group is expanded into all its pairs, and no link between
-different components is lost that a band shows (at 0.8, all but one in 100,000).
+found, and then the pairs that share a bucket across two components are verified as well. Before that, texts go
+that cannot be in a further link: if over a fifth of a text's weight lies on shingles that no other
+candidate holds, no similarity reaches 0.8. So no pair inside a component is compared again, a large group of
+copies edited each in its own way is not expanded into pairs, and no link between different components
+is lost that a band shows (at 0.8, all but one in 100,000).
 
 Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-cased; fewer than five words are
 one shingle. Texts without words are linked only if they are equal (null as empty). Repeated rows belong to one
@@ -210,6 +212,41 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each shingle of a batch once: how many texts of it hold it, and one of them with the weight there."""
+    for batch in batches:
+        raw, bounds = tx.text_bytes(batch.column(1))
+        node = batch.column(0).to_numpy(zero_copy_only=False)
+        parts = []
+        for i, j in tx.blocks(bounds):
+            doc, element, weight = weighted(*shingles(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]))
+            parts.append((doc + i, element, weight))
+        if parts:
+            doc, element, weight = (np.concatenate(c) for c in zip(*parts, strict=True))
+            shingle, first, count = np.unique(element, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tx.as_long(shingle)), pa.array(node[doc[first]]), pa.array(weight[first]), pa.array(count)],
+                names=["shingle", "node", "weight", "texts"],
+            )
+
+
+def _linkable(texts: DataFrame) -> DataFrame:
+    """``content`` of the texts that share enough of their weight with others of ``texts``."""
+    number = F.xxhash64("content")
+    rows = texts.select(number.alias("node"), "text").mapInArrow(
+        _shingle_rows, "shingle long, node long, weight long, texts long"
+    )
+    alone = (
+        rows.groupBy("shingle")
+        .agg(F.sum("texts").alias("texts"), F.first("node").alias("node"), F.first("weight").alias("weight"))
+        .filter("texts = 1")
+        .groupBy("node")
+        .agg(F.sum("weight").alias("alone"))
+    )
+    held = texts.select("content", "n", number.alias("own")).join(alone, F.col("own") == F.col("node"), "left")
+    return held.filter(F.col("n") - F.coalesce("alone", F.lit(0)) >= SIMILARITY * F.col("n")).select("content")
+
+
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The verified ones of ``pairs`` (``u, v``)."""
     u = texts.select(F.col("content").alias("u"), F.col("text").alias("u_text"), F.col("n").alias("u_n"))
@@ -223,6 +260,12 @@ def _ordered(keys: list[str]) -> F.Column:
     return F.struct(F.col(keys[0]).isNull().alias("no_id"), *keys)
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Members of buckets that reach over several components."""
+    several = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
+    return placed.join(several, "bucket", "left_semi")
+
+
 def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id, _text_hash, class_id, class_hash, class_size``: the key of every distinct document, the
     key of its class's first document, and the number of distinct documents in the class."""
@@ -270,9 +313,10 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         "placed",
     )
+    mixed = _mixed(placed)
+    able = _linkable(texts.join(mixed.select("content").distinct(), "content", "left_semi"))
+    placed = materialise(_mixed(mixed.join(able, "content", "left_semi")), "placed")
     groups = placed.select("bucket", "root").distinct()
-    mixed = groups.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")
-    groups = groups.join(mixed, "bucket")
     across = groups.join(groups.withColumnRenamed("root", "other"), "bucket").filter("root > other")
     rest = (
         placed.join(across, ["bucket", "root"])
