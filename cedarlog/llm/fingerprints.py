@@ -35,6 +35,8 @@ SUBSETS = 64
 PART_BITS = (2, 5, 6, 7, 8, 8, 9, 9)
 #: Sampled keys for each partition of the ordered documents; they only decide how evenly these are dealt.
 SAMPLES = 40
+#: Documents that are text objects in one task at a time.
+ROWS = 500
 _SALT = 0xA24BAED4963EE407
 
 
@@ -219,7 +221,7 @@ def with_next(documents: DataFrame, terms: np.ndarray, id_col: str = "doc_id", t
             )
 
         group, head, last = None, "", None  # of the range at hand: its first text, and the row that waits for its next
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             to, guest = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = [t or "" for t in batch.column(4).to_pylist()]
             ids, chain, waiting = [], [], []
