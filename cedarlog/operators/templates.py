@@ -6,10 +6,15 @@ a two-pass plan that gives the same result for every order and partitioning of t
 
 1. Messages collapse to digit signatures with map-side combine; for each digit position the
    smallest and largest word tell whether it is constant, so constants are kept.
-2. Leaves hold signatures, not messages. A leaf above a size bound is split by more leading
-   words until it fits, so one task never gets more than the bound.
-3. Inside a leaf, signatures are taken by falling count and text, and join the most similar
+2. Leaves hold signatures, not messages. A big leaf is clustered in rounds: its rows are dealt into parts by
+   hash, each part is clustered, and the templates found, with their weights, are the rows of the next round,
+   dealt anew, until a leaf fits one part. Parts bound the task; what may merge does not depend on them. A leaf of very
+   many templates that two rounds in a row do not merge is final as it is.
+3. Inside a part, rows are taken by falling count and text, saved templates first, and join the most similar
    cluster at or above the threshold; differing words become the wildcard.
+
+A template keeps its id when later messages make it more general: a cluster has the id of the largest saved
+template in it, and lists the ids of others it took in as ``former``.
 """
 
 from __future__ import annotations
@@ -29,10 +34,13 @@ SIMILARITY = 0.5
 
 DIGIT_WORD = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 PREFIX_TOKENS = 1
-LEAF_SIGNATURES = 5_000
-LEAF_TOKENS = 2_000_000
+#: Rows and words of one clustering task.
+PART_ROWS = 5_000
+PART_TOKENS = 2_000_000
+#: Rounds without a merge after which a leaf is final.
+QUIET_ROUNDS = 2
 
-_ASSIGNMENT = "sig string, template string, weight bigint"
+_ROUND = "leaf string, text string, template string, weight bigint, ids array<string>, parts bigint"
 
 
 def signature(message: Column) -> Column:
@@ -97,6 +105,12 @@ def _signatures(messages: DataFrame, col: str) -> DataFrame:
     )
 
 
+def _saved_ids(templates: DataFrame) -> Column:
+    """All ids that stand for a saved template, its own first."""
+    own = F.array("template_id")
+    return F.concat(own, "former") if "former" in templates.columns else own
+
+
 def _seed_rows(templates: DataFrame) -> DataFrame:
     """Saved templates in the shape of signatures, with no message behind them."""
     words = F.split("template", " ")
@@ -106,52 +120,18 @@ def _seed_rows(templates: DataFrame) -> DataFrame:
         F.transform(words, lambda t: F.when(_has_digit(t), WILDCARD).otherwise(t)).alias("sig_tokens"),
         words.alias("tokens"),
         F.col("size").alias("weight"),
+        _saved_ids(templates).alias("ids"),
     )
 
 
-def _with_leaf(
-    rows: DataFrame, prefix_tokens: int, leaf_signatures: int, leaf_tokens: int
-) -> DataFrame:
-    """Add ``leaf``; leaves above the bound use twice as many leading words, and so on.
-
-    The loop ends because a prefix as long as the text names a single signature. Each round
-    looks only at the rows of leaves that were too big.
-    """
-    placed, pending, depth = None, rows, prefix_tokens
-    while True:
-        keyed = pending.withColumn(
-            "leaf",
-            F.concat_ws(" ", F.col("n_tokens").cast("string"), F.slice("sig_tokens", 1, depth)),
-        )
-        too_big = (
-            keyed.groupBy("leaf", "n_tokens")
-            .agg(F.count("*").alias("n"))
-            .filter(
-                (F.col("n") > leaf_signatures)
-                | ((F.col("n") > 1) & (F.col("n") * F.col("n_tokens") > leaf_tokens))
-            )
-            .filter(F.col("n_tokens") > depth)
-            .select("leaf")
-        )
-        if too_big.isEmpty():
-            return keyed if placed is None else placed.unionByName(keyed)
-        big = materialise(too_big, "leaves")
-        if is_small(big):
-            big = F.broadcast(big)
-        fits = keyed.join(big, "leaf", "left_anti")
-        placed = fits if placed is None else placed.unionByName(fits)
-        pending = keyed.join(big, "leaf", "left_semi").drop("leaf")
-        depth *= 2
-
-
-def _cluster_leaf(threshold: float):
-    """Pandas function that clusters one leaf, which the caller keeps below a bound."""
+def _cluster_part(threshold: float):
+    """Pandas function that clusters one part of a leaf, which the caller keeps below a bound."""
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(
-            text=pdf["tokens"].map(" ".join), seed=pdf["sig"].isna()
-        ).sort_values(["seed", "weight", "text"], ascending=[False, False, True])
-        words = np.stack([np.asarray(t, dtype=object) for t in pdf["tokens"]])
+        pdf = pdf.assign(seed=pdf["ids"].map(len) > 0).sort_values(
+            ["seed", "weight", "text"], ascending=[False, False, True]
+        )
+        words = np.stack([np.asarray(t.split(" "), dtype=object) for t in pdf["text"]])
         n = words.shape[1]
         codes, vocab = pd.factorize(words.ravel())
         codes = codes.reshape(words.shape)
@@ -186,50 +166,111 @@ def _cluster_leaf(threshold: float):
         texts = [" ".join(vocab[i] for i in c) for c in clusters[:used]]
         return pd.DataFrame(
             {
-                "sig": pdf["sig"].to_numpy(),
+                "leaf": pdf["leaf"].to_numpy(),
+                "text": pdf["text"].to_numpy(),
                 "template": [texts[o] for o in owner],
                 "weight": pdf["weight"].to_numpy(),
+                "ids": pdf["ids"].to_numpy(),
+                "parts": pdf["parts"].to_numpy(),
             }
         )
 
     return cluster
 
 
+def _merged(rows: DataFrame, text: str) -> DataFrame:
+    """One row per leaf and text; ids go by falling weight of the rows they come with."""
+    ranked = F.array_sort(
+        F.collect_list(F.when(F.size("ids") > 0, F.struct((-F.col("weight")).alias("w"), "ids")))
+    )
+    return rows.groupBy("leaf", F.col(text).alias("text")).agg(
+        F.sum("weight").alias("weight"),
+        F.array_distinct(F.flatten(F.transform(ranked, lambda r: r["ids"]))).alias("ids"),
+    )
+
+
+def _cluster_leaves(rows: DataFrame, threshold: float, part_rows: int, part_tokens: int) -> DataFrame:
+    """``leaf, text, template``: the final template of every text of ``leaf, text, weight, ids``."""
+    pending, trail, settled, quiet, turn = rows, None, None, 0, 0
+    while True:
+        width = F.size(F.split("text", " "))
+        sizes = pending.groupBy("leaf").agg(
+            F.greatest(
+                F.ceil(F.count("*") / part_rows),
+                F.when(F.count("*") > 1, F.ceil(F.count("*") * F.first(width) / part_tokens)).otherwise(1),
+            ).alias("parts")
+        )
+        part = F.pmod(F.xxhash64("text", F.lit(turn)), F.col("parts")).alias("part")
+        out = materialise(
+            pending.join(sizes, "leaf")
+            .select("leaf", part, "text", "weight", "ids", "parts")
+            .groupBy("leaf", "part")
+            .applyInPandas(_cluster_part(threshold), _ROUND),
+            "round",
+        )
+        step = out.select("leaf", "text", "template", "parts")
+        if trail is not None:
+            step = trail.join(step.withColumnRenamed("text", "now"), ["leaf", "now"]).drop("now")
+        big = out.filter("parts > 1")
+        before = big.count()
+        if before:
+            pending = materialise(_merged(big, "template"), "pending")
+            quiet = 0 if pending.count() < before else quiet + 1
+        last = not before or quiet == QUIET_ROUNDS
+        final = (step if last else step.filter("parts = 1")).select("leaf", "text", "template")
+        settled = final if settled is None else settled.union(final)
+        if last:
+            return settled
+        trail = materialise(
+            step.filter("parts > 1").select("leaf", "text", F.col("template").alias("now")), "trail"
+        )
+        turn += 1
+
+
 def assign_signatures(
     messages: DataFrame,
     col: str = "message",
     similarity: float = SIMILARITY,
     prefix_tokens: int = PREFIX_TOKENS,
     seeds: DataFrame | None = None,
-    leaf_signatures: int = LEAF_SIGNATURES,
-    leaf_tokens: int = LEAF_TOKENS,
+    part_rows: int = PART_ROWS,
+    part_tokens: int = PART_TOKENS,
 ) -> DataFrame:
-    """``sig, template, weight``: the template of every signature, written to the shared folder.
+    """``sig, template, template_id, former, weight``: the template of every signature, written to the
+    shared folder.
 
     Rows without ``sig`` are saved templates that were passed as ``seeds``.
     """
-    sigs = materialise(_signatures(messages, col), "signatures")
+    sigs = materialise(_signatures(messages, col), "signatures").withColumn(
+        "ids", F.array().cast("array<string>")
+    )
     rows = sigs if seeds is None else sigs.unionByName(_seed_rows(seeds))
-    leaves = _with_leaf(rows, prefix_tokens, leaf_signatures, leaf_tokens)
-    clustered = (
-        leaves.select("leaf", "sig", "tokens", "weight")
-        .groupBy("leaf")
-        .applyInPandas(_cluster_leaf(similarity), _ASSIGNMENT)
+    leaf = F.concat_ws(" ", F.col("n_tokens").cast("string"), F.slice("sig_tokens", 1, prefix_tokens))
+    texts = rows.select("sig", leaf.alias("leaf"), F.concat_ws(" ", "tokens").alias("text"), "weight", "ids")
+    found = _cluster_leaves(_merged(texts, "text"), similarity, part_rows, part_tokens)
+    placed = materialise(texts.join(found, ["leaf", "text"]), "placed")
+    named = _merged(placed.filter(F.size("ids") > 0), "template").select(
+        "leaf", F.col("text").alias("template"), F.col("ids").alias("known")
+    )
+    return materialise(
+        placed.join(named, ["leaf", "template"], "left").select(
+            "sig",
+            "template",
+            F.coalesce(F.get("known", F.lit(0)), template_id(F.col("template"))).alias("template_id"),
+            F.coalesce(F.slice("known", 2, F.greatest(F.size("known") - 1, F.lit(0))), F.array().cast("array<string>"))
+            .alias("former"),
+            "weight",
+        ),
+        "assignment",
     )
-    return materialise(clustered, "assignment")
 
 
 def templates_of(assignment: DataFrame) -> DataFrame:
-    """``template_id, n_tokens, template, size`` from signature assignments."""
+    """``template_id, n_tokens, template, size, former`` from signature assignments."""
     return (
-        assignment.groupBy("template")
-        .agg(F.sum("weight").alias("size"))
-        .select(
-            template_id(F.col("template")).alias("template_id"),
-            F.size(F.split("template", " ")).alias("n_tokens"),
-            "template",
-            "size",
-        )
+        assignment.groupBy("template_id", "template")
+        .agg(F.sum("weight").alias("size"), F.first("former").alias("former"))
+        .select("template_id", F.size(F.split("template", " ")).alias("n_tokens"), "template", "size", "former")
     )
 
 
@@ -240,17 +281,13 @@ def mine_templates(messages: DataFrame, col: str = "message", **options) -> Data
 
 def assign_templates(messages: DataFrame, assignment: DataFrame, col: str = "message") -> DataFrame:
     """Add ``template``, ``template_id`` and ``params`` to every message."""
-    known = assignment.filter(F.col("sig").isNotNull()).withColumnRenamed("sig", "_sig")
+    known = assignment.filter(F.col("sig").isNotNull()).withColumnRenamed("sig", "_sig").drop("former")
     keyed = messages.withColumn("_sig", signature(normal_message(F.col(col))))
     if is_small(known):
         joined = keyed.join(F.broadcast(known.drop("weight")), "_sig", "left")
     else:
         joined = join_by_weight(keyed, known, ["_sig"], "weight")
-    return (
-        joined.drop("_sig")
-        .withColumn("template_id", template_id(F.col("template")))
-        .withColumn("params", params(F.col(col), F.col("template")))
-    )
+    return joined.drop("_sig").withColumn("params", params(F.col(col), F.col("template")))
 
 
 def params(message: Column, template: Column) -> Column:
@@ -280,9 +317,21 @@ def save_templates(templates: DataFrame, path: str) -> None:
     templates.write.mode("overwrite").parquet(path)
 
 
+def current_ids(templates: DataFrame) -> DataFrame:
+    """``template_id, current_id``: every id ever given to a template of the set, and the one it has now."""
+    return templates.select(
+        F.explode(_saved_ids(templates)).alias("template_id"), F.col("template_id").alias("current_id")
+    )
+
+
+def _template_column(logs: DataFrame) -> Column:
+    """Stored rows hold their template as ``body``."""
+    return F.col("template" if "template" in logs.columns else "body").alias("template")
+
+
 def template_stats(logs: DataFrame) -> DataFrame:
     """One row per template in place of its lines."""
-    return logs.groupBy("template_id", "template").agg(
+    return logs.groupBy("template_id", _template_column(logs)).agg(
         F.count("*").alias("n"),
         F.min("timestamp").alias("first_seen"),
         F.max("timestamp").alias("last_seen"),
@@ -291,10 +340,10 @@ def template_stats(logs: DataFrame) -> DataFrame:
 
 
 def new_patterns(logs: DataFrame, known: DataFrame) -> DataFrame:
-    """Templates of ``logs`` that are not in ``known``, with their row counts.
+    """Templates of ``logs`` that are not in ``known`` by any of their ids, with their row counts.
 
     Counting comes first, so the anti join sees one row per template.
     """
-    seen = logs.groupBy("template_id", "template").agg(F.count("*").alias("n"))
-    return seen.join(known.select("template_id").distinct(), "template_id", "left_anti")
-
+    seen = logs.groupBy("template_id", _template_column(logs)).agg(F.count("*").alias("n"))
+    ids = known.select(F.explode(_saved_ids(known)).alias("template_id")).distinct()
+    return seen.join(ids, "template_id", "left_anti")

@@ -4,7 +4,9 @@ from cedarlog.operators.templates import (
     assign_signatures,
     assign_templates,
     cluster_count,
+    current_ids,
     mine_templates,
+    new_patterns,
     signature,
     templates_of,
     with_signature_template,
@@ -87,12 +89,40 @@ def test_every_message_fits_its_template(spark):
         assert r.params == [w for w, p in zip(words, pattern) if p == "<*>"]
 
 
-def test_big_leaves_are_split_and_nothing_is_lost(spark):
-    df = messages(spark, corpus())
-    done = assign_signatures(df, leaf_signatures=3)
-    assert templates_of(done).agg(F.sum("size")).first()[0] == len(corpus())
-    fits = assign_templates(df, done).filter("template is null").count()
-    assert fits == 0
+def test_part_size_does_not_change_the_answer(spark):
+    names = [f"{a}{b}{c}" for a in "bcdfghklmn" for b in "aeiou" for c in "bcdfghklmnprst"]
+    df = messages(spark, [f"user {n} came in by the south gate" for n in names] + corpus())
+    want = mined(mine_templates(df))
+    assert ("user <*> came in by the south gate", len(names)) in want
+    for part_rows in (10, 100):
+        done = assign_signatures(df, part_rows=part_rows)
+        assert mined(templates_of(done)) == want
+        assert assign_templates(df, done).filter("template is null").count() == 0
+
+
+def test_unlike_rows_of_a_big_leaf_stay_apart(spark):
+    texts = [f"x {a}{b} {b}{a}" for a in "abcdefgh" for b in "ijklmnop"]
+    got = mine_templates(messages(spark, texts), similarity=0.9, part_rows=5)
+    assert mined(got) == {(t, 1) for t in texts}
+
+
+def test_ids_outlive_generalisation(spark):
+    first = mine_templates(messages(spark, ["job alpha done at last", "stop now"]))
+    old = {r.template: r.template_id for r in first.collect()}
+    second = mine_templates(messages(spark, ["job beta done at last", "other text here"]), seeds=first)
+    new = {r.template: r.template_id for r in second.collect()}
+    assert new["job <*> done at last"] == old["job alpha done at last"]
+    assert new["stop now"] == old["stop now"] and len(new) == 3
+    logs = messages(spark, ["job beta done at last", "other text here"])
+    rows = assign_templates(logs, assign_signatures(logs, seeds=first))
+    assert [r.template for r in new_patterns(rows, first).collect()] == ["other text here"]
+
+
+def test_merged_templates_keep_all_their_ids(spark):
+    apart = mine_templates(messages(spark, ["job a b c", "job d e f"]))
+    both = mine_templates(messages(spark, ["job a b f"]), seeds=apart, similarity=0.25)
+    known = {r.template_id: r.current_id for r in current_ids(both).collect()}
+    assert {r.template_id for r in apart.collect()} <= set(known)
 
 
 def test_hot_keys_join_without_shuffle_and_keep_all_rows(spark):
