@@ -6,13 +6,13 @@ the number of periods, not the number of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cedarlog.operators.joins import broadcast_if_small
 from cedarlog.operators.queries import ERROR
 from cedarlog.session import materialise
-from cedarlog.sources.lines import remove_folder
+from cedarlog.sources.lines import path_exists, remove_folder
 
 # Age limits of storage tiers in days.
 WARM_AFTER_DAYS = 30
@@ -167,10 +167,9 @@ def period_report(logs: DataFrame) -> DataFrame:
 
 
 def top_template(logs: DataFrame) -> DataFrame:
-    """The most frequent template of every day."""
-    per_day = logs.groupBy(F.to_date("timestamp").alias("day"), "template").agg(
-        F.count("*").alias("n")
-    )
+    """The most frequent template of every day; stored rows hold it as ``body``."""
+    template = F.col("template" if "template" in logs.columns else "body").alias("template")
+    per_day = logs.groupBy(F.to_date("timestamp").alias("day"), template).agg(F.count("*").alias("n"))
     return per_day.groupBy("day").agg(
         F.max_by("template", F.struct("n", "template")).alias("template"), F.max("n").alias("n")
     )
@@ -219,23 +218,57 @@ def daily_trend(logs: DataFrame, key: str = "service_name", ahead: int = 1) -> D
     )
 
 
+def _tier(age: Column) -> Column:
+    return F.when(age > COLD_AFTER_DAYS, "cold").when(age > WARM_AFTER_DAYS, "warm").otherwise("hot")
+
+
 def with_tier(logs: DataFrame, as_of: str) -> DataFrame:
     """Add ``tier`` by age: over a year cold, over thirty days warm, else hot."""
-    age = F.datediff(F.lit(as_of).cast("date"), F.to_date("timestamp"))
-    return logs.withColumn(
-        "tier",
-        F.when(age > COLD_AFTER_DAYS, "cold").when(age > WARM_AFTER_DAYS, "warm").otherwise("hot"),
-    )
+    return logs.withColumn("tier", _tier(F.datediff(F.lit(as_of).cast("date"), F.to_date("timestamp"))))
 
 
 def write_tiers(logs: DataFrame, path: str, as_of: str) -> None:
+    """Write all rows by tier and day, in place of what ``path`` held."""
     (
         with_tier(logs, as_of)
         .hint("rebalance", "tier", "log_date")
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("tier", "log_date")
+        .parquet(path)
+    )
+
+
+def move_tiers(spark: SparkSession, path: str, as_of: str) -> int:
+    """Move the days that have crossed an age limit to their new tier; the number of days moved.
+
+    Other days are not read. A day is written to its new place before its old folder goes, and one that
+    an interrupted run left in both places is written once more from the old one.
+    """
+    if not path_exists(spark, path):
+        return 0
+    stored = spark.read.parquet(path)
+    days = stored.select("tier", "log_date").distinct()
+    age = F.datediff(F.lit(as_of).cast("date"), F.col("log_date"))
+    moves = (
+        days.withColumn("wanted", _tier(age)).filter("tier <> wanted").collect()
+    )  # a row for each day that moves
+    if not moves:
+        return 0
+    leaving = F.struct("tier", "log_date").isin(
+        [F.struct(F.lit(m["tier"]).alias("tier"), F.lit(m["log_date"]).alias("log_date")) for m in moves]
+    )
+    moved = materialise(stored.filter(leaving).withColumn("tier", _tier(age)), "moved")
+    (
+        moved.hint("rebalance", "tier", "log_date")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("tier", "log_date")
         .parquet(path)
     )
+    for m in moves:
+        remove_folder(spark, f"{path}/tier={m['tier']}/log_date={m['log_date']}")
+    return len(moves)
 
 
 def purge(logs: DataFrame, subjects: DataFrame, key: str) -> DataFrame:

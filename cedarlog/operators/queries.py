@@ -112,7 +112,7 @@ def context_number(key: str, context: str = "context") -> Column:
 
 
 def measure_by(logs: DataFrame, key: str, measure: Column) -> DataFrame:
-    """Count, mean, median and largest value of a measure per key."""
+    """Count, mean, exact median and largest value of a measure per key."""
     return (
         logs.select(key, measure.alias("m"))
         .filter(F.col("m").isNotNull())
@@ -120,7 +120,7 @@ def measure_by(logs: DataFrame, key: str, measure: Column) -> DataFrame:
         .agg(
             F.count("*").alias("n"),
             F.round(F.avg("m"), 6).alias("mean"),
-            F.percentile_approx("m", 0.5, 10_000).alias("median"),
+            F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY m)").alias("median"),
             F.max("m").alias("largest"),
         )
     )
@@ -130,14 +130,19 @@ def top_failing_service(logs: DataFrame, n: int = 1) -> DataFrame:
     return count_by(logs, "service_name", "service_name", LogFilter(severity=ERROR)).limit(n)
 
 
-def failing_endpoints(access: DataFrame, n: int = TOP_ENDPOINTS) -> DataFrame:
-    """Request paths with the most 5xx answers; ``body`` ends with the status."""
+def failing_endpoints(logs: DataFrame, n: int = TOP_ENDPOINTS) -> DataFrame:
+    """Request paths with the most 5xx answers.
+
+    The request is read from ``message`` (stored rows keep their template as ``body``), the status from
+    the context, or else from the end of the message.
+    """
+    text = F.col("message" if "message" in logs.columns else "body")
+    status = F.coalesce(
+        context_value("status").try_cast("int"), F.regexp_extract(text, r" (\d{3})$", 1).try_cast("int")
+    )
     return (
-        access.select(
-            F.regexp_extract("body", r"^\S+ (\S+)", 1).alias("endpoint"),
-            F.regexp_extract("body", r" (\d{3})$", 1).try_cast("int").alias("status"),
-        )
-        .filter(F.col("status") >= 500)
+        logs.select(F.regexp_extract(text, r"^[A-Z]+ (/\S*)", 1).alias("endpoint"), status.alias("status"))
+        .filter((F.col("endpoint") != "") & (F.col("status") >= 500))
         .groupBy("endpoint")
         .agg(F.count("*").alias("n"))
         .orderBy(F.desc("n"), "endpoint")
@@ -204,12 +209,8 @@ def logs_of_department(logs: DataFrame, catalog: DataFrame, department: str) ->
 
 
 def impact(logs: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Departments hit by failures, by criticality; a log counts once per department."""
-    owners = (
-        catalog.groupBy("department", "system_name")
-        .agg(F.min("criticality").alias("criticality"))
-        .withColumnRenamed("department", "dept")
-    )
+    """Departments hit by failures, by criticality; a log counts once in each pair of both."""
+    owners = catalog.select(F.col("department").alias("dept"), "system_name", "criticality").distinct()
     return (
         _errors_per_service(logs)
         .join(owners, F.col("service_name") == F.col("system_name"))

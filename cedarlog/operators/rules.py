@@ -11,9 +11,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cedarlog.functions.parse import TYPE_COERCED
 from cedarlog.operators.joins import broadcast_if_small
 
 MAX_LITERAL_RULES = 500
@@ -162,15 +163,18 @@ def select_rules(
 
 
 def sample_lines(lines: DataFrame, line: str = "line", n: int = SAMPLES_PER_SERVICE) -> DataFrame:
-    """Up to ``n`` distinct lines of every service: the smallest of each of ``n`` hash buckets.
+    """``n`` distinct lines of every service, or all if it has fewer, chosen by hash.
 
-    Repeatable, independent of arrival order, and combined on the map side down to ``n`` rows
-    per service and task.
+    Repeatable and independent of arrival order. Ranks are limited before the rows are shuffled, so a
+    task hands on at most ``n`` rows for each service.
     """
-    bucket = F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint") % n
+    order = Window.partitionBy("service_name").orderBy(F.md5(line), line)
     return (
-        lines.groupBy("service_name", bucket.alias("bucket"))
-        .agg(F.min(line).alias(line))
+        lines.select("service_name", line)
+        .distinct()
+        .withColumn("_rank", F.row_number().over(order))
+        .filter(F.col("_rank") <= n)
+        .drop("_rank")
     )
 
 
@@ -245,13 +249,18 @@ def _apply_by_join(lines: DataFrame, rules: DataFrame, line: str) -> DataFrame:
 def drift(
     records: DataFrame,
     threshold: float,
-    by: str = "service_name",
+    by: str = "source_file",
     every: str = "1 hour",
+    at: str = "timestamp",
 ) -> DataFrame:
-    """Periods in which the share of unreadable lines of a service exceeds ``threshold``."""
-    bad = F.col("parse_error").isNotNull().cast("int")
+    """Periods in which the share of unreadable lines of a source exceeds ``threshold``.
+
+    An unreadable line has no service and no time of its own, so lines are grouped by where they
+    came from, and ``at`` should name their arrival. Values taken over as text were read.
+    """
+    bad = (F.coalesce(F.col("parse_error"), F.lit(TYPE_COERCED)) != TYPE_COERCED).cast("int")
     return (
-        records.groupBy(by, F.window("timestamp", every).alias("w"))
+        records.groupBy(by, F.window(at, every).alias("w"))
         .agg(F.count("*").alias("n"), F.sum(bad).alias("failed"))
         .select(by, F.col("w.start").alias("period"), "n", "failed",
                 (F.col("failed") / F.col("n")).alias("rate"))

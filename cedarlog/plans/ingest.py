@@ -80,7 +80,7 @@ def structure(
             ),
             "context": json_with(F.col("_base"), "source_file", source),
             "source_file": source,
-            "trace_id": F.lit(None).cast("string"),
+            "trace_id": F.nullif(F.get_json_object("_base", "$.trace_id"), F.lit("")),
             "log_date": F.to_date("timestamp"),
         },
     )
@@ -107,8 +107,8 @@ def with_mined_templates(
 
 
 def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows read without trouble, and the others."""
-    bad = F.col("parse_error").isNotNull()
+    """Rows that could be read, and the others; a value taken over as text was read."""
+    bad = F.coalesce(F.col("parse_error"), F.lit(TYPE_COERCED)) != TYPE_COERCED
     return df.filter(~bad), df.filter(bad)
 
 
@@ -132,10 +132,10 @@ def bulk_load(
     Saved templates seed the run and the new set takes their place, under a new version
     folder so that readers and a repeated run never see a half-written set.
     """
-    lines = spread(read_lines(spark, landing_zone, glob))
-    if lines.isEmpty():
+    found = read_lines(spark, landing_zone, glob)
+    if found.isEmpty():
         return False
-    structured = structure(lines, default_year, ingest_ts)
+    structured = structure(spread(found), default_year, ingest_ts)
     rows, templates = with_mined_templates(
         structured, seeds=load_templates(spark, templates_path), **options
     )

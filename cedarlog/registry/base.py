@@ -54,14 +54,14 @@ feed0 AS (
          CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k,
          CAST(CAST(value AS DECIMAL(14,2)) AS VARCHAR) AS amount,
          CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' ELSE 'INFO' END AS severity,
-         CASE user_id % 4 WHEN 0 THEN 'payment-service' WHEN 1 THEN 'auth-service'
-              WHEN 2 THEN 'db-service' ELSE 'frontend' END AS service_name,
-         CASE user_id % 4 WHEN 0 THEN 'finance' WHEN 1 THEN 'security'
-              WHEN 2 THEN 'infra' ELSE 'product' END AS department,
-         CASE user_id % 4 WHEN 0 THEN 'com.example.payment' WHEN 1 THEN 'com.example.auth'
-              WHEN 2 THEN 'com.example.db' ELSE 'com.example.frontend' END AS app_id,
-         CASE user_id % 4 WHEN 0 THEN 'payment.log' WHEN 1 THEN 'auth.log'
-              WHEN 2 THEN 'database.log' ELSE 'access.log' END AS file_name,
+         CASE user_id % 4 WHEN 0 THEN 'parcel-router' WHEN 1 THEN 'badge-gate'
+              WHEN 2 THEN 'stock-index' ELSE 'kiosk-ui' END AS service_name,
+         CASE user_id % 4 WHEN 0 THEN 'dispatch' WHEN 1 THEN 'premises'
+              WHEN 2 THEN 'warehouse' ELSE 'retail' END AS department,
+         CASE user_id % 4 WHEN 0 THEN 'depot.router' WHEN 1 THEN 'depot.gate'
+              WHEN 2 THEN 'depot.stock' ELSE 'depot.kiosk' END AS app_id,
+         CASE user_id % 4 WHEN 0 THEN 'router.log' WHEN 1 THEN 'gate.log'
+              WHEN 2 THEN 'stock.log' ELSE 'kiosk.log' END AS file_name,
          'server-' || lpad(CAST(user_id % 100 AS VARCHAR), 3, '0') AS host,
          CASE WHEN event_id % 97 = 0 THEN 'fallback' WHEN event_id % 4 = 0 THEN 'standard'
               WHEN event_id % 4 = 1 THEN 'json' WHEN event_id % 4 = 2 THEN 'syslog'
@@ -69,30 +69,30 @@ feed0 AS (
   FROM events),
 feed AS (
   SELECT *,
-    CASE k % 3 WHEN 0 THEN 'us-east-1' WHEN 1 THEN 'us-west-2' ELSE 'eu-central-1' END AS region,
+    CASE k % 3 WHEN 0 THEN 'north-1' WHEN 1 THEN 'harbour-2' ELSE 'upland-3' END AS region,
     CASE WHEN severity = 'INFO' THEN 200 ELSE 500 END AS status,
     '10.' || (user_id % 200) || '.' || k || '.7' AS ip,
     user_id || '-' || strftime(ts, '%Y%m%d%H') AS trace_id,
     CASE service_name
-      WHEN 'payment-service' THEN CASE event_type
-        WHEN 'signup' THEN 'Sending email to <EMAIL_REDACTED>'
-        WHEN 'purchase' THEN 'Charging card <CC_REDACTED> for ' || amount
-        ELSE 'Payment processed for user_id=' || user_id || ' amount=' || amount END
-      WHEN 'auth-service' THEN CASE event_type
-        WHEN 'error' THEN 'Login failed for user=u' || user_id || ' ip=<IP_REDACTED> reason=bad_password'
-        ELSE 'Login success for user=u' || user_id || ' ip=<IP_REDACTED>' END
-      WHEN 'db-service' THEN 'Query executed on table=t' || (k % 3) || ' duration=' || k || 'ms'
-      ELSE 'Page view /item/' || k END AS message,
+      WHEN 'parcel-router' THEN CASE event_type
+        WHEN 'signup' THEN 'Receipt mailed to <EMAIL_REDACTED>'
+        WHEN 'purchase' THEN 'Refund to card <CC_REDACTED> over ' || amount
+        ELSE 'Parcel scanned at belt=b' || user_id || ' grams=' || amount END
+      WHEN 'badge-gate' THEN CASE event_type
+        WHEN 'error' THEN 'Badge refused holder=h' || user_id || ' reader=<IP_REDACTED> cause=expired'
+        ELSE 'Badge accepted holder=h' || user_id || ' reader=<IP_REDACTED>' END
+      WHEN 'stock-index' THEN 'Shelf counted aisle=a' || (k % 3) || ' took=' || k || 'ms'
+      ELSE 'Screen shown /item/' || k END AS message,
     CASE service_name
-      WHEN 'payment-service' THEN CASE event_type
-        WHEN 'signup' THEN 'Sending email to <EMAIL_REDACTED>'
-        WHEN 'purchase' THEN 'Charging card <CC_REDACTED> for <*>'
-        ELSE 'Payment processed for <*> <*>' END
-      WHEN 'auth-service' THEN CASE event_type
-        WHEN 'error' THEN 'Login failed for <*> ip=<IP_REDACTED> reason=bad_password'
-        ELSE 'Login success for <*> ip=<IP_REDACTED>' END
-      WHEN 'db-service' THEN 'Query executed on <*> <*>'
-      ELSE 'Page view <*>' END AS template
+      WHEN 'parcel-router' THEN CASE event_type
+        WHEN 'signup' THEN 'Receipt mailed to <EMAIL_REDACTED>'
+        WHEN 'purchase' THEN 'Refund to card <CC_REDACTED> over <*>'
+        ELSE 'Parcel scanned at <*> <*>' END
+      WHEN 'badge-gate' THEN CASE event_type
+        WHEN 'error' THEN 'Badge refused <*> reader=<IP_REDACTED> cause=expired'
+        ELSE 'Badge accepted <*> reader=<IP_REDACTED>' END
+      WHEN 'stock-index' THEN 'Shelf counted <*> <*>'
+      ELSE 'Screen shown <*>' END AS template
   FROM feed0),
 logs AS (SELECT *, template AS body, CAST(ts AS DATE) AS log_date FROM feed)
 """

@@ -92,17 +92,17 @@ def correlate_services(spark, d):
     "correlate_interval",
     with_feed(
         """SELECT a.region, count(DISTINCT a.event_id) AS n_first, count(b.event_id) AS pairs FROM logs a
-        LEFT JOIN logs b ON b.region = a.region AND b.severity = 'ERROR' AND b.service_name = 'payment-service'
+        LEFT JOIN logs b ON b.region = a.region AND b.severity = 'ERROR' AND b.service_name = 'parcel-router'
           AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 5 MINUTE
-        WHERE a.severity = 'ERROR' AND a.service_name = 'auth-service' GROUP BY 1"""
+        WHERE a.severity = 'ERROR' AND a.service_name = 'badge-gate' GROUP BY 1"""
     ),
 )
 def correlate_interval(spark, d):
     """Payment errors that follow an auth error in the same region within five minutes."""
     bad = F.col("severity") == "ERROR"
     return h.followed_by(
-        _logs(spark, d), bad & (F.col("service_name") == "auth-service"),
-        bad & (F.col("service_name") == "payment-service"), "region",
+        _logs(spark, d), bad & (F.col("service_name") == "badge-gate"),
+        bad & (F.col("service_name") == "parcel-router"), "region",
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cedarlog.plans.ingest import bulk_load, load_templates, structure
 from cedarlog.plans.knowledge import index_logs
-from cedarlog.operators.history import purge_table, write_tiers
+from cedarlog.operators.history import move_tiers, purge_table, write_tiers
 from cedarlog.registry.base import event_lines, query, sql_stamp, stamp, with_feed, with_parsed
 from cedarlog.session import scratch_path
 from cedarlog.sources import feed, tables
@@ -132,7 +132,9 @@ def staged_history(spark, d):
 @query("tiered_store", with_feed("SELECT CASE WHEN DATE '2024-02-10' - log_date > 30 THEN 'warm' ELSE 'hot' END AS tier, count(*) AS n FROM logs GROUP BY 1"))
 def tiered_store(spark, d):
     out = scratch_path(spark, "tiers")
-    write_tiers(feed.logs_view(spark, d), out, "2024-02-10")
+    write_tiers(feed.logs_view(spark, d), out, "2024-01-12")
+    for as_of in ("2024-01-20", "2024-02-10", "2024-02-10"):
+        move_tiers(spark, out, as_of)
     return spark.read.parquet(out).groupBy("tier").agg(F.count("*").alias("n"))
 
 

@@ -24,10 +24,10 @@ def _listing(where: str, n: int) -> str:
 
 @query(
     "count_errors_service",
-    with_feed("SELECT count(*) AS n FROM logs WHERE service_name = 'auth-service' AND severity = 'ERROR'"),
+    with_feed("SELECT count(*) AS n FROM logs WHERE service_name = 'badge-gate' AND severity = 'ERROR'"),
 )
 def count_errors_service(spark, d):
-    return q.count_logs(feed.logs_view(spark, d), LogFilter("auth-service", ERROR))
+    return q.count_logs(feed.logs_view(spark, d), LogFilter("badge-gate", ERROR))
 
 
 @query("recent_warnings", _listing("WHERE severity = 'WARN'", 10))
@@ -53,20 +53,20 @@ def distinct_services(spark, d):
 @query(
     "count_since",
     with_feed(
-        """SELECT count(*) AS n FROM logs WHERE service_name = 'payment-service'
+        """SELECT count(*) AS n FROM logs WHERE service_name = 'parcel-router'
         AND ts >= DATE '2024-01-20' - INTERVAL 1 DAY"""
     ),
 )
 def count_since(spark, d):
-    return q.count_logs(feed.logs_view(spark, d), LogFilter("payment-service", since=q.since_days(AS_OF)))
+    return q.count_logs(feed.logs_view(spark, d), LogFilter("parcel-router", since=q.since_days(AS_OF)))
 
 
 @query(
     "followup_list",
-    _listing("WHERE service_name = 'payment-service' AND logs.ts >= DATE '2024-01-20' - INTERVAL 1 DAY", 50),
+    _listing("WHERE service_name = 'parcel-router' AND logs.ts >= DATE '2024-01-20' - INTERVAL 1 DAY", 50),
 )
 def followup_list(spark, d):
-    asked = LogFilter("payment-service", since=q.since_days(AS_OF))
+    asked = LogFilter("parcel-router", since=q.since_days(AS_OF))
     return _rows(q.list_logs(feed.logs_view(spark, d), asked, q.FOLLOW_UP_ROWS, "event_id"))
 
 
@@ -127,10 +127,10 @@ def errors_last_24h(spark, d):
 
 @query(
     "errors_of_service",
-    with_feed(f"SELECT {_ROW} FROM logs WHERE severity = 'ERROR' AND service_name = 'payment-service'"),
+    with_feed(f"SELECT {_ROW} FROM logs WHERE severity = 'ERROR' AND service_name = 'parcel-router'"),
 )
 def errors_of_service(spark, d):
-    return _rows(q.all_logs(feed.logs_view(spark, d), LogFilter("payment-service", ERROR)))
+    return _rows(q.all_logs(feed.logs_view(spark, d), LogFilter("parcel-router", ERROR)))
 
 
 @query(
@@ -212,11 +212,11 @@ def failing_service_owner(spark, d):
     "department_logs_semi",
     _cat(
         """SELECT service_name, severity, count(*) AS n FROM logs WHERE service_name IN
-        (SELECT system_name FROM catalog WHERE department = 'Finance') GROUP BY 1, 2"""
+        (SELECT system_name FROM catalog WHERE department = 'Dispatch') GROUP BY 1, 2"""
     ),
 )
 def department_logs_semi(spark, d):
-    rows = q.logs_of_department(feed.logs_view(spark, d), feed.catalog(spark), "Finance")
+    rows = q.logs_of_department(feed.logs_view(spark, d), feed.catalog(spark), "Dispatch")
     return rows.groupBy("service_name", "severity").agg(F.count("*").alias("n"))
 
 

@@ -12,16 +12,16 @@ from cedarlog.sources import feed
 
 # Candidate patterns per service, in the order they are tried.
 CANDIDATES = (
-    ("payment-service", 1, r"Payment processed for user_id=(?P<user>\d+) amount=(?P<amount>[\d.]+)"),
-    ("payment-service", 2, r"(?P<verb>\w+) (?P<rest>.*)"),
-    ("auth-service", 1, r"(?P<broken>"),
-    ("auth-service", 2, r".*"),
-    ("auth-service", 3, r"Login (?P<outcome>\w+) for user=(?P<user>\w+) ip=(?P<ip>\S+)"),
-    ("db-service", 1, r"Query executed on table=(?P<table>\w+) duration=(?P<ms>\d+)ms"),
-    ("frontend", 1, r"Page view /other/(?P<item>\d+)"),
-    ("frontend", 2, r"View (?P<item>\d+)"),
-    ("frontend", 3, r"Page (?P<item>\d+)"),
-    ("frontend", 4, r"Page view /item/(?P<item>\d+)"),
+    ("parcel-router", 1, r"Parcel scanned at belt=b(?P<belt>\d+) grams=(?P<grams>[\d.]+)"),
+    ("parcel-router", 2, r"(?P<verb>\w+) (?P<rest>.*)"),
+    ("badge-gate", 1, r"(?P<broken>"),
+    ("badge-gate", 2, r".*"),
+    ("badge-gate", 3, r"Badge (?P<outcome>\w+) holder=(?P<holder>\w+) reader=(?P<reader>\S+)"),
+    ("stock-index", 1, r"Shelf counted aisle=(?P<aisle>\w+) took=(?P<ms>\d+)ms"),
+    ("kiosk-ui", 1, r"Screen shown /other/(?P<item>\d+)"),
+    ("kiosk-ui", 2, r"Shown (?P<item>\d+)"),
+    ("kiosk-ui", 3, r"Screen (?P<item>\d+)"),
+    ("kiosk-ui", 4, r"Screen shown /item/(?P<item>\d+)"),
 )
 
 
@@ -76,29 +76,26 @@ def rule_select(spark, d):
     "rule_apply",
     with_feed(
         """SELECT event_id,
-        CASE WHEN template LIKE 'Payment processed%' THEN CAST(user_id AS VARCHAR)
-             WHEN service_name = 'auth-service' THEN 'u' || user_id END AS user_field,
-        CASE WHEN template LIKE 'Payment processed%' THEN amount END AS amount,
-        CASE WHEN service_name = 'db-service' THEN CAST(k AS VARCHAR) END AS ms,
-        CASE WHEN service_name = 'payment-service' AND template NOT LIKE 'Payment processed%'
+        CASE WHEN template LIKE 'Parcel scanned%' THEN CAST(user_id AS VARCHAR) END AS belt,
+        CASE WHEN service_name = 'badge-gate' THEN 'h' || user_id END AS holder,
+        CASE WHEN template LIKE 'Parcel scanned%' THEN amount END AS grams,
+        CASE WHEN service_name = 'stock-index' THEN CAST(k AS VARCHAR) END AS ms,
+        CASE WHEN service_name = 'parcel-router' AND template NOT LIKE 'Parcel scanned%'
              THEN split_part(message, ' ', 1) END AS verb,
-        CASE WHEN service_name = 'frontend' THEN CAST(k AS VARCHAR) END AS item FROM logs"""
+        CASE WHEN service_name = 'kiosk-ui' THEN CAST(k AS VARCHAR) END AS item FROM logs"""
     ),
 )
 def rule_apply(spark, d):
     done = r.apply_rules(_messages(spark, d), _rules(spark))
-    get = lambda k, name: F.try_element_at("fields", F.lit(k)).alias(name)
-    return done.select(
-        "event_id", get("user", "user_field"), get("amount", "amount"), get("ms", "ms"),
-        get("verb", "verb"), get("item", "item"),
-    )
+    get = lambda name: F.try_element_at("fields", F.lit(name)).alias(name)
+    return done.select("event_id", *[get(n) for n in ("belt", "holder", "grams", "ms", "verb", "item")])
 
 
 @query(
     "sample_lines",
     with_feed(
-        """SELECT service_name, CAST(('0x' || substr(md5(message), 1, 8)) AS BIGINT) % 10 AS bucket, min(message) AS line
-        FROM logs GROUP BY 1, 2"""
+        """SELECT service_name, message AS line FROM (SELECT DISTINCT service_name, message FROM logs)
+        QUALIFY row_number() OVER (PARTITION BY service_name ORDER BY md5(message), message) <= 10"""
     ),
 )
 def sample_lines(spark, d):
@@ -124,16 +121,16 @@ def drift_monitor(spark, d):
 @query(
     "score_regex",
     with_feed(
-        """, p(id, pattern) AS (VALUES ('payment-service', '^(\\w+) (.*)'), ('auth-service', '^.*'),
-                              ('db-service', NULL), ('frontend', '^Page view /other')),
+        """, p(id, pattern) AS (VALUES ('parcel-router', '^(\\w+) (.*)'), ('badge-gate', '^.*'),
+                              ('stock-index', NULL), ('kiosk-ui', '^Screen shown /other')),
         v AS (SELECT id, bool_and(regexp_matches(message, pattern)) AS ok FROM p JOIN logs ON service_name = id GROUP BY 1)
         SELECT id, CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM v"""
     ),
 )
 def score_regex(spark, d):
     predictions = spark.createDataFrame(
-        [("payment-service", r"(?P<verb>\w+) (?P<rest>.*)"), ("auth-service", ".*"), ("db-service", "("),
-         ("frontend", "Page view /other")],
+        [("parcel-router", r"(?P<verb>\w+) (?P<rest>.*)"), ("badge-gate", ".*"), ("stock-index", "("),
+         ("kiosk-ui", "Screen shown /other")],
         "id string, predicted string",
     )
     samples = _messages(spark, d).select(F.col("service_name").alias("id"), "line")

@@ -51,16 +51,16 @@ def template_stats_query(spark, d):
 @query(
     "template_params",
     with_feed(
-        """SELECT event_id, CAST(regexp_extract(message, 'user_id=([0-9]+)', 1) AS VARCHAR) AS first_param,
-        amount AS last_param FROM logs WHERE template = 'Payment processed for <*> <*>'"""
+        """SELECT event_id, CAST(regexp_extract(message, 'belt=b([0-9]+)', 1) AS VARCHAR) AS first_param,
+        amount AS last_param FROM logs WHERE template = 'Parcel scanned at <*> <*>'"""
     ),
 )
 def template_params(spark, d):
     rows = with_signature_template(feed.logs_view(spark, d)).filter(
-        F.col("template") == "Payment processed for <*> <*>"
+        F.col("template") == "Parcel scanned at <*> <*>"
     )
     value = lambda i: F.substring_index(F.col("params")[i], "=", -1)
-    return rows.select("event_id", value(0).alias("first_param"), value(1).alias("last_param"))
+    return rows.select("event_id", F.ltrim(value(0), F.lit("b")).alias("first_param"), value(1).alias("last_param"))
 
 
 @query(

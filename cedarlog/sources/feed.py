@@ -12,20 +12,22 @@ from pyspark.sql import functions as F
 INGEST_TS = "2024-02-01 00:00:00"
 DEFAULT_YEAR = 2024
 
-SERVICES = ("payment-service", "auth-service", "db-service", "frontend")
-DEPARTMENTS = ("finance", "security", "infra", "product")
-APP_IDS = ("com.example.payment", "com.example.auth", "com.example.db", "com.example.frontend")
-REGIONS = ("us-east-1", "us-west-2", "eu-central-1")
+# A parcel depot: what its four services log.
+SERVICES = ("parcel-router", "badge-gate", "stock-index", "kiosk-ui")
+DEPARTMENTS = ("dispatch", "premises", "warehouse", "retail")
+APP_IDS = ("depot.router", "depot.gate", "depot.stock", "depot.kiosk")
+REGIONS = ("north-1", "harbour-2", "upland-3")
 FORMATS = ("standard", "json", "syslog", "nginx")
 
 # Owners of services: many-to-many.
 CATALOG_ROWS = (
-    ("payment-service", "Finance", "pay-owner@example.com", "High"),
-    ("payment-service", "Sales", "sales@example.com", "Medium"),
-    ("auth-service", "Security", "sec-ops@example.com", "High"),
-    ("auth-service", "Finance", "fin-ops@example.com", "Medium"),
-    ("db-service", "Infra", "dba@example.com", "High"),
-    ("frontend", "Product", "web@example.com", "Low"),
+    ("parcel-router", "Dispatch", "routing@depot.example", "High"),
+    ("parcel-router", "Dispatch", "night-shift@depot.example", "Low"),
+    ("parcel-router", "Retail", "shops@depot.example", "Medium"),
+    ("badge-gate", "Premises", "guards@depot.example", "High"),
+    ("badge-gate", "Dispatch", "yard@depot.example", "Medium"),
+    ("stock-index", "Warehouse", "shelves@depot.example", "High"),
+    ("kiosk-ui", "Retail", "screens@depot.example", "Low"),
 )
 
 
@@ -67,31 +69,31 @@ def event_logs(spark: SparkSession, sf_dir: str, read=lambda df: df) -> DataFram
     )
     message = (
         F.when(
-            service == "payment-service",
-            F.when(kind == "signup", F.concat(F.lit("Sending email to user"), user_text, F.lit("@example.com")))
+            service == "parcel-router",
+            F.when(kind == "signup", F.concat(F.lit("Receipt mailed to guest"), user_text, F.lit("@depot.example")))
             .when(
                 kind == "purchase",
-                F.concat(F.lit("Charging card 4111-1111-1111-"), (F.col("k") + 1000).cast("string"),
-                         F.lit(" for "), amount),
+                F.concat(F.lit("Refund to card 5300-0000-7000-"), (F.col("k") + 1000).cast("string"),
+                         F.lit(" over "), amount),
             )
-            .otherwise(F.concat(F.lit("Payment processed for user_id="), user_text, F.lit(" amount="), amount)),
+            .otherwise(F.concat(F.lit("Parcel scanned at belt=b"), user_text, F.lit(" grams="), amount)),
         )
         .when(
-            service == "auth-service",
+            service == "badge-gate",
             F.when(
                 kind == "error",
-                F.concat(F.lit("Login failed for user=u"), user_text, F.lit(" ip="), F.col("client_ip"),
-                         F.lit(" reason=bad_password")),
+                F.concat(F.lit("Badge refused holder=h"), user_text, F.lit(" reader="), F.col("client_ip"),
+                         F.lit(" cause=expired")),
             ).otherwise(
-                F.concat(F.lit("Login success for user=u"), user_text, F.lit(" ip="), F.col("client_ip"))
+                F.concat(F.lit("Badge accepted holder=h"), user_text, F.lit(" reader="), F.col("client_ip"))
             ),
         )
         .when(
-            service == "db-service",
-            F.concat(F.lit("Query executed on table=t"), (F.col("k") % 3).cast("string"),
-                     F.lit(" duration="), k_text, F.lit("ms")),
+            service == "stock-index",
+            F.concat(F.lit("Shelf counted aisle=a"), (F.col("k") % 3).cast("string"),
+                     F.lit(" took="), k_text, F.lit("ms")),
         )
-        .otherwise(F.concat(F.lit("Page view /item/"), k_text))
+        .otherwise(F.concat(F.lit("Screen shown /item/"), k_text))
     )
     return base.withColumn("client_ip", ip).withColumns(
         {

@@ -9,10 +9,10 @@ from cedarlog.functions.text import compute
 
 # File written for each service.
 SERVICE_FILES = {
-    "payment-service": "payment.log",
-    "auth-service": "auth.log",
-    "db-service": "database.log",
-    "frontend": "access.log",
+    "parcel-router": "router.log",
+    "badge-gate": "gate.log",
+    "stock-index": "stock.log",
+    "kiosk-ui": "kiosk.log",
 }
 
 

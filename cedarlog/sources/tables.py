@@ -116,10 +116,15 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def after_cutover(history: DataFrame, live: DataFrame) -> DataFrame:
-    """History, followed by the live rows that are later than all of it.
+    """History, followed by the live rows that it does not hold.
 
-    The cut-over time is one value; an aggregate finds it.
+    Live rows later than the last history row are new. Times are whole seconds, so live rows of that
+    very second may be new too: of each of them as many stay as the history has fewer.
     """
     cut = history.agg(F.max("timestamp")).first()[0]
-    late = live if cut is None else live.filter(F.col("timestamp") > F.lit(cut))
-    return history.unionByName(late)
+    if cut is None:
+        return history.unionByName(live)
+    last = F.col("timestamp") == F.lit(cut)
+    # Only the rows of one second are counted.
+    new = live.filter(last).exceptAll(history.filter(last).select(live.columns))
+    return history.unionByName(live.filter(F.col("timestamp") > F.lit(cut))).unionByName(new)

@@ -31,6 +31,7 @@ def dual_sink(logs_path: str, documents_path: str | None = None):
             (
                 kept.hint("rebalance", "log_date")
                 .write.mode("overwrite")
+                .option("partitionOverwriteMode", "static")
                 .partitionBy("log_date")
                 .parquet(f"{logs_path}/batch_id={batch_id}")
             )
@@ -80,6 +81,7 @@ def evolve_templates(templates_path: str, logs_path: str, **options):
                 as_log_table(assign_templates(kept, assignment))
                 .hint("rebalance", "log_date")
                 .write.mode("overwrite")
+                .option("partitionOverwriteMode", "static")
                 .partitionBy("log_date")
                 .parquet(f"{logs_path}/batch_id={batch_id}")
             )

@@ -15,10 +15,10 @@ from cedarlog.operators.joins import join_by_weight
 from cedarlog.plans.ingest import load_templates, save_next
 
 FOUR = [
-    "Payment processed for user_id=101 amount=50.00",
-    "Payment processed for user_id=102 amount=25.00",
-    "Login failed for user=admin ip=192.168.1.5",
-    "Login failed for user=guest ip=10.0.0.1",
+    "Batch baked at tray=14 minutes=22",
+    "Batch baked at tray=15 minutes=24",
+    "Door alarm holder=marta by panel=192.0.2.41",
+    "Door alarm holder=jonas by panel=198.51.100.7",
 ]
 
 
@@ -32,14 +32,14 @@ def mined(df):
 
 def test_four_messages_two_templates(spark):
     got = mine_templates(messages(spark, FOUR))
-    assert mined(got) == {("Payment processed for <*> <*>", 2), ("Login failed for <*> <*>", 2)}
+    assert mined(got) == {("Batch baked at <*> <*>", 2), ("Door alarm <*> by <*>", 2)}
     assert cluster_count(got) == 2
 
 
 def test_signature_form_gives_three(spark):
     df = with_signature_template(messages(spark, FOUR))
     assert df.select("template").distinct().count() == 3
-    assert df.filter("message like '%101%'").first().params == ["user_id=101", "amount=50.00"]
+    assert df.filter("message like '%tray=14%'").first().params == ["tray=14", "minutes=22"]
 
 
 def test_constant_digits_stay_in_the_template(spark):
@@ -59,7 +59,7 @@ def test_saved_templates_seed_the_next_run(spark, tmp_path):
     save_next(mine_templates(messages(spark, FOUR)), path)
     save_next(mine_templates(messages(spark, FOUR), seeds=load_templates(spark, path)), path)
     assert mined(load_templates(spark, path)) == {
-        ("Payment processed for <*> <*>", 4), ("Login failed for <*> <*>", 4),
+        ("Batch baked at <*> <*>", 4), ("Door alarm <*> by <*>", 4),
     }
 
 
