@@ -3,8 +3,8 @@
 A document is a bag of sentences. A sentence that holds weighted words gets a probability from their
 sum and a learned bias, any other sentence none, and the document's probability is their noisy-or:
 one minus the chance that no sentence is toxic. Only documents carry labels, yet the fitted sentence
-scores locate the offending ones. Weights go to words that labelled toxic documents hold far more
-often than the others do (chi-squared), so that chance words of long documents do not add up.
+scores locate the offending ones. Weights go to words and beginnings of words that labelled toxic documents
+hold far more often than the others do (chi-squared), so that chance words of long documents do not add up.
 
 Sentences end at ``.``, ``!``, ``?`` or a line end; words are runs of ASCII letters, digits and
 characters beyond ASCII, with A-Z lower-cased. Null and empty texts have no sentence and score 0.
@@ -26,12 +26,15 @@ from cedarlog.llm.common import fresh
 
 #: Bits of the table of word weights.
 BITS = 18
+#: A word is also known by its first bytes, so that new forms of a word are recognised.
+PREFIXES = (3, 4)
 #: Labelled documents and bytes of each that fitting takes at most; the choice goes by hash of the id.
 MAX_TRAINING_DOCS = 6_000
 MAX_TRAINING_BYTES = 65_536
-#: Words found in fewer toxic training documents, or with a smaller chi-squared value, get no weight.
+#: Features found in fewer toxic training documents get no weight, nor those whose chi-squared value is
+#: smaller than this, or than this share of the number of training documents.
 MIN_DOCS = 5
-MIN_CHI2 = 60.0
+MIN_CHI2, MIN_EFFECT = 15.0, 1 / 60
 EPOCHS = 200
 LEARNING_RATE = 0.1
 L2 = 1e-5
@@ -52,14 +55,20 @@ class Model:
 
 
 def _sentences(raw: np.ndarray, bounds: np.ndarray):
-    """Word buckets, the first word of each sentence, sentence spans, and the first sentence of each text."""
+    """Feature buckets, the first one of each sentence, sentence spans, and the first sentence of each text."""
     first, last = tx.runs(~_BREAK[raw], bounds)
     starts, ends = tx.runs(tx.ALNUM[raw], bounds)
-    bucket = (tx.hash_runs(raw, starts, ends, tx.lower_codes()) >> np.uint64(64 - BITS)).astype(np.int64)
+    codes = tx.lower_codes()
+    hashes = np.stack(
+        [tx.hash_runs(raw, starts, ends, codes)]
+        + [tx.mix(tx.hash_runs(raw, starts, np.minimum(ends, starts + n), codes) ^ np.uint64(n)) for n in PREFIXES],
+        axis=1,
+    )
+    bucket = (hashes >> np.uint64(64 - BITS)).astype(np.int64).ravel()
     word_from = np.searchsorted(starts, first)
     word_to = np.searchsorted(starts, last)
     full = word_to > word_from
-    return bucket, word_from[full], first[full], last[full], np.searchsorted(first[full], bounds)
+    return bucket, word_from[full] * hashes.shape[1], first[full], last[full], np.searchsorted(first[full], bounds)
 
 
 def _z(model: Model, bucket: np.ndarray, word_from: np.ndarray) -> np.ndarray:
@@ -79,17 +88,32 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return np.exp(-np.logaddexp(0.0, -z))
 
 
-def _telling(bucket: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _training_blocks(texts: list[str], docs: int = 256):
+    """Word buckets, sentences and documents of a few texts at a time; numbers go on from block to block."""
+    sentences = 0
+    for at in range(0, len(texts), docs):
+        raw, bounds = tx.text_bytes(pa.array(texts[at : at + docs], pa.string()))
+        bucket, word_from, _, _, cut = _sentences(raw, bounds)
+        if len(word_from):
+            sentence = np.repeat(np.arange(len(word_from)), np.diff(np.append(word_from, len(bucket))))
+            doc = np.repeat(np.arange(len(cut) - 1), np.diff(cut))[sentence]
+            yield bucket[word_from[0] :], sentence + sentences, doc + at
+        sentences += len(word_from)
+
+
+def _telling(texts: list[str], y: np.ndarray) -> np.ndarray:
     """Buckets that toxic documents hold far more often than others."""
     size = 1 << BITS
-    pair = np.unique(doc * size + bucket)
-    word, toxic = pair % size, y[pair // size] > 0
-    a = np.bincount(word[toxic], minlength=size).astype(float)
-    c = np.bincount(word[~toxic], minlength=size).astype(float)
+    a, c = np.zeros(size), np.zeros(size)
+    for bucket, _, doc in _training_blocks(texts):
+        pair = np.unique(doc * size + bucket)
+        word, toxic = pair % size, y[pair // size] > 0
+        a += np.bincount(word[toxic], minlength=size)
+        c += np.bincount(word[~toxic], minlength=size)
     pos, neg = max((y > 0).sum(), 1), max((y <= 0).sum(), 1)
     b, d = pos - a, neg - c
     chi2 = (pos + neg) * (a * d - b * c) ** 2 / np.maximum(pos * neg * (a + c) * (b + d), 1)
-    return np.flatnonzero((a >= MIN_DOCS) & (a * neg > c * pos) & (chi2 >= MIN_CHI2))
+    return np.flatnonzero((a >= MIN_DOCS) & (a * neg > c * pos) & (chi2 >= max(MIN_CHI2, MIN_EFFECT * len(y))))
 
 
 def score_batch(model: Model, column: pa.Array, locate: float | None = None) -> pa.Array:
@@ -123,20 +147,20 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     """Word weights from labelled texts by gradient steps on the noisy-or likelihood."""
     if not texts or len(set(labels)) < 2:
         return Model(np.zeros(1 << BITS), -30.0 if not any(labels) else 30.0)
-    raw, bounds = tx.text_bytes(pa.array(texts, pa.string()))
-    bucket, word_from, _, _, cut = _sentences(raw, bounds)
     y = np.asarray(labels, float)
     docs = len(texts)
-    sentence_doc = np.repeat(np.arange(docs), np.diff(cut))
-    word_sentence = np.repeat(np.arange(len(word_from)), np.diff(np.append(word_from, len(bucket))))
-    known = _telling(bucket, sentence_doc[word_sentence], y)
+    known = _telling(texts, y)
     if not len(known):
         return Model(np.zeros(1 << BITS), START_BIAS)
     column = np.full(1 << BITS, -1)
     column[known] = np.arange(len(known))
-    keep = column[bucket] >= 0
-    instance, rows = np.unique(word_sentence[keep], return_inverse=True)
-    cols, owner, n = column[bucket][keep], sentence_doc[instance], len(instance)
+    parts = []
+    for bucket, sentence, doc in _training_blocks(texts):
+        keep = column[bucket] >= 0
+        parts.append((column[bucket[keep]], sentence[keep], doc[keep]))
+    cols, sentence, doc = (np.concatenate(p) for p in zip(*parts, strict=True))
+    _, first, rows = np.unique(sentence, return_index=True, return_inverse=True)
+    owner, n = doc[first], len(first)
     w, bias = np.zeros(len(known)), START_BIAS
     m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     for step in range(1, EPOCHS + 1):
