@@ -42,8 +42,8 @@ SUSPECT = (
     r"(?:\.[0-9]{1,3}\.[0-9]|\d(?:\d\d-\d\d-\d{4}|(?:[ -]*\d){12}))"
 )
 
-# Objects nested deeper than this are masked as one text.
-MAX_DEPTH = 4
+# Objects nested deeper than this are masked as one JSON text and read again.
+MAX_DEPTH = 8
 
 
 def mask_text(c: Column) -> Column:
@@ -83,7 +83,12 @@ def _mask_value(v: Column, depth: int) -> Column:
         v.try_cast("array<variant>"), lambda x: F.when(is_string(x), _masked(x)).otherwise(x)
     )
     if depth == 0:
-        return F.when((kind == "STRING") | kind.startswith("OBJECT"), _masked(v)).otherwise(v)
+        whole = _replace(F.to_json(v), MASKS)
+        return (
+            F.when(kind == "STRING", _masked(v))
+            .when(kind.startswith("OBJECT"), F.coalesce(F.try_parse_json(whole), as_variant(whole)))
+            .otherwise(v)
+        )
     inner = F.transform_values(members(v), lambda _, x: _mask_value(x, depth - 1))
     return (
         F.when(kind == "STRING", _masked(v))

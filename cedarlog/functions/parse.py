@@ -75,10 +75,19 @@ def _groups(pattern: str, order: str, n: int) -> Column:
 
 
 def iso_time(c: Column) -> Column:
-    """ISO-8601 text to an instant; anything else, a bare year too, gives NULL."""
-    return F.when(
-        c.rlike(r"^\d{4}-\d{2}-\d{2}([ T].*)?$"), c.try_cast("timestamp")
-    ).otherwise(F.try_to_timestamp(F.when(c.rlike(r"^\d{8}$"), c), F.lit("yyyyMMdd")))
+    """ISO-8601 text to an instant; anything else, a bare year too, gives NULL.
+
+    Fractions may follow a comma, and the basic form without separators is read as well.
+    """
+    dotted = lambda t: F.regexp_replace(t, r"(:\d{2}),(\d)", "$1.$2")
+    basic = F.regexp_replace(
+        c, r"^(\d{4})(\d\d)(\d\d)T(\d\d)(\d\d)(\d\d)([.,]\d+)?(.*)$", "$1-$2-$3T$4:$5:$6$7$8"
+    )
+    return (
+        F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}([ T].*)?$"), dotted(c).try_cast("timestamp"))
+        .when(c.rlike(r"^\d{8}T\d{6}([.,]\d+)?(Z|[+-]\d\d:?(\d\d)?)?$"), dotted(basic).try_cast("timestamp"))
+        .otherwise(F.try_to_timestamp(F.when(c.rlike(r"^\d{8}$"), c), F.lit("yyyyMMdd")))
+    )
 
 
 def parse_lines(

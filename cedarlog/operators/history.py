@@ -278,24 +278,26 @@ def purge(logs: DataFrame, subjects: DataFrame, key: str) -> DataFrame:
 
 
 def purge_table(logs: DataFrame, subjects: DataFrame, key: str, path: str) -> None:
-    """Purge the table at ``path``, rewriting only the days that hold rows to remove.
+    """Purge the table at ``path``, rewriting only the days of loads that hold rows to remove.
 
     The rows to keep are written to the shared folder first, so a lost executor cannot leave
     a day half read and half overwritten. Days left without rows lose their folder.
     """
     wanted = broadcast_if_small(subjects.select(key).distinct())
-    hit = logs.join(wanted, key, "left_semi").select("log_date").distinct()
-    days = [r[0] for r in hit.collect()]
+    by = [c for c in ("load_id", "log_date") if c in logs.columns]
+    hit = logs.join(wanted, key, "left_semi").select(*by).distinct()
+    days = {tuple(r) for r in hit.collect()}
     if not days:
         return
-    kept = materialise(purge(logs.filter(F.col("log_date").isin(days)), subjects, key), "purged")
+    touched = F.broadcast(logs.sparkSession.createDataFrame(sorted(days), hit.schema))  # a row per day
+    kept = materialise(purge(logs.join(touched, by, "left_semi"), subjects, key), "purged")
     (
-        kept.hint("rebalance", "log_date")
+        kept.hint("rebalance", *by)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("log_date")
+        .partitionBy(*by)
         .parquet(path)
     )
-    left = {r[0] for r in kept.select("log_date").distinct().collect()}
-    for day in set(days) - left:
-        remove_folder(logs.sparkSession, f"{path}/log_date={day}")
+    for day in days - {tuple(r) for r in kept.select(*by).distinct().collect()}:
+        folder = "/".join(f"{c}={v}" for c, v in zip(by, day, strict=True))
+        remove_folder(logs.sparkSession, f"{path}/{folder}")

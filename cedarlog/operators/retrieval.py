@@ -104,20 +104,32 @@ def _unit_rows(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
 
-def _best_of_batch(queries: np.ndarray, names: list, k: int, least: float | None):
+def _best_of_task(queries: np.ndarray, names: list, k: int, least: float | None):
+    """A running best ``k`` for each query over all batches of a task; equal ids count once."""
+
     def search(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best_sims = [np.zeros(0)] * len(names)
+        best_ids: list[np.ndarray] = [np.zeros(0, object)] * len(names)
         for pdf in pdfs:
             if pdf.empty:
                 continue
             vectors = _unit_rows(np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
             sims = np.round(vectors @ queries.T, 6)
-            ids = pdf["id"].to_numpy()
-            out = []
-            for q, name in enumerate(names):
-                rank = np.lexsort((ids, -sims[:, q]))[:k]
-                out.append(pd.DataFrame({"query_id": name, "id": ids[rank], "similarity": sims[rank, q]}))
-            best = pd.concat(out)
-            yield best if least is None else best[best["similarity"] >= least]
+            ids = pdf["id"].to_numpy(dtype=object)
+            for q in range(len(names)):
+                near = sims[:, q]
+                bound = best_sims[q][-1] if len(best_sims[q]) == k else -np.inf
+                fit = near >= (bound if least is None else max(bound, least))
+                if not fit.any():
+                    continue
+                pool, pool_ids = np.append(best_sims[q], near[fit]), np.append(best_ids[q], ids[fit])
+                order = np.lexsort((pool_ids, -pool))
+                _, first = np.unique(pool_ids[order], return_index=True)
+                order = order[np.sort(first)][:k]
+                best_sims[q], best_ids[q] = pool[order], pool_ids[order]
+        for q, name in enumerate(names):
+            if len(best_ids[q]):
+                yield pd.DataFrame({"query_id": name, "id": best_ids[q], "similarity": best_sims[q]})
 
     return search
 
@@ -133,8 +145,9 @@ def top_k(
 ) -> DataFrame:
     """``query_id, id, similarity, rank``: the k most similar documents of every query.
 
-    Exact cosine similarity rounded to six digits, equal values by id. ``least`` is a relevance
-    bound. Queries above ``max_queries`` are taken in hash blocks, one pass for each block.
+    Exact cosine similarity rounded to six digits, equal values by id; rows of one id count once.
+    ``least`` is a relevance bound. Queries above ``max_queries`` are taken in hash blocks, one pass
+    for each block, so tasks and driver hold one block at a time. A task hands on ``k`` rows per query.
     """
     wanted = queries.select(
         F.col(query_id).alias("query_id"), F.col("embedding").cast("array<double>").alias("v")
@@ -152,12 +165,13 @@ def top_k(
             continue
         matrix = _unit_rows(np.array([r.v for r in rows], dtype=np.float64))
         names = [r.query_id for r in rows]
-        part = pool.mapInPandas(_best_of_batch(matrix, names, k, least), shape)
+        part = pool.mapInPandas(_best_of_task(matrix, names, k, least), shape)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], shape + ", rank int")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    once = found.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
+    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def jaccard(a: Column, b: Column) -> Column:

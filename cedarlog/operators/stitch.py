@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from cedarlog.functions.parse import ACCESS, STANDARD, SYSLOG
 
-MAX_LINES = 10_000
+#: Lines of one record that one task joins.
+PART_LINES = 10_000
 
 
 def is_head(line: Column) -> Column:
@@ -32,12 +33,12 @@ def stitch(
     block: str = "block",
     line_id: str = "line_id",
     value: str = "value",
-    max_lines: int = MAX_LINES,
+    part_lines: int = PART_LINES,
 ) -> DataFrame:
-    """``file, record, part, value, n_lines``: lines of a record joined by line breaks.
+    """``file, record, value, n_lines``: lines of a record joined by line breaks.
 
-    A record of more than ``max_lines`` lines comes as several parts, so no line is lost and
-    no group is unbounded. Lines before the first head form record 0.
+    Lines before the first head form record 0. A long record is first joined in parts of ``part_lines``
+    lines on different tasks, so that only its parts meet in the row that holds it.
     """
     in_block = Window.partitionBy(file, block).orderBy(line_id)
     so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -70,9 +71,9 @@ def stitch(
         F.coalesce(F.col("_line_offset") + F.col("_last"), F.col("_head_before")).alias("_start"),
         value,
     )
-    return (
+    parts = (
         numbered.withColumn(
-            "part", F.floor((F.col("_at") - F.col("_start")) / F.lit(max_lines)).cast("long")
+            "part", F.floor((F.col("_at") - F.col("_start")) / F.lit(part_lines)).cast("long")
         )
         .groupBy(file, "record", "part")
         .agg(
@@ -85,3 +86,9 @@ def stitch(
             F.count("*").alias("n_lines"),
         )
     )
+    return parts.groupBy(file, "record").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("part", value))), lambda x: x[value]), "\n"
+        ).alias(value),
+        F.sum("n_lines").alias("n_lines"),
+    )

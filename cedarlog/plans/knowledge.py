@@ -13,6 +13,8 @@ from cedarlog.operators.retrieval import (
     top_k,
     with_metadata,
 )
+from cedarlog.operators.joins import broadcast_if_small
+from cedarlog.session import materialise
 from cedarlog.sources.tables import append_documents, read_documents
 
 
@@ -39,12 +41,14 @@ def ask(
 ) -> DataFrame:
     """Best documents for ``query_id, question`` rows, among those that pass the filters.
 
-    Equal documents were stored once for each log row; they count once.
+    Equal documents were stored once for each log row; they count once. The search comes first, and
+    texts are fetched only for what it found: keys are hashes of texts, so any row of a key will do.
     """
     docs = with_metadata(read_documents(spark, path), filters)
-    unique = docs.groupBy("doc_key").agg(
-        F.any_value("text").alias("text"), F.any_value("embedding").alias("embedding")
-    )
     vectors = embed(questions, "question").select("query_id", "embedding")
-    best = top_k(unique, vectors, k, least, id_col="doc_key")
-    return best.join(unique.select(F.col("doc_key").alias("id"), "text"), "id")
+    best = materialise(top_k(docs, vectors, k, least, id_col="doc_key"), "answers")
+    found = broadcast_if_small(best.select(F.col("id").alias("doc_key")).distinct())
+    texts = docs.join(found, "doc_key", "left_semi").groupBy(F.col("doc_key").alias("id")).agg(
+        F.any_value("text").alias("text")
+    )
+    return best.join(texts, "id")

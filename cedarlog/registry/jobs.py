@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from cedarlog.plans.ingest import bulk_load, load_templates, structure
 from cedarlog.plans.knowledge import index_logs
-from cedarlog.operators.history import move_tiers, purge_table, write_tiers
+from cedarlog.operators.history import move_tiers, purge_table, top_template, write_tiers
+from cedarlog.operators.queries import failing_endpoints
+from cedarlog.operators.templates import new_patterns, template_stats
 from cedarlog.registry.base import event_lines, query, sql_stamp, stamp, with_feed, with_parsed
 from cedarlog.session import scratch_path
 from cedarlog.sources import feed, tables
 from cedarlog.sources.lines import stream_lines
-from cedarlog.streaming.ingest import evolve_templates, start_ingest, streaming_error_rate
+from cedarlog.streaming.ingest import dual_sink, evolve_templates, start_ingest, streaming_error_rate
 
 
 def _land(spark, d, name: str) -> str:
@@ -156,6 +158,72 @@ def purge_stored(spark, d):
     return spark.read.parquet(out).groupBy("host").agg(F.count("*").alias("n"))
 
 
+@query(
+    "batch_and_stream_share_logs",
+    with_feed("SELECT service_name, severity, count(*) AS n FROM logs GROUP BY ALL"),
+)
+def batch_and_stream_share_logs(spark, d):
+    """Half of the rows arrive as a batch, half as stream batches, one of them twice; one table."""
+    out = scratch_path(spark, "shared")
+    rows = feed.logs_view(spark, d)
+    tables.write_logs(rows.filter("event_id % 2 = 0"), out)
+    write = dual_sink(out)
+    for i in (0, 1, 1):
+        write(rows.filter(f"event_id % 4 = {2 * i + 1}"), i)
+    return tables.read_logs(spark, out).groupBy("service_name", "severity").agg(F.count("*").alias("n"))
+
+
+def _stored(spark, d):
+    """The ``logs`` table after a bulk load of the event feed from text files."""
+    out = scratch_path(spark, "stored")
+    bulk_load(
+        spark, _land(spark, d, "zone"), f"{out}/logs", f"{out}/templates", feed.DEFAULT_YEAR,
+        feed.INGEST_TS, glob="*.txt",
+    )
+    return tables.read_logs(spark, f"{out}/logs"), load_templates(spark, f"{out}/templates")
+
+
+@query(
+    "stored_failing_endpoints",
+    with_parsed(
+        """SELECT '/item/' || k AS endpoint, count(*) AS n FROM feed WHERE format = 'nginx' AND status >= 500
+        GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10"""
+    ),
+)
+def stored_failing_endpoints(spark, d):
+    logs, _ = _stored(spark, d)
+    return failing_endpoints(logs.filter("service_name = 'nginx'"))
+
+
+@query(
+    "stored_templates",
+    "SELECT count(*) AS n, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS unlike, CAST(0 AS BIGINT) AS unknown FROM events",
+)
+def stored_templates(spark, d):
+    """Every stored row fits its template, every template is in the saved set, and the sizes add up."""
+    logs, saved = _stored(spark, d)
+    words, pattern = F.split("message", " "), F.split("body", " ")
+    fits = F.forall(F.arrays_zip(words.alias("w"), pattern.alias("p")), lambda x: x["p"].isin("<*>") | (x["p"] == x["w"]))
+    rows = logs.select(
+        F.col("body").isNull().cast("long").alias("missing"), (~F.coalesce(fits, F.lit(False))).cast("long").alias("unlike")
+    ).agg(F.sum("missing").alias("missing"), F.sum("unlike").alias("unlike"))
+    size = saved.agg(F.sum("size")).first()[0]
+    unknown = new_patterns(logs, saved).count()
+    return rows.select(F.lit(size).alias("n"), "missing", "unlike", F.lit(unknown).cast("long").alias("unknown"))
+
+
+@query("stored_template_stats", "SELECT count(*) AS n FROM events")
+def stored_template_stats(spark, d):
+    logs, _ = _stored(spark, d)
+    return template_stats(logs).agg(F.sum("n").alias("n"))
+
+
+@query("stored_top_template", with_parsed("SELECT strftime(ts, '%Y-%m-%d') AS day FROM parsed GROUP BY 1"))
+def stored_top_template(spark, d):
+    logs, _ = _stored(spark, d)
+    return top_template(logs).filter("template is not null and n > 0").select(F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
 @query("chat_append", "SELECT role, count(*) AS n, count(DISTINCT conv_id) AS sessions FROM conversations GROUP BY 1")
 def chat_append(spark, d):
     out = scratch_path(spark, "chat")

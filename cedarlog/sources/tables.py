@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,21 +13,41 @@ from cedarlog import schema
 from cedarlog.sources.lines import path_exists
 
 
-def write_logs(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Append log rows as Parquet by ``log_date``.
+def write_logs(df: DataFrame, path: str, load_id: str | None = None) -> None:
+    """Add log rows as Parquet by ``load_id`` and ``log_date``.
 
-    The rebalance hint lets adaptive execution split a day that is too big for one writer
-    and merge days that are small.
+    Batches and streams share this layout: each load owns a folder, and a load that is repeated under
+    its id replaces that folder as a whole. Without an id a new one is made. The rebalance hint lets
+    adaptive execution split a day that is too big for one writer and merge days that are small.
     """
     ready = df if "log_date" in df.columns else df.withColumn("log_date", F.to_date("timestamp"))
-    ready.hint("rebalance", "log_date").write.mode(mode).partitionBy("log_date").parquet(path)
+    (
+        ready.drop("load_id").hint("rebalance", "log_date")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("log_date")
+        .parquet(f"{path}/load_id={load_id or uuid.uuid4().hex}")
+    )
+
+
+def read_loads(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all loads with their ``load_id`` and ``log_date``."""
+    return spark.read.option("mergeSchema", "false").parquet(path)
 
 
 def read_logs(spark: SparkSession, path: str, table: T.StructType = schema.LOG_TABLE) -> DataFrame:
     """The log table, or no rows with its schema before the first load."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], table)
-    return spark.read.schema(table).parquet(path)
+    loads = T.StructType([*table.fields, T.StructField("load_id", T.StringType())])
+    return spark.read.schema(loads).parquet(path).select(table.fieldNames())
+
+
+def register_tables(spark: SparkSession, logs_path: str, catalog_path: str | None = None) -> None:
+    """Make the stored table ``logs`` and the CSV file ``system_catalog`` known to SQL by these names."""
+    read_logs(spark, logs_path).createOrReplaceTempView("logs")
+    if catalog_path is not None:
+        read_catalog(spark, catalog_path)
 
 
 def write_logs_by_year(df: DataFrame, path: str) -> None:

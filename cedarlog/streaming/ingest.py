@@ -16,25 +16,24 @@ from cedarlog.operators.templates import (
 from cedarlog.plans.ingest import as_log_table, save_next, structure, with_signatures
 from cedarlog.schema import DOCUMENT
 from cedarlog.sources.lines import path_exists
+from cedarlog.sources.tables import write_logs
+
+#: Loads of a stream are named so, with the number of the batch.
+STREAM = "stream-"
 
 
 def dual_sink(logs_path: str, documents_path: str | None = None):
     """Writer of one micro-batch to both sinks.
 
-    Each batch owns a ``batch_id`` folder in each sink and replaces it as a whole, so a batch
-    that is repeated after a failure between the two writes adds nothing.
+    Each batch is a load of the ``logs`` table of its own, and has a folder in the document sink. It
+    replaces both as a whole, so a batch that is repeated after a failure between the two writes adds
+    nothing, even if its rows now fall on other days.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            (
-                kept.hint("rebalance", "log_date")
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "static")
-                .partitionBy("log_date")
-                .parquet(f"{logs_path}/batch_id={batch_id}")
-            )
+            write_logs(kept, logs_path, f"{STREAM}{batch_id}")
             if documents_path is not None:
                 docs = embed(to_documents(kept)).select(DOCUMENT.fieldNames())
                 docs.write.mode("overwrite").parquet(f"{documents_path}/batch_id={batch_id}")
@@ -77,14 +76,7 @@ def evolve_templates(templates_path: str, logs_path: str, **options):
         kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             assignment = assign_signatures(kept, "message", seeds=known, **options)
-            (
-                as_log_table(assign_templates(kept, assignment))
-                .hint("rebalance", "log_date")
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "static")
-                .partitionBy("log_date")
-                .parquet(f"{logs_path}/batch_id={batch_id}")
-            )
+            write_logs(as_log_table(assign_templates(kept, assignment)), logs_path, f"{STREAM}{batch_id}")
             save_next(templates_of(assignment), templates_path, batch_id)
         finally:
             kept.unpersist()

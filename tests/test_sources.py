@@ -143,12 +143,11 @@ def test_stitching_over_file_splits(spark, tmp_path):
     assert [r.value for r in got if r.source_file == "b.log"] == [want[1]]
 
 
-def test_long_records_come_in_parts(spark):
+def test_long_records_are_joined_in_parts(spark):
     rows = [("f", 0, 0, "HEAD")] + [("f", i // 10, i, f"l{i}") for i in range(1, 25)]
     df = spark.createDataFrame(rows, "source_file string, block int, line_id int, value string")
-    got = stitch(df, F.col("value") == "HEAD", max_lines=10).orderBy("part").collect()
-    assert [r.n_lines for r in got] == [10, 10, 5]
-    assert "\n".join(r.value for r in got).split("\n") == [r[3] for r in rows]
+    (got,) = stitch(df, F.col("value") == "HEAD", part_lines=10).collect()
+    assert got.n_lines == 25 and got.value.split("\n") == [r[3] for r in rows]
 
 
 def test_lines_are_written_by_service(spark, tmp_path):
