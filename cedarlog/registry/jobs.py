@@ -187,7 +187,7 @@ def _stored(spark, d):
     "stored_failing_endpoints",
     with_parsed(
         """SELECT '/item/' || k AS endpoint, count(*) AS n FROM feed WHERE format = 'nginx' AND status >= 500
-        GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10"""
+        GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5"""
     ),
 )
 def stored_failing_endpoints(spark, d):
