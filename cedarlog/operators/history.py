@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cedarlog.operators.joins import broadcast_if_small
 from cedarlog.operators.queries import ERROR
-from cedarlog.session import materialise
+from cedarlog.session import materialise, scratch_scope
 from cedarlog.sources.lines import path_exists, remove_folder
 
 # Age limits of storage tiers in days.
@@ -258,16 +258,17 @@ def move_tiers(spark: SparkSession, path: str, as_of: str) -> int:
     leaving = F.struct("tier", "log_date").isin(
         [F.struct(F.lit(m["tier"]).alias("tier"), F.lit(m["log_date"]).alias("log_date")) for m in moves]
     )
-    moved = materialise(stored.filter(leaving).withColumn("tier", _tier(age)), "moved")
-    (
-        moved.hint("rebalance", "tier", "log_date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("tier", "log_date")
-        .parquet(path)
-    )
-    for m in moves:
-        remove_folder(spark, f"{path}/tier={m['tier']}/log_date={m['log_date']}")
+    with scratch_scope(spark):
+        moved = materialise(stored.filter(leaving).withColumn("tier", _tier(age)), "moved")
+        (
+            moved.hint("rebalance", "tier", "log_date")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("tier", "log_date")
+            .parquet(path)
+        )
+        for m in moves:
+            remove_folder(spark, f"{path}/tier={m['tier']}/log_date={m['log_date']}")
     return len(moves)
 
 
@@ -290,14 +291,16 @@ def purge_table(logs: DataFrame, subjects: DataFrame, key: str, path: str) -> No
     if not days:
         return
     touched = F.broadcast(logs.sparkSession.createDataFrame(sorted(days), hit.schema))  # a row per day
-    kept = materialise(purge(logs.join(touched, by, "left_semi"), subjects, key), "purged")
-    (
-        kept.hint("rebalance", *by)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*by)
-        .parquet(path)
-    )
-    for day in days - {tuple(r) for r in kept.select(*by).distinct().collect()}:
-        folder = "/".join(f"{c}={v}" for c, v in zip(by, day, strict=True))
-        remove_folder(logs.sparkSession, f"{path}/{folder}")
+    spark = logs.sparkSession
+    with scratch_scope(spark):
+        kept = materialise(purge(logs.join(touched, by, "left_semi"), subjects, key), "purged")
+        (
+            kept.hint("rebalance", *by)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*by)
+            .parquet(path)
+        )
+        for day in days - {tuple(r) for r in kept.select(*by).distinct().collect()}:
+            folder = "/".join(f"{c}={v}" for c, v in zip(by, day, strict=True))
+            remove_folder(spark, f"{path}/{folder}")

@@ -25,6 +25,7 @@ from cedarlog.operators.templates import (
     templates_of,
     with_signature_template,
 )
+from cedarlog.session import scratch_scope
 from cedarlog.sources.lines import CURRENT_LOGS, path_exists, read_lines, spread
 from cedarlog.sources.tables import write_logs
 
@@ -136,11 +137,12 @@ def bulk_load(
     if found.isEmpty():
         return False
     structured = structure(spread(found), default_year, ingest_ts)
-    rows, templates = with_mined_templates(
-        structured, seeds=load_templates(spark, templates_path), **options
-    )
-    write_logs(rows, logs_path)
-    save_next(templates, templates_path)
+    with scratch_scope(spark):
+        rows, templates = with_mined_templates(
+            structured, seeds=load_templates(spark, templates_path), **options
+        )
+        write_logs(rows, logs_path)
+        save_next(templates, templates_path)
     return True
 
 

@@ -15,6 +15,7 @@ from cedarlog.operators.templates import (
 )
 from cedarlog.plans.ingest import as_log_table, save_next, structure, with_signatures
 from cedarlog.schema import DOCUMENT
+from cedarlog.session import scratch_scope
 from cedarlog.sources.lines import path_exists
 from cedarlog.sources.tables import write_logs
 
@@ -75,9 +76,10 @@ def evolve_templates(templates_path: str, logs_path: str, **options):
         known = load_templates_before(spark, templates_path, batch_id)
         kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            assignment = assign_signatures(kept, "message", seeds=known, **options)
-            write_logs(as_log_table(assign_templates(kept, assignment)), logs_path, f"{STREAM}{batch_id}")
-            save_next(templates_of(assignment), templates_path, batch_id)
+            with scratch_scope(spark):
+                assignment = assign_signatures(kept, "message", seeds=known, **options)
+                write_logs(as_log_table(assign_templates(kept, assignment)), logs_path, f"{STREAM}{batch_id}")
+                save_next(templates_of(assignment), templates_path, batch_id)
         finally:
             kept.unpersist()
 

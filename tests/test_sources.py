@@ -154,3 +154,33 @@ def test_lines_are_written_by_service(spark, tmp_path):
     df = spark.createDataFrame([("auth", "x"), ("pay", "y")], "service_name string, value string")
     write_lines(df, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out" / "service_name=auth")).first().value == "x"
+
+
+def test_jobs_remove_their_intermediate_tables(spark, zone, tmp_path):
+    from pathlib import Path
+
+    from cedarlog.session import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    bulk_load(spark, zone, str(tmp_path / "l"), str(tmp_path / "t"), 2025, NOW)
+    assert set(shared.iterdir()) == before
+    rows = tables.read_logs(spark, str(tmp_path / "l"))
+    assert rows.count() == 5 and "load_id" not in rows.columns
+    loads = tables.read_loads(spark, str(tmp_path / "l"))
+    purge_table(loads, spark.createDataFrame([("cold-room",)], "service_name string"), "service_name", str(tmp_path / "l"))
+    assert tables.read_logs(spark, str(tmp_path / "l")).count() == 3 and set(shared.iterdir()) == before
+
+
+def test_tiers_move_without_a_second_copy(spark, tmp_path):
+    from cedarlog.operators.history import move_tiers, write_tiers
+
+    path = str(tmp_path / "tiers")
+    df = spark.createDataFrame([("2024-01-05 01:00:00",), ("2024-03-01 01:00:00",)], "t string").select(
+        F.to_timestamp("t").alias("timestamp"), F.to_date("t").alias("log_date")
+    )
+    write_tiers(df, path, "2024-01-10")
+    moved = [move_tiers(spark, path, d) for d in ("2024-01-20", "2024-03-10", "2024-03-10", "2025-02-01")]
+    assert moved == [0, 1, 0, 2]
+    rows = spark.read.parquet(path).select("tier", F.col("log_date").cast("string")).collect()
+    assert sorted(map(tuple, rows)) == [("cold", "2024-01-05"), ("warm", "2024-03-01")]
