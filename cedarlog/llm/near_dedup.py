@@ -9,11 +9,11 @@ number of rank cells follows from the total weight: about as many darts hit for
 
 Documents with equal words are one text. Bands of the signature are joined: the texts of a bucket meet its most
 central member, and every such pair is verified by exact similarity. Components of the links so far are
-found, and then the pairs that share a bucket across two components are verified as well. Before that, texts go
-that cannot be in a further link: if over a fifth of a text's weight lies on shingles that no other
-candidate holds, no similarity reaches 0.8. So no pair inside a component is compared again, a large group of
-copies edited each in its own way is not expanded into pairs, and no link between different components
-is lost that a band shows (at 0.8, all but one in 100,000).
+found. Texts that share a bucket across two components may still be linked; they meet once more by an exact
+prefix join: with shingles in order of rarity, two texts at 0.8 share one among the rarest ninth of the
+shorter and the rarest fifth of the longer, at places that leave room for the overlap. So no pair inside a component is
+compared again, a large group of copies edited each in its own way is not expanded into pairs, and no
+link between different components is lost whose texts are in a bucket (at 0.8, all but one in 100,000).
 
 Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-cased; fewer than five words are
 one shingle. Texts without words are linked only if they are equal (null as empty). Repeated rows belong to one
@@ -212,39 +212,61 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each shingle of a batch once: how many texts of it hold it, and one of them with the weight there."""
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each occurrence of a shingle in a text as an element of its own, so that weights become sets."""
     for batch in batches:
         raw, bounds = tx.text_bytes(batch.column(1))
         node = batch.column(0).to_numpy(zero_copy_only=False)
-        parts = []
         for i, j in tx.blocks(bounds):
             doc, element, weight = weighted(*shingles(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]))
-            parts.append((doc + i, element, weight))
-        if parts:
-            doc, element, weight = (np.concatenate(c) for c in zip(*parts, strict=True))
-            shingle, first, count = np.unique(element, return_index=True, return_counts=True)
+            nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+            each = tx.mix(np.repeat(element, weight) + nth.astype(np.uint64) * _C[6])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tx.as_long(shingle)), pa.array(node[doc[first]]), pa.array(weight[first]), pa.array(count)],
-                names=["shingle", "node", "weight", "texts"],
+                [pa.array(np.repeat(node[i + doc], weight)), pa.array(tx.as_long(each))], names=["node", "element"]
             )
 
 
-def _linkable(texts: DataFrame) -> DataFrame:
-    """``content`` of the texts that share enough of their weight with others of ``texts``."""
-    number = F.xxhash64("content")
-    rows = texts.select(number.alias("node"), "text").mapInArrow(
-        _shingle_rows, "shingle long, node long, weight long, texts long"
-    )
-    alone = (
-        rows.groupBy("shingle")
-        .agg(F.sum("texts").alias("texts"), F.first("node").alias("node"), F.first("weight").alias("weight"))
-        .filter("texts = 1")
+def _prefixes(texts: DataFrame) -> DataFrame:
+    """``bucket, content, n, place, short``: the elements of each text's prefix, rarest among ``texts`` first.
+
+    ``place`` counts the elements before it; ``short`` marks the part that suffices against longer texts.
+    """
+    numbered = texts.select("content", "n", F.xxhash64("content").alias("node"), "text")
+    elements = numbered.select("node", "text").mapInArrow(_elements, "node long, element long")
+    counted = elements.groupBy("element").agg(F.count("*").alias("texts"))
+    ranked = (
+        elements.join(counted, "element")
         .groupBy("node")
-        .agg(F.sum("weight").alias("alone"))
+        .agg(F.array_sort(F.collect_list(F.struct("texts", "element"))).alias("e"))
+        .withColumn("n", F.size("e"))
+    )
+    longest = F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1
+    shortest = F.col("n") - F.ceil(2 * SIMILARITY / (1 + SIMILARITY) * F.col("n") - 1e-9) + 1
+    rows = ranked.select(
+        "node", shortest.alias("few"), F.posexplode(F.slice("e", F.lit(1), longest.cast("int"))).alias("place", "x")
+    )
+    return numbered.select("node", "content", "n").join(rows, "node").select(
+        F.col("x.element").alias("bucket"), "content", "n", "place", (F.col("place") < F.col("few")).alias("short")
     )
-    held = texts.select("content", "n", number.alias("own")).join(alone, F.col("own") == F.col("node"), "left")
-    return held.filter(F.col("n") - F.coalesce("alone", F.lit(0)) >= SIMILARITY * F.col("n")).select("content")
+
+
+def _across(placed: DataFrame) -> DataFrame:
+    """``u, v``: pairs of different ``root`` that share a prefix element and can reach the bound."""
+    left, right = placed.filter("short"), placed
+    groups = left.select("bucket", "root").distinct().join(
+        right.select("bucket", F.col("root").alias("other")).distinct(), "bucket"
+    ).filter("root <> other")
+    a = left.join(groups, ["bucket", "root"]).select(
+        "bucket", F.col("other").alias("root"), F.col("content").alias("a"), F.col("n").alias("a_n"), F.col("place").alias("a_at")
+    )
+    shared = SIMILARITY / (1 + SIMILARITY) * (F.col("a_n") + F.col("n")) - 1e-9
+    fits = (
+        (F.col("a_n") <= F.col("n")) & (F.col("a_n") >= SIMILARITY * F.col("n"))
+        & (F.col("a_n") - F.col("a_at") >= shared) & (F.col("n") - F.col("place") >= shared)
+    )
+    b = right.withColumnRenamed("bucket", "b_bucket").withColumnRenamed("root", "b_root")
+    on = (F.col("bucket") == F.col("b_bucket")) & (F.col("root") == F.col("b_root")) & fits
+    return a.join(b, on).select(F.greatest("a", "content").alias("u"), F.least("a", "content").alias("v")).distinct()
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -307,25 +329,13 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     roots = connected_components(links)
 
     # What shares a bucket but not a component may still be linked.
-    placed = materialise(
-        members.join(roots, members["content"] == roots["node"], "left").select(
-            "bucket", "content", F.coalesce("root", "content").alias("root")
-        ),
-        "placed",
-    )
-    mixed = _mixed(placed)
-    able = _linkable(texts.join(mixed.select("content").distinct(), "content", "left_semi"))
-    placed = materialise(_mixed(mixed.join(able, "content", "left_semi")), "placed")
-    groups = placed.select("bucket", "root").distinct()
-    across = groups.join(groups.withColumnRenamed("root", "other"), "bucket").filter("root > other")
-    rest = (
-        placed.join(across, ["bucket", "root"])
-        .select("bucket", F.col("content").alias("a"), F.col("other").alias("root"))
-        .join(placed, ["bucket", "root"])
-        .select(F.greatest("a", "content").alias("u"), F.least("a", "content").alias("v"))
-        .distinct()
-        .join(pairs, ["u", "v"], "left_anti")
+    placed = members.join(roots, members["content"] == roots["node"], "left").select(
+        "bucket", "content", F.coalesce("root", "content").alias("root")
     )
+    open_ = materialise(_mixed(placed).select("content", "root").distinct(), "open")
+    prefixes = _prefixes(texts.join(open_.select("content"), "content", "left_semi"))
+    placed = materialise(_mixed(prefixes.join(open_, "content")), "placed")
+    rest = _across(placed).join(pairs, ["u", "v"], "left_anti")
     more = materialise(_links(rest, texts), "links")
     if not more.isEmpty():
         roots = connected_components(links.union(more))
