@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,6 @@ MAX_LITERAL_RULES = 500
 MAX_ATTEMPTS = 3
 SAMPLES_PER_SERVICE = 10
 
-_NESTED_QUANTIFIER = re.compile(r"\([^()]*[+*][^()]*\)[+*{]")
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -37,24 +37,69 @@ class Rule:
         return self.java is not None
 
 
+def _as_java(pattern: str) -> str:
+    """Spell out what the two dialects write differently; named groups become plain ones.
+
+    In Python ``[`` and ``&&`` mean themselves inside a class, a repetition may lack its lower bound, and
+    ``\\Z`` is the very end.
+    """
+    numbers = re.compile(pattern).groupindex
+    out, i, first = [], 0, -1
+    while i < len(pattern):
+        c, rest = pattern[i], pattern[i:]
+        if c == "\\":
+            out.append("\\z" if rest.startswith("\\Z") else rest[:2])
+            i += 2
+        elif first >= 0:
+            if c == "]" and i > first:
+                first = -1
+                out.append(c)
+            else:
+                out.append("\\" + c if c in "[&]" else c)
+            i += 1
+        elif c == "[":
+            start = "[^" if rest.startswith("[^") else "["
+            out.append(start)
+            i += len(start)
+            first = i
+        elif m := re.match(r"\(\?P<\w+>", rest):
+            out.append("(")
+            i += m.end()
+        elif m := re.match(r"\(\?P=(\w+)\)", rest):
+            out.append(f"\\{numbers[m[1]]}")
+            i += m.end()
+        elif m := re.match(r"\{,(\d+)\}", rest):
+            out.append(f"{{0,{m[1]}}}")
+            i += m.end()
+        else:
+            out.append(c)
+            i += 1
+    return "".join(out)
+
+
 def translate(pattern: str) -> tuple[str | None, tuple[str, ...]]:
     """The pattern with plain numbered groups, and the field name of each group.
 
-    Patterns that do not compile, and ones with nested quantifiers, give None.
+    Patterns that do not compile give None.
     """
     try:
         compiled = re.compile(pattern)
     except re.error:
         return None, ()
-    if _NESTED_QUANTIFIER.search(pattern):
-        return None, ()
     names = {i: n for n, i in compiled.groupindex.items()}
     fields = tuple(names.get(i, f"group_{i}") for i in range(1, compiled.groups + 1))
-    java = re.sub(r"\(\?P<\w+>", "(", pattern)
-    java = re.sub(
-        r"\(\?P=(\w+)\)", lambda m: "\\" + str(compiled.groupindex[m.group(1)]), java
-    )
-    return "(?U)^(?:" + java + ")", fields
+    return "(?U)^(?:" + _as_java(pattern) + ")", fields
+
+
+def _compiles(rules: DataFrame, java: str | None) -> bool:
+    """Whether the engine that will run the pattern takes it."""
+    if java is None:
+        return False
+    try:
+        rules.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile(java)
+    except (Py4JJavaError, PySparkException):
+        return False
+    return True
 
 
 def load_rules(rules: DataFrame, limit: int = MAX_LITERAL_RULES) -> list[Rule] | None:
@@ -63,8 +108,10 @@ def load_rules(rules: DataFrame, limit: int = MAX_LITERAL_RULES) -> list[Rule] |
     if len(rows) > limit:
         return None
     out = []
-    for row in sorted(rows, key=lambda r: (r.service_name, r.attempt)):
+    for row in sorted(rows, key=lambda r: (r.service_name, r.attempt, r.pattern)):
         java, fields = translate(row.pattern)
+        if not _compiles(rules, java):
+            java, fields = None, ()
         out.append(Rule(row.service_name, row.attempt, row.pattern, java, fields))
     return out
 
@@ -156,7 +203,7 @@ def select_rules(
     tried = rules.filter(F.col("attempt") <= max_attempts)
     passed = validate_rules(samples, tried, line).filter("ok")
     best = passed.groupBy("service_name").agg(
-        F.min_by("pattern", "attempt").alias("pattern"), F.min("attempt").alias("attempt")
+        F.min_by("pattern", F.struct("attempt", "pattern")).alias("pattern"), F.min("attempt").alias("attempt")
     )
     services = samples.select("service_name").distinct()
     return services.join(best, "service_name", "left")
@@ -219,7 +266,7 @@ def _apply_by_join(lines: DataFrame, rules: DataFrame, line: str) -> DataFrame:
         )
         .filter(F.col("java").isNotNull() & (F.size("names") > 0))
         .groupBy("service_name")
-        .agg(F.array_sort(F.collect_list(F.struct("attempt", "java", "names"))).alias("_rules"))
+        .agg(F.array_sort(F.collect_list(F.struct("attempt", "pattern", "java", "names"))).alias("_rules"))
     )
     first = F.filter("_rules", lambda r: F.regexp_like(F.col(line), r["java"]))[0]
     return (

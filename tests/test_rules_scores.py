@@ -59,7 +59,25 @@ def test_rules_extract_fields_by_literal_and_by_join(spark):
 def test_patterns_are_translated(spark):
     java, fields = r.translate(r"(?P<a>x)(y)(?P<b>z)(?P=a)")
     assert fields == ("a", "group_2", "b") and java == r"(?U)^(?:(x)(y)(z)\1)"
-    assert r.translate("(a+)+b") == (None, ())
+    assert r.translate("(a+") == (None, ())
+    assert r.translate(r"(?P<a>.*[[])")[0] == r"(?U)^(?:(.*[\[]))"
+    assert r.translate(r"(?P<a>\w{,3})[]&x]\Z")[0] == r"(?U)^(?:(\w{0,3})[\]\&x]\z)"
+
+
+def test_valid_patterns_cannot_fail_a_job(spark):
+    patterns = [r"(?P<a>.*[[])", r"(?P<a>\w{,3}).*", r"(?P<a>(?:\w+\s?)+).*", r"(?P<a>[a-z&&]+)\Z", r"(?P<a>x)(?(1)y|z)"]
+    table = rules(spark, *[("s", i, p) for i, p in enumerate(patterns)])
+    data = lines(spark, ("s", "abc ["))
+    assert verdicts(r.validate_rules(data, table)) == {
+        ("s", 0): True, ("s", 1): True, ("s", 2): True, ("s", 3): False, ("s", 4): False,
+    }
+    assert r.apply_rules(data, table).first().fields == {"a": "abc ["}
+
+
+def test_equal_attempts_go_by_pattern(spark):
+    table = rules(spark, ("s", 1, "(?P<z>abc)"), ("s", 1, "(?P<b>abc)"))
+    data = lines(spark, ("s", "abc"))
+    assert [x.first().fields for x in (r.apply_rules(data, table), r._apply_by_join(data, table, "line"))] == [{"b": "abc"}] * 2
 
 
 def test_regex_score(spark):
