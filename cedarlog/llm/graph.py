@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_min_neighbour(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.filter("u <> v").distinct(), "large-star")
+        large = materialise(large.filter("u <> v"), "large-star")
         least = _min_neighbour(large)
         small = (
             large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

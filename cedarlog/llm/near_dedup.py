@@ -252,21 +252,31 @@ def _prefixes(texts: DataFrame) -> DataFrame:
 
 def _across(placed: DataFrame) -> DataFrame:
     """``u, v``: pairs of different ``root`` that share a prefix element and can reach the bound."""
-    left, right = placed.filter("short"), placed
-    groups = left.select("bucket", "root").distinct().join(
-        right.select("bucket", F.col("root").alias("other")).distinct(), "bucket"
-    ).filter("root <> other")
-    a = left.join(groups, ["bucket", "root"]).select(
-        "bucket", F.col("other").alias("root"), F.col("content").alias("a"), F.col("n").alias("a_n"), F.col("place").alias("a_at")
+    # A component stands in a bucket as one row with its extremes, so its members do not meet each other.
+    groups = placed.groupBy("bucket", F.col("root").alias("other")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("place").alias("soonest")
     )
-    shared = SIMILARITY / (1 + SIMILARITY) * (F.col("a_n") + F.col("n")) - 1e-9
+    share = SIMILARITY / (1 + SIMILARITY)
+    a = placed.filter("short").select(
+        F.col("bucket").alias("a_bucket"), F.col("root").alias("a_root"), F.col("content").alias("a"),
+        F.col("n").alias("a_n"), F.col("place").alias("a_at"),
+    )
+    shortest = F.greatest("a_n", "least")
+    may_fit = (
+        (F.col("a_root") != F.col("other")) & (F.col("a_n") <= F.col("most")) & (F.col("a_n") >= SIMILARITY * F.col("least"))
+        & (F.col("a_n") - F.col("a_at") >= share * (F.col("a_n") + shortest) - 1e-9)
+        & (F.col("most") - F.col("soonest") >= share * (F.col("a_n") + shortest) - 1e-9)
+    )
+    met = a.join(groups, (F.col("a_bucket") == F.col("bucket")) & may_fit).select(
+        F.col("bucket").alias("m_bucket"), F.col("other").alias("m_root"), "a", "a_n", "a_at"
+    )
+    shared = share * (F.col("a_n") + F.col("n")) - 1e-9
     fits = (
         (F.col("a_n") <= F.col("n")) & (F.col("a_n") >= SIMILARITY * F.col("n"))
         & (F.col("a_n") - F.col("a_at") >= shared) & (F.col("n") - F.col("place") >= shared)
     )
-    b = right.withColumnRenamed("bucket", "b_bucket").withColumnRenamed("root", "b_root")
-    on = (F.col("bucket") == F.col("b_bucket")) & (F.col("root") == F.col("b_root")) & fits
-    return a.join(b, on).select(F.greatest("a", "content").alias("u"), F.least("a", "content").alias("v")).distinct()
+    on = (F.col("m_bucket") == F.col("bucket")) & (F.col("m_root") == F.col("root")) & fits
+    return met.join(placed, on).select(F.greatest("a", "content").alias("u"), F.least("a", "content").alias("v")).distinct()
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
