@@ -2,8 +2,9 @@
 
 Texts are brought to lower-case words with one blank between, and rules are regular expressions on that form.
 Every license of ``LICENSES`` gives rules in five shapes (identifier tag, grant, title, address, plain name), each
-with a priority and a score; together they are a few hundred. Three gates come before any expression: a text
-must hold one of ``TRIGGERS``, then a license's keyword, and so only few rules are tried on few texts.
+with a priority and a score; together they are a few hundred. Two gates come before any expression: a text
+must hold one of ``TRIGGERS``, then literals that every match of the rule holds, taken from its pattern (``necessary``);
+so only few rules are tried on few texts.
 Detections are resolved in order of priority, then length, then place: one that lies inside a
 detection already kept is suppressed, so that ``apache license version 2`` inside a longer
 grant, or a plain name inside a title, does not count twice.
@@ -18,7 +19,10 @@ clashing names in other columns do not matter; an empty table gives an empty res
 from __future__ import annotations
 
 import functools
+import itertools
+import os
 import re
+from re import _parser
 from typing import NamedTuple
 
 import numpy as np
@@ -38,75 +42,75 @@ TRIGGERS = ("licen", "spdx ", "copyright ", "cc ", "gpl", "lgpl", "agpl", "publi
 
 _V1, _V2, _V3 = (rf"(?:v ?|version )?{n}(?: 0)?" for n in "123")
 _GNU = r"(?:the )?(?:gnu )?"
-#: Label, keyword that a text must hold, name, identifier, words of an address. Fixed values.
+#: Label, name, identifier, words of an address. Fixed values.
 LICENSES = (
-    ("mit", "mit", r"mit(?: x11| expat)?", r"mit", r"opensource org licenses? mit"),
-    ("mit-0", "mit", r"mit(?: license)? no attribution", r"mit 0", r"opensource org licenses? mit 0"),
-    ("apache-2", "apache", rf"apache(?: software)?(?: license)? {_V2}", r"apache 2 0", r"apache org licenses license 2 0"),
-    ("apache-1.1", "apache", r"apache(?: software)?(?: license)? (?:v ?|version )?1 1", r"apache 1 1", r"apache org licenses license 1 1"),
-    ("gpl-3.0", "3", rf"{_GNU}(?:gpl ?|general public license ){_V3}", r"gpl 3 0(?: only| or later)?", r"gnu org licenses gpl 3 0"),
-    ("gpl-2.0", "2", rf"{_GNU}(?:gpl ?|general public license ){_V2}", r"gpl 2 0(?: only| or later)?", r"gnu org licenses (?:old licenses )?gpl 2 0"),
-    ("gpl-1.0", "1", rf"{_GNU}(?:gpl ?|general public license ){_V1}", r"gpl 1 0(?: only| or later)?", r"gnu org licenses old licenses gpl 1 0"),
-    ("gpl", "general", r"(?:the )?gnu general public", r"gpl", r"gnu org licenses gpl"),
-    ("lgpl-3.0", "3", rf"{_GNU}(?:lgpl ?|lesser general public license ){_V3}", r"lgpl 3 0(?: only| or later)?", r"gnu org licenses lgpl 3 0"),
-    ("lgpl-2.1", "1", rf"{_GNU}(?:lgpl ?|lesser general public license )(?:v ?|version )?2 1", r"lgpl 2 1(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 1"),
-    ("lgpl-2.0", "2", rf"{_GNU}(?:lgpl ?|library general public license ){_V2}", r"lgpl 2 0(?: only| or later)?", r"gnu org licenses old licenses lgpl 2 0"),
-    ("lgpl", "lesser", r"(?:the )?gnu lesser general public", r"lgpl", r"gnu org licenses lgpl"),
-    ("agpl-3.0", "3", rf"{_GNU}(?:agpl ?|affero general public license ){_V3}", r"agpl 3 0(?: only| or later)?", r"gnu org licenses agpl 3 0"),
-    ("agpl", "affero", r"(?:the )?(?:gnu )?affero general public", r"agpl", r"gnu org licenses agpl"),
-    ("gfdl", "documentation", r"(?:the )?gnu free documentation", r"gfdl 1 [123](?: only| or later)?", r"gnu org licenses fdl"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|(?:simplified|freebsd|2 clause|two clause) bsd)", r"bsd 2 clause", r"opensource org licenses? bsd 2 clause"),
-    ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|(?:new|revised|modified|3 clause|three clause) bsd)", r"bsd 3 clause", r"opensource org licenses? bsd 3 clause"),
-    ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|(?:original|old|4 clause|four clause) bsd)", r"bsd 4 clause", r"directory fsf org wiki license bsd 4clause"),
-    ("0bsd", "bsd", r"(?:zero clause bsd|bsd zero clause|0bsd)", r"0bsd", r"opensource org licenses? 0bsd"),
-    ("bsd", "bsd", r"bsd(?: style)?", r"bsd", r"opensource org licenses? bsd license"),
-    ("mpl-2.0", "2", rf"(?:mozilla public(?: license)?|mpl) ?{_V2}", r"mpl 2 0", r"mozilla org mpl 2 0"),
-    ("mpl-1.1", "1", r"(?:mozilla public(?: license)?|mpl) ?(?:v ?|version )?1 1", r"mpl 1 1", r"mozilla org mpl 1 1"),
-    ("mpl", "mozilla", r"mozilla public", r"mpl", r"mozilla org mpl"),
-    ("epl-2.0", "2", rf"(?:eclipse public(?: license)?|epl) ?{_V2}", r"epl 2 0", r"eclipse org legal epl (?:2 0|v20)"),
-    ("epl-1.0", "1", rf"(?:eclipse public(?: license)?|epl) ?{_V1}", r"epl 1 0", r"eclipse org legal epl v10"),
-    ("cddl-1.0", "distribution", r"common development and distribution", r"cddl 1 [01]", r"opensource org licenses? cddl 1 0"),
-    ("eupl-1.2", "eupl", r"(?:european union public(?: licence)?|eupl)(?: (?:v ?|version )?1 2)?", r"eupl 1 [12]", r"joinup ec europa eu software page eupl"),
-    ("isc", "isc", r"isc", r"isc", r"opensource org licenses? isc"),
-    ("zlib", "zlib", r"zlib(?: libpng)?", r"zlib", r"opensource org licenses? zlib"),
-    ("libpng", "libpng", r"(?:png reference library|libpng)", r"libpng(?: 2 0)?", r"libpng org pub png src libpng license"),
-    ("boost-1.0", "boost", r"boost software(?: license)?(?: (?:v ?|version )?1 0)?", r"bsl 1 0", r"boost org license 1 0"),
-    ("busl-1.1", "business", r"business source(?: license)?(?: (?:v ?|version )?1 1)?", r"busl 1 1", r"mariadb com bsl11"),
-    ("artistic-2.0", "artistic", rf"artistic(?: license)? {_V2}", r"artistic 2 0", r"opensource org licenses? artistic 2 0"),
-    ("artistic-1.0", "artistic", r"artistic", r"artistic 1 0", r"opensource org licenses? artistic license"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense", r"unlicense", r"unlicense org"),
-    ("wtfpl", "public", r"do what the fuck you want to public", r"wtfpl", r"wtfpl net"),
-    ("postgresql", "postgresql", r"postgresql", r"postgresql", r"opensource org licenses? postgresql"),
-    ("python-2.0", "python", r"python software foundation", r"(?:psf|python) 2 0", r"docs python org 3 license"),
-    ("ruby", "ruby", r"ruby", r"ruby", r"ruby lang org en about license"),
-    ("php-3.01", "php", r"php(?: license)?(?: (?:v ?|version )?3 01?)?", r"php 3 01?", r"php net license 3 01"),
-    ("openssl", "openssl", r"openssl", r"openssl", r"openssl org source license"),
-    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)?", r"ncsa", r"opensource org licenses? ncsa"),
-    ("ofl-1.1", "font", r"(?:sil )?open font(?: license)?(?: (?:v ?|version )?1 1)?", r"ofl 1 1", r"scripts sil org ofl"),
-    ("ms-pl", "microsoft", r"microsoft public", r"ms pl", r"opensource org licenses? ms pl"),
-    ("ms-rl", "microsoft", r"microsoft reciprocal", r"ms rl", r"opensource org licenses? ms rl"),
-    ("upl-1.0", "universal", r"universal permissive", r"upl 1 0", r"opensource org licenses? upl"),
-    ("osl-3.0", "open", r"open software(?: license)? (?:v ?|version )?3 0", r"osl 3 0", r"opensource org licenses? osl 3 0"),
-    ("afl-3.0", "academic", r"academic free(?: license)?(?: (?:v ?|version )?3 0)?", r"afl 3 0", r"opensource org licenses? afl 3 0"),
-    ("odbl-1.0", "database", r"(?:odc )?open database", r"odbl 1 0", r"opendatacommons org licenses odbl"),
-    ("odc-by-1.0", "odc", r"open data commons attribution", r"odc by 1 0", r"opendatacommons org licenses by"),
-    ("pddl-1.0", "dedication", r"public domain dedication and", r"pddl 1 0", r"opendatacommons org licenses pddl"),
-    ("cc0-1.0", "cc0", r"(?:creative commons )?cc0(?: 1 0)?(?: universal)?", r"cc0 1 0", r"creativecommons org publicdomain zero 1 0"),
-    ("cc-by-nc-nd", "nd", r"(?:creative commons )?(?:cc )?(?:by nc nd|attribution non ?commercial no ?deriv\w*)(?: [1-4] 0)?", r"cc by nc nd [1-4] 0", r"creativecommons org licenses by nc nd"),
-    ("cc-by-nc-sa", "sa", r"(?:creative commons )?(?:cc )?(?:by nc sa|attribution non ?commercial share ?alike)(?: [1-4] 0)?", r"cc by nc sa [1-4] 0", r"creativecommons org licenses by nc sa"),
-    ("cc-by-nc", "nc", r"(?:creative commons )?cc by nc(?: [1-4] 0)?", r"cc by nc [1-4] 0", r"creativecommons org licenses by nc"),
-    ("cc-by-nd", "nd", r"(?:creative commons )?cc by nd(?: [1-4] 0)?", r"cc by nd [1-4] 0", r"creativecommons org licenses by nd"),
-    ("cc-by-sa", "sa", r"(?:creative commons )?cc by sa(?: [1-4] 0)?", r"cc by sa [1-4] 0", r"creativecommons org licenses by sa"),
-    ("cc-by", "by", r"(?:creative commons )?(?:cc by|creative commons attribution)(?: [1-4] 0)?", r"cc by [1-4] 0", r"creativecommons org licenses by"),
-    ("openrail-m", "openrail", r"(?:bigscience |creativeml )?open ?rail(?: ?\+*m)?", r"(?:creativeml |bigscience )?openrail m", r"huggingface co spaces bigscience license"),
-    ("elastic-2.0", "elastic", rf"elastic(?: license)? {_V2}", r"elastic 2 0", r"elastic co licensing elastic license"),
-    ("sspl-1.0", "side", r"server side public", r"sspl 1 0", r"mongodb com licensing server side public license"),
-    ("vim", "vim", r"vim", r"vim", r"vimhelp org uganda txt html license"),
-    ("tcl", "tcl", r"tcl(?: tk)?", r"tcl", r"tcl tk software tcltk license"),
-    ("unicode", "unicode", r"unicode(?: inc)?", r"unicode (?:3 0|dfs 201[56])", r"unicode org license"),
-    ("w3c", "w3c", r"w3c software(?: notice and)?", r"w3c", r"w3 org consortium legal copyright software"),
-    ("curl", "curl", r"curl", r"curl", r"curl se docs copyright"),
-    ("public-domain", "domain", r"public domain", r"publicdomain", r"creativecommons org publicdomain mark 1 0"),
+    ("mit", r"mit(?: x11| expat)?", r"mit", r"opensource org licenses? mit"),
+    ("mit-0", r"mit(?: license)? no attribution", r"mit 0", r"opensource org licenses? mit 0"),
+    ("apache-2", rf"apache(?: software)?(?: license)? {_V2}", r"apache 2 0", r"apache org licenses license 2 0"),
+    ("apache-1.1", r"apache(?: software)?(?: license)? (?:v ?|version )?1 1", r"apache 1 1", r"apache org licenses license 1 1"),
+    ("gpl-3.0", rf"{_GNU}(?:gpl ?|general public license ){_V3}", r"gpl 3 0(?: only| or later)?", r"gnu org licenses gpl 3 0"),
+    ("gpl-2.0", rf"{_GNU}(?:gpl ?|general public license ){_V2}", r"gpl 2 0(?: only| or later)?", r"gnu org licenses (?:old licenses )?gpl 2 0"),
+    ("gpl-1.0", rf"{_GNU}(?:gpl ?|general public license ){_V1}", r"gpl 1 0(?: only| or later)?", r"gnu org licenses old licenses gpl 1 0"),
+    ("gpl", r"(?:the )?gnu general public", r"gpl", r"gnu org licenses gpl"),
+    ("lgpl-3.0", rf"{_GNU}(?:lgpl ?|lesser general public license ){_V3}", r"lgpl 3 0(?: only| or later)?", r"gnu org licenses lgpl 3 0"),
+    ("lgpl-2.1", rf"{_GNU}(?:lgpl ?|lesser general public license )(?:v ?|version )?2 1", r"lgpl 2 1(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 1"),
+    ("lgpl-2.0", rf"{_GNU}(?:lgpl ?|library general public license ){_V2}", r"lgpl 2 0(?: only| or later)?", r"gnu org licenses old licenses lgpl 2 0"),
+    ("lgpl", r"(?:the )?gnu lesser general public", r"lgpl", r"gnu org licenses lgpl"),
+    ("agpl-3.0", rf"{_GNU}(?:agpl ?|affero general public license ){_V3}", r"agpl 3 0(?: only| or later)?", r"gnu org licenses agpl 3 0"),
+    ("agpl", r"(?:the )?(?:gnu )?affero general public", r"agpl", r"gnu org licenses agpl"),
+    ("gfdl", r"(?:the )?gnu free documentation", r"gfdl 1 [123](?: only| or later)?", r"gnu org licenses fdl"),
+    ("bsd-2-clause", r"(?:bsd 2 clause|(?:simplified|freebsd|2 clause|two clause) bsd)", r"bsd 2 clause", r"opensource org licenses? bsd 2 clause"),
+    ("bsd-3-clause", r"(?:bsd 3 clause|(?:new|revised|modified|3 clause|three clause) bsd)", r"bsd 3 clause", r"opensource org licenses? bsd 3 clause"),
+    ("bsd-4-clause", r"(?:bsd 4 clause|(?:original|old|4 clause|four clause) bsd)", r"bsd 4 clause", r"directory fsf org wiki license bsd 4clause"),
+    ("0bsd", r"(?:zero clause bsd|bsd zero clause|0bsd)", r"0bsd", r"opensource org licenses? 0bsd"),
+    ("bsd", r"bsd(?: style)?", r"bsd", r"opensource org licenses? bsd license"),
+    ("mpl-2.0", rf"(?:mozilla public(?: license)?|mpl) ?{_V2}", r"mpl 2 0", r"mozilla org mpl 2 0"),
+    ("mpl-1.1", r"(?:mozilla public(?: license)?|mpl) ?(?:v ?|version )?1 1", r"mpl 1 1", r"mozilla org mpl 1 1"),
+    ("mpl", r"mozilla public", r"mpl", r"mozilla org mpl"),
+    ("epl-2.0", rf"(?:eclipse public(?: license)?|epl) ?{_V2}", r"epl 2 0", r"eclipse org legal epl (?:2 0|v20)"),
+    ("epl-1.0", rf"(?:eclipse public(?: license)?|epl) ?{_V1}", r"epl 1 0", r"eclipse org legal epl v10"),
+    ("cddl-1.0", r"common development and distribution", r"cddl 1 [01]", r"opensource org licenses? cddl 1 0"),
+    ("eupl-1.2", r"(?:european union public(?: licence)?|eupl)(?: (?:v ?|version )?1 2)?", r"eupl 1 [12]", r"joinup ec europa eu software page eupl"),
+    ("isc", r"isc", r"isc", r"opensource org licenses? isc"),
+    ("zlib", r"zlib(?: libpng)?", r"zlib", r"opensource org licenses? zlib"),
+    ("libpng", r"(?:png reference library|libpng)", r"libpng(?: 2 0)?", r"libpng org pub png src libpng license"),
+    ("boost-1.0", r"boost software(?: license)?(?: (?:v ?|version )?1 0)?", r"bsl 1 0", r"boost org license 1 0"),
+    ("busl-1.1", r"business source(?: license)?(?: (?:v ?|version )?1 1)?", r"busl 1 1", r"mariadb com bsl11"),
+    ("artistic-2.0", rf"artistic(?: license)? {_V2}", r"artistic 2 0", r"opensource org licenses? artistic 2 0"),
+    ("artistic-1.0", r"artistic", r"artistic 1 0", r"opensource org licenses? artistic license"),
+    ("unlicense", r"(?:the )?unlicense", r"unlicense", r"unlicense org"),
+    ("wtfpl", r"do what the fuck you want to public", r"wtfpl", r"wtfpl net"),
+    ("postgresql", r"postgresql", r"postgresql", r"opensource org licenses? postgresql"),
+    ("python-2.0", r"python software foundation", r"(?:psf|python) 2 0", r"docs python org 3 license"),
+    ("ruby", r"ruby", r"ruby", r"ruby lang org en about license"),
+    ("php-3.01", r"php(?: license)?(?: (?:v ?|version )?3 01?)?", r"php 3 01?", r"php net license 3 01"),
+    ("openssl", r"openssl", r"openssl", r"openssl org source license"),
+    ("ncsa", r"(?:university of illinois )?ncsa(?: open source)?", r"ncsa", r"opensource org licenses? ncsa"),
+    ("ofl-1.1", r"(?:sil )?open font(?: license)?(?: (?:v ?|version )?1 1)?", r"ofl 1 1", r"scripts sil org ofl"),
+    ("ms-pl", r"microsoft public", r"ms pl", r"opensource org licenses? ms pl"),
+    ("ms-rl", r"microsoft reciprocal", r"ms rl", r"opensource org licenses? ms rl"),
+    ("upl-1.0", r"universal permissive", r"upl 1 0", r"opensource org licenses? upl"),
+    ("osl-3.0", r"open software(?: license)? (?:v ?|version )?3 0", r"osl 3 0", r"opensource org licenses? osl 3 0"),
+    ("afl-3.0", r"academic free(?: license)?(?: (?:v ?|version )?3 0)?", r"afl 3 0", r"opensource org licenses? afl 3 0"),
+    ("odbl-1.0", r"(?:odc )?open database", r"odbl 1 0", r"opendatacommons org licenses odbl"),
+    ("odc-by-1.0", r"open data commons attribution", r"odc by 1 0", r"opendatacommons org licenses by"),
+    ("pddl-1.0", r"public domain dedication and", r"pddl 1 0", r"opendatacommons org licenses pddl"),
+    ("cc0-1.0", r"(?:creative commons )?cc0(?: 1 0)?(?: universal)?", r"cc0 1 0", r"creativecommons org publicdomain zero 1 0"),
+    ("cc-by-nc-nd", r"(?:creative commons )?(?:cc )?(?:by nc nd|attribution non ?commercial no ?deriv\w*)(?: [1-4] 0)?", r"cc by nc nd [1-4] 0", r"creativecommons org licenses by nc nd"),
+    ("cc-by-nc-sa", r"(?:creative commons )?(?:cc )?(?:by nc sa|attribution non ?commercial share ?alike)(?: [1-4] 0)?", r"cc by nc sa [1-4] 0", r"creativecommons org licenses by nc sa"),
+    ("cc-by-nc", r"(?:creative commons )?cc by nc(?: [1-4] 0)?", r"cc by nc [1-4] 0", r"creativecommons org licenses by nc"),
+    ("cc-by-nd", r"(?:creative commons )?cc by nd(?: [1-4] 0)?", r"cc by nd [1-4] 0", r"creativecommons org licenses by nd"),
+    ("cc-by-sa", r"(?:creative commons )?cc by sa(?: [1-4] 0)?", r"cc by sa [1-4] 0", r"creativecommons org licenses by sa"),
+    ("cc-by", r"(?:creative commons )?(?:cc by|creative commons attribution)(?: [1-4] 0)?", r"cc by [1-4] 0", r"creativecommons org licenses by"),
+    ("openrail-m", r"(?:bigscience |creativeml )?open ?rail(?: ?\+*m)?", r"(?:creativeml |bigscience )?openrail m", r"huggingface co spaces bigscience license"),
+    ("elastic-2.0", rf"elastic(?: license)? {_V2}", r"elastic 2 0", r"elastic co licensing elastic license"),
+    ("sspl-1.0", r"server side public", r"sspl 1 0", r"mongodb com licensing server side public license"),
+    ("vim", r"vim", r"vim", r"vimhelp org uganda txt html license"),
+    ("tcl", r"tcl(?: tk)?", r"tcl", r"tcl tk software tcltk license"),
+    ("unicode", r"unicode(?: inc)?", r"unicode (?:3 0|dfs 201[56])", r"unicode org license"),
+    ("w3c", r"w3c software(?: notice and)?", r"w3c", r"w3 org consortium legal copyright software"),
+    ("curl", r"curl", r"curl", r"curl se docs copyright"),
+    ("public-domain", r"public domain", r"publicdomain", r"creativecommons org publicdomain mark 1 0"),
 )
 _GRANT = (r"(?:licensed|released|distributed|available|published|provided|redistributed|covered|governed|offered|shared) "
           r"(?:\w+ ){0,3}?(?:under|by|with) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:a )?")
@@ -116,11 +120,15 @@ PLAIN = frozenset(
     "cc-by-nc-sa cc-by-nc cc-by-nd cc-by-sa cc-by eupl-1.2 gpl lgpl agpl gfdl 0bsd boost-1.0".split()
 )
 
+#: Texts that a part of a pattern may stand for; beyond, its literals are taken by smaller parts. Letters of a literal
+#: that are looked for, and literals of a set, unless the rule has no smaller one. They bound work, not what is found.
+SPREAD, REACH, FEW = 16, 16, 16
+
 
 class Rule(NamedTuple):
     name: str
     label: str
-    keyword: bytes
+    gate: tuple[tuple[bytes, ...], ...]
     pattern: re.Pattern
     priority: int
     score: float
@@ -135,11 +143,69 @@ class Found(NamedTuple):
     priority: int
 
 
+def _shortest(texts: set[str]) -> frozenset[str]:
+    """Without those that hold another."""
+    kept: list[str] = []
+    for t in sorted(texts, key=lambda t: (len(t), t)):
+        if not any(k in t for k in kept):
+            kept.append(t)
+    return frozenset(kept)
+
+
+def _spread(items) -> tuple[set[str] | None, list[frozenset[str]]]:
+    """All texts that a parsed pattern matches, None if many; and sets of which each match holds a member."""
+    run, clauses, whole = {""}, [], True
+    for op, arg in items:
+        texts, inner = _spread_one(op, arg)
+        if texts is not None and len(run) * len(texts) <= SPREAD:
+            run = {a + b for a in run for b in texts}
+            continue
+        whole = False
+        clauses += [_shortest(run), *inner]
+        # What all texts so far end with stands right before the next part.
+        end = os.path.commonprefix([t[::-1] for t in run])[::-1]
+        run = {""} if texts is None else {end + t for t in texts}
+    clauses = {c for c in [*clauses, _shortest(run)] if "" not in c}
+    weaker = {c for c in clauses for d in clauses if c != d and all(any(a in b for a in c) for b in d)}
+    return (run if whole else None), sorted(clauses - weaker, key=sorted)
+
+
+def _spread_one(op, arg) -> tuple[set[str] | None, list[frozenset[str]]]:
+    if op is _parser.LITERAL:
+        return {chr(arg)}, []
+    if op is _parser.IN and all(o is _parser.LITERAL for o, _ in arg):
+        return {chr(a) for _, a in arg}, []
+    if op is _parser.IN and all(o is _parser.RANGE for o, _ in arg):
+        return {chr(a) for _, (low, high) in arg for a in range(low, high + 1)}, []
+    if op is _parser.SUBPATTERN:
+        return _spread(arg[-1])
+    if op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT):
+        low, high, part = arg
+        texts, clauses = _spread(part)
+        if (low, high) == (0, 1) and texts is not None:
+            return texts | {""}, []
+        return None, clauses if low else []
+    if op is _parser.BRANCH:
+        parts = [_spread(p) for p in arg[1]]
+        if all(texts is not None for texts, _ in parts):
+            return set().union(*(texts for texts, _ in parts)), []
+        return None, [_shortest(set().union(*c)) for c in itertools.product(*(clauses for _, clauses in parts))]
+    return None, []
+
+
+def necessary(pattern: str) -> tuple[tuple[bytes, ...], ...]:
+    """Sets of literals, of each of which every match of the pattern, with its blanks around, holds one at least."""
+    _, clauses = _spread(_parser.parse(f" (?:{pattern}) "))
+    clauses = {_shortest({t[:REACH] for t in c}) for c in clauses}
+    small = [c for c in clauses if len(c) <= FEW] or [min(clauses, key=lambda c: (len(c), sorted(c)))]
+    return tuple(tuple(t.encode() for t in sorted(c)) for c in sorted(small, key=lambda c: (len(c), sorted(c))))
+
+
 @functools.cache
 def rules() -> tuple[Rule, ...]:
     """All rules, the more telling ones first."""
     out = []
-    for label, keyword, name, tag, address in LICENSES:
+    for label, name, tag, address in LICENSES:
         shapes = [
             ("tag", rf"spdx license identifier {tag}", 5, 1.0),
             ("grant", rf"{_GRANT}{name}(?: (?:public )?licen[sc]es?)?", 4, 0.95),
@@ -150,7 +216,7 @@ def rules() -> tuple[Rule, ...]:
             shapes.append(("name", name, 1, 0.5))
         for shape, pattern, priority, score in shapes:
             compiled = re.compile(rb"(?<![^ ])(?:" + pattern.encode() + rb")(?= )")
-            out.append(Rule(f"{label}/{shape}", label, b" " + keyword.encode(), compiled, priority, score))
+            out.append(Rule(f"{label}/{shape}", label, necessary(pattern), compiled, priority, score))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
@@ -167,9 +233,10 @@ def scan(words: bytes) -> list[Found]:
     """Detections in a normalised text: a blank before and after each word."""
     found, held = [], {}
     for rule in rules():
-        if rule.keyword not in held:
-            held[rule.keyword] = rule.keyword in words
-        if held[rule.keyword]:
+        for clause in rule.gate:
+            if clause not in held:
+                held[clause] = any(part in words for part in clause)
+        if all(held[clause] for clause in rule.gate):
             for m in rule.pattern.finditer(words):
                 start = words.count(b" ", 0, m.start()) - 1
                 size = m.group().count(b" ") + 1

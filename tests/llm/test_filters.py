@@ -1,5 +1,7 @@
 import hashlib
+import random
 from collections import Counter
+from re import _parser
 
 import pyarrow as pa
 import pytest
@@ -111,6 +113,52 @@ def test_license_scan_equals_brute_force(messy):
     assert some > 10
 
 
+def sample(items, rng):
+    """A text that the parsed pattern matches."""
+    out = ""
+    for op, arg in items:
+        if op is _parser.LITERAL:
+            out += chr(arg)
+        elif op is _parser.IN:
+            kind, a = rng.choice(arg)
+            out += {"LITERAL": lambda: chr(a), "RANGE": lambda: chr(rng.randint(*a)), "CATEGORY": lambda: rng.choice("az19")}[str(kind)]()
+        elif op is _parser.BRANCH:
+            out += sample(rng.choice(arg[1]), rng)
+        elif op is _parser.SUBPATTERN:
+            out += sample(arg[-1], rng)
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT):
+            out += "".join(sample(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 3))))
+        else:
+            assert op in (_parser.ASSERT, _parser.ASSERT_NOT)
+    return out
+
+
+def matches(rng):
+    """Normalised texts by rule: three matches of each, between other words."""
+    for rule in licenses.rules():
+        for _ in range(3):
+            text = f" so {sample(_parser.parse(rule.pattern.pattern.decode()), rng)} it "
+            assert rule.pattern.search(text.encode()), (rule.name, text)
+            yield rule, text
+
+
+def ungated(words):
+    found = []
+    for rule in licenses.rules():
+        for m in rule.pattern.finditer(words):
+            start = words.count(b" ", 0, m.start()) - 1
+            found.append(licenses.Found(start, start + m.group().count(b" ") + 1, rule.label, rule.name, rule.score, rule.priority))
+    return licenses.resolve(found)
+
+
+def test_license_gates_lose_no_match():
+    for rule, text in matches(random.Random(5)):
+        assert licenses.scan(text.encode()) == ungated(text.encode()) != [], (rule.name, text)
+    for text in ("Licensed under the GPLv3", "licensed under GPL v3", "SPDX-License-Identifier: BUSL-1.1",
+                 "license: Creative Commons Attribution-NonCommercial-ShareAlike"):
+        assert licenses.scan_batch(pa.array([text])).to_pylist()[0]["labels"], text
+
+
 def test_license_rules():
     def of(text):
         return [(d["label"], d["rule"].split("/")[1]) for d in licenses.scan_batch(pa.array([text])).to_pylist()[0]["detections"]]
