@@ -3,8 +3,8 @@
 Texts are brought to lower-case words with one blank between, and rules are regular expressions on that form.
 Every license of ``LICENSES`` gives rules in five shapes (identifier tag, grant, title, address, plain name), each
 with a priority and a score; together they are a few hundred. Two gates come before any expression: a text
-must hold one of ``TRIGGERS``, then literals that every match of the rule holds, taken from its pattern (``necessary``);
-so only few rules are tried on few texts.
+must hold one of the ``triggers`` of all rules, then literals that every match of the rule holds; both are taken from the
+patterns (``necessary``), and so only few rules are tried on few texts.
 Detections are resolved in order of priority, then length, then place: one that lies inside a
 detection already kept is suppressed, so that ``apache license version 2`` inside a longer
 grant, or a plain name inside a title, does not count twice.
@@ -18,6 +18,7 @@ clashing names in other columns do not matter; an empty table gives an empty res
 
 from __future__ import annotations
 
+import bisect
 import functools
 import itertools
 import os
@@ -36,9 +37,6 @@ from cedarlog.llm.common import fresh
 #: Phrases that are always counted, with their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 BASE_SCORE = 0.9
-#: Texts without any of these beginnings of words are not looked at further.
-TRIGGERS = ("licen", "spdx ", "copyright ", "cc ", "gpl", "lgpl", "agpl", "public domain ", "creative commons ",
-            "creativecommons ", "opensource ", "apache ", "unlicense ", "bsd ", "all rights reserved ")
 
 _V1, _V2, _V3 = (rf"(?:v ?|version )?{n}(?: 0)?" for n in "123")
 _GNU = r"(?:the )?(?:gnu )?"
@@ -123,6 +121,8 @@ PLAIN = frozenset(
 #: Texts that a part of a pattern may stand for; beyond, its literals are taken by smaller parts. Letters of a literal
 #: that are looked for, and literals of a set, unless the rule has no smaller one. They bound work, not what is found.
 SPREAD, REACH, FEW = 16, 16, 16
+#: Letters of a trigger, and how many letters are taken as equally common to tell rare sets.
+HEAD, LETTERS = 12, 20.0
 
 
 class Rule(NamedTuple):
@@ -220,6 +220,13 @@ def rules() -> tuple[Rule, ...]:
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
+@functools.cache
+def triggers() -> tuple[bytes, ...]:
+    """Beginnings of literals, of which every match of any rule holds one at least: each rule gives its rarest set."""
+    chosen = (min(rule.gate, key=lambda c: (sum(LETTERS ** -len(t) for t in c), c)) for rule in rules())
+    return tuple(sorted(t.encode("latin-1") for t in _shortest({t[:HEAD].decode("latin-1") for c in chosen for t in c})))
+
+
 def resolve(found: list[Found]) -> list[Found]:
     """Drop what lies inside a detection that comes first by priority, length and place."""
     kept: list[Found] = []
@@ -257,6 +264,21 @@ def _normalise(raw: np.ndarray, bounds: np.ndarray) -> tuple[bytes, np.ndarray,
     return out.tobytes(), np.append(to, len(out) - 1), np.searchsorted(starts, bounds)
 
 
+def _triggered(text: bytes, ends: list[int]) -> set[int]:
+    """The texts, each given by its end, that hold a trigger."""
+    own: set[int] = set()
+    for part in triggers():
+        place = text.find(part)
+        while place >= 0:
+            d = bisect.bisect_right(ends, place)
+            if d == len(ends):
+                break
+            own.add(d)
+            # On to the next text: one place of each is enough.
+            place = text.find(part, ends[d])
+    return own
+
+
 def _places(text: bytes, part: bytes) -> np.ndarray:
     out, at = [], text.find(part)
     while at >= 0:
@@ -289,9 +311,7 @@ def scan_batch(column: pa.Array) -> pa.Array:
                 row["base"].add(label)
                 row["first"] = int(w) if row["first"] is None else min(row["first"], int(w))
                 row["last"] = int(w) if row["last"] is None else max(row["last"], int(w))
-        triggered = [_places(words, f" {t}".encode()) for t in TRIGGERS]
-        hits = np.searchsorted(at, np.concatenate(triggered), side="right") - 1
-        own = {int(d) for d in np.searchsorted(first, hits, side="right") - 1 if d < len(here)}
+        own = _triggered(words, at[first[1:]].tolist())
         for d, row in enumerate(here):
             found = scan(words[at[first[d]] : at[first[d + 1]]] + b" ") if d in own and row["n_words"] else []
             labels = row["base"] | {f.label for f in found}

@@ -137,7 +137,8 @@ def matches(rng):
     """Normalised texts by rule: three matches of each, between other words."""
     for rule in licenses.rules():
         for _ in range(3):
-            text = f" so {sample(_parser.parse(rule.pattern.pattern.decode()), rng)} it "
+            # Normalised texts hold no plus sign.
+            text = f" so {sample(_parser.parse(rule.pattern.pattern.decode()), rng)} it ".replace("+", "")
             assert rule.pattern.search(text.encode()), (rule.name, text)
             yield rule, text
 
@@ -159,6 +160,18 @@ def test_license_gates_lose_no_match():
         assert licenses.scan_batch(pa.array([text])).to_pylist()[0]["labels"], text
 
 
+def test_no_text_with_a_license_is_passed_over():
+    made = list(matches(random.Random(6)))
+    out = licenses.scan_batch(pa.array([text for _, text in made])).to_pylist()
+    for (rule, text), row in zip(made, out, strict=True):
+        got = [(d["start"], d["end"], d["label"], d["rule"]) for d in row["detections"]]
+        assert got == [(f.start, f.end, f.label, f.rule) for f in ungated(text.encode())] != [], (rule.name, text)
+    texts = ["Released under MPL-2.0", "EPL-2.0", "EUPL 1.2", "CC0 1.0", "0BSD", "released under the MIT", "distributed under ISC",
+             "mozilla.org/MPL/2.0", "eclipse.org/legal/epl-2.0", "scripts.sil.org/OFL", "wtfpl.net"]
+    for text, row in zip(texts, licenses.scan_batch(pa.array(texts)).to_pylist(), strict=True):
+        assert row["labels"] and row["score"] > 0, text
+
+
 def test_license_rules():
     def of(text):
         return [(d["label"], d["rule"].split("/")[1]) for d in licenses.scan_batch(pa.array([text])).to_pylist()[0]["detections"]]
