@@ -8,8 +8,10 @@ a two-pass plan that gives the same result for every order and partitioning of t
    smallest and largest word tell whether it is constant, so constants are kept.
 2. Leaves hold signatures, not messages. A big leaf is clustered in rounds: its rows are dealt into parts by
    hash, each part is clustered, and the templates found, with their weights, are the rows of the next round,
-   dealt anew, until a leaf fits one part. Parts bound the task; what may merge does not depend on them. A leaf of very
-   many templates that two rounds in a row do not merge is final as it is.
+   dealt anew, until a leaf fits one part. Where two rounds in a row merge nothing, templates that can still merge are
+   brought together by an exact join: two that agree in the words the threshold asks for share one of their rarest
+   word positions (prefix filter). It ends when no two templates of a leaf can merge, which is also what one part
+   ends with; only among texts that fit several templates may the parts decide which one they join.
 3. Inside a part, rows are taken by falling count and text, saved templates first, and join the most similar
    cluster at or above the threshold; differing words become the wildcard.
 
@@ -37,8 +39,10 @@ PREFIX_TOKENS = 1
 #: Rows and words of one clustering task.
 PART_ROWS = 5_000
 PART_TOKENS = 2_000_000
-#: Rounds without a merge after which a leaf is final.
+#: Rounds without a merge after which the templates that can still merge are looked for.
 QUIET_ROUNDS = 2
+#: Cells of one comparison of rows with rows.
+CELLS = 16_000_000
 
 _ROUND = "leaf string, text string, template string, weight bigint, ids array<string>, parts bigint"
 
@@ -189,6 +193,90 @@ def _merged(rows: DataFrame, text: str) -> DataFrame:
     )
 
 
+def _with_partner(threshold: float):
+    """Pandas function that keeps the rows of a group that can merge with another of it."""
+
+    def partners(pdf: pd.DataFrame) -> pd.DataFrame:
+        words = np.stack([np.asarray(t.split(" "), dtype=object) for t in pdf["text"]])
+        m, n = words.shape
+        codes = pd.factorize(words.ravel())[0].reshape(m, n)
+        fixed = words != WILDCARD
+        found = np.zeros(m, dtype=bool)
+        step = max(1, CELLS // m)
+        for a in range(0, m, step):
+            same = np.zeros((min(step, m - a), m), dtype=np.int32)
+            for p in range(n):
+                same += (codes[a : a + step, p, None] == codes[None, :, p]) & fixed[a : a + step, p, None]
+            same[np.arange(len(same)), np.arange(a, a + len(same))] = -1
+            found[a : a + step] = (same >= threshold * n).any(axis=1)
+        return pdf.loc[found, ["key", "pos", "word", "low", "high"]]
+
+    return partners
+
+
+def _meetings(rows: DataFrame, threshold: float, part_rows: int, part_tokens: int, turn: int) -> DataFrame:
+    """The rows that can merge with another of their leaf, each with a ``part`` in which it meets one.
+
+    Of two rows that can merge, each has a common word among all but the last ``need - 1`` of its words in order of
+    rarity. Groups by such a word are compared whole; big ones in blocks, every block with every other. Of its
+    groups with a partner a row takes the first by hash, so the rows of the first group of all do meet.
+    """
+    width = F.size(F.split("text", " "))
+    key = F.md5(F.concat_ws(" ", F.length("leaf"), "leaf", "text"))
+    rows = materialise(rows.withColumn("key", key), "open")
+    place = ["leaf", "pos", "word"]
+    words = rows.select("key", "leaf", F.ceil(width * threshold).alias("need"), F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    words = materialise(words.filter(F.col("word") != WILDCARD), "words")
+    known = materialise(words.groupBy(*place).agg(F.count("*").alias("n")), "places")
+    ranked = (
+        join_by_weight(words, known.withColumn("weight", F.col("n")), place, "weight")
+        .groupBy("key", "leaf", "need")
+        .agg(F.array_sort(F.collect_list(F.struct("n", "pos", "word"))).alias("w"))
+    )
+    first = F.slice("w", F.lit(1), F.greatest(F.size("w") - F.greatest("need", F.lit(1)) + 1, F.lit(0)).cast("int"))
+    rare = materialise(
+        ranked.select("key", "leaf", F.explode(F.filter(first, lambda x: x["n"] > 1)).alias("x"))
+        .select("key", "leaf", "x.pos", "x.word"),
+        "rare",
+    )
+    groups = materialise(rare.groupBy(*place).agg(F.count("*").alias("n")).filter("n > 1"), "groups")
+    blocks = F.greatest(F.ceil(F.col("n") / part_rows), F.ceil(F.col("n") * width / part_tokens))
+    # The weighted join keeps rows that have no match; those groups have one row.
+    grouped = join_by_weight(rare, groups.withColumn("weight", F.col("n")), place, "weight").filter("n > 1").join(rows.select("key", "text"), "key")
+    own = F.pmod(F.xxhash64("key", F.lit(turn)), F.col("blocks")).alias("own")
+    dealt = (
+        grouped.withColumn("blocks", blocks)
+        .select("key", *place, "text", own, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+        .select("key", *place, "text", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    )
+    found = dealt.groupBy(*place, "low", "high").applyInPandas(
+        _with_partner(threshold), "key string, pos int, word string, low bigint, high bigint"
+    )
+    at = F.struct(F.xxhash64("pos", "word", "low", "high", F.lit(turn)).alias("h"), "pos", "word", "low", "high")
+    chosen = found.groupBy("key").agg(F.min(at).alias("part"))
+    return rows.join(chosen, "key").select("leaf", "part", "text", "weight", "ids", F.lit(1).cast("bigint").alias("parts"))
+
+
+def _bring_together(rows: DataFrame, threshold: float, part_rows: int, part_tokens: int) -> DataFrame:
+    """``leaf, text, template`` of every row, when no two templates of a leaf can merge any more.
+
+    A merge only takes words away, so rows without a partner never get one.
+    """
+    trail, turn = rows.select("leaf", "text", F.col("text").alias("template")), 0
+    while True:
+        meeting = materialise(_meetings(rows, threshold, part_rows, part_tokens, turn), "meeting")
+        if meeting.isEmpty():
+            return trail
+        out = materialise(meeting.groupBy("leaf", "part").applyInPandas(_cluster_part(threshold), _ROUND), "met")
+        step = out.select("leaf", F.col("text").alias("template"), F.col("template").alias("now"))
+        trail = materialise(
+            trail.join(step, ["leaf", "template"], "left").select("leaf", "text", F.coalesce("now", "template").alias("template")),
+            "trail",
+        )
+        rows = materialise(_merged(out, "template"), "pending")
+        turn += 1
+
+
 def _cluster_leaves(rows: DataFrame, threshold: float, part_rows: int, part_tokens: int) -> DataFrame:
     """``leaf, text, template``: the final template of every text of ``leaf, text, weight, ids``."""
     pending, trail, settled, quiet, turn = rows, None, None, 0, 0
@@ -216,14 +304,16 @@ def _cluster_leaves(rows: DataFrame, threshold: float, part_rows: int, part_toke
         if before:
             pending = materialise(_merged(big, "template"), "pending")
             quiet = 0 if pending.count() < before else quiet + 1
-        last = not before or quiet == QUIET_ROUNDS
-        final = (step if last else step.filter("parts = 1")).select("leaf", "text", "template")
+        final = step.filter("parts = 1").select("leaf", "text", "template")
         settled = final if settled is None else settled.union(final)
-        if last:
+        if not before:
             return settled
         trail = materialise(
             step.filter("parts > 1").select("leaf", "text", F.col("template").alias("now")), "trail"
         )
+        if quiet == QUIET_ROUNDS:
+            met = _bring_together(pending, threshold, part_rows, part_tokens).withColumnRenamed("text", "now")
+            return settled.union(trail.join(met, ["leaf", "now"]).select("leaf", "text", "template"))
         turn += 1
 
 

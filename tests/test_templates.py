@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from cedarlog.operators.templates import (
@@ -106,6 +108,26 @@ def test_unlike_rows_of_a_big_leaf_stay_apart(spark):
     assert mined(got) == {(t, 1) for t in texts}
 
 
+def test_a_lone_pair_meets_in_a_big_leaf_of_unlike_rows(spark):
+    texts = [f"x {a}{b} {b}{a} {a}{a}{b} {b}{b}{a}" for a in "abcdefghijkl" for b in "mnopqrstuvwx"]
+    pair = ["x same and one more", "x same and two more"]
+    df = messages(spark, texts + pair)
+    want = {(t, 1) for t in texts} | {("x same and <*> more", 2)}
+    for part_rows in (5, 40, 5000):
+        done = assign_signatures(df, similarity=0.7, part_rows=part_rows)
+        assert mined(templates_of(done)) == want
+        assert done.count() == len(texts) + 2
+
+
+def test_no_two_templates_that_could_merge_stay_apart(spark):
+    rng = random.Random(3)
+    df = messages(spark, [" ".join(["x", *(rng.choice("abcdefgh") + "q" for _ in range(6))]) for _ in range(300)])
+    for part_rows in (50, 5000):
+        got = [r.template.split() for r in mine_templates(df, similarity=0.6, part_rows=part_rows).collect()]
+        same = [sum(a == b != "<*>" for a, b in zip(s, t)) for i, s in enumerate(got) for t in got[:i]]
+        assert max(same) < 0.6 * 7
+
+
 def test_ids_outlive_generalisation(spark):
     first = mine_templates(messages(spark, ["job alpha done at last", "stop now"]))
     old = {r.template: r.template_id for r in first.collect()}
