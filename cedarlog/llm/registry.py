@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cedarlog.llm import decontaminate, fingerprints, html_extract, licenses, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
+from cedarlog.llm import decontaminate, fingerprints, html_extract, licenses, line_dedup, mixing, near_dedup, quality, quality_rules, substring_dedup, toxicity
 from cedarlog.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,62 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+def _em_sql() -> str:
+    """The rules, counts and rounds of ``quality_rules`` as one statement, a round after the other."""
+    q = quality_rules
+    rules, k, up, down = q.RULES, q.PRIOR_SHARE, "c * p", "c * (1 - p)"
+
+    def part(weight: str, j: int, vote: str) -> str:
+        return f"coalesce(sum({weight}) FILTER (WHERE v{j} {vote}), 0)"
+
+    white = "translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '      ')"
+    count = "length(regexp_replace(t, '[^{}]', '', 'g'))".format
+    ends = " + ".join(f"length(flat) - length(replace(flat, '{m} ', '{m}'))" for m in ".!?")
+    common = ", ".join(f"'{w}'" for w in dict.fromkeys(q.COMMON))
+    cast = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in q.COUNTS)
+    votes = ", ".join(f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END AS v{j}" for j, r in enumerate(rules))
+    names = ", ".join(f"v{j}" for j in range(len(rules)))
+    odds = " + ".join(
+        f"CASE v{j} WHEN 1 THEN ln(a{j} / (1 - b{j})) WHEN -1 THEN ln((1 - a{j}) / b{j}) ELSE 0 END" for j in range(len(rules))
+    )
+    steps = [f"m0 AS (SELECT CAST({q.PRIOR_BALANCE} AS DOUBLE) AS balance, "
+             + ", ".join(f"CAST({q.PRIOR_GOOD} AS DOUBLE) AS a{j}, CAST({q.PRIOR_BAD} AS DOUBLE) AS b{j}" for j in range(len(rules))) + ")"]
+    posterior = f"1 / (1 + exp(-(ln(balance / (1 - balance)) + {odds})))"
+    for i in range(q.ROUNDS):
+        new = ", ".join(
+            f"({part(up, j, '= 1')} + {k * q.PRIOR_GOOD} * sum(c)) / ({part(up, j, '<> 0')} + {k} * sum(c)) AS a{j}, "
+            f"({part(down, j, '= -1')} + {k * q.PRIOR_BAD} * sum(c)) / ({part(down, j, '<> 0')} + {k} * sum(c)) AS b{j}"
+            for j in range(len(rules))
+        )
+        steps.append(f"e{i} AS MATERIALIZED (SELECT pat.*, {posterior} AS p FROM pat, m{i})")
+        steps.append(f"m{i + 1} AS MATERIALIZED (SELECT (sum(c * p) + {k * q.PRIOR_BALANCE} * sum(c)) / (sum(c) + {k} * sum(c)) AS balance, {new} FROM e{i})")
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, text) AS k, coalesce(text, '') AS t,
+             regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS ws FROM documents),
+  f AS (SELECT *, {white} || ' ' AS flat, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
+  w AS (SELECT k, p, ws[p : p + 2] AS h FROM (SELECT k, ws, unnest(generate_series(1, len(ws) - 2)) AS p FROM d)),
+  rep AS (SELECT k, count(DISTINCT q) AS n_repeat_words FROM (
+            SELECT k, unnest([p, p + 1, p + 2]) AS q FROM (SELECT k, p, count(*) OVER (PARTITION BY k, h) AS n FROM w) WHERE n > 1)
+          GROUP BY k),
+  g AS (SELECT doc_id, k, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+          {count("#*$%&|<>")} AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+          len(ls) AS n_lines, {count(chr(33) + "-/:-@" + chr(92) + "[-`{-~")} AS n_marks, {ends} AS n_ends,
+          len(list_filter(ws, lambda x: lower(x) IN ({common}))) AS n_common, len(list_distinct(ws)) AS n_distinct,
+          {count("0-9")} AS n_digits, {count("A-Z")} AS n_capitals
+        FROM f LEFT JOIN rep USING (k)),
+  v AS MATERIALIZED (SELECT *, {votes} FROM (SELECT doc_id, k, {cast} FROM g)),
+  pat AS MATERIALIZED (SELECT {names}, CAST(count(*) AS DOUBLE) AS c FROM v GROUP BY ALL),
+  {", ".join(steps)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {q.BASE_FAILED} AS base_failed,
+  NOT ({q.BASE_FAILED}) AND {posterior} >= {q.THRESHOLD} AS kept
+FROM v, m{q.ROUNDS}"""
+
+
+@query("op13_quality_rules", _em_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judge(read(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
