@@ -11,7 +11,7 @@ of a document; a document is kept from ``threshold`` on unless it fails the base
 
 Words are runs without blank and TAB to CR. Null and empty texts have no word: all counts are 0, the
 base rules fail, nothing is kept. Texts of any length are counted whole, inside their own row, in
-n log n steps: three-word windows are compared by a 64-bit hash within one text. Rows that agree in
+n log n steps: words and three-word windows are compared by 64-bit hashes within one text. Rows that agree in
 everything are judged each on its own and alike; ties cannot arise, a posterior at the threshold is
 kept. An empty table gives an empty result (the estimates are then the prior's). Other columns are carried in the struct ``row``,
 whatever their names.
@@ -34,15 +34,16 @@ THRESHOLD = 0.5
 PRIOR_SHARE, PRIOR_GOOD, PRIOR_BAD, PRIOR_BALANCE = 0.02, 0.95, 0.6, 0.9
 WHITE = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: ASCII characters that are neither letters, digits nor white space.
-MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
-#: Frequent small words of English, German, French and Spanish.
-COMMON = (
+#: ASCII characters that are neither letters, digits nor white space, as a class.
+MARKS = r"!-/:-@\[-`{-~"
+#: Frequent small words of English, German, French and Spanish; here and capitalised.
+_COMMON = (
     "the and of to in is that for with as was be by it on are this from or at an not "
     "der die und das von mit den ist nicht ein eine auf für sich dem "
     "le la les et des un une du est que dans pour pas qui en "
     "el los las y que del se por con una su al como"
 ).split()
+COMMON = sorted({*_COMMON, *(w.capitalize() for w in _COMMON)})
 
 
 @dataclasses.dataclass(frozen=True)
@@ -88,9 +89,8 @@ def prior() -> Estimates:
     return Estimates(PRIOR_BALANCE, (PRIOR_GOOD,) * len(RULES), (PRIOR_BAD,) * len(RULES))
 
 
-def _without(text: Column, characters: str) -> Column:
-    """How many of ``characters`` the text holds."""
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+def _matches(text: Column, characters: str) -> Column:
+    return F.regexp_count(text, F.lit(f"[{characters}]"))
 
 
 def _ends(flat: Column, mark: str) -> Column:
@@ -99,44 +99,50 @@ def _ends(flat: Column, mark: str) -> Column:
 
 def counts(documents: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``row`` (the columns ``carry``, or all) and the counts of its text as longs."""
-    text, flat = F.col("_text"), F.col("_flat")
+    text, flat, words, lines = F.col("_text"), F.col("_flat"), F.col("_words"), F.col("_lines")
     row = F.struct(*[F.col(f"`{c}`") for c in carry or documents.columns])
     df = documents.select(row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    df = compute(df, {"_flat": F.concat(F.translate("_text", WHITE, " " * len(WHITE)), F.lit(" "))})
+    blanks = text
+    for c in WHITE:
+        blanks = F.replace(blanks, F.lit(c), F.lit(" "))
+    df = compute(df, {"_flat": F.concat(blanks, F.lit(" "))})
     df = compute(df, {
         "_words": F.array_remove(F.split("_flat", " "), ""),
-        "_lines": F.filter(F.split("_text", "\n"), lambda x: F.length(F.translate(x, " " + WHITE, "")) > 0),
+        "_lines": F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(" " + WHITE)) != ""),
     })
-    words = F.col("_words")
-    size = F.size(words)
-    # A window and its place, so that equal windows stand side by side once sorted.
-    windows = F.transform(
-        F.when(size >= 3, F.sequence(F.lit(0), size - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(
-            F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")
-        ),
-    )
     df = compute(df, {
-        "_windows": F.sort_array(windows),
-        "n_words": size,
-        "word_chars": F.length(text) - _without(text, " " + WHITE),
-        "n_symbols": _without(text, SYMBOLS),
-        "n_lines": F.size("_lines"),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_marks": _without(text, MARKS),
+        "_hashes": F.transform(words, lambda w: F.xxhash64(w)),
+        "n_words": F.size(words),
+        "word_chars": F.length(F.array_join(words, "")),
+        "n_symbols": _matches(text, SYMBOLS),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_marks": _matches(text, MARKS),
         "n_ends": _ends(flat, ".") + _ends(flat, "!") + _ends(flat, "?"),
-        "n_common": F.size(F.filter(words, lambda w: F.lower(w).isin(COMMON))),
-        "n_distinct": F.size(F.array_distinct(words)),
-        "n_digits": _without(text, "0123456789"),
-        "n_capitals": _without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        "n_common": F.size(F.filter(words, lambda w: w.isin(COMMON))),
+        "n_digits": _matches(text, "0-9"),
+        "n_capitals": _matches(text, "A-Z"),
     }).drop("_text", "_flat", "_words", "_lines")
-    at = F.col("_windows")
+    at, size = F.col("_hashes"), F.col("n_words")
+    # The hash of each window with its place in the low bits: equal windows stand side by side once sorted.
+    df = compute(df, {"n_distinct": F.size(F.array_distinct(at)), "_bits": F.length(F.bin(size.cast("long"))), "_windows": F.transform(
+        F.when(size >= 3, F.sequence(F.lit(0), size - 3)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.xxhash64(F.get(at, i), F.get(at, i + 1), F.get(at, i + 2)),
+    )}).drop("_hashes")
+    df = compute(df, {"_sorted": F.sort_array(F.transform("_windows", lambda h, i: F.call_function("shiftleft", h, F.col("_bits")).bitwiseOR(i.cast("long"))))})
+    key, bits, whole = F.col("_sorted"), F.col("_bits"), F.col("_windows")
+
+    def place(x: Column) -> Column:
+        return x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int")
+
+    df = compute(df, {"_order": F.transform(key, place)}).drop("_sorted")
+    order = F.col("_order")
 
-    def repeated(x: Column, k: Column) -> Column:
-        same = (x["h"] == F.get(at, k - 1)["h"]) | (x["h"] == F.get(at, k + 1)["h"])
-        return F.when(same, x["i"])
+    def repeated(p: Column, k: Column) -> Column:
+        h = F.get(whole, p)
+        return F.when((h == F.get(whole, F.get(order, k - 1))) | (h == F.get(whole, F.get(order, k + 1))), p)
 
-    df = compute(df, {"_places": F.sort_array(F.filter(F.transform(at, repeated), lambda x: x.isNotNull()))}).drop("_windows")
+    df = compute(df, {"_places": F.sort_array(F.filter(F.transform(order, repeated), lambda x: x.isNotNull()))}).drop("_order", "_windows", "_bits")
     places = F.col("_places")
     covered = F.transform(places, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(places, k + 1) - p, F.lit(3))))
     df = df.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0), lambda a, x: a + x)).drop("_places")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cedarlog.llm import decontaminate, fingerprints, html_extract, licenses, line_dedup, mixing, near_dedup, quality, quality_rules, substring_dedup, toxicity
+from cedarlog.llm import conversation_trie, decontaminate, fingerprints, html_extract, licenses, line_dedup, mixing, near_dedup, quality, quality_rules, spelling, substring_dedup, toxicity
 from cedarlog.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,7 +218,7 @@ def _em_sql() -> str:
     white = "translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '      ')"
     count = "length(regexp_replace(t, '[^{}]', '', 'g'))".format
     ends = " + ".join(f"length(flat) - length(replace(flat, '{m} ', '{m}'))" for m in ".!?")
-    common = ", ".join(f"'{w}'" for w in dict.fromkeys(q.COMMON))
+    common = ", ".join(f"'{w}'" for w in q.COMMON)
     cast = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in q.COUNTS)
     votes = ", ".join(f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END AS v{j}" for j, r in enumerate(rules))
     names = ", ".join(f"v{j}" for j in range(len(rules)))
@@ -245,9 +245,9 @@ WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, text) AS k, coales
             SELECT k, unnest([p, p + 1, p + 2]) AS q FROM (SELECT k, p, count(*) OVER (PARTITION BY k, h) AS n FROM w) WHERE n > 1)
           GROUP BY k),
   g AS (SELECT doc_id, k, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
-          {count("#*$%&|<>")} AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-          len(ls) AS n_lines, {count(chr(33) + "-/:-@" + chr(92) + "[-`{-~")} AS n_marks, {ends} AS n_ends,
-          len(list_filter(ws, lambda x: lower(x) IN ({common}))) AS n_common, len(list_distinct(ws)) AS n_distinct,
+          {count(q.SYMBOLS)} AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+          len(ls) AS n_lines, {count(q.MARKS)} AS n_marks, {ends} AS n_ends,
+          len(list_filter(ws, lambda x: x IN ({common}))) AS n_common, len(list_distinct(ws)) AS n_distinct,
           {count("0-9")} AS n_digits, {count("A-Z")} AS n_capitals
         FROM f LEFT JOIN rep USING (k)),
   v AS MATERIALIZED (SELECT *, {votes} FROM (SELECT doc_id, k, {cast} FROM g)),
@@ -264,3 +264,67 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+#: CRC-32 of a text: its table from the polynomial, then one step a byte.
+_CRC_TABLE_SQL = """SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), list_transform(range(8), lambda x: CAST(0 AS BIGINT))),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) AS r(i)"""
+
+
+def _crc_sql(blob: str) -> str:
+    codes = f"list_transform(range(octet_length({blob})), lambda i: CAST(('0x' || substr(hex({blob}), 2 * i + 1, 2)) AS BIGINT))"
+    return (
+        f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), "
+        "lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT))"
+    )
+
+
+_TRIE_SQL = f"""
+WITH crc AS ({_CRC_TABLE_SQL}),
+  t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+            md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos,
+          {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x FROM conversations WHERE conv_id IS NOT NULL),
+  o AS (SELECT conv_id, list(x ORDER BY pos) AS xs, conv_id - conv_id % 5 AS base,
+          {_crc_sql("encode(CAST(conv_id AS VARCHAR))")} % 9 AS h FROM t, (SELECT tab FROM crc) GROUP BY conv_id, tab),
+  s AS (SELECT o.conv_id, list_concat(coalesce(b.xs[1 : o.h], []), o.xs[o.h + 1 :]) AS xs
+        FROM o LEFT JOIN o b ON b.conv_id = o.base),
+  p AS (SELECT conv_id, xs, len(xs) AS n, unnest(generate_series(0, len(xs))) AS depth FROM s),
+  nd AS (SELECT xs[1 : depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+           string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth) AS ends FROM p GROUP BY 1, 2),
+  kids AS (SELECT path[1 : depth - 1] AS path, count(*) AS n_children FROM nd WHERE depth > 0 GROUP BY 1),
+  f AS (SELECT nd.*, coalesce(n_children, 0) AS n_children,
+          CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(path[-1].t) END AS own FROM nd LEFT JOIN kids USING (path)),
+  up AS (SELECT path[1 : d] AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(own) AS saved
+         FROM (SELECT *, unnest(generate_series(0, depth)) AS d FROM f) GROUP BY 1)
+SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM f JOIN up USING (path) LEFT JOIN nd q ON f.depth > 0 AND q.path = f.path[1 : f.depth - 1]"""
+
+
+@query("op11_prefix_trie", _TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+_SPELL_SQL = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE_SQL}),
+  u AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id, unnest(regexp_extract_all({_LOWER}, '[{spelling.LETTERS}]{{{spelling.MIN_CHARS},}}')) AS run
+        FROM documents),
+  h AS (SELECT run, {_crc_sql("encode(id || run)")} AS h FROM u, crc),
+  w AS (SELECT CASE WHEN h % {spelling.EVERY} = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+          ELSE run END AS word FROM h),
+  v AS MATERIALIZED (SELECT word, count(*) AS n FROM w WHERE length(word) >= {spelling.MIN_CHARS} GROUP BY 1 HAVING count(*) >= {spelling.MIN_COUNT}),
+  dl AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+         FROM (SELECT word, unnest(generate_series(1, length(word))) AS i FROM v)),
+  nr AS (SELECT a.word, b.word AS near FROM dl a JOIN dl b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+         UNION SELECT dl.word, v.word FROM dl JOIN v ON v.word = dl.rest UNION SELECT v.word, dl.word FROM dl JOIN v ON v.word = dl.rest),
+  b AS (SELECT nr.word, count(*) AS n_near, arg_min(near, (-v.n, near)) AS form, max(v.n) AS form_n FROM nr JOIN v ON v.word = nr.near GROUP BY 1),
+  f AS MATERIALIZED (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {spelling.TIMES} * n THEN form END AS form,
+          CASE WHEN form_n >= {spelling.TIMES} * n THEN form_n END AS form_n FROM v LEFT JOIN b USING (word)),
+  walk AS (SELECT word, word AS at FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n FROM f JOIN walk USING (word) JOIN f g ON g.word = walk.at AND g.form IS NULL"""
+
+
+@query("op12_spelling_variants", _SPELL_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
