@@ -8,6 +8,7 @@ from pathlib import Path
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -52,6 +53,14 @@ def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
     return f"{len(bad)} rows differ, first {str(bad[0])[:600]}" if bad else None
 
 
+#: Whole numbers stay whole numbers where there are nulls among them.
+_WHOLE = {pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}
+
+
+def frame(table: pa.Table) -> pd.DataFrame:
+    return table.to_pandas(types_mapper=_WHOLE.get)
+
+
 def main(argv: list[str]) -> int:
     sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
     from __spark_entry__ import oracle_sql, queries
@@ -64,10 +73,10 @@ def main(argv: list[str]) -> int:
     for name in wanted:
         start = time.time()
         try:
-            got = queries()[name](spark, sf).toPandas()
+            got = frame(queries()[name](spark, sf).toArrow())
             spent = time.time() - start
             if name in sqls:
-                note = difference(got, con.execute(sqls[name]).df())
+                note = difference(got, frame(con.execute(sqls[name]).to_arrow_table()))
             else:
                 note = None if len(got) else "no rows"
         except Exception as e:
