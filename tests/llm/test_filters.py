@@ -3,11 +3,13 @@ import random
 from collections import Counter
 from re import _parser
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cedarlog.llm import decontaminate, fingerprints, html_extract, licenses, mixing, quality, toxicity
+from cedarlog.llm import text as tx
 from tests.llm import brute
 
 
@@ -226,7 +228,11 @@ def test_fingerprints_of_nothing(empty):
 TOXIC = [("The weather was fine today. You are a zorp and a blarg! We went home.", 1), ("The weather was fine. We went home today.", 0)]
 
 
-def test_toxicity_learns_and_locates():
+def _sample(spark, texts, labels):
+    return spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(zip(texts, labels, strict=True))], "doc_id long, text string, y int")
+
+
+def test_toxicity_learns_and_locates(spark):
     import random
 
     rng = random.Random(2)
@@ -239,12 +245,39 @@ def test_toxicity_learns_and_locates():
             parts[3] += " zorp blarg"
         texts.append(". ".join(parts) + ".")
         labels.append(int(i % 5 == 0))
-    model = toxicity.fit(texts, labels)
+    model = toxicity.fit(_sample(spark, texts, labels).repartition(7))
+    other = toxicity.fit(_sample(spark, texts, labels).repartition(2))
+    assert (model.weights == other.weights).all() and model.bias == other.bias
+    _noisy_or_by_hand(model, texts[:40] + ["zorp! blarg? zorpling.\nNo", "ZORP", "...", "é zorp é"])
     out = toxicity.score_batch(model, pa.array([TOXIC[0][0], TOXIC[1][0], None, "", "...", TOXIC[0][0]]), 0.5).to_pylist()
     assert out[0]["score"] > 0.9 and out[0] == out[5] and all(o["score"] < 0.1 for o in out[1:5])
     (part,) = out[0]["sentences"]
     assert TOXIC[0][0].encode()[part["start"] : part["start"] + part["length"]].strip() == b"You are a zorp and a blarg"
-    assert len(toxicity.score_batch(toxicity.fit([], []), pa.array([], pa.string()))) == 0
+    nothing = toxicity.fit(_sample(spark, [], []))
+    assert len(toxicity.score_batch(nothing, pa.array([], pa.string()))) == 0
+    three = pa.array(["You zorp.", "", None])
+    assert toxicity.score_batch(toxicity.fit(_sample(spark, texts[:3], [1, 1, 1])), three).to_pylist() == [1.0] * 3
+    assert toxicity.score_batch(toxicity.fit(_sample(spark, texts[:3], [0, 0, 0])), three).to_pylist() == [0.0] * 3
+
+
+def _noisy_or_by_hand(model, texts):
+    """Sentence by sentence and word by word in plain Python, with the hash of one word at a time."""
+    import math
+    import re
+
+    def feature(word, n=None):
+        raw = word.encode()
+        raw = raw if n is None else raw[:n]
+        h = tx.hash_runs(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))
+        return int((h if n is None else tx.mix(h ^ np.uint64(n)))[0] >> np.uint64(64 - toxicity.BITS))
+
+    for text, got in zip(texts, toxicity.score_batch(model, pa.array(texts, pa.string())).to_pylist(), strict=True):
+        clean = 1.0
+        for part in re.split("[.!?\n\r]", text):
+            held = [model.weights[feature(w, n)] for w in brute.lower_words(part) for n in (None, *toxicity.PREFIXES)]
+            if any(held):
+                clean *= 1 - 1 / (1 + math.exp(-(sum(held) + model.bias)))
+        assert got == pytest.approx(1 - clean, abs=1e-9), text
 
 
 def _accuracy(spark, sf, train, score, held_out, label):
@@ -277,7 +310,7 @@ def test_classifiers_on_messy_tables(spark, messy, empty):
         assert 0 <= out.agg(F.min(out.columns[-1])).first()[0] <= out.agg(F.max(out.columns[-1])).first()[0] <= 1
         assert score(empty, module.train(empty, labels)).count() == 0
         assert module.train(messy, labels.limit(0)) is not None
-    assert toxicity.score_documents(messy, toxicity.fit([], [])).columns[-1] == "_toxicity"
+    assert toxicity.score_documents(messy, toxicity.fit(_sample(spark, [], []))).columns[-1] == "_toxicity"
 
 
 def test_quality_covers_whole_texts():
