@@ -33,7 +33,8 @@ from pyspark.sql import types as T
 
 from cedarlog.llm import text as tx
 from cedarlog.llm.common import doc_key, materialise
-from cedarlog.llm.graph import connected_components
+from cedarlog.llm.graph import connected_components, extended
+from cedarlog.operators.joins import join_by_weight
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -336,7 +337,7 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "texts",
     )
     links = materialise(_links(pairs, texts), "links")
-    roots = connected_components(links)
+    roots = materialise(connected_components(links), "roots")
 
     # What shares a bucket but not a component may still be linked.
     placed = members.join(roots, members["content"] == roots["node"], "left").select(
@@ -348,13 +349,16 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = _across(placed).join(pairs, ["u", "v"], "left_anti")
     more = materialise(_links(rest, texts), "links")
     if not more.isEmpty():
-        roots = connected_components(links.union(more))
+        roots = materialise(extended(roots, more), "roots")
     keyed = signed.select(*_KEY, "content").distinct()
     labelled = keyed.join(roots, keyed["content"] == roots["node"], "left").select(
         *_KEY, F.coalesce("root", "content").alias("root")
     )
+    labelled = materialise(labelled, "labelled")
     named = labelled.groupBy("root").agg(F.min(_ordered(_KEY)).alias("first"), F.count("*").alias("class_size"))
-    return labelled.join(named, "root").select(
+    # The few classes that hold a large share of all documents are broadcast, so no task gets one whole.
+    named = materialise(named.withColumn("weight", F.col("class_size")), "classes")
+    return join_by_weight(labelled, named, ["root"], "weight").select(
         *_KEY, F.col("first._id").alias("class_id"), F.col("first._text_hash").alias("class_hash"), "class_size"
     )
 
