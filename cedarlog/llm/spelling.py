@@ -37,7 +37,7 @@ LETTERS = "A-Za-zÀ-ÿ"
 MIN_CHARS, MIN_COUNT, EVERY = 7, 2, 31
 #: A form occurs at least this many times as often as its variant.
 TIMES = 10
-SHARD_WORDS = 8_000
+SHARD_WORDS = 32_000
 #: Intervals up to this size are read symbol by symbol; larger ones try the whole alphabet.
 READ = 24
 MARK = 1
