@@ -60,7 +60,7 @@ def template_id(template: Column) -> Column:
     return F.md5(template)
 
 
-def _has_digit(token: Column) -> Column:
+def has_digit(token: Column) -> Column:
     return token.rlike("[0-9]")
 
 
@@ -72,7 +72,7 @@ def _signatures(messages: DataFrame, col: str) -> DataFrame:
         F.transform(
             F.split("m", " "), lambda t, i: F.struct(i.alias("pos"), t.alias("tok"))
         ),
-        lambda x: _has_digit(x["tok"]),
+        lambda x: has_digit(x["tok"]),
     )
     whole = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("tok")))
     per_slot = (
@@ -121,7 +121,7 @@ def _seed_rows(templates: DataFrame) -> DataFrame:
     return templates.select(
         F.lit(None).cast("string").alias("sig"),
         F.size(words).alias("n_tokens"),
-        F.transform(words, lambda t: F.when(_has_digit(t), WILDCARD).otherwise(t)).alias("sig_tokens"),
+        F.transform(words, lambda t: F.when(has_digit(t), WILDCARD).otherwise(t)).alias("sig_tokens"),
         words.alias("tokens"),
         F.col("size").alias("weight"),
         _saved_ids(templates).alias("ids"),
@@ -331,9 +331,19 @@ def assign_signatures(
 
     Rows without ``sig`` are saved templates that were passed as ``seeds``.
     """
-    sigs = materialise(_signatures(messages, col), "signatures").withColumn(
-        "ids", F.array().cast("array<string>")
-    )
+    return assign_known(_signatures(messages, col), similarity, prefix_tokens, seeds, part_rows, part_tokens)
+
+
+def assign_known(
+    signatures: DataFrame,
+    similarity: float = SIMILARITY,
+    prefix_tokens: int = PREFIX_TOKENS,
+    seeds: DataFrame | None = None,
+    part_rows: int = PART_ROWS,
+    part_tokens: int = PART_TOKENS,
+) -> DataFrame:
+    """:func:`assign_signatures` for messages that are already collapsed to ``sig, n_tokens, sig_tokens, tokens, weight``."""
+    sigs = materialise(signatures, "signatures").withColumn("ids", F.array().cast("array<string>"))
     rows = sigs if seeds is None else sigs.unionByName(_seed_rows(seeds))
     leaf = F.concat_ws(" ", F.col("n_tokens").cast("string"), F.slice("sig_tokens", 1, prefix_tokens))
     texts = rows.select("sig", leaf.alias("leaf"), F.concat_ws(" ", "tokens").alias("text"), "weight", "ids")
