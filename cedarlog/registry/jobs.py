@@ -10,10 +10,12 @@ from cedarlog.operators.history import move_tiers, purge_table, top_template, wr
 from cedarlog.operators.queries import failing_endpoints
 from cedarlog.operators.templates import new_patterns, template_stats
 from cedarlog.registry.base import event_lines, query, sql_stamp, stamp, with_feed, with_parsed
-from cedarlog.session import scratch_path
+from cedarlog.session import materialise, scratch_path
 from cedarlog.sources import feed, tables
 from cedarlog.sources.lines import stream_lines
 from cedarlog.streaming.ingest import dual_sink, evolve_templates, start_ingest, streaming_error_rate
+from cedarlog.streaming.stitch import open_records, stitch_stream, stream_parts
+from cedarlog.streaming.templates import compact_signatures, track_templates, tracked_templates
 
 
 def _land(spark, d, name: str) -> str:
@@ -78,9 +80,36 @@ def stream_documents(spark, d):
     return spark.read.parquet(f"{out}/documents").agg(F.count("*").alias("n"))
 
 
-@query("stream_templates")
+def _message_stream(spark, d, out: str, files: int):
+    feed.logs_view(spark, d).select("message").repartition(12).write.parquet(f"{out}/messages")
+    return spark.readStream.schema("message string").option("maxFilesPerTrigger", files).parquet(f"{out}/messages")
+
+
+_MINED = with_feed("SELECT template, count(*) AS size FROM logs GROUP BY template")
+
+
+@query("stream_templates", _MINED)
 def stream_templates(spark, d):
-    """Templates that evolve from batch to batch; the newest set."""
+    """Templates kept as state by signature over three micro-batches and a restart; the same as mining all rows at once."""
+    out = scratch_path(spark, "evolve")
+    source = _message_stream(spark, d, out, 4)
+    for _ in range(2):
+        track_templates(source, f"{out}/signatures", f"{out}/state").awaitTermination()
+    return tracked_templates(spark, f"{out}/signatures").select("template", "size")
+
+
+@query("stream_templates_compacted", _MINED)
+def stream_templates_compacted(spark, d):
+    """The same with signatures that can retire, and with the folders of old micro-batches brought together."""
+    out = scratch_path(spark, "evolve")
+    track_templates(_message_stream(spark, d, out, 3), f"{out}/signatures", f"{out}/state", retire_after="1 day").awaitTermination()
+    compact_signatures(spark, f"{out}/signatures")
+    return tracked_templates(spark, f"{out}/signatures").select("template", "size")
+
+
+@query("stream_versions")
+def stream_versions(spark, d):
+    """Templates that are mined anew with each micro-batch of parsed lines, from those known before; the newest set."""
     out = scratch_path(spark, "evolve")
     lines = stream_lines(spark, _land(spark, d, "zone"), "*.txt", files_per_batch=4)
     job = (
@@ -94,6 +123,47 @@ def stream_templates(spark, d):
     return load_templates(spark, f"{out}/templates").select("template", "size")
 
 
+@query(
+    "stream_stitch",
+    with_feed(
+        f"""SELECT service_name AS log, CASE WHEN severity = 'ERROR' THEN 1 + k % 3 ELSE 0 END + 1 AS n_lines,
+        {sql_stamp('ts')} || ' ' || severity || ' ' || service_name || ': ' || template
+        || CASE WHEN severity = 'ERROR' THEN
+             array_to_string([chr(10) || '  at frame ' || i FOR i IN range(0, 1 + k % 3)], '') ELSE '' END AS value
+        FROM feed"""
+    ),
+)
+def stream_stitch(spark, d):
+    """Four files for each service; the last trace of a file goes on in the next, which another micro-batch reads."""
+    out = scratch_path(spark, "stitch")
+    e = feed.logs_view(spark, d).withColumn("k", F.get_json_object("context", "$.latency_ms").cast("bigint"))
+    head = F.concat(stamp(), F.lit(" "), "severity", F.lit(" "), "service_name", F.lit(": "), "body")
+    frames = F.when(
+        F.col("severity") == "ERROR",
+        F.transform(F.sequence(F.lit(0), F.col("k") % 3), lambda i: F.concat(F.lit("  at frame "), i.cast("string"))),
+    ).otherwise(F.array().cast("array<string>"))
+    top = e.agg(F.max("event_id")).first()[0] + 1
+    lines = e.select(
+        F.col("service_name").alias("log"), "event_id", F.floor(F.col("event_id") * 4 / top).alias("file"),
+        F.posexplode(F.concat(F.array(head), frames)).alias("i", "value"),
+    )
+    ends = lines.groupBy("log", "file").agg(F.max("event_id").alias("end"))
+    cut = lines.join(ends, ["log", "file"]).withColumn("file", F.col("file") + ((F.col("event_id") == F.col("end")) & (F.col("i") > 0)).cast("int"))
+    cut = materialise(cut, "lines")
+    for f in range(5):
+        part = cut.filter(F.col("file") == f).repartition("log").sortWithinPartitions("log", "event_id", "i")
+        part.select("log", "value").write.partitionBy("log").text(f"{out}/zone/{f}")
+    source = stream_parts(spark, f"{out}/zone/*/*", "*.txt", files_per_batch=6)
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/records/batch={batch_id}")
+
+    records = stitch_stream(source, log=F.regexp_extract("path", "log=([^/]+)/", 1))
+    records.writeStream.option("checkpointLocation", f"{out}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    closed = spark.read.parquet(f"{out}/records").select("log", "value", "n_lines")
+    return closed.unionByName(open_records(spark, f"{out}/state").select("log", "value", "n_lines"))
+
+
 @query(
     "stream_error_rate",
     with_feed(

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cedarlog.operators import keywords as kw
 from cedarlog.operators import retrieval as rt
+from cedarlog.operators import vector_store as vs
 from cedarlog.operators.templates import with_signature_template
 from cedarlog.registry.base import query, sql_stamp, stamp, with_feed
+from cedarlog.session import scratch_path
 from cedarlog.sources import feed
 from cedarlog.sources.lines import spread
 
@@ -121,7 +124,8 @@ def topk_threshold(spark, d):
 @query(
     "hybrid_rerank",
     f"""WITH cand AS ({_top(k=10)}), q AS (SELECT item_id, text FROM benchmark),
-    t AS (SELECT c.*, d.text AS a, q.text AS b FROM cand c JOIN documents d ON d.doc_id = c.id JOIN q ON q.item_id = c.query_id),
+    t AS (SELECT q.item_id AS query_id, c.id, c.similarity, d.text AS a, q.text AS b FROM q JOIN cand c ON c.query_id = q.item_id % (SELECT count(DISTINCT label) FROM embeddings)
+          JOIN documents d ON d.doc_id = c.id),
     s AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(a), '\\s+'), lambda t: t <> '')) AS x,
           list_distinct(list_filter(string_split_regex(lower(b), '\\s+'), lambda t: t <> '')) AS y FROM t),
     r AS (SELECT query_id, id, similarity, round(0.7 * similarity + (1 - 0.7) * (CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0
@@ -130,12 +134,101 @@ def topk_threshold(spark, d):
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 3""",
 )
 def hybrid_rerank(spark, d):
+    """Every benchmark item with its candidates by vector, ordered anew by shared words."""
     docs = _documents(spark, d)
-    found = rt.top_k(docs, _centroids(spark, d), 10)
+    found = rt.top_k(docs, _item_vectors(spark, d), 10)
     texts = feed.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return rt.rerank(found, docs, texts, k=3)
 
 
+def _item_vectors(spark, d):
+    """A vector for each benchmark item: the centroid that its number falls on."""
+    centroids = _centroids(spark, d).withColumnRenamed("query_id", "label")
+    labels = centroids.agg(F.count("*").alias("labels"))
+    items = feed.table(spark, d, "benchmark").select("item_id").join(F.broadcast(labels))  # one row
+    return items.join(centroids, F.col("item_id") % F.col("labels") == F.col("label")).select(
+        F.col("item_id").alias("query_id"), "embedding"
+    )
+
+
+def _keyword_sql(k: int) -> str:
+    words = "list_filter(string_split(lower(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: w <> '')"
+    return f"""
+    wd AS (SELECT doc_id AS id, {words.format("coalesce(text, '')")} AS ws FROM documents),
+    size AS (SELECT count(*) AS n, sum(len(ws)) / count(*) AS mean FROM wd),
+    tf AS (SELECT id, term, count(*) AS tf, any_value(l) AS l FROM (SELECT id, len(ws) AS l, unnest(ws) AS term FROM wd) GROUP BY 1, 2),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    qt AS (SELECT DISTINCT item_id AS query_id, unnest({words.format("coalesce(text, '')")}) AS term FROM benchmark),
+    bm AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {kw.K1 + 1} / (tf + {kw.K1} * ({1 - kw.B} + {kw.B} * l / mean))) AS score
+           FROM qt JOIN df USING (term) JOIN tf USING (term), size GROUP BY 1, 2),
+    kr AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS INTEGER) AS rank
+           FROM bm QUALIFY rank <= {k})"""
+
+
+def _keyword_index(spark, d) -> str:
+    """An index of all documents in two loads, the second of which comes twice."""
+    path = scratch_path(spark, "keyword-index")
+    docs = feed.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    kw.add_to_index(docs.filter("id % 3 = 0"), path, load="a")
+    for _ in range(2):
+        kw.add_to_index(docs.filter("id % 3 <> 0"), path, load="b")
+    return path
+
+
+def _items(spark, d):
+    return feed.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query("keyword_search", f"WITH {_keyword_sql(10)} SELECT query_id, id, round(score, 4) AS score, rank FROM kr")
+def keyword_search(spark, d):
+    """The ten best documents for every benchmark item by BM25, from the index alone."""
+    found = kw.search(spark, _keyword_index(spark, d), _items(spark, d), 10)
+    return found.withColumn("score", F.round("score", 4))
+
+
+@query(
+    "hybrid_search",
+    f"""WITH {_keyword_sql(20)}, cand AS ({_top(k=20)}),
+    vr AS (SELECT item_id AS query_id, id, rank FROM benchmark JOIN cand ON query_id = item_id % (SELECT count(DISTINCT label) FROM embeddings)),
+    f AS (SELECT query_id, id, sum(1.0 / ({kw.FUSION} + rank)) AS score FROM (SELECT query_id, id, rank FROM kr UNION ALL SELECT * FROM vr) GROUP BY 1, 2)
+    SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank
+    FROM f QUALIFY rank <= 10""",
+)
+def hybrid_search(spark, d):
+    """Keyword candidates and vector candidates of every benchmark item, fused by their ranks."""
+    by_words = kw.search(spark, _keyword_index(spark, d), _items(spark, d), 20)
+    by_vector = rt.top_k(_documents(spark, d), _item_vectors(spark, d), 20)
+    return kw.fuse(by_words, by_vector, k=10).withColumn("score", F.round("score", 6))
+
+
+def _vector_store(spark, d, docs) -> str:
+    path = scratch_path(spark, "vector-store")
+    vs.write_store(docs, path, cells=32)
+    return path
+
+
+@query(
+    "topk_pruned",
+    """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+    sims AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM v a, v b)
+    SELECT query_id, id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS rank FROM sims
+    QUALIFY rank <= 5""",
+)
+def topk_pruned(spark, d):
+    """The nearest vectors of every vector, from the cells each can need."""
+    docs = feed.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = docs.select(F.col("id").alias("query_id"), "embedding")
+    return vs.search(spark, _vector_store(spark, d, docs), asked, 5)[0]
+
+
+@query("topk_pruned_filtered", _top("lang IN ('de', 'fr')", 5))
+def topk_pruned_filtered(spark, d):
+    """The same over stored documents of two languages."""
+    docs = _documents(spark, d).withColumn("lang", F.try_element_at("metadata", F.lit("lang")))
+    store = _vector_store(spark, d, docs.select("id", "embedding", "lang"))
+    return vs.search(spark, store, _centroids(spark, d), 5, F.col("lang").isin("de", "fr"))[0]
+
+
 @query("embed_hashing")
 def embed_hashing(spark, d):
     """Word-hash vectors of all documents, searched with all benchmark items."""

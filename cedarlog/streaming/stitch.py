@@ -44,12 +44,15 @@ def log_of(file: Column) -> Column:
 
 
 def stream_parts(spark: SparkSession, folder: str, glob: str = CURRENT_LOGS, files_per_batch: int = 1000) -> DataFrame:
-    """``value, source_file, modified, block`` of the files of a folder as they arrive, oldest first."""
+    """``value, source_file, path, modified, block`` of the files of a folder as they arrive, oldest first.
+
+    ``folder`` may hold wildcards for folders.
+    """
     return (
         spark.readStream.schema(T.StructType([T.StructField("value", T.StringType())]))
         .option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).text(folder)
         .select(
-            "value", F.col("_metadata.file_name").alias("source_file"),
+            "value", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_block_start").alias("block"),
         )
     )
