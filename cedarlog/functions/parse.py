@@ -26,7 +26,7 @@ from cedarlog.functions.variants import (
     unboxed,
     worthwhile,
 )
-from cedarlog.session import require_utc
+from cedarlog.session import allow_repeated_keys, require_utc
 
 # The three line layouts, their time formats and the defaults for missing fields.
 STANDARD = r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\s+(\w+)\s+([\w-]+)(?::)?\s+(.*)"
@@ -105,6 +105,7 @@ def parse_lines(
     where that could matter.
     """
     require_utc(df.sparkSession)
+    allow_repeated_keys(df.sparkSession)
     year = default_year if isinstance(default_year, Column) else F.lit(default_year)
     now = ingest_ts if isinstance(ingest_ts, Column) else F.lit(ingest_ts)
     text, fmt, js, g = F.col(_LINE), F.col(_FORMAT), F.col(_JSON), F.col(_GROUPS)

@@ -31,7 +31,16 @@ def boxed_json(line: Column) -> Column:
     The box is needed because the parser ignores text that follows a complete value.
     """
     shaped = line.startswith("{") & line.endswith("}")
-    return F.when(shaped, F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))))
+    return F.when(shaped, F.try_parse_json(F.concat(F.lit("["), lenient_json(line), F.lit("]"))))
+
+
+#: A number that JSON does not know, where the rest of the line is whole strings and what stands between them.
+NO_NUMBER = r'(?<=[:\[,\s])(-?Infinity|NaN)(?=\s*[,}\]](?:[^"\\]++|\\.|"(?:[^"\\]++|\\.)*+")*+$)'
+
+
+def lenient_json(line: Column) -> Column:
+    """The line with ``NaN`` and ``Infinity`` as texts, for the strict parser; texts that hold these words stay."""
+    return F.when(line.rlike("NaN|Infinity"), F.regexp_replace(line, NO_NUMBER, '"$1"')).otherwise(line)
 
 
 def unboxed(box: Column) -> Column:

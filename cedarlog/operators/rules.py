@@ -3,7 +3,7 @@
 Rules are configuration: a rule table is read once to the driver, behind a size check, because
 its patterns must be compiled and checked there (a bad pattern would fail the whole job). In
 the plan each pattern is then a literal, compiled once per task. Rule tables above the bound
-take the join form, in which the pattern is a column.
+take the join form, in which the pattern is a column; it tries patterns on the executors and gives the same results.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cedarlog.functions.parse import TYPE_COERCED
 from cedarlog.operators.joins import broadcast_if_small
+from cedarlog.session import materialise
 
 MAX_LITERAL_RULES = 500
 MAX_ATTEMPTS = 3
@@ -162,6 +163,12 @@ def validate_rules(
     )
 
 
+def _taken(rules: DataFrame) -> DataFrame:
+    """``java`` becomes NULL where the engine that will run the pattern refuses it; tried on the executors."""
+    compiled = F.call_function("try_reflect", F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("java"))
+    return rules.withColumn("java", F.when(F.col("java").isNotNull() & compiled.isNotNull(), F.col("java")))
+
+
 def _checked(rules: DataFrame, need_names: bool) -> DataFrame:
     """Rules with their checked Java form, computed on the executors in Arrow batches."""
 
@@ -173,9 +180,10 @@ def _checked(rules: DataFrame, need_names: bool) -> DataFrame:
             ]
             yield pdf
 
-    return rules.select("service_name", "attempt", "pattern").mapInPandas(
+    found = rules.select("service_name", "attempt", "pattern").mapInPandas(
         check, "service_name string, attempt int, pattern string, java string"
     )
+    return materialise(_taken(found), "rules")
 
 
 def _validate_by_join(
@@ -258,17 +266,16 @@ def _apply_by_join(lines: DataFrame, rules: DataFrame, line: str) -> DataFrame:
             pdf["names"] = [list(b[1]) for b in both]
             yield pdf
 
+    translated = rules.select("service_name", "attempt", "pattern").mapInPandas(
+        expand, "service_name string, attempt int, pattern string, java string, names array<string>"
+    )
     ready = (
-        rules.select("service_name", "attempt", "pattern")
-        .mapInPandas(
-            expand,
-            "service_name string, attempt int, pattern string, java string, names array<string>",
-        )
+        materialise(_taken(translated), "rules")
         .filter(F.col("java").isNotNull() & (F.size("names") > 0))
         .groupBy("service_name")
         .agg(F.array_sort(F.collect_list(F.struct("attempt", "pattern", "java", "names"))).alias("_rules"))
     )
-    first = F.filter("_rules", lambda r: F.regexp_like(F.col(line), r["java"]))[0]
+    first = F.get(F.filter("_rules", lambda r: F.regexp_like(F.col(line), r["java"])), F.lit(0))
     return (
         lines.join(broadcast_if_small(ready), "service_name", "left")
         .withColumn("_rule", first)

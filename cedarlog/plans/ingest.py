@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from cedarlog.functions.variants import (
     texts_of,
     worthwhile,
 )
+from cedarlog.operators.rules import apply_rules
+from cedarlog.operators.stitch import is_head, stitch
 from cedarlog.operators.templates import (
     assign_signatures,
     assign_templates,
@@ -25,8 +29,9 @@ from cedarlog.operators.templates import (
     templates_of,
     with_signature_template,
 )
-from cedarlog.session import scratch_scope
-from cedarlog.sources.lines import CURRENT_LOGS, path_exists, read_lines, spread
+from cedarlog.session import materialise, scratch_scope
+from cedarlog.sources.lines import CURRENT_LOGS, ROTATED_LOGS, path_exists, read_lines, spread
+from cedarlog.sources.rotation import load_ledger, read_new_lines, save_ledger
 from cedarlog.sources.tables import write_logs
 
 # A time this far from the load is a guessed year or a wrong clock.
@@ -118,6 +123,21 @@ def suspicious_time(ingest_ts: str | Column, days: int = MAX_SKEW_DAYS) -> Colum
     return F.abs(F.datediff("timestamp", now)) > days
 
 
+def with_rule_fields(lines: DataFrame, rules: DataFrame, service: Column, line: str = "value") -> DataFrame:
+    """Lines that a registered rule of their service reads become JSON lines of its fields; others stay.
+
+    So rules come before the general parser, which then finds the fields like those of any JSON line.
+    The service is kept as a field where the rule names none.
+    """
+    known = apply_rules(lines.withColumn("service_name", service), rules, line)
+    given = F.map_filter(F.coalesce("fields", F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull())
+    named = F.when(
+        F.map_contains_key(given, "service") | F.map_contains_key(given, "app"), given
+    ).otherwise(F.map_concat(given, F.create_map(F.lit("service"), F.col("service_name"))))
+    read = F.when(F.col("fields").isNotNull(), F.to_json(named)).otherwise(F.col(line))
+    return known.withColumn(line, read).drop("fields", "service_name")
+
+
 def bulk_load(
     spark: SparkSession,
     landing_zone: str,
@@ -125,24 +145,58 @@ def bulk_load(
     templates_path: str,
     default_year: int,
     ingest_ts: str,
-    glob: str = CURRENT_LOGS,
+    glob: str | None = None,
+    multiline: bool = False,
+    rules: DataFrame | None = None,
+    service: Column | None = None,
+    quarantine_path: str | None = None,
+    ledger_path: str | None = None,
     **options,
 ) -> bool:
-    """Load all log files of a folder; False when the folder has none.
+    """Load all log files of a folder; False when there is nothing to load.
 
     Saved templates seed the run and the new set takes their place, under a new version
     folder so that readers and a repeated run never see a half-written set.
+
+    ``multiline`` joins lines that begin no record to the record before. ``rules`` are tried before the general
+    parser on the lines of their service, which ``service`` tells (by default the file name up to ``.log``). With
+    ``quarantine_path`` rows that could not be read go there, by load, in place of ``logs``. With ``ledger_path``
+    only lines that no earlier load consumed are read, also from files that were rotated since, and a
+    load that is repeated after a failure replaces what it wrote. Lines are parsed once.
     """
-    found = read_lines(spark, landing_zone, glob)
-    if found.isEmpty():
-        return False
-    structured = structure(spread(found), default_year, ingest_ts)
+    version, after, load_id = -1, None, None
     with scratch_scope(spark):
+        if ledger_path is not None:
+            before, version = load_ledger(spark, ledger_path)
+            new, after = read_new_lines(spark, landing_zone, before, glob or ROTATED_LOGS)
+            found = materialise(new.select("value", "source_file", "nth"), "new-lines")
+            found = found.withColumns({"block": F.lit(0), "line_id": F.col("nth")}).drop("nth")
+            load_id = f"zone-{version + 1}"
+        else:
+            found = read_lines(spark, landing_zone, glob or CURRENT_LOGS, positions=multiline)
+        if found.isEmpty():
+            return False
+        if multiline:
+            found = stitch(found, is_head(F.col("value"))).select("value", "source_file")
+        found = found.select("value", "source_file")
+        if rules is not None:
+            named = F.regexp_replace("source_file", r"[-_.]?\d*\.log.*$", "") if service is None else service
+            found = with_rule_fields(found, rules, named)
+        structured = materialise(structure(spread(found), default_year, ingest_ts), "structured")
+        if quarantine_path is not None:
+            structured, bad = quarantine(structured)
+            folder = load_id or uuid.uuid4().hex
+            bad.select("source_file", "message", "parse_error", "timestamp").write.mode("overwrite").parquet(
+                f"{quarantine_path}/load_id={folder}"
+            )
+            load_id = load_id or folder
         rows, templates = with_mined_templates(
             structured, seeds=load_templates(spark, templates_path), **options
         )
-        write_logs(rows, logs_path)
+        write_logs(rows, logs_path, load_id)
         save_next(templates, templates_path)
+        if after is not None:
+            save_ledger(after, ledger_path, version + 1)
     return True
 
 

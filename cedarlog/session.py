@@ -25,6 +25,7 @@ def build_session(app: str = "cedarlog", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.sql.variant.allowDuplicateKeys": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -39,6 +40,11 @@ def require_utc(spark: SparkSession) -> None:
         raise ValueError(f"spark.sql.session.timeZone must be UTC, it is {zone}")
 
 
+def allow_repeated_keys(spark: SparkSession) -> None:
+    """A JSON object may name a key twice; the last one counts. A setting that running queries read."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``, else what the session already uses.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cedarlog import schema
+from cedarlog.session import materialise
 from cedarlog.sources.lines import path_exists
 
 
@@ -68,20 +69,48 @@ def describe(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column_name string, column_type string")
 
 
+#: Kinds and names of plan nodes that do something, and functions that call any code.
+_ACTIONS = ("Command", "ParsedStatement")
+_ACTING = r"InsertInto|ExecuteImmediate|^Call|CompoundBody|SetVariable"
+_CALLS = r"\b(reflect|java_method|try_reflect)\s*\("
+
+
+def _acts(spark: SparkSession, text: str) -> bool:
+    """Whether the text, as Spark's parser reads it, is or holds anything but a query."""
+    jvm = spark.sparkContext._jvm
+    kinds = [jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{k}") for k in _ACTIONS]
+    open_ = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]
+    while open_:
+        node = open_.pop()
+        if any(k.isInstance(node) for k in kinds) or re.search(_ACTING, node.nodeName()):
+            return True
+        children = node.children()
+        open_ += [children.apply(i) for i in range(children.size())]
+    return bool(re.search(_CALLS, text, re.IGNORECASE))
+
+
 def run_sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
-    """Run a read-only SQL text over named tables; Spark parses and plans it."""
-    if not re.match(r"\s*(select|with)\b", text, re.IGNORECASE):
-        raise ValueError("only SELECT and WITH queries are allowed")
+    """Run a read-only SQL text over named tables; Spark parses and plans it.
+
+    What the text does is read from its parsed plan: commands and inserts are refused before they run, however
+    they begin.
+    """
+    # Named tables stand in braces, which only their filling in makes SQL.
+    if _acts(spark, re.sub("\\{(" + "|".join(map(re.escape, tables)) + ")\\}", r"\1", text) if tables else text):
+        raise ValueError("only queries are allowed")
     return spark.sql(text, **tables) if tables else spark.sql(text)
 
 
 def query_or_error(spark: SparkSession, text: str | None, **tables: DataFrame) -> DataFrame:
-    """:func:`run_sql`, with a one-row ``error`` table in place of a failure to plan."""
+    """The result of :func:`run_sql`, or a one-row ``error`` table in place of any failure, also while it runs."""
     if not text:
         message = "Could not understand query. Try 'count errors' or 'show recent logs'."
     else:
         try:
-            return run_sql(spark, text, **tables)
+            found = run_sql(spark, text, **tables)
+            # Written under plain names: a result may name two columns alike.
+            numbered = found.toDF(*[f"c{i}" for i in range(len(found.columns))])
+            return materialise(numbered, "answer").toDF(*found.columns)
         except Exception as e:  # the text comes from a user, any refusal becomes a row
             message = f"SQL Execution failed: {e}"
     return spark.createDataFrame([(message,)], "error string")

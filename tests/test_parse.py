@@ -70,7 +70,7 @@ def test_json_values_of_other_types_are_kept_and_marked(spark):
 
 
 def test_broken_json_is_fallback(spark):
-    rows = parse(spark, '{"bad"', '{"a":1} x', '{"a":1,"a":2}', '{"a":1}{"b":2}')
+    rows = parse(spark, '{"bad"', '{"a":1} x', '{"a":1, a}', '{"a":1}{"b":2}')
     assert [(r.format, r.parse_error) for r in rows] == [
         ("fallback", "format_unknown"),
         ("fallback", "format_unknown"),
@@ -79,6 +79,22 @@ def test_broken_json_is_fallback(spark):
     ]
 
 
+def test_json_with_repeated_keys_and_no_numbers(spark):
+    rows = parse(
+        spark,
+        '{"level":"WARN","service":"a","message":"m","n":1,"n":2}',
+        '{"level":"WARN","level":"ERROR","service":"a","message":"x NaN, y","v":[NaN,-Infinity, 1]}',
+        '{"message":"q \\" NaN,","v":NaN}',
+        '{"message":5,"message":"six"}',
+    )
+    assert [(r.format, r.severity, r.service_name, r.body, r.parse_error) for r in rows] == [
+        ("json", "WARN", "a", "m", None),
+        ("json", "ERROR", "a", "x NaN, y", None),
+        ("json", "INFO", "unknown", 'q " NaN,', None),
+        ("json", "INFO", "unknown", "six", None),
+    ]
+
+
 def test_syslog(spark):
     rows = parse(
         spark,

@@ -74,6 +74,25 @@ def test_valid_patterns_cannot_fail_a_job(spark):
     assert r.apply_rules(data, table).first().fields == {"a": "abc ["}
 
 
+def test_many_rules_give_what_few_rules_give(spark):
+    """Above the bound the pattern is a column; one that only Python takes must not fail the job."""
+    wanted = [("mill", 1, r"(?P<w>a)(?(w)b|c)"), ("mill", 2, "("), ("mill", 3, MILL), ("bus", 1, BUS), ("bus", 2, ".*")]
+    rest = [(f"service-{i}", 1, rf"(?P<n>line {i}) .*") for i in range(600)]
+    data = lines(spark, *GOLDEN, ("service-7", "line 7 and more"), ("service-8", "other"))
+    few, many = rules(spark, *wanted, *rest[:20]), rules(spark, *wanted, *rest)
+    assert r.load_rules(many) is None and r.load_rules(few) is not None
+    small, large = verdicts(r.validate_rules(data, few)), verdicts(r.validate_rules(data, many))
+    assert large == {**{(name, a): True for name, a, _ in rest}, **small} and not large["mill", 1]
+    chosen = [{x.service_name: (x.attempt, x.pattern) for x in r.select_rules(data, t).collect()} for t in (few, many)]
+    assert chosen[0] == chosen[1] and chosen[0]["mill"] == (3, MILL)
+    fields = [{x.line: x.fields for x in r.apply_rules(data, t).collect()} for t in (few, many)]
+    assert fields[0] == fields[1] and fields[0]["line 7 and more"] == {"n": "line 7"}
+    assert [x.score for x in s.regex_scores(
+        spark.createDataFrame([("a", "x")], "id string, line string"),
+        spark.createDataFrame([("a", r"(?P<w>x)?(?(w)|c)")] + [(f"i{i}", "(") for i in range(600)], "id string, predicted string"),
+    ).filter("id = 'a'").collect()] == [0.0]
+
+
 def test_equal_attempts_go_by_pattern(spark):
     table = rules(spark, ("s", 1, "(?P<z>abc)"), ("s", 1, "(?P<b>abc)"))
     data = lines(spark, ("s", "abc"))

@@ -90,6 +90,32 @@ def test_describe_and_raw_sql(spark):
     assert "Could not" in tables.query_or_error(spark, None).first().error
 
 
+def test_sql_tool_only_reads_and_always_answers(spark, tmp_path):
+    spark.createDataFrame([(1, "x")], "a int, b string").createOrReplaceTempView("seen")
+    spark.sql(f"CREATE TABLE kept (a int, b string) USING parquet LOCATION '{tmp_path}/kept'")
+    try:
+        for text in (
+            "WITH c AS (SELECT a, b FROM seen) INSERT INTO kept SELECT a, b FROM c", "INSERT INTO kept VALUES (1, 'x')",
+            "WITH c AS (SELECT 1) FROM c INSERT INTO kept SELECT 1, 'x'", "DROP TABLE kept", "SET spark.x = 1", "CACHE TABLE seen",
+            "CREATE TABLE other AS SELECT 1", f"INSERT OVERWRITE DIRECTORY '{tmp_path}/out' USING parquet SELECT 1 AS a",
+            "select reflect('java.lang.System', 'getenv', 'HOME')", "/* a comment */ TRUNCATE TABLE kept", "EXECUTE IMMEDIATE 'DROP TABLE kept'", "BEGIN DROP TABLE kept; END",
+        ):
+            with pytest.raises(ValueError):
+                tables.run_sql(spark, text)
+            assert "only queries" in tables.query_or_error(spark, text).first().error
+        assert spark.table("kept").count() == 0 and not (tmp_path / "out").exists()
+        for text, want in (
+            ("SELECT a, a FROM seen", [(1, 1)]), ("/* first */ (SELECT a FROM seen) UNION ALL VALUES (2)", [(1,), (2,)]),
+            ("FROM seen SELECT count(*)", [(1,)]), ("WITH c AS (SELECT a FROM seen) SELECT * FROM c ORDER BY a", [(1,)]),
+            ("SELECT 'INSERT INTO kept' AS t", [("INSERT INTO kept",)]),
+        ):
+            assert sorted(map(tuple, tables.query_or_error(spark, text).collect())) == want
+        for text in ("SELECT CAST(b AS INT) FROM seen", "SELECT nope FROM seen", "SELECT", "SELECT 1/0", "}{"):
+            assert "failed" in tables.query_or_error(spark, text).first().error
+    finally:
+        spark.sql("DROP TABLE IF EXISTS kept")
+
+
 def test_catalog_chat_and_golden_files(spark, tmp_path):
     path = tmp_path / "catalog.csv"
     path.write_text(
