@@ -6,11 +6,16 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from cedarlog.operators import baseline as bl
+from cedarlog.operators import episodes as ep
+from cedarlog.operators import forecast as fc
+from cedarlog.operators import forget as fg
 from cedarlog.operators import history as h
 from cedarlog.operators import retrieval as rt
 from cedarlog.operators.templates import with_signature_template
 from cedarlog.registry.base import query, sql_stamp, stamp, with_feed
-from cedarlog.sources import feed
+from cedarlog.session import scratch_path
+from cedarlog.sources import feed, tables
 
 
 def _logs(spark, d):
@@ -213,3 +218,112 @@ def categorise_kmeans(spark, d):
     vectors = docs.select("doc_id", array_to_vector("embedding").alias("features"))
     model = KMeans(k=8, seed=7, maxIter=5, featuresCol="features", predictionCol="category").fit(vectors)
     return model.transform(vectors).groupBy("category").agg(F.count("*").alias("n"))
+
+
+_SERIES = """, hourly AS (SELECT service_name, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hr, count(*) AS n FROM logs GROUP BY 1, 2),
+hrs AS (SELECT s.service_name, g.hr, coalesce(hourly.n, 0) AS n, (g.hr + 72) % 168 AS hour_of_week
+  FROM (SELECT DISTINCT service_name FROM hourly) s CROSS JOIN
+  (SELECT unnest(generate_series((SELECT min(hr) FROM hourly), (SELECT max(hr) FROM hourly))) AS hr) g
+  LEFT JOIN hourly ON hourly.service_name = s.service_name AND hourly.hr = g.hr)"""
+_NORMAL = _SERIES + """, prof AS (SELECT service_name, hour_of_week, CAST(quantile_disc(n, 0.25) AS DOUBLE) AS lo,
+  CAST(quantile_disc(n, 0.5) AS DOUBLE) AS median, CAST(quantile_disc(n, 0.75) AS DOUBLE) AS hi FROM hrs GROUP BY 1, 2),
+scored AS (SELECT hrs.*, median, greatest((hi - lo) / 1.349, sqrt(median), 1.0) AS spread, (n - median) / greatest((hi - lo) / 1.349, sqrt(median), 1.0) AS score
+  FROM hrs JOIN prof USING (service_name, hour_of_week))"""
+
+
+def _normal(spark, d):
+    """Hours scored against the merged profiles of two loads."""
+    counted = bl.hours(feed.logs_view(spark, d))
+    path = scratch_path(spark, "profiles")
+    for i in range(2):
+        bl.save_profile(bl.profile(counted.filter(f"at % 2 = {i}")), path, f"load-{i}")
+    return bl.robust_scores(counted, bl.read_profile(spark, path))
+
+
+@query(
+    "normal_scores",
+    with_feed(_NORMAL + " SELECT service_name, hr AS hour_no, CAST(n AS BIGINT) AS n, median, round(spread, 6) AS spread, round(score, 6) AS score FROM scored"),
+)
+def normal_scores(spark, d):
+    return _normal(spark, d).select(
+        "service_name", F.col("at").alias("hour_no"), "n", "median", F.round("spread", 6).alias("spread"), F.round("score", 6).alias("score")
+    )
+
+
+@query(
+    "change_points",
+    "WITH RECURSIVE "
+    + with_feed(
+        _NORMAL
+        + f""", r AS (SELECT service_name, hr, score, row_number() OVER (PARTITION BY service_name ORDER BY hr) AS i FROM scored),
+        w AS (SELECT service_name, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS hr, CAST(0 AS DOUBLE) AS up, CAST(0 AS DOUBLE) AS down, CAST(0 AS BIGINT) AS uf, CAST(0 AS BIGINT) AS df, 0 AS alarm,
+                CAST(0 AS BIGINT) AS began FROM (SELECT DISTINCT service_name FROM r)
+          UNION ALL
+          SELECT service_name, i, hr, CASE WHEN hit <> 0 THEN 0 ELSE rise END, CASE WHEN hit <> 0 THEN 0 ELSE fall END, uf, df, hit, CASE WHEN hit = 1 THEN uf ELSE df END
+          FROM (SELECT *, CASE WHEN rise > {bl.ALARM} THEN 1 WHEN fall > {bl.ALARM} THEN -1 ELSE 0 END AS hit FROM (
+            SELECT r.service_name, r.i, r.hr, greatest(0.0, w.up + r.score - {bl.DRIFT}) AS rise, greatest(0.0, w.down - r.score - {bl.DRIFT}) AS fall,
+              CASE WHEN w.up = 0 AND w.up + r.score - {bl.DRIFT} > 0 THEN r.hr ELSE w.uf END AS uf,
+              CASE WHEN w.down = 0 AND w.down - r.score - {bl.DRIFT} > 0 THEN r.hr ELSE w.df END AS df
+            FROM w JOIN r ON r.service_name = w.service_name AND r.i = w.i + 1)))
+        SELECT service_name, strftime(make_timestamp(began * 3600000000), '%Y-%m-%d %H:%M:%S') AS began,
+          strftime(make_timestamp(hr * 3600000000), '%Y-%m-%d %H:%M:%S') AS noticed, CAST(alarm AS INTEGER) AS direction FROM w WHERE alarm <> 0"""
+    ).removeprefix("WITH "),
+)
+def change_points(spark, d):
+    """Lasting shifts of each service against its profile."""
+    found = bl.change_points(_normal(spark, d))
+    return found.select("service_name", stamp("began").alias("began"), stamp("noticed").alias("noticed"), "direction")
+
+
+@query(
+    "frequent_episodes",
+    with_feed(
+        """, e AS (SELECT strftime(ts, '%Y%m%d%H') AS t, service_name AS s, row_number() OVER (PARTITION BY strftime(ts, '%Y%m%d%H') ORDER BY ts, service_name) AS i
+          FROM logs WHERE severity = 'ERROR'),
+        p AS (SELECT s AS episode, 1 AS length, t FROM e
+          UNION ALL SELECT a.s || '>' || b.s, 2, t FROM e a JOIN e b USING (t) WHERE a.i < b.i
+          UNION ALL SELECT a.s || '>' || b.s || '>' || c.s, 3, t FROM e a JOIN e b USING (t) JOIN e c USING (t) WHERE a.i < b.i AND b.i < c.i)
+        SELECT episode, CAST(length AS INTEGER) AS length, count(DISTINCT t) AS support FROM p GROUP BY 1, 2 HAVING count(DISTINCT t) >= 3"""
+    ),
+)
+def frequent_episodes(spark, d):
+    """Services that fail after each other within an hour, in at least three hours."""
+    logs = feed.logs_view(spark, d).withColumn("trace_id", F.date_format("timestamp", "yyyyMMddHH"))
+    return ep.frequent_episodes(logs, 3, 3).withColumn("episode", F.array_join("episode", ">"))
+
+
+@query("hourly_series", with_feed(_SERIES + " SELECT service_name, hr AS hour_no, CAST(n AS BIGINT) AS n FROM hrs"))
+def hourly_series(spark, d):
+    """Rows per service and hour, hours without rows too."""
+    return fc.series(feed.logs_view(spark, d), "service_name").withColumnRenamed("at", "hour_no")
+
+
+@query("forecast_season")
+def forecast_season(spark, d):
+    """The next day of every service by hour, with a daily season."""
+    return fc.forecast(feed.logs_view(spark, d))
+
+
+@query("forecast_back_test")
+def forecast_back_test(spark, d):
+    """Errors of the forecast of the last day, made before it."""
+    return fc.back_test(feed.logs_view(spark, d))
+
+
+@query(
+    "forget_subject",
+    with_feed(
+        """SELECT host, count(*) AS n FROM logs WHERE host NOT IN
+        (SELECT 'server-' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') FROM nation) GROUP BY 1"""
+    ),
+)
+def forget_subject(spark, d):
+    """Hosts numbered like a nation asked to be forgotten; only days whose filter may hold one are opened."""
+    out, folder = scratch_path(spark, "forget"), ["load_id", "log_date"]
+    tables.write_logs(feed.logs_view(spark, d), f"{out}/logs", "first")
+    fg.update_filters(spark, f"{out}/logs", f"{out}/filters", folder)
+    asked = feed.table(spark, d, "nation").select(
+        F.concat(F.lit("SERVER-"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("token")
+    )
+    fg.forget(spark, f"{out}/logs", f"{out}/filters", asked, folder)
+    return spark.read.parquet(f"{out}/logs").groupBy("host").agg(F.count("*").alias("n"))

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cedarlog.plans.ingest import bulk_load, load_templates, structure
+from cedarlog.plans.ingest import bulk_load, load_templates, save_next, structure
 from cedarlog.plans.knowledge import index_logs
 from cedarlog.operators.history import move_tiers, purge_table, top_template, write_tiers
 from cedarlog.operators.queries import failing_endpoints
-from cedarlog.operators.templates import new_patterns, template_stats
+from cedarlog.operators.templates import cluster_count, mine_templates, new_patterns, template_stats
 from cedarlog.registry.base import event_lines, query, sql_stamp, stamp, with_feed, with_parsed
 from cedarlog.session import materialise, scratch_path
 from cedarlog.sources import feed, tables
 from cedarlog.sources.lines import stream_lines
 from cedarlog.streaming.ingest import dual_sink, evolve_templates, start_ingest, streaming_error_rate
+from cedarlog.streaming.late import late_rows, period_counts, start_counting
 from cedarlog.streaming.stitch import open_records, stitch_stream, stream_parts
 from cedarlog.streaming.templates import compact_signatures, track_templates, tracked_templates
 
@@ -192,6 +194,105 @@ def stream_error_rate(spark, d):
     return spark.read.parquet(f"{out}/rates").select(stamp("period").alias("period"), "n", "errors")
 
 
+@query(
+    "stream_late_rows",
+    with_feed(
+        f"""SELECT b % 4 AS source, {sql_stamp("date_trunc('hour', ts)")} AS hour, CAST(count(*) FILTER (WHERE NOT late) AS BIGINT) AS counted,
+        CAST(count(*) FILTER (WHERE late) AS BIGINT) AS late
+        FROM (SELECT *, coalesce(date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM feed f WHERE f.event_id % 4 < l.b) - INTERVAL 3 DAY, false) AS late
+              FROM (SELECT ts, event_id % 4 AS b FROM feed) l) GROUP BY 1, 2 HAVING count(*) FILTER (WHERE late) > 0"""
+    ),
+)
+def stream_late_rows(spark, d):
+    """Four micro-batches that each reach over the whole time, so all but the last days of the later ones come too late."""
+    out = scratch_path(spark, "late")
+    rows = feed.logs_view(spark, d).select("timestamp", "severity", (F.col("event_id") % 4).alias("b"))
+    rows = materialise(rows, "rows")
+    for b in range(4):
+        rows.filter(F.col("b") == b).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    start_counting(source, f"{out}/counts", f"{out}/state", "3 days", source="b").awaitTermination()
+    behind = late_rows(spark, f"{out}/counts").select(F.col("source").cast("bigint").alias("source"), "hour", F.col("n").alias("late"))
+    held = rows.groupBy(F.col("b").alias("source"), F.date_trunc("hour", "timestamp").alias("hour")).agg(F.count("*").alias("n"))
+    joined = held.join(behind, ["source", "hour"])
+    return joined.select("source", stamp("hour").alias("hour"), (F.col("n") - F.col("late")).alias("counted"), "late")
+
+
+@query(
+    "stream_late_counts",
+    with_feed(
+        f"""SELECT {sql_stamp("date_trunc('hour', ts)")} AS period, count(*) AS n, CAST(count(*) FILTER (WHERE severity = 'ERROR') AS BIGINT) AS errors,
+        date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM feed) - INTERVAL 1 HOUR AS closed FROM feed GROUP BY ALL"""
+    ),
+)
+def stream_late_counts(spark, d):
+    """Hourly counts of a stream in the order of time: nothing is late, and all but the last hours are closed."""
+    out = scratch_path(spark, "counts")
+    rows = materialise(feed.logs_view(spark, d).select("timestamp", "severity"), "rows")
+    low, high = rows.agg(F.min("timestamp"), F.max("timestamp")).first()
+    for k in range(3):
+        share = F.floor((F.unix_timestamp("timestamp") - F.lit(low.timestamp())) * 3 / F.lit(high.timestamp() - low.timestamp() + 1))
+        rows.filter(share == k).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in").withColumn("source_file", F.lit("feed"))
+    start_counting(source, f"{out}/counts", f"{out}/state").awaitTermination()
+    return period_counts(spark, f"{out}/counts").select(stamp("period").alias("period"), "n", "errors", "closed")
+
+
+@query("bulk_load_rotated", with_parsed(_COUNTS))
+def bulk_load_rotated(spark, d):
+    """Half of the lines are loaded, then the file is found again under another name and longer: each line once."""
+    out = scratch_path(spark, "rotated")
+    lines = materialise(event_lines(spark, d).select("event_id", "value"), "lines")
+    middle = lines.agg(F.max("event_id")).first()[0] // 2
+    for name, part in (("before", lines.filter(F.col("event_id") <= middle)), ("after", lines)):
+        # One file that grows, so its lines are written by one task.
+        part.coalesce(1).sortWithinPartitions("event_id").select("value").write.text(f"{out}/{name}")
+        bulk_load(
+            spark, f"{out}/{name}", f"{out}/logs", f"{out}/templates", feed.DEFAULT_YEAR, feed.INGEST_TS,
+            glob="*.txt", ledger_path=f"{out}/ledger",
+        )
+    return _counts(tables.read_logs(spark, f"{out}/logs"))
+
+
+@query(
+    "bulk_load_quarantine",
+    with_parsed(
+        """SELECT CASE WHEN parse_error IS NULL THEN 'logs' ELSE 'quarantine' END AS store, count(*) AS n, min(message) AS least FROM parsed GROUP BY 1"""
+    ),
+)
+def bulk_load_quarantine(spark, d):
+    """Rows that could not be read lie apart from the others after a load."""
+    out = scratch_path(spark, "bulk")
+    bulk_load(
+        spark, _land(spark, d, "zone"), f"{out}/logs", f"{out}/templates", feed.DEFAULT_YEAR, feed.INGEST_TS,
+        glob="*.txt", quarantine_path=f"{out}/quarantine",
+    )
+    stores = tables.read_logs(spark, f"{out}/logs").select(F.lit("logs").alias("store"), "message").unionByName(
+        spark.read.parquet(f"{out}/quarantine").select(F.lit("quarantine").alias("store"), "message"))
+    return stores.groupBy("store").agg(F.count("*").alias("n"), F.min("message").alias("least"))
+
+
+@query(
+    "bulk_load_multiline",
+    with_feed(
+        """SELECT service_name, severity, count(*) AS n, CAST(sum(CASE WHEN severity = 'ERROR' THEN 1 + k % 3 ELSE 0 END) AS BIGINT) AS frames
+        FROM feed GROUP BY ALL"""
+    ),
+)
+def bulk_load_multiline(spark, d):
+    """Errors carry a stack of one to three more lines; records are stitched before they are parsed."""
+    out = scratch_path(spark, "bulk")
+    e = feed.logs_view(spark, d).withColumn("k", F.get_json_object("context", "$.latency_ms").cast("int"))
+    head = F.concat(stamp(), F.lit(" "), "severity", F.lit(" "), "service_name", F.lit(": "), "body")
+    stack = F.when(F.col("severity") == "ERROR", F.expr("repeat('\n  at some frame', 1 + k % 3)")).otherwise("")
+    e.select(F.concat(head, stack).alias("value")).write.text(f"{out}/zone")
+    bulk_load(
+        spark, f"{out}/zone", f"{out}/logs", f"{out}/templates", feed.DEFAULT_YEAR, feed.INGEST_TS, glob="*.txt", multiline=True,
+    )
+    frames = F.sum(F.size(F.split("message", "at some frame")) - 1)
+    return tables.read_logs(spark, f"{out}/logs").groupBy("service_name", "severity").agg(F.count("*").alias("n"), frames.alias("frames"))
+
+
 @query("staged_history", with_feed("SELECT strftime(ts, '%Y-%m-%d') AS log_date, count(*) AS n FROM logs GROUP BY 1"))
 def staged_history(spark, d):
     """History staged by year and day, loaded in one go."""
@@ -282,16 +383,91 @@ def stored_templates(spark, d):
     return rows.select(F.lit(size).alias("n"), "missing", "unlike", F.lit(unknown).cast("long").alias("unknown"))
 
 
-@query("stored_template_stats", "SELECT count(*) AS n FROM events")
+#: What mining makes of each line: the layout adds words to the message, of which some vary.
+_STORED = """, stored AS (SELECT p.event_id, p.ts, p.service_name,
+  CASE p.format WHEN 'standard' THEN f.template || ' env=prod <*> <*> <*> dept=' || f.department || ' app_id=' || f.app_id
+    WHEN 'syslog' THEN f.template || ' env=prod <*> <*>' WHEN 'nginx' THEN 'GET <*> HTTP/1.1 <*>'
+    WHEN 'fallback' THEN 'unreadable entry <*>' ELSE f.template END AS template
+  FROM parsed p JOIN feed f USING (event_id))"""
+
+
+@query(
+    "stored_template_stats",
+    with_parsed(
+        _STORED + f""" SELECT template, count(*) AS n, {sql_stamp("min(ts)")} AS first_seen, {sql_stamp("max(ts)")} AS last_seen,
+        count(DISTINCT service_name) AS services FROM stored GROUP BY 1"""
+    ),
+)
 def stored_template_stats(spark, d):
+    """Statistics of every template of a stored table."""
     logs, _ = _stored(spark, d)
-    return template_stats(logs).agg(F.sum("n").alias("n"))
+    return template_stats(logs).select(
+        "template", "n", stamp("first_seen").alias("first_seen"), stamp("last_seen").alias("last_seen"), "services"
+    )
 
 
-@query("stored_top_template", with_parsed("SELECT strftime(ts, '%Y-%m-%d') AS day FROM parsed GROUP BY 1"))
+@query(
+    "stored_top_template",
+    with_parsed(
+        _STORED + """ SELECT strftime(ts, '%Y-%m-%d') AS day, template, count(*) AS n FROM stored GROUP BY 1, 2
+        QUALIFY row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY count(*) DESC, template DESC) = 1"""
+    ),
+)
 def stored_top_template(spark, d):
+    """The most frequent template of every day of a stored table."""
     logs, _ = _stored(spark, d)
-    return top_template(logs).filter("template is not null and n > 0").select(F.date_format("day", "yyyy-MM-dd").alias("day"))
+    return top_template(logs).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "template", "n")
+
+
+@query(
+    "catalog_csv",
+    """SELECT n_name AS department, CASE WHEN s_acctbal < 0 THEN 'High' ELSE 'Low' END AS criticality, count(*) AS systems,
+    min(s_name) AS first_system FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2""",
+)
+def catalog_csv(spark, d):
+    """A catalog of systems from a CSV file with a header, found again by SQL under its name."""
+    out = scratch_path(spark, "catalog")
+    systems = feed.table(spark, d, "supplier").join(feed.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    systems.select(
+        F.col("s_name").alias("system_name"), F.col("n_name").alias("department"), F.lit("o@x.example").alias("owner_email"),
+        F.when(F.col("s_acctbal") < 0, "High").otherwise("Low").alias("criticality"),
+    ).write.option("header", True).csv(out)
+    tables.read_catalog(spark, out)
+    return tables.run_sql(
+        spark, "SELECT department, criticality, count(*) AS systems, min(system_name) AS first_system FROM system_catalog GROUP BY ALL"
+    )
+
+
+@query("golden_set", "SELECT CAST(item_id AS VARCHAR) AS id, text AS query, CAST(length(text) AS VARCHAR) AS expected_answer FROM benchmark")
+def golden_set(spark, d):
+    """A golden set written as one JSON array of objects, as such sets are kept, and read with its schema."""
+    out = scratch_path(spark, "golden")
+    item = F.to_json(F.struct(
+        F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), F.length("text").cast("string").alias("expected_answer")))
+    items = feed.table(spark, d, "benchmark").agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ","), F.lit("]")).alias("value"))
+    items.write.text(out)
+    return tables.read_golden(spark, out, T.StructType.fromDDL("id string, query string, expected_answer string"))
+
+
+@query("template_count", with_feed("SELECT count(DISTINCT template) AS n FROM logs"))
+def template_count(spark, d):
+    """How many templates the messages have."""
+    found = mine_templates(feed.logs_view(spark, d))
+    return spark.range(1).select(F.lit(cluster_count(found)).cast("bigint").alias("n"))
+
+
+@query("templates_resumed", with_feed("SELECT template, md5(template) AS template_id, count(*) AS size FROM logs GROUP BY 1"))
+def templates_resumed(spark, d):
+    """Templates mined from the first half and saved, loaded again as seeds for the second half: same texts, ids and sizes."""
+    out, rows = scratch_path(spark, "resumed"), feed.logs_view(spark, d)
+    save_next(mine_templates(rows.filter("event_id % 2 = 0")), out)
+    return mine_templates(rows.filter("event_id % 2 = 1"), seeds=load_templates(spark, out)).select("template", "template_id", "size")
+
+
+@query("templates_strict", with_feed("SELECT template, count(*) AS size FROM logs GROUP BY 1"))
+def templates_strict(spark, d):
+    """With the highest threshold only words with digits may vary."""
+    return mine_templates(feed.logs_view(spark, d), similarity=1.0).select("template", "size")
 
 
 @query("chat_append", "SELECT role, count(*) AS n, count(DISTINCT conv_id) AS sessions FROM conversations GROUP BY 1")

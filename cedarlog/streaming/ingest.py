@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cedarlog.operators.queries import error_rate
@@ -13,11 +13,12 @@ from cedarlog.operators.templates import (
     assign_templates,
     templates_of,
 )
-from cedarlog.plans.ingest import as_log_table, save_next, structure, with_signatures
+from cedarlog.plans.ingest import as_log_table, save_next, structure, with_rule_fields, with_signatures
 from cedarlog.schema import DOCUMENT
 from cedarlog.session import scratch_scope
 from cedarlog.sources.lines import path_exists
 from cedarlog.sources.tables import write_logs
+from cedarlog.streaming.stitch import IDLE, stitch_stream
 
 #: Loads of a stream are named so, with the number of the batch.
 STREAM = "stream-"
@@ -44,17 +45,40 @@ def dual_sink(logs_path: str, documents_path: str | None = None):
     return write
 
 
+def arrival_year(line: Column) -> Column:
+    """The year of a line without one, by when it came: a month still to come this year was last year's."""
+    month = F.ceil(F.instr(F.lit("JanFebMarAprMayJunJulAugSepOctNovDec"), F.substring(F.ltrim(line), 1, 3)) / 3)
+    now = F.current_timestamp()
+    return F.year(now) - F.when(month > F.month(now), 1).otherwise(0)
+
+
 def start_ingest(
     lines: DataFrame,
     logs_path: str,
     checkpoint: str,
-    default_year: int,
-    ingest_ts: str,
+    default_year: int | None = None,
+    ingest_ts: str | None = None,
     documents_path: str | None = None,
     every: str | None = None,
+    multiline: bool = False,
+    idle: str = IDLE,
+    rules: DataFrame | None = None,
 ):
-    """Start loading a line stream; without ``every`` it stops when the input is used up."""
-    rows = with_signatures(structure(lines, default_year, ingest_ts))
+    """Start loading a line stream; without ``every`` it stops when the input is used up.
+
+    Without ``default_year`` and ``ingest_ts`` each micro-batch takes the time it came, so a stream may run over
+    years. ``multiline`` takes lines as :func:`stream_parts` gives them and joins those that begin no record to the record
+    before, also over micro-batches; a record waits up to ``idle`` for more lines. ``rules`` are tried before the
+    general parser on the lines of their service, which the file name up to ``.log`` tells.
+    """
+    if multiline:
+        lines = stitch_stream(lines, idle=idle).select("value", "source_file")
+    lines = lines.select("value", "source_file")
+    if rules is not None:
+        lines = with_rule_fields(lines, rules, F.regexp_replace("source_file", r"[-_.]?\d*\.log.*$", ""))
+    year = arrival_year(F.col("value")) if default_year is None else default_year
+    now = F.current_timestamp() if ingest_ts is None else ingest_ts
+    rows = with_signatures(structure(lines, year, now))
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
         dual_sink(logs_path, documents_path)
     )

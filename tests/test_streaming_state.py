@@ -12,6 +12,7 @@ from cedarlog.operators.templates import mine_templates
 from cedarlog.sources.lines import read_lines
 from cedarlog.streaming import stitch as ss
 from cedarlog.streaming import templates as st
+from cedarlog.streaming.ingest import start_ingest
 
 
 def _messages(seed=1):
@@ -209,3 +210,24 @@ def test_fragments_do_not_depend_on_arrow_batches(spark, tmp_path):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     whole = [[f for f in x if f[3] == ss.WHOLE] for x in found]
     assert found[0] == found[1] == found[2] and whole[0]
+
+
+def test_stream_load_stitches_applies_rules_and_knows_its_year(spark, tmp_path):
+    folder = tmp_path / "zone"
+    folder.mkdir()
+    _write(folder, [
+        ("crane-1.log", [HEAD + "Hook 7 lost", "  at step1"]), ("crane-2.log", ["  at step2", HEAD + "Hook 8 found", HEAD + "end"]),
+        ("mill-1.log", ["{\"message\":\"x\"}", "{\"message\":\"y\"}"]),
+        ("web-1.log", ["Jan  1 00:00:01 h sshd: hello", "Dec 31 23:59:59 h sshd: bye", "Jan  1 00:00:02 h sshd: last"]),
+    ])
+    rules = spark.createDataFrame([("mill", 1, r'\{"message":"(?P<message>x)"\}')], "service_name string, attempt int, pattern string")
+    job = start_ingest(ss.stream_parts(spark, str(folder), files_per_batch=1), f"{tmp_path}/logs", f"{tmp_path}/state", multiline=True, rules=rules)
+    assert job.awaitTermination(240)
+    rows = spark.read.parquet(f"{tmp_path}/logs").collect()
+    by = {r.message: r for r in rows}
+    assert any(m.split() == "Hook 7 lost at step1 at step2".split() for m in by) and "Hook 8 found" in by
+    assert by["x"].service_name == "mill"
+    import datetime as dt
+
+    now = dt.datetime.now(dt.timezone.utc)
+    assert by["hello"].timestamp.year == now.year and by["bye"].timestamp.year == now.year - (now.month < 12)
