@@ -7,8 +7,8 @@ from histograms: words are summed by source and hash bucket, whole buckets are t
 and only the bucket in which the budget ends is split by further hash bits, level within level, until one
 document is left there. It is taken if that brings the source nearer to its target. No rows are sorted.
 
-The hash depends on the document's id alone, so reruns agree and a larger budget takes a superset.
-Documents of one id (or without id) and one source are taken together. Size is the number of words
+The hash depends on the document's id and text alone, so reruns agree and a larger budget takes a superset.
+Only rows that agree in both are taken together. Size is the number of words
 without white space; null and empty texts have size 0 and take nothing. A null source is a source of its own,
 last in order. Rows may repeat: each counts. An empty table gives an empty mix. Other columns and
 their names do not matter.
@@ -42,15 +42,16 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("a"), source.cast("string")), F.lit("z"))
 
 
-def hash_of(id_col: Column) -> Column:
-    digest = F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary"))
+def hash_of(id_col: Column, text: Column) -> Column:
+    own = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    digest = F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit("/"), own).cast("binary"))
     return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long")
 
 
 def sized_rows(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     return documents.select(
         F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("source_key"),
-        size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col)).alias("hash"),
+        size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col), F.col(text_col)).alias("hash"),
     )
 
 
@@ -181,7 +182,7 @@ def mix_documents(documents: DataFrame, share: float = 1.0, max_repeats: int = M
     sizes = materialise(sized_rows(documents, id_col, text_col, source_col), "sizes")
     plan = _plan(sizes, repeating_weights(sizes), share, max_repeats)
     rows = documents.select(
-        F.struct("*").alias("row"), source_key(F.col(source_col)).alias("source_key"), hash_of(F.col(id_col)).alias("hash")
+        F.struct("*").alias("row"), source_key(F.col(source_col)).alias("source_key"), hash_of(F.col(id_col), F.col(text_col)).alias("hash")
     )
     return (
         rows.withColumn("salt", _salt()).join(plan, ["source_key", "salt"])

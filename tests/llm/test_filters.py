@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cedarlog.llm import decontaminate, fingerprints, html_extract, licenses, mixing, quality, toxicity
 from cedarlog.llm import text as tx
 from tests.llm import brute
+from tests.llm.conftest import sentence
 
 
 @pytest.fixture(scope="module")
@@ -76,6 +77,14 @@ def test_mixing_meets_targets(spark, messy):
     )
 
 
+def test_documents_without_id_split_between_budgets(spark):
+    rows = [(None if i % 2 else 7, f"{sentence(random.Random(i), 20 + i % 9)}", "ab"[i % 3 == 0]) for i in range(120)]
+    out = mixing.mix_sizes(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for size in {r["source_size"] for r in out}:
+        own = [r for r in out if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+
+
 def test_larger_budgets_take_supersets(messy):
     few = {(r["id"], r["size"]): r["taken"] for r in mixing.mix_sizes(messy, share=0.3).collect()}
     many = {(r["id"], r["size"]): r["taken"] for r in mixing.mix_sizes(messy, share=0.6).collect()}
