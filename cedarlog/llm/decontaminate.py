@@ -46,8 +46,10 @@ def windows(items: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
     )
 
 
-def _bytes(df: DataFrame, text: Column) -> int:
-    row = df.agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("b")).first()
+def _bytes(df: DataFrame, text: Column, listed: Column | None = None) -> int:
+    """About the size of ``df`` with a text column, and with a list of ids of which each counts 32 bytes."""
+    size = F.octet_length(text) + (0 if listed is None else 32 * F.size(listed))
+    row = df.agg(F.count("*").alias("n"), F.sum(size.cast("long")).alias("b")).first()
     return 100 * row["n"] + (row["b"] or 0)
 
 
@@ -136,7 +138,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
     prefix = materialise(prefixes(documents, wanted, text_col), "prefixes")
     texts = documents.select(*doc_key(id_col, text_col), words(F.col(text_col)).alias("w"))
     listed = F.array_join(F.flatten(F.array("window")), " ")
-    if _bytes(prefix, listed) <= max_broadcast_bytes:
+    if _bytes(prefix, listed, F.col("items")) <= max_broadcast_bytes:
         found, copies = _search_small(texts, prefix), F.count("n_words")
     else:
         counted = texts.groupBy(*_KEY).agg(F.first("w").alias("w"), F.count("*").alias("copies"))
