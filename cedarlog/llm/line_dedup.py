@@ -1,15 +1,17 @@
 """Line deduplication by a suffix array over line numbers, with DataFrame operations only.
 
 Every document is a sequence of lines. Lines that occur once cannot be in a repeated run, the others
-are ranked. Prefix doubling then ranks suffixes by twice as many lines per round: the pair of the
-ranks at a line and some lines further on is sorted by range partitioning, and its place in that
-order is the new rank. Positions whose pair is unique leave at once, so each round sees fewer rows.
-Doubling ends when ranks compare ``min_lines`` lines: equal neighbours in the sorted order are then
-the intervals whose longest common prefix is at least that long. The earliest member of an interval
-is the first copy, the others are later copies; overlapping ones join to maximal repeated runs.
-
-A run counts from ``min_lines`` lines, and a single line counts if it has ``min_chars`` characters.
-Earlier means a smaller id (null first), then text hash, then position. Only later copies go.
+are ranked. Suffixes are then ranked by more and more lines: the pair of the ranks at a line and some lines
+further on is sorted by range partitioning, and its place in that order is the new rank. Up to
+``min_lines`` one line is added a round, from there on the depth doubles. Positions whose pair is unique
+leave, so each round sees fewer rows, and doubling ends when no group is left: the order of suffixes
+is then complete. Equal ranks at a depth are an interval of suffixes whose longest common prefix has at least that
+many lines. The earliest member of an interval is the first copy, the others are later copies; overlapping ones
+of all depths join to maximal repeated runs.
+
+A run counts from ``min_lines`` lines, or if it has ``min_chars`` characters in fewer lines: one long line, or a
+short line next to it that is repeated with it. Earlier means a smaller id (null first), then text hash, then
+position. Only later copies go. Lines are compared by two independent 64-bit hashes.
 
 Lines end at a line feed. Null and empty texts have no line and are kept as they are. Rows that agree in id
 and text are one document given twice: each gets the same result. An empty table gives an empty table.
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cedarlog.llm.common import doc_key, materialise
+from cedarlog.operators.joins import join_by_weight
 
 MIN_LINES = 3
 MIN_CHARS = 60
@@ -44,14 +47,15 @@ def _intervals(rows: DataFrame, by: list[str], name: str) -> DataFrame:
         rows.groupBy(*by)
         .agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "pos")).alias("first"))
         .filter("n > 1")
-        .drop("n")
     )
     ranked = _rank(groups, by, f"{name}-ranks")
-    return materialise(rows.drop("rank", "first").join(ranked, by).drop(*by), name)
+    # The few groups that hold a large share of all rows, such as blank lines, are broadcast.
+    joined = join_by_weight(rows.drop("rank", "first"), ranked, by, "n").filter("rank IS NOT NULL")
+    return materialise(joined.drop(*by), name)
 
 
-def _later(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.struct(*_KEY, "pos") > F.col("first"))
+def _later(rows: DataFrame, size: int) -> DataFrame:
+    return rows.filter(F.struct(*_KEY, "pos") > F.col("first")).select(*_KEY, "pos", F.lit(size).alias("size"))
 
 
 def repeated_runs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -61,20 +65,24 @@ def repeated_runs(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     # Repeated rows have equal positions, and a position is not later than itself.
     split = documents.select(*doc_key(id_col, text_col), _lines(F.col(text_col)).alias("lines"))
     lines = split.select(*_KEY, F.posexplode("lines").alias("pos", "line")).select(
-        *_KEY, "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"),
-        (F.length("line") >= min_chars).alias("long"),
+        *_KEY, "pos", F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"),
+        F.length("line").cast("long").alias("chars"),
     )
-    rows = _intervals(materialise(lines, "lines"), ["h1", "h2"], "suffixes-1")
-    found = _later(rows.filter("long")).select(*_KEY, "pos", F.lit(1).alias("size"))
-    depth = 1
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)
+    rows = _intervals(materialise(lines.withColumn("total", F.col("chars")), "lines"), ["h1", "h2"], "suffixes-1")
+    depth, found = 1, _later(rows if min_lines <= 1 else rows.filter(F.col("total") >= min_chars), 1)
+    while True:
+        step = 1 if depth < min_lines else depth
         further = Window.partitionBy(*_KEY).orderBy("pos").rangeBetween(step, step)
-        pairs = rows.withColumn("next", F.max("rank").over(further)).filter(F.col("next").isNotNull())
-        pairs = pairs.withColumnRenamed("rank", "own")
+        pairs = rows.withColumnRenamed("rank", "own").withColumns({
+            "next": F.max("own").over(further),
+            # Of the window that is one line longer; beyond ``min_lines`` nobody asks.
+            "total": F.col("chars") + F.max("total").over(further),
+        }).filter(F.col("next").isNotNull())
         depth += step
         rows = _intervals(pairs, ["own", "next"], f"suffixes-{depth}")
-    found = found.union(_later(rows).select(*_KEY, "pos", F.lit(min_lines).alias("size")))
+        if rows.isEmpty():
+            break
+        found = found.union(_later(rows if depth >= min_lines else rows.filter(F.col("total") >= min_chars), depth))
 
     # Overlapping and adjacent copies join: a run begins where all earlier copies have ended.
     before = Window.partitionBy(*_KEY).orderBy("pos", "size").rowsBetween(Window.unboundedPreceding, -1)

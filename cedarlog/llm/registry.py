@@ -39,7 +39,10 @@ WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, text) AS k,
              CASE WHEN coalesce(text, '') = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(text, chr(10)) END AS ls,
              coalesce(text, '') AS text FROM documents),
   l AS (SELECT k, generate_subscripts(ls, 1) AS p, unnest(ls) AS line FROM d),
-  w1 AS (SELECT k, p, 1 AS n, line AS h FROM l WHERE length(line) >= {line_dedup.MIN_CHARS}),
+  w1 AS (SELECT k, p, 1 AS n, line AS h FROM l WHERE length(line) >= {line_dedup.MIN_CHARS}
+    UNION ALL SELECT k, p, n, array_to_string(ls[p : p + n - 1], chr(10)) FROM (
+      SELECT k, ls, n, unnest(generate_series(1, len(ls) - n + 1)) AS p FROM d, (SELECT unnest(generate_series(2, {line_dedup.MIN_LINES} - 1)) AS n))
+    WHERE list_sum(list_transform(ls[p : p + n - 1], lambda x: length(x))) >= {line_dedup.MIN_CHARS}),
   wm AS (SELECT k, p, {line_dedup.MIN_LINES} AS n,
            array_to_string(ls[p : p + {line_dedup.MIN_LINES} - 1], chr(10)) AS h
          FROM (SELECT k, ls, unnest(generate_series(1, len(ls) - {line_dedup.MIN_LINES} + 1)) AS p FROM d)),
@@ -65,7 +68,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MIX_SQL = f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_SPACE}')) AS BIGINT) AS size,
-             substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS h FROM documents),
+             substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || md5(coalesce(text, ''))), 1, 15) AS h FROM documents),
   s AS (SELECT source, CAST(sum(size) AS HUGEINT) AS s,
           CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS HUGEINT) AS w
         FROM d GROUP BY source),

@@ -36,8 +36,8 @@ def dedup_lines(rows, min_lines, min_chars):
     lines = [t.split("\n") if t else [] for _, t in rows]
 
     def sizes(seq, p):
-        own = [1] if len(seq[p]) >= min_chars else []
-        return own + ([min_lines] if p + min_lines <= len(seq) else [])
+        short = [n for n in range(1, min_lines) if p + n <= len(seq) and sum(map(len, seq[p : p + n])) >= min_chars]
+        return short + list(range(min_lines, len(seq) - p + 1))
 
     gone = later_windows(lines, sizes)
     return [

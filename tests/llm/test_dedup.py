@@ -30,6 +30,17 @@ def test_line_dedup_equals_brute_force(spark, messy):
         _compare(out, rows, want, messy.count())
 
 
+def test_short_lines_of_a_long_repeated_run_go_with_it(spark):
+    two = ["x" * 59, "y" * 59]
+    long, short = "z" * 300, "ten chars."
+    rows = [(1, "\n".join(["a", *two, "b", long, short, "c"])), (2, "\n".join(["d", *two, "e"])), (3, "\n".join([long, short, "f"])),
+            (4, "\n".join(["g", short, "h"])), (5, "\n".join(["same"] * 40)), (6, "\n".join(str(i) for i in range(300))), (7, "\n".join(str(i) for i in range(300)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute.dedup_lines(rows, 3, 60)
+    _compare(line_dedup.dedup_lines(df), rows, want, len(rows))
+    assert [w[1] for w in want] == [0, 2, 2, 0, 39, 0, 300]
+
+
 def test_line_dedup_stage_keeps_columns_and_clean_documents(spark, messy):
     out = line_dedup.clean(messy)
     assert out.columns == messy.columns
