@@ -1,8 +1,9 @@
 """License detection by ordered signature rules.
 
 Texts are brought to lower-case words with one blank between, and rules are regular expressions on that form.
-Every license of ``LICENSES`` gives rules in five shapes (identifier tag, grant, title, address, plain name), each
-with a priority and a score; together they are a few hundred. Two gates come before any expression: a text
+About 140 are passages of license texts and notices, written by hand (``license_texts``). Every license of ``LICENSES``
+gives more in five shapes (identifier tag, grant, title, address, plain name), each with a priority and a score; names that
+are words as well (``AMBIGUOUS``) need a license word after them, those of products (``PRODUCTS``) an article before, too. Two gates come before any expression: a text
 must hold one of the ``triggers`` of all rules, then literals that every match of the rule holds; both are taken from the
 patterns (``necessary``), and so only few rules are tried on few texts.
 Detections are resolved in order of priority, then length, then place: one that lies inside a
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from cedarlog.llm import text as tx
 from cedarlog.llm.common import fresh
+from cedarlog.llm.license_texts import passages
 
 #: Phrases that are always counted, with their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -49,13 +51,13 @@ LICENSES = (
     ("gpl-3.0", rf"{_GNU}(?:gpl ?|general public license ){_V3}", r"gpl 3 0(?: only| or later)?", r"gnu org licenses gpl 3 0"),
     ("gpl-2.0", rf"{_GNU}(?:gpl ?|general public license ){_V2}", r"gpl 2 0(?: only| or later)?", r"gnu org licenses (?:old licenses )?gpl 2 0"),
     ("gpl-1.0", rf"{_GNU}(?:gpl ?|general public license ){_V1}", r"gpl 1 0(?: only| or later)?", r"gnu org licenses old licenses gpl 1 0"),
-    ("gpl", r"(?:the )?gnu general public", r"gpl", r"gnu org licenses gpl"),
+    ("gpl", r"(?:the )?(?:(?:gnu )?gpl|gnu general public)", r"gpl", r"gnu org licenses gpl"),
     ("lgpl-3.0", rf"{_GNU}(?:lgpl ?|lesser general public license ){_V3}", r"lgpl 3 0(?: only| or later)?", r"gnu org licenses lgpl 3 0"),
     ("lgpl-2.1", rf"{_GNU}(?:lgpl ?|lesser general public license )(?:v ?|version )?2 1", r"lgpl 2 1(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 1"),
     ("lgpl-2.0", rf"{_GNU}(?:lgpl ?|library general public license ){_V2}", r"lgpl 2 0(?: only| or later)?", r"gnu org licenses old licenses lgpl 2 0"),
-    ("lgpl", r"(?:the )?gnu lesser general public", r"lgpl", r"gnu org licenses lgpl"),
+    ("lgpl", r"(?:the )?(?:(?:gnu )?lgpl|gnu lesser general public)", r"lgpl", r"gnu org licenses lgpl"),
     ("agpl-3.0", rf"{_GNU}(?:agpl ?|affero general public license ){_V3}", r"agpl 3 0(?: only| or later)?", r"gnu org licenses agpl 3 0"),
-    ("agpl", r"(?:the )?(?:gnu )?affero general public", r"agpl", r"gnu org licenses agpl"),
+    ("agpl", r"(?:the )?(?:gnu )?(?:agpl|affero general public)", r"agpl", r"gnu org licenses agpl"),
     ("gfdl", r"(?:the )?gnu free documentation", r"gfdl 1 [123](?: only| or later)?", r"gnu org licenses fdl"),
     ("bsd-2-clause", r"(?:bsd 2 clause|(?:simplified|freebsd|2 clause|two clause) bsd)", r"bsd 2 clause", r"opensource org licenses? bsd 2 clause"),
     ("bsd-3-clause", r"(?:bsd 3 clause|(?:new|revised|modified|3 clause|three clause) bsd)", r"bsd 3 clause", r"opensource org licenses? bsd 3 clause"),
@@ -118,6 +120,13 @@ PLAIN = frozenset(
     "cc-by-nc-sa cc-by-nc cc-by-nd cc-by-sa cc-by eupl-1.2 gpl lgpl agpl gfdl 0bsd boost-1.0".split()
 )
 
+#: Names that are words or abbreviations too: a license word must follow them.
+AMBIGUOUS = frozenset("mit isc ncsa artistic-1.0 bsd".split())
+#: Names of products: besides, an article must stand before them.
+PRODUCTS = frozenset("zlib libpng unlicense postgresql ruby php-3.01 openssl vim tcl unicode w3c curl elastic-2.0".split())
+#: Words after "license" that make it something else.
+_OTHER = rb"(?! (?:plates?|keys?|servers?|fees?|numbers?|holders?|managers?|renewals?|office) )"
+
 #: Texts that a part of a pattern may stand for; beyond, its literals are taken by smaller parts. Letters of a literal
 #: that are looked for, and literals of a set, unless the rule has no smaller one. They bound work, not what is found.
 SPREAD, REACH, FEW = 16, 16, 16
@@ -201,6 +210,12 @@ def necessary(pattern: str) -> tuple[tuple[bytes, ...], ...]:
     return tuple(tuple(t.encode() for t in sorted(c)) for c in sorted(small, key=lambda c: (len(c), sorted(c))))
 
 
+def _rule(name: str, label: str, pattern: str, priority: int, score: float, worded: bool) -> Rule:
+    """``worded``: what follows must not turn the license into another thing."""
+    compiled = re.compile(rb"(?<![^ ])(?:" + pattern.encode() + rb")(?= )" + (_OTHER if worded else rb""))
+    return Rule(name, label, necessary(pattern), compiled, priority, score)
+
+
 @functools.cache
 def rules() -> tuple[Rule, ...]:
     """All rules, the more telling ones first."""
@@ -210,13 +225,21 @@ def rules() -> tuple[Rule, ...]:
             ("tag", rf"spdx license identifier {tag}", 5, 1.0),
             ("grant", rf"{_GRANT}{name}(?: (?:public )?licen[sc]es?)?", 4, 0.95),
             ("address", rf"{address}", 3, 0.9),
-            ("title", rf"(?:the )?(?:{name} (?:public )?licen[sc]es?|licen[sc]es? (?:is |type )?{name})", 2, 0.8),
         ]
+        if label in AMBIGUOUS | PRODUCTS:
+            article = "(?:the|an?|its|this|license|licence) " if label in PRODUCTS else "(?:the )?"
+            shapes.append(("title", rf"{article}{name} (?:public )?licen[sc]e", 2, 0.8))
+            shapes.append(("field", rf"licen[sc]e (?:is |type )(?:the )?{name}", 2, 0.7))
+        else:
+            shapes.append(("title", rf"(?:the )?(?:{name} (?:public )?licen[sc]es?|licen[sc]es? (?:is |type )?{name})", 2, 0.8))
         if label in PLAIN:
             shapes.append(("name", name, 1, 0.5))
         for shape, pattern, priority, score in shapes:
-            compiled = re.compile(rb"(?<![^ ])(?:" + pattern.encode() + rb")(?= )")
-            out.append(Rule(f"{label}/{shape}", label, necessary(pattern), compiled, priority, score))
+            out.append(_rule(f"{label}/{shape}", label, pattern, priority, score, shape in ("title", "grant")))
+    nth: dict[str, int] = {}
+    for label, pattern in passages():
+        nth[label] = nth.get(label, 0) + 1
+        out.append(_rule(f"{label}/text-{nth[label]}", label, pattern, 6, 0.97, False))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
