@@ -1,15 +1,16 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
 A page becomes the sequence of its leaf blocks: runs of text between block-level tags, with inline markup dissolved.
-Each block has binary features from its ancestors (tags, words of ``class``, ``id`` and ``role``) and its text
-(length, share of linked text, punctuation). The field scores every block as main text or not, and every
+Each block has binary features from its ancestors (tags, words of ``class``, ``id`` and ``role``, and parts of those words; the
+nearest region and the nearest names apart) and its text (length, share of linked text, punctuation). The field scores every block as main text or not, and every
 pair of neighbours; it is fitted to ``labelled_pages`` by gradient steps on the exact likelihood
 (forward-backward), and the best labels of a page come from Viterbi.
 
 Character references are decoded, white space inside a block becomes one blank, blocks of main text are joined by an empty
-line. Scripts, styles, comments and other content without text are left out before. Broken markup is
+line. Scripts, styles, comments, CDATA, parts of forms and other content without text are left out before. Broken markup is
 read as far as it goes: open tags end with the page, end tags without a start are passed over. Null and
-empty pages give an empty text; equal pages equal texts. Other columns do not matter, whatever their names.
+empty pages give an empty text; equal pages equal texts; pages of any length are read whole. An empty table gives an empty
+result. Other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import dataclasses
 import html
 import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +29,17 @@ from pyspark.sql import functions as F
 from cedarlog.llm.common import fresh
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements by how they are read. Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NO_TEXT = frozenset("script style noscript template iframe object svg math canvas audio video select textarea title head".split())
+NO_TEXT = frozenset("script style noscript template iframe object svg math canvas audio video textarea title head".split())
+#: Parts of forms: what they say is no text either. One that is never closed ends where it begins.
+FORM_PARTS = frozenset("button select datalist label legend option optgroup meter progress output".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var wbr".split()
 )
 CLOSES_P = frozenset(
@@ -43,7 +47,13 @@ CLOSES_P = frozenset(
     "hr main menu nav ol p pre section table ul".split()
 )
 CLOSES_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
-               "th": ("td", "th"), "option": ("option",)}
+               "th": ("td", "th")}
+#: Elements that say what a part of the page is for.
+REGIONS = frozenset("article main section aside nav header footer form dialog menu address figure table".split())
+#: Share of pages that a feature must be found in.
+RARE = 0.008
+#: Letters of the parts by which names are known that were never seen whole.
+GRAM = 4
 
 
 @dataclasses.dataclass
@@ -94,7 +104,11 @@ def blocks(page: str) -> list[Block]:
         if tag[2] is None:
             continue
         name, ending = tag[2].lower(), bool(tag[1])
-        if name in NO_TEXT and not ending:
+        if name in FORM_PARTS:
+            stop = None if ending else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            close()
+            at = stop.end() if stop else at
+        elif name in NO_TEXT and not ending:
             stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             close()
             if stop is None and name != "head":
@@ -130,16 +144,27 @@ def blocks(page: str) -> list[Block]:
 
 
 def features(block: Block) -> list[str]:
+    """Of the text, of all ancestors, of the nearest ones, and of parts of their names."""
     n = len(block.text)
     share = block.linked / n
     size = "tiny" if n < 15 else "short" if n < 50 else "middle" if n < 150 else "long"
-    own = [f for f in block.inside if f.startswith("in:")]
-    out = ["any", f"size:{size}", f"tag:{own[-1][3:] if own else 'none'}", *dict.fromkeys(block.inside)]
+    tags = [f[3:] for f in block.inside if f.startswith("in:")]
+    out = ["any", f"size:{size}", f"tag:{tags[-1] if tags else 'none'}", *dict.fromkeys(block.inside)]
     out.append("links:most" if share > 0.6 else "links:some" if share > 0.2 else "links:few")
     out.append("end:stop" if block.text[-1] in ".!?\"”»…:;" else "end:open")
     if block.text[0] in "©" or "©" in block.text[:40]:
         out.append("copyright")
-    return out
+    # The nearest region, what that one stands in, and how far inside it the block is.
+    regions = ["page", *[t for t in tags if t in REGIONS]]
+    out += [f"region:{regions[-1]}", f"regions:{'>'.join(regions[-2:])}"]
+    words = [f"^{f[5:]}$" for f in block.inside if f.startswith("word:")]
+    # Names of the innermost element that has any.
+    named = [k for k, f in enumerate(block.inside) if f.startswith("word:")]
+    if named:
+        first = max((k for k, f in enumerate(block.inside[: named[-1]]) if f.startswith("in:")), default=0)
+        out += [f"near:{f[5:]}" for f in block.inside[first : named[-1] + 1] if f.startswith("word:")]
+    grams = {w[k : k + GRAM] for w in words for k in range(len(w) - GRAM + 1)}
+    return list(dict.fromkeys([*out, *[f"gram:{g}" for g in sorted(grams)]]))
 
 
 # Labelled pages -----------------------------------------------------------------------------------------
@@ -175,6 +200,42 @@ BOILERPLATE = (
     '<div class="modal popup overlay"><p>{t}</p></div>',
     '<div role="navigation"><a href="/a">{s}</a></div>',
     '<div role="complementary"><p>{t}</p></div>',
+    '<div class="kopfzeile"><a href="/">{s}</a><p>{s}</p></div>',
+    '<div class="seitenkopf navigationsleiste"><ul><li><a href="/a">{s}</a></li><li><a href="/b">{s}</a></li></ul></div>',
+    '<div class="fusszeile"><p>{t}</p><a href="/i">{s}</a></div>',
+    '<div class="seitenleiste"><h4>{s}</h4><p>{t}</p></div>',
+    '<div class="werbung anzeige"><p>{t}</p></div>',
+    '<div class="kommentare"><div class="kommentar"><p>{t}</p></div></div>',
+    '<div class="hinweis datenschutz"><p>{t}</p></div>',
+    '<div class="entete bandeau"><h2>{s}</h2><p>{s}</p></div>',
+    '<div class="pied piedpage"><p>{t}</p></div>',
+    '<div class="publicite"><p>{t}</p></div>',
+    '<section class="commentaires"><h3>{s}</h3><p>{t}</p></section>',
+    '<div class="cabecera"><p>{s}</p></div><div class="publicidad">{t}</div>',
+    '<div class="comentarios"><p>{t}</p><p>{t}</p></div>',
+    '<div class="pie legal"><p>{t}</p></div>',
+    '<div class="adslot adbox"><p>{t}</p></div>',
+    '<div class="topbar toolbar"><a href="/l">{s}</a> <a href="/r">{s}</a></div>',
+    '<div class="login account userbox"><p>{s}</p><form><p>{t}</p></form></div>',
+    '<div class="tags categories metadata byline"><a href="/t">{s}</a></div>',
+    '<div class="teaser moreposts readmore"><h3><a href="/m">{s}</a></h3><p>{t}</p></div>',
+    '<div class="authorbox bio"><p>{t}</p></div>',
+    '<div class="discussion feedback replies"><h3>{s}</h3><div><p>{t}</p></div></div>',
+    '<dialog><p>{t}</p></dialog>',
+    '<menu><li><a href="/m">{s}</a></li></menu>',
+    '<div class="search searchbar"><form><p>{s}</p><input></form></div>',
+    '<div class="rating poll survey"><p>{t}</p></div>',
+    '<footer><p>{t}</p></footer>',
+    '<footer>{s}</footer>',
+    '<div class="ad"><p>{t}</p></div>',
+    '<div class="ads"><p>{s}.</p></div>',
+    '<aside>{t}</aside>',
+    '<form><p>{t}</p></form>',
+    '<div class="comments"><p>{t}</p></div>',
+    '<div class="banner"><p>{s}</p></div>',
+    '<div class="cookie"><p>{t}</p></div>',
+    '<div class="newsletter"><p>{t}</p></div>',
+    '<div class="sponsored"><p>{t}</p></div>',
 )
 #: Parts of main text.
 MAIN = (
@@ -188,6 +249,12 @@ MAIN = (
     "<figure><figcaption>{s}</figcaption></figure><p>{t}</p><ol><li>{t}</li></ol>",
     "<h1>{s}</h1><h3>{s}</h3><div>{t}</div><div>{t}</div><p>{s}</p>",
     "<p>{s}</p><p>{s}</p><p>{t}</p><p>{s}.</p>",
+    "<header><h1>{s}</h1></header><p>{t}</p><p>{t}</p>",
+    "<section><h2>{s}</h2><p>{t}</p></section><section><h2>{s}</h2><p>{t}</p><p>{t}</p></section>",
+    "<div class='paragraph lead intro'><p>{t}</p></div><div class='chapter'><p>{t}</p><p>{t}</p></div>",
+    "<p><a href='/l'>{s}</a> {t}</p><div><div><p>{t}</p></div></div>",
+    "<p>{t}</p><p>{t}</p><p>{t}</p><p>{t}</p>",
+    "<ul><li>{t}</li><li>{t}</li><li><a href='/l'>{s}</a> {t}</li></ul><dl><dt>{s}</dt><dd>{t}</dd></dl>",
 )
 #: What main text stands in.
 FRAMES = (
@@ -200,15 +267,27 @@ FRAMES = (
     "<div class='entry-content story'>{m}</div>",
     "<div role='main'>{m}</div>",
     "<div class='wrapper container page'><div>{m}</div></div>",
+    "<div class='post'>{m}</div>",
+    "<div class='body'>{m}</div>",
+    "<div id='text'>{m}</div>",
+    "<div id='story'><div class='body'>{m}</div></div>",
+    "<div id='maincontent'><section>{m}</section></div>",
+    "<div class='artikel inhalt'>{m}</div>",
+    "<div class='contenu texte'><div>{m}</div></div>",
+    "<section class='contenido'>{m}</section>",
+    "<main id='mainbody'><div class='column'>{m}</div></main>",
+    "<div class='layout grid'><main><article><div class='copy prose'>{m}</div></article></main></div>",
 )
 _MARK = "\x02"
+_NAMED = re.compile(r"""( (?:class|id)=)(["'])([a-z -]+)\2""")
 
 
-def labelled_pages(count: int = 240, seed: int = 11) -> list[tuple[str, list[bool]]]:
+def labelled_pages(count: int = 800, seed: int = 11) -> list[tuple[str, list[bool]]]:
     """Pages put together from the parts above, with a label for each leaf block.
 
     Texts are nonsense words, so only layout and shape can be learned. Boilerplate stands before and after the main
-    text, and in some pages inside its frame.
+    text, and in most pages also between its parts, inside its frame. In most pages the names of elements
+    have other words grown on to them, so that no single name decides.
     """
     rng = np.random.default_rng(seed)
     letters = np.array(list("aeioulnrstmdcpg"))
@@ -226,15 +305,26 @@ def labelled_pages(count: int = 240, seed: int = 11) -> list[tuple[str, list[boo
                 layout = layout.replace("{t}", mark + words(rng.integers(6, 70)).capitalize() + ".", 1)
         return layout
 
+    def compound(m: re.Match) -> str:
+        """The same names with other words grown on to them, as sites do."""
+        grown = []
+        for name in m[3].split():
+            other, kind = pool[rng.integers(len(pool))], rng.integers(4)
+            grown.append((name, name + other, other + name, f"{other}-{name}")[kind])
+        return f"{m[1]}{m[2]}{' '.join(grown)}{m[2]}"
+
     def some(n: int) -> str:
         return "".join(fill(BOILERPLATE[i], "") for i in rng.integers(0, len(BOILERPLATE), n))
 
     out = []
     for _ in range(count):
-        main = "".join(fill(MAIN[i], _MARK) for i in rng.integers(0, len(MAIN), rng.integers(1, 4)))
-        inner = some(1) if rng.random() < 0.3 else ""
-        frame = FRAMES[rng.integers(len(FRAMES))].replace("{m}", main + inner)
+        parts = [fill(MAIN[i], _MARK) for i in rng.integers(0, len(MAIN), rng.integers(1, 5))]
+        for _ in range(rng.integers(0, 6)):
+            parts.insert(rng.integers(0, len(parts) + 1), some(1))
+        frame = FRAMES[rng.integers(len(FRAMES))].replace("{m}", "".join(parts))
         page = f"<html><head><title>{words(4)}</title></head><body>{some(rng.integers(1, 5))}{frame}{some(rng.integers(1, 5))}</body></html>"
+        if rng.random() < 0.4:
+            page = _NAMED.sub(compound, page)
         found = blocks(page)
         labels = [_MARK in b.text for b in found]
         out.append((page.replace(_MARK, ""), labels))
@@ -276,18 +366,24 @@ def _log_add(a: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(pages: list[tuple[str, list[bool]]], steps: int = 150, rate: float = 0.1, decay: float = 0.002) -> Field:
+def fit(pages: list[tuple[str, list[bool]]], steps: int = 400, rate: float = 0.3, decay: float = 0.00001) -> Field:
     """Weights by Adam on the log-likelihood of all pages at once."""
     sequences = [[features(b) for b in blocks(p)] for p, _ in pages]
-    names = sorted({f for s in sequences for block in s for f in block})
+    held = Counter(f for s in sequences for f in {f for block in s for f in block})
+    # What few pages have tells those pages, not the layout.
+    names = sorted(f for f, n in held.items() if n >= len(pages) * RARE)
     column = {f: i for i, f in enumerate(names)}
     count, longest = len(pages), max(map(len, sequences))
-    x = np.zeros((count, longest, len(names)), np.float32)
     y, real = np.zeros((count, longest), int), np.zeros((count, longest), bool)
+    # The features of all blocks one after the other, and the place of the block each belongs to.
+    which, place = [], []
     for p, (sequence, (_, labels)) in enumerate(zip(sequences, pages, strict=True)):
         for t, block in enumerate(sequence):
-            x[p, t, [column[f] for f in block]] = 1
+            known = [column[f] for f in block if f in column]
+            which += known
+            place += [p * longest + t] * len(known)
         y[p, : len(labels)], real[p, : len(labels)] = labels, True
+    which, place = np.array(which), np.array(place)
     w = np.zeros(len(names) + 4)
     m, v = np.zeros_like(w), np.zeros_like(w)
     pairs = real[:, 1:]
@@ -295,7 +391,7 @@ def fit(pages: list[tuple[str, list[bool]]], steps: int = 150, rate: float = 0.1
     np.add.at(seen, (y[:, :-1][pairs], y[:, 1:][pairs]), 1)
     for step in range(1, steps + 1):
         state = np.zeros((count, longest, 2))
-        state[:, :, 1] = x @ w[:-4].astype(np.float32)
+        state[:, :, 1] = np.bincount(place, w[which], count * longest).reshape(count, longest)
         trans = w[-4:].reshape(2, 2)
         forward, backward = state.copy(), np.zeros_like(state)
         for t in range(1, longest):
@@ -308,8 +404,8 @@ def fit(pages: list[tuple[str, list[bool]]], steps: int = 150, rate: float = 0.1
         chance = np.where(real[:, :, None], np.exp(forward + backward - whole), 0)
         both = np.exp(forward[:, :-1, :, None] + trans + (state + backward)[:, 1:, None, :] - whole[..., None])
         expected = np.where(pairs[:, :, None, None], both, 0).sum((0, 1))
-        gap = (chance[:, :, 1] - y * real).astype(np.float32)
-        grad = np.append(np.tensordot(gap, x, ((0, 1), (0, 1))), (expected - seen).ravel()) / count + decay * w
+        gap = (chance[:, :, 1] - y * real).ravel()
+        grad = np.append(np.bincount(which, gap[place], len(names)), (expected - seen).ravel()) / count + decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Field({f: float(w[i]) for f, i in column.items()}, w[-4:].reshape(2, 2))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 from re import _parser
 
@@ -130,6 +131,8 @@ def sample(items, rng):
     for op, arg in items:
         if op is _parser.LITERAL:
             out += chr(arg)
+        elif op is _parser.NOT_LITERAL:
+            out += rng.choice("kq7")
         elif op is _parser.IN:
             kind, a = rng.choice(arg)
             out += {"LITERAL": lambda: chr(a), "RANGE": lambda: chr(rng.randint(*a)), "CATEGORY": lambda: rng.choice("az19")}[str(kind)]()
@@ -198,6 +201,78 @@ def test_license_rules():
     assert [f.label for f in kept] == ["a", "c"]
 
 
+#: Texts with the labels they must get: bodies, notices, names, and traps.
+LICENSED = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal", "mit"),
+    ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "mit"),
+    ("MIT License\n\nCopyright (c) 2020 Jo", "mit"), ("Use of this source code is governed by an MIT-style license", "mit"), ("released under the MIT", "mit"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "bsd"),
+    ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "bsd"),
+    ("Neither the name of the Harbour Board nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd-3-clause"),
+    ("All advertising materials mentioning features or use of this software must display the following acknowledgement:", "bsd-4-clause"),
+    ("BSD-3-Clause", "bsd-3-clause"), ("the 2-clause BSD license", "bsd-2-clause"), ("BSD-style license", "bsd"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "isc"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. The software is provided", "0bsd"),
+    ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "zlib"),
+    ("Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.", "zlib"),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "apache-2"),
+    ("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND", "apache-2"),
+    ("You must cause any modified files to carry prominent notices stating that You changed the files", "apache-2"),
+    ("Redistributed with products derived from this software may not be called \"Apache\", nor may \"Apache\" appear in their name", "apache-1.1"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gpl-2.0"),
+    ("under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl-3.0"),
+    ("The GNU General Public License is a free, copyleft license for software and other kinds of works.", "gpl-3.0"),
+    ("You should have received a copy of the GNU General Public License along with this program.", "gpl"),
+    ("GPL", "gpl"), ("GNU GPL", "gpl"), ("LGPL", "lgpl"), ("AGPL", "agpl"), ("licensed under the GPL", "gpl"), ("GPLv3", "gpl-3.0"), ("GPL version 2", "gpl-2.0"),
+    ("GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "lgpl-2.1"),
+    ("You should have received a copy of the GNU Affero General Public License along with this program", "agpl"),
+    ("Your modified version must prominently offer all users interacting with it remotely through a computer network", "agpl-3.0"),
+    ("Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License", "gfdl"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"),
+    ("The contents of this file are subject to the Mozilla Public License Version 1.1", "mpl-1.1"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0", "epl-1.0"),
+    ("The contents of this file are subject to the terms of the Common Development and Distribution License", "cddl-1.0"),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "boost-1.0"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("To the extent possible under law, Ada of Harbour has waived all copyright and related or neighboring rights to this work.", "cc0-1.0"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "cc-by-sa"),
+    ("CC BY-NC-ND 4.0", "cc-by-nc,cc-by-nc-nd"), ("You may not use the material for commercial purposes.", "cc-by-nc"),
+    ("Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.", "wtfpl"),
+    ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "ofl-1.1"),
+    ("This product includes software developed by the OpenSSL Project for use in the OpenSSL Toolkit", "openssl"),
+    ("This file has been placed in the public domain.", "public-domain"),
+    ("All rights reserved. No part of this publication may be reproduced", "proprietary"),
+    ("licensed under the Vim license", "vim"), ("the zlib license", "zlib"),
+    # Traps: other words, other tongues, other things.
+    ("Licence mit Auflagen", ""), ("er kam mit der Lizenz", ""), ("vim license", ""), ("the zlib license plate", ""), ("the MIT campus", ""), ("a ruby and a curl", ""),
+    ("the general public was there", ""), ("my driving license is at the office", ""), ("unicode license key", ""), ("Permission is hereby granted to enter", ""),
+    ("the software is provided as is", ""), ("apache helicopters", ""), ("", ""), ("free of charge for any person", ""),
+]
+
+
+def test_license_texts_get_their_labels():
+    assert len(LICENSED) >= 60
+    got = licenses.scan_batch(pa.array([t for t, _ in LICENSED])).to_pylist()
+    wrong = [(t, want, row["labels"]) for (t, want), row in zip(LICENSED, got, strict=True) if row["labels"] != want]
+    assert not wrong, wrong
+    from cedarlog.llm.license_texts import passages
+
+    assert len(passages()) >= 120
+    # Inside a long document, between other words, they are found at their place.
+    body = "lorem ipsum dolor " * 2_000 + LICENSED[0][0] + " sit amet" * 2_000
+    (found,) = licenses.scan_batch(pa.array([body])).to_pylist()
+    assert found["labels"] == "mit" and found["detections"][0]["start"] == 6_000
+
+
+def test_license_scan_on_spark(spark, empty):
+    docs = spark.createDataFrame([(1, LICENSED[0][0], "x"), (2, None, None), (3, "", "y"), (1, LICENSED[0][0], "x")], "doc_id long, text string, license string")
+    out = licenses.scan_documents(docs.repartition(3))
+    assert out.columns == ["doc_id", "text", "license", "_license"]
+    assert sorted((r.doc_id, r._license.labels, r._license.n_words) for r in out.collect()) == [(1, "mit", 24), (1, "mit", 24), (2, "", 0), (3, "", 0)]
+    assert licenses.scan_documents(empty).count() == 0
+
+
 def test_fingerprints_equal_brute_force(spark, messy):
     for docs in (messy, messy.limit(1), messy.coalesce(1)):
         rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").collect()
@@ -367,6 +442,79 @@ def test_extraction(spark):
     assert out.filter("_main_text = ''").count() == 1 and out.count() == 3
 
 
+#: Layouts written for this test alone: parts that are not the article, and what the article is made of.
+ELSEWHERE = (
+    '<div class="l-masthead"><a href="/">{s}</a><span>{s}</span></div>', '<div id="page__kopfzeile"><p>{t}</p></div>', '<nav class="primary"><a href="/1">{s}</a> | <a href="/2">{s}</a></nav>',
+    '<div class="c-fusszeile"><p>{t}</p></div>', '<div id="sitefooter-legal"><p>{t}</p></div>', '<aside class="rail"><p>{t}</p><p>{t}</p></aside>', '<div class="l-sidebar-right"><h5>{s}</h5><p>{t}</p></div>',
+    '<div class="adslot-top"><p>{t}</p></div>', '<div class="sponsored-post"><p>{t}</p></div>', '<div class="cookiebar"><p>{t}</p><button>{s}</button></div>', '<div class="post-comments-area"><ul><li><p>{t}</p></li><li><p>{t}</p></li></ul></div>',
+    '<section id="user-comments"><h4>{s}</h4><article><p>{t}</p></article></section>', '<form class="mailing"><p>{t}</p><label>{s}</label><select><option>{s}</option></select><button>{s}</button></form>',
+    '<div class="newsletter-box"><p>{t}</p></div>', '<div class="social-links"><a href="/f">{s}</a> <a href="/g">{s}</a></div>', '<footer class="colophon"><p>{t}</p></footer>', '<div role="banner"><p>{s}</p></div>',
+    '<div class="related-articles"><a href="/r">{s}</a><a href="/q">{s}</a></div>', '<script>var x = "{s}";</script>', '<style>.a {{ color: red }}</style>', '<!-- {t} -->', '<noscript><p>{t}</p></noscript>',
+)
+ARTICLE = ("<h1>{s}</h1>", "<p>{t}</p>", "<p>{t}</p>", "<p>{t}</p>", "<h2>{s}</h2><p>{t}</p>", "<ul><li>{t}</li><li>{t}</li></ul>", "<blockquote>{t}</blockquote>", "<p>{t}<br>{t}</p>", "<p>{s} <em>{t}</em> <a href='/z'>{s}</a> {t}</p>", "<div>{t}</div>")
+AROUND = ("<article>{m}</article>", "<main><article>{m}</article></main>", "<div class='post-body'>{m}</div>", "<main><div class='story-text'>{m}</div></main>", "<div id='main-content'><section>{m}</section></div>")
+
+
+def _written_pages(n, seed):
+    """Pages with the texts of their articles; a third of what is not article stands inside it."""
+    rng = random.Random(seed)
+    for _ in range(n):
+        mine = []
+
+        def fill(part, kept):
+            def one(m):
+                text = sentence(rng, rng.randint(1, 5) if m[1] == "s" else rng.randint(12, 50)).capitalize() + ("" if m[1] == "s" else ".")
+                if kept:
+                    mine.append(text)
+                return text
+
+            return re.sub(r"\{([st])\}", one, part).replace("{{", "{").replace("}}", "}")  # noqa: B023
+
+        body = [("<h1>{s}</h1>", True)] + [(rng.choice(ARTICLE), True) for _ in range(rng.randint(3, 8))]
+        for _ in range(rng.randint(0, 3)):
+            body.insert(rng.randint(1, len(body)), (rng.choice(ELSEWHERE), False))
+        top = "".join(fill(rng.choice(ELSEWHERE), False) for _ in range(rng.randint(1, 4)))
+        middle = rng.choice(AROUND).replace("{m}", "".join(fill(p, k) for p, k in body))
+        yield f"<html><head><title>{sentence(rng, 3)}</title></head><body>{top}{middle}{''.join(fill(rng.choice(ELSEWHERE), False) for _ in range(3))}</body></html>", mine
+
+
+@pytest.fixture(scope="module")
+def fitted_field():
+    return html_extract.fit(html_extract.labelled_pages())
+
+
+def test_pages_that_no_snippet_resembles(fitted_field):
+    right = total = whole = 0
+    for page, mine in _written_pages(80, 3):
+        found = html_extract.blocks(page)
+        kept = html_extract.decode(fitted_field.scores(found), fitted_field.transitions)
+        truth = [any(t in b.text for t in mine) for b in found]
+        right, total = right + sum(a == b for a, b in zip(kept, truth, strict=True)), total + len(truth)
+        whole += kept == truth
+    assert right / total >= 0.95 and whole >= 50, (right / total, whole)
+
+
+@pytest.mark.parametrize("inner", [
+    "<aside><p>See also <a href='/x'>this teaser of ours</a></p></aside>", "<form><label>Mail</label><p>Write to us about this page today.</p><button>Send it</button></form>",
+    '<section class="comments"><div><p>I do not agree with this at all, dear writer.</p></div></section>', '<div class="ad"><p>Buy now, it is cheap and good.</p></div>', "<button>Share</button>",
+    "<footer><p>All rights are with the house of this paper.</p></footer>", "<![CDATA[b>c]]>", "<select><option>One</option><option>Two</option></select>", "<!-- gone --><script>x</script>",
+])
+def test_nothing_but_the_article_is_left_inside_it(fitted_field, inner):
+    page = ("<html><body><nav><a href='/'>Home</a></nav><article><h1>Title</h1><p>First paragraph of the text, long enough to be read as one.</p>"
+            f"{inner}<p>Second paragraph of the text, long enough to be read as one.</p></article><footer>x</footer></body></html>")
+    assert html_extract.main_text(page, fitted_field) == (
+        "Title\n\nFirst paragraph of the text, long enough to be read as one.\n\nSecond paragraph of the text, long enough to be read as one.")
+
+
+def test_extraction_of_nothing_and_of_a_very_long_page(spark, fitted_field):
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, html string, main_text string"), fitted_field).count() == 0
+    text = "This is one more sentence of a very long paragraph in the article. " * 40
+    page = "<article>" + f"<p>{text}</p>" * 2_000 + "</article>"
+    assert len(page) > 5_000_000
+    (row,) = html_extract.extract(spark.createDataFrame([(page,)], "html string"), fitted_field).collect()
+    assert row.main_text == "\n\n".join([text.strip()] * 2_000)
+
+
 def test_viterbi_equals_all_sequences():
     import itertools
 
