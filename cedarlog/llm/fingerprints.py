@@ -35,6 +35,8 @@ SUBSETS = 64
 PART_BITS = (2, 5, 6, 7, 8, 8, 9, 9)
 #: Sampled keys for each partition of the ordered documents; they only decide how evenly these are dealt.
 SAMPLES = 40
+#: Bytes of text that a range of the ordered documents aims at; more text makes more ranges.
+RANGE_BYTES = 32 << 20
 #: Documents that are text objects in one task at a time.
 ROWS = 500
 _SALT = 0xA24BAED4963EE407
@@ -144,8 +146,8 @@ def in_order(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     keyed = documents.select(*doc_key(id_col, text_col), F.col(text_col).alias("text"))
     spark = documents.sparkSession
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    total = keyed.select(F.count("*")).first()[0]
+    total, size = keyed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES), 1)
     kind = pa.int64() if keyed.schema["_id"].dataType == T.LongType() else None
     sample = keyed.select("_id", "_text_hash").sample(min(1.0, SAMPLES * ranges / max(total, 1)), 7).collect()
     drawn = _table(pa.array([r[0] for r in sample], kind), pa.array([r[1] for r in sample], pa.int64()))
@@ -178,7 +180,7 @@ def in_order(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     dealt = keyed.select(
         F.posexplode(F.arrow_udf(targets, "array<int>")("_id", "_text_hash")).alias("guest", "to"), *keyed.columns
     )
-    return dealt.repartition("to").sortWithinPartitions("to", "guest", "_id", "_text_hash").select(
+    return dealt.repartition(ranges, "to").sortWithinPartitions("to", "guest", "_id", "_text_hash").select(
         "to", "guest", "_id", "_text_hash", "text"
     )
 
