@@ -287,6 +287,40 @@ def test_fingerprints_equal_brute_force(spark, messy):
         assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in out)
 
 
+def _likeness_by_hand(a, b, parts):
+    """Share of the lexicon parts in which two sets of terms agree, among those in which either has one."""
+    if a == b:
+        return 1.0
+    held = [(a & p, b & p) for p in parts if (a | b) & p]
+    return sum(x == y for x, y in held) / len(held) if held else 0.0
+
+
+def test_near_documents_equal_brute_force(spark, messy, monkeypatch):
+    """Terms, lexicon, parts and likeness word by word; ranges of few documents."""
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 4_000)
+    docs = messy.filter("text is not null").dropDuplicates(["doc_id"]).filter("doc_id is not null")
+    rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()))
+    held = Counter(t for _, text in rows for t in set(brute.lower_words(text)))
+    low, high = fingerprints.MIN_SHARE * len(rows), 0.5 * len(rows)
+    lexicon = sorted(w for w, n in held.items() if low <= n <= high)
+    number = {w: int(tx.hash_runs(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0]) for w in lexicon}
+    terms = fingerprints.lexicon(docs, max_share=0.5)
+    assert sorted(number.values()) == terms.tolist()
+    masks = dict(zip(terms.tolist(), fingerprints.subset_masks(terms).tolist(), strict=True))
+    parts = [{w for w in lexicon if masks[number[w]] >> k & 1} for k in range(fingerprints.SUBSETS)]
+    assert sum(map(bool, parts)) > 20
+    of = lambda text: frozenset(brute.lower_words(text)) & set(lexicon)
+    got = {r["id"]: r for r in fingerprints.with_next(docs, terms).collect()}
+    for k, (i, text) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        edited = fingerprints.edit(text, following)
+        for other, column in ((edited, "near_edited"), (following, "near_next")):
+            if of(text) or of(other) or text == other:
+                want = _likeness_by_hand(of(text), of(other), parts)
+                assert got[i][column] == pytest.approx(want, abs=1e-9), (i, column)
+        assert (got[i]["fingerprint"][:16] == got[i]["edited_fingerprint"][:16]) == (of(text) == of(edited) if of(text) or of(edited) else text == edited)
+
+
 def test_fingerprint_likeness(spark, messy):
     terms = fingerprints.lexicon(messy, max_share=0.9)
     masks = fingerprints.subset_masks(terms)
@@ -397,6 +431,26 @@ def test_classifiers_on_messy_tables(spark, messy, empty):
     assert toxicity.score_documents(messy, toxicity.fit(_sample(spark, [], []))).columns[-1] == "_toxicity"
 
 
+def test_quality_equals_a_naive_convolution():
+    """Byte by byte, filter by filter in plain Python: chunks, filters, rectifier, maximum, mean, logistic unit."""
+    import math
+
+    rng = np.random.default_rng(4)
+    model = quality.Model(rng.normal(0, 0.3, (quality.WIDTH, 256, quality.FILTERS)).astype(np.float32), rng.normal(0, 0.1, quality.FILTERS), rng.normal(0, 1, quality.FILTERS), 0.2)
+    texts = ["", None, "a", "eight by", "ü" * 300, "x" * 511, "y" * 512, "z" * 513, "The quick brown fox. " * 120, "#$% " * 400]
+    for text, got in zip(texts, quality.score_batch(model, model.pairs(), pa.array(texts, pa.string())).to_pylist(), strict=True):
+        raw, step = (text or "").encode(), quality.CHUNK - quality.OVERLAP
+        count = max(1, -(-(len(raw) - quality.OVERLAP) // step))
+        total = [0.0] * quality.FILTERS
+        for c in range(count):
+            chunk = raw[c * step : c * step + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+            for f in range(quality.FILTERS):
+                best = max(sum(float(model.filters[j, chunk[p + j], f]) for j in range(quality.WIDTH)) for p in range(0, quality.CHUNK - quality.WIDTH + 1, 2))
+                total[f] += max(best + float(model.bias[f]), 0.0)
+        z = sum(t / count * float(w) for t, w in zip(total, model.weights, strict=True)) + model.offset
+        assert got == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5), text
+
+
 def test_quality_covers_whole_texts():
     good, bad = "a quiet text of plain words. " * 60, "### $$$ %%% !!! " * 60
     model = quality.fit([good[i:] for i in range(40)] + [bad[i:] for i in range(40)], [1] * 40 + [0] * 40)
