@@ -42,8 +42,9 @@ SUSPECT = (
     r"(?:\.[0-9]{1,3}\.[0-9]|\d(?:\d\d-\d\d-\d{4}|(?:[ -]*\d){12}))"
 )
 
-# Objects nested deeper than this are masked as one JSON text and read again.
+# Objects nested deeper than this are masked in their JSON text: in the texts that are values, and nowhere else.
 MAX_DEPTH = 8
+_JSON_PIECE = r'"(?:[^"\\]++|\\.)*+"(?:\s*:)?|[^"]++'
 
 
 def mask_text(c: Column) -> Column:
@@ -83,7 +84,9 @@ def _mask_value(v: Column, depth: int) -> Column:
         v.try_cast("array<variant>"), lambda x: F.when(is_string(x), _masked(x)).otherwise(x)
     )
     if depth == 0:
-        whole = _replace(F.to_json(v), MASKS)
+        pieces = F.regexp_extract_all(F.to_json(v), F.lit(_JSON_PIECE), F.lit(0))
+        is_value = lambda p: p.startswith('"') & ~p.endswith(":")
+        whole = F.array_join(F.transform(pieces, lambda p: F.when(is_value(p), _replace(p, MASKS)).otherwise(p)), "")
         return (
             F.when(kind == "STRING", _masked(v))
             .when(kind.startswith("OBJECT"), F.coalesce(F.try_parse_json(whole), as_variant(whole)))

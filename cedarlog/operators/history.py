@@ -50,12 +50,13 @@ def anomalies(logs: DataFrame, *keys: str, limit: float = Z_LIMIT, hours: int =
 
 
 def noisy_templates(logs: DataFrame, share: float, severity: str = "INFO") -> DataFrame:
-    """Templates of low severity that make up more than ``share`` of all rows."""
-    total = logs.count()
+    """Templates of low severity that make up more than ``share`` of all rows; rows are read once."""
+    counted = logs.groupBy("template_id", "severity").agg(F.count("*").alias("n"))
+    total = F.broadcast(counted.agg(F.sum("n").alias("_total")))  # one row, from the same counts
     return (
-        logs.groupBy("template_id", "severity")
-        .agg(F.count("*").alias("n"))
-        .filter((F.col("severity") == severity) & (F.col("n") > F.lit(share) * F.lit(total)))
+        counted.join(total)
+        .filter((F.col("severity") == severity) & (F.col("n") > F.lit(share) * F.col("_total")))
+        .drop("_total")
     )
 
 

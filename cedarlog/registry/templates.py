@@ -51,16 +51,14 @@ def template_stats_query(spark, d):
 @query(
     "template_params",
     with_feed(
-        """SELECT event_id, CAST(regexp_extract(message, 'belt=b([0-9]+)', 1) AS VARCHAR) AS first_param,
-        amount AS last_param FROM logs WHERE template = 'Parcel scanned at <*> <*>'"""
+        """SELECT event_id, template,
+        array_to_string(list_filter(string_split(message, ' '), lambda t: regexp_matches(t, '[0-9]')), '|') AS params FROM logs"""
     ),
 )
 def template_params(spark, d):
-    rows = with_signature_template(feed.logs_view(spark, d)).filter(
-        F.col("template") == "Parcel scanned at <*> <*>"
-    )
-    value = lambda i: F.substring_index(F.col("params")[i], "=", -1)
-    return rows.select("event_id", F.ltrim(value(0), F.lit("b")).alias("first_param"), value(1).alias("last_param"))
+    """What stands at the wildcards of each row's template."""
+    rows = with_signature_template(feed.logs_view(spark, d))
+    return rows.select("event_id", "template", F.array_join("params", "|").alias("params"))
 
 
 @query(

@@ -85,6 +85,13 @@ def test_very_deep_objects_are_masked_too(spark):
     df = spark.createDataFrame([(text,)], "t string")
     got = df.select(m.mask_json(F.parse_json("t"), texts_of(F.col("t"))).alias("j")).first().j
     assert "x@y.com" not in got and "EMAIL_REDACTED" in got
+    # Below the bound numbers stay numbers, objects stay objects, and keys stay as they are.
+    inner = '{"c@d.ee":4111111111111111,"n":"4111111111111111","q":"a \\\" b: 1.2.3.4","l":[1700000000000,"x@y.com"]}'
+    text = '{"a":' * 12 + inner + "}" * 12
+    df = spark.createDataFrame([(text,)], "t string")
+    got = df.select(m.mask_json(F.parse_json("t"), texts_of(F.col("t"))).alias("j")).first().j
+    assert got == '{"a":' * 12 + (
+        '{"c@d.ee":4111111111111111,"l":[1700000000000,"<EMAIL_REDACTED>"],"n":"<CC_REDACTED>","q":"a \\\" b: <IP_REDACTED>"}') + "}" * 12
 
 
 def test_nothing_leaks_into_a_stored_column(spark):
