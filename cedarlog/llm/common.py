@@ -7,12 +7,22 @@ from pyspark.sql import functions as F
 
 from cedarlog.session import materialise
 
-__all__ = ["KEY", "SPACE_WORD", "ALNUM_WORD", "doc_key", "lower_ascii", "materialise", "fresh", "read"]
+__all__ = ["KEY", "SPACE", "MARKS", "doc_key", "lower_ascii", "materialise", "fresh", "read", "words_between"]
 
 #: What tells a document from all others: its id, and the hash of its text should ids repeat.
 KEY = ("_id", "_text_hash")
-SPACE_WORD = r"[^\x20\x09-\x0D]+"
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+#: What stands between words, as the inside of a class: white space, or all ASCII but letters and digits (A-Z counts as one of them).
+SPACE = r"\x20\x09-\x0D"
+MARKS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
+
+
+def words_between(text: Column, marks: str) -> Column:
+    """The words of a text, given what stands between them.
+
+    Splitting takes time in proportion to the text. Collecting matches does not: each match there copies the text.
+    """
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{marks}]+", -1), "")
 
 
 def doc_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:

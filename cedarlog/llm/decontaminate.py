@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cedarlog.llm.common import ALNUM_WORD, doc_key, lower_ascii, materialise
+from cedarlog.llm.common import MARKS, doc_key, lower_ascii, materialise, words_between
 
 WINDOW = 10
 #: Windows are sent to all executors up to this many bytes; beyond it documents are shuffled by word.
@@ -30,7 +30,7 @@ def words(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     # All-ASCII texts take the cheaper general lower-casing, which then does the same.
     lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(lower_ascii(text))
-    return F.regexp_extract_all(lower, F.lit(f"({ALNUM_WORD})"), F.lit(1))
+    return words_between(lower, MARKS)
 
 
 def windows(items: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
