@@ -21,7 +21,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cedarlog.llm.common import SPACE_WORD, materialise
+from cedarlog.llm.common import SPACE, materialise, words_between
 
 #: Weights by the place of a source in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -34,7 +34,7 @@ _INDEX_BITS = 33
 
 
 def size_of(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SPACE_WORD)).cast("long")
+    return F.size(words_between(text, SPACE)).cast("long")
 
 
 def source_key(source: Column) -> Column:
