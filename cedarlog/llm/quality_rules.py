@@ -90,7 +90,7 @@ def prior() -> Estimates:
 
 
 def _matches(text: Column, characters: str) -> Column:
-    return F.regexp_count(text, F.lit(f"[{characters}]"))
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{characters}]+", ""))
 
 
 def _ends(flat: Column, mark: str) -> Column:
