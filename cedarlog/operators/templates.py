@@ -9,8 +9,8 @@ a two-pass plan that gives the same result for every order and partitioning of t
 2. Leaves hold signatures, not messages. A big leaf is clustered in rounds: its rows are dealt into parts by
    hash, each part is clustered, and the templates found, with their weights, are the rows of the next round,
    dealt anew, until a leaf fits one part. Where two rounds in a row merge nothing, templates that can still merge are
-   brought together by an exact join: two that agree in the words the threshold asks for share one of their rarest
-   word positions (prefix filter). It ends when no two templates of a leaf can merge, which is also what one part
+   brought together by an exact join: two that agree in the words the threshold asks for share a pair of their rarer
+   words at their places (prefix filter). It ends when no two templates of a leaf can merge, which is also what one part
    ends with; only among texts that fit several templates may the parts decide which one they join.
 3. Inside a part, rows are taken by falling count and text, saved templates first, and join the most similar
    cluster at or above the threshold; differing words become the wildcard.
@@ -41,6 +41,9 @@ PART_ROWS = 5_000
 PART_TOKENS = 2_000_000
 #: Rounds without a merge after which the templates that can still merge are looked for.
 QUIET_ROUNDS = 2
+#: Words that rows must share to be compared, and up to how many rarer words of a row all pairs of them are
+#: taken; rows of more words go by single ones, as many words at their places are seldom shared by chance.
+TOGETHER, PAIRED = 2, 24
 #: Cells of one comparison of rows with rows.
 CELLS = 16_000_000
 
@@ -209,7 +212,7 @@ def _with_partner(threshold: float):
                 same += (codes[a : a + step, p, None] == codes[None, :, p]) & fixed[a : a + step, p, None]
             same[np.arange(len(same)), np.arange(a, a + len(same))] = -1
             found[a : a + step] = (same >= threshold * n).any(axis=1)
-        return pdf.loc[found, ["key", "pos", "word", "low", "high"]]
+        return pdf.loc[found, ["key", "mark", "low", "high"]]
 
     return partners
 
@@ -217,42 +220,49 @@ def _with_partner(threshold: float):
 def _meetings(rows: DataFrame, threshold: float, part_rows: int, part_tokens: int, turn: int) -> DataFrame:
     """The rows that can merge with another of their leaf, each with a ``part`` in which it meets one.
 
-    Of two rows that can merge, each has a common word among all but the last ``need - 1`` of its words in order of
-    rarity. Groups by such a word are compared whole; big ones in blocks, every block with every other. Of its
-    groups with a partner a row takes the first by hash, so the rows of the first group of all do meet.
+    Two rows that can merge share ``need`` words at their places. With the words of a row in order of rarity, two such rows
+    share ``many`` of them among all but the last ``need - many``. So rows are grouped by
+    combinations of that many of their rarer words, and only groups of two rows or more are looked at; a word that a large
+    part of a leaf has at a place makes no large group by itself. Big groups are compared in blocks, every block with every
+    other. Of its groups with a partner a row takes the first by hash, so the rows of the first group of all do meet.
     """
     width = F.size(F.split("text", " "))
     key = F.md5(F.concat_ws(" ", F.length("leaf"), "leaf", "text"))
     rows = materialise(rows.withColumn("key", key), "open")
     place = ["leaf", "pos", "word"]
-    words = rows.select("key", "leaf", F.ceil(width * threshold).alias("need"), F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    # Equal for all rows of a leaf.
+    need = F.ceil(width * threshold).cast("int")
+    many = F.when((need >= TOGETHER) & (width - need + TOGETHER <= PAIRED), TOGETHER).otherwise(1)
+    words = rows.select("key", "leaf", need.alias("need"), many.alias("many"), F.posexplode(F.split("text", " ")).alias("pos", "word"))
     words = materialise(words.filter(F.col("word") != WILDCARD), "words")
     known = materialise(words.groupBy(*place).agg(F.count("*").alias("n")), "places")
     ranked = (
         join_by_weight(words, known.withColumn("weight", F.col("n")), place, "weight")
-        .groupBy("key", "leaf", "need")
+        .groupBy("key", "leaf", "need", "many")
         .agg(F.array_sort(F.collect_list(F.struct("n", "pos", "word"))).alias("w"))
     )
-    first = F.slice("w", F.lit(1), F.greatest(F.size("w") - F.greatest("need", F.lit(1)) + 1, F.lit(0)).cast("int"))
-    rare = materialise(
-        ranked.select("key", "leaf", F.explode(F.filter(first, lambda x: x["n"] > 1)).alias("x"))
-        .select("key", "leaf", "x.pos", "x.word"),
-        "rare",
-    )
-    groups = materialise(rare.groupBy(*place).agg(F.count("*").alias("n")).filter("n > 1"), "groups")
+    # Words that no other row of the leaf has at that place join nothing, but count for the order.
+    first = F.slice("w", F.lit(1), F.greatest(F.size("w") - F.greatest("need", F.lit(1)) + F.col("many"), F.lit(0)).cast("int"))
+    shared = F.filter(first, lambda x: x["n"] > 1)
+    prefix = ranked.select("key", "leaf", "many", F.transform(shared, lambda x: F.struct(x["pos"], x["word"])).alias("p"))
+    one = F.transform("p", lambda x: F.array(x))
+    two = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.greatest(F.size("p") - i - 1, F.lit(0))), lambda y: F.array(x, y))))
+    combined = F.transform(F.when(F.col("many") == 1, one).otherwise(two), lambda c: F.array_sort(c))
+    marked = prefix.select("key", "leaf", F.explode(combined).alias("c")).select("key", "leaf", F.md5(F.to_json("c")).alias("mark"))
+    rare = materialise(marked, "rare")
+    by = ["leaf", "mark"]
+    groups = materialise(rare.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1"), "groups")
     blocks = F.greatest(F.ceil(F.col("n") / part_rows), F.ceil(F.col("n") * width / part_tokens))
     # The weighted join keeps rows that have no match; those groups have one row.
-    grouped = join_by_weight(rare, groups.withColumn("weight", F.col("n")), place, "weight").filter("n > 1").join(rows.select("key", "text"), "key")
+    grouped = join_by_weight(rare, groups.withColumn("weight", F.col("n")), by, "weight").filter("n > 1").join(rows.select("key", "text"), "key")
     own = F.pmod(F.xxhash64("key", F.lit(turn)), F.col("blocks")).alias("own")
     dealt = (
         grouped.withColumn("blocks", blocks)
-        .select("key", *place, "text", own, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
-        .select("key", *place, "text", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    )
-    found = dealt.groupBy(*place, "low", "high").applyInPandas(
-        _with_partner(threshold), "key string, pos int, word string, low bigint, high bigint"
+        .select("key", *by, "text", own, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+        .select("key", *by, "text", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     )
-    at = F.struct(F.xxhash64("pos", "word", "low", "high", F.lit(turn)).alias("h"), "pos", "word", "low", "high")
+    found = dealt.groupBy(*by, "low", "high").applyInPandas(_with_partner(threshold), "key string, mark string, low bigint, high bigint")
+    at = F.struct(F.xxhash64("mark", "low", "high", F.lit(turn)).alias("h"), "mark", "low", "high")
     chosen = found.groupBy("key").agg(F.min(at).alias("part"))
     return rows.join(chosen, "key").select("leaf", "part", "text", "weight", "ids", F.lit(1).cast("bigint").alias("parts"))
 
