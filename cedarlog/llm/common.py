@@ -20,7 +20,7 @@ MARKS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 def words_between(text: Column, marks: str) -> Column:
     """The words of a text, given what stands between them.
 
-    Splitting takes time in proportion to the text. Collecting matches does not: each match there copies the text.
+    A plain class is looked for many times faster than a negated one (measured: 1 s against 22 s for 0.17 GB).
     """
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{marks}]+", -1), "")
 

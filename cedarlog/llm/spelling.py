@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cedarlog.llm.common import lower_ascii, materialise, words_between
+from cedarlog.llm.common import lower_ascii, materialise
 from cedarlog.operators.joins import broadcast_if_small
 
 LETTERS = "A-Za-zÀ-ÿ"
@@ -47,7 +47,7 @@ def vocabulary(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
                min_chars: int = MIN_CHARS, min_count: int = MIN_COUNT) -> DataFrame:
     """``word, n``: the words of all texts and how often they occur."""
     # Short runs cannot become words; the others are lower-cased one by one, as few have capitals.
-    runs = F.filter(words_between(F.col(text_col), f"^{LETTERS}"), lambda run: F.length(run) >= min_chars)
+    runs = F.regexp_extract_all(F.col(text_col), F.lit(f"[{LETTERS}]{{{min_chars},}}"), F.lit(0))
     found = documents.select(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":")).alias("id"), F.explode(runs).alias("run"))
     found = found.withColumn("run", F.when(F.col("run").rlike("[A-Z]"), lower_ascii(F.col("run"))).otherwise(F.col("run")))
     crc = found.select("run", F.crc32(F.concat("id", "run").cast("binary")).alias("h"))
