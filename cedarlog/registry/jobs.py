@@ -48,7 +48,15 @@ def bulk_load_query(spark, d):
     return _counts(tables.read_logs(spark, f"{out}/logs"))
 
 
-@query("bulk_load_templates")
+#: What mining makes of each line: the layout adds words to the message, of which some vary.
+_STORED = """, stored AS (SELECT p.event_id, p.ts, p.service_name,
+  CASE p.format WHEN 'standard' THEN f.template || ' env=prod <*> <*> <*> dept=' || f.department || ' app_id=' || f.app_id
+    WHEN 'syslog' THEN f.template || ' env=prod <*> <*>' WHEN 'nginx' THEN 'GET <*> HTTP/1.1 <*>'
+    WHEN 'fallback' THEN 'unreadable entry <*>' ELSE f.template END AS template
+  FROM parsed p JOIN feed f USING (event_id))"""
+
+
+@query("bulk_load_templates", with_parsed(_STORED + " SELECT template, count(*) AS size FROM stored GROUP BY 1"))
 def bulk_load_templates(spark, d):
     out = scratch_path(spark, "bulk")
     bulk_load(
@@ -383,14 +391,6 @@ def stored_templates(spark, d):
     return rows.select(F.lit(size).alias("n"), "missing", "unlike", F.lit(unknown).cast("long").alias("unknown"))
 
 
-#: What mining makes of each line: the layout adds words to the message, of which some vary.
-_STORED = """, stored AS (SELECT p.event_id, p.ts, p.service_name,
-  CASE p.format WHEN 'standard' THEN f.template || ' env=prod <*> <*> <*> dept=' || f.department || ' app_id=' || f.app_id
-    WHEN 'syslog' THEN f.template || ' env=prod <*> <*>' WHEN 'nginx' THEN 'GET <*> HTTP/1.1 <*>'
-    WHEN 'fallback' THEN 'unreadable entry <*>' ELSE f.template END AS template
-  FROM parsed p JOIN feed f USING (event_id))"""
-
-
 @query(
     "stored_template_stats",
     with_parsed(
