@@ -19,6 +19,7 @@ from cedarlog.registry.base import (
     with_feed,
     with_parsed,
 )
+from cedarlog.session import materialise
 from cedarlog.sources import feed
 
 
@@ -56,7 +57,8 @@ def parse_formats_count(spark, d):
     ),
 )
 def parse_quarantine(spark, d):
-    good, bad = quarantine(structured(spark, d))
+    # Stored first, so that the two sinks do not both parse the lines.
+    good, bad = quarantine(materialise(structured(spark, d).select("event_id", "parse_error"), "structured"))
     part = lambda df, name: df.select(F.lit(name).alias("sink"))
     return part(good, "good").unionByName(part(bad, "quarantine")).groupBy("sink").agg(
         F.count("*").alias("n")

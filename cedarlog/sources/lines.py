@@ -8,6 +8,10 @@ from pyspark.sql import types as T
 
 CURRENT_LOGS = "*.log"
 ROTATED_LOGS = "*.log*"  # also x.log.1 and x.log.2.gz
+#: Stored bytes of one task of :func:`spread`.
+SPLIT = 2_000_000
+#: From here on a size only says that the planner knows none.
+UNKNOWN = 1 << 60
 
 
 def _folder(spark: SparkSession, path: str):
@@ -50,13 +54,17 @@ def read_lines(
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Even out rows when the scan has fewer tasks than the cluster has cores.
+    """Even out rows when the scan has fewer tasks than the cluster has cores, or tasks of more than ``SPLIT`` bytes.
 
-    That is so for a few gzip files or single row groups, which cannot be split. Inputs with
+    That is so for a few gzip files or single row groups, which cannot be split. The number of tasks grows with the
+    size of the tables read, so a task stays as long as it is however much there is. Inputs with
     enough splits pass unchanged, without a shuffle.
     """
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    wanted = max(cores, -(-sum(s for s in sizes if s < UNKNOWN) // SPLIT))
+    return rows.repartition(wanted) if rows.rdd.getNumPartitions() < wanted else rows
 
 
 def stream_lines(

@@ -8,7 +8,7 @@ from cedarlog import schema
 from cedarlog.operators.history import purge_table
 from cedarlog.operators.stitch import is_head, stitch
 from cedarlog.plans.ingest import bulk_load, load_templates, structure, with_signatures
-from cedarlog.sources import tables
+from cedarlog.sources import lines, tables
 from cedarlog.sources.feed import CATALOG_ROWS
 from cedarlog.sources.lines import ROTATED_LOGS, read_lines
 from cedarlog.sources.render import write_lines
@@ -52,6 +52,17 @@ def test_missing_folder_gives_no_rows(spark, tmp_path):
     assert not bulk_load(spark, str(tmp_path / "none"), "x", "y", 2025, NOW)
 
 
+def test_tasks_of_spread_grow_in_number_with_the_stored_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lines, "SPLIT", 20_000)
+    for n in (20_000, 80_000):
+        spark.range(n).select(F.md5(F.col("id").cast("string")).alias("v")).coalesce(1).write.parquet(f"{tmp_path}/{n}")
+    small, big = (lines.spread(spark.read.parquet(f"{tmp_path}/{n}")) for n in (20_000, 80_000))
+    assert big.rdd.getNumPartitions() > 3 * small.rdd.getNumPartitions() > 3 * 8
+    assert big.count() == 80_000
+    # A size that the planner does not know asks for no more tasks than cores.
+    assert lines.spread(spark.createDataFrame([("a",)], "v string")).rdd.getNumPartitions() == 8
+
+
 def test_bulk_load_twice(spark, zone, tmp_path):
     logs, templates = str(tmp_path / "logs"), str(tmp_path / "templates")
     assert tables.read_logs(spark, logs).count() == 0
