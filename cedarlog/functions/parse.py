@@ -103,6 +103,9 @@ def parse_lines(
     cannot be read (then ``ts_ok`` is false). ``context`` is a string map. JSON lines have
     ``json``, the object with its types, instead; ``odd_keys`` lists its keys that hold no text
     where that could matter.
+
+    The layout of a line is decided once, above :func:`compute`; what follows are plain projections, so
+    of the other columns only those are computed that are read.
     """
     require_utc(df.sparkSession)
     allow_repeated_keys(df.sparkSession)
@@ -111,8 +114,7 @@ def parse_lines(
     text, fmt, js, g = F.col(_LINE), F.col(_FORMAT), F.col(_JSON), F.col(_GROUPS)
     texts, known = F.col(_TEXTS), F.col(_KNOWN)
 
-    split = compute(
-        with_format(df, line),
+    split = with_format(df, line).withColumns(
         {
             _GROUPS: F.when(fmt == "standard", _groups(STANDARD, "1234", 4))
             .when(fmt == "syslog", _groups(SYSLOG, "1234", 4))
@@ -120,15 +122,13 @@ def parse_lines(
             _TEXTS: F.when((fmt == "json") & text.rlike(ODD_MEMBER), texts_of(text)),
         },
     )
-    cleaned = compute(
-        split,
+    cleaned = split.withColumns(
         {
             _CLEAN: F.when(texts.isNotNull(), F.to_json(worthwhile(js, texts))),
             _ODD: F.when(texts.isNotNull(), not_texts(js)),
         },
     )
-    fields = compute(
-        cleaned,
+    fields = cleaned.withColumns(
         {_KNOWN: F.when(fmt == "json", fields_of(F.coalesce(F.col(_CLEAN), text), FIELD_KEYS))},
     )
     moment = (
@@ -158,9 +158,8 @@ def parse_lines(
     plain = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v)])
     or_else = lambda keys, value: F.coalesce(first_of(known, keys), value)
 
-    timed = compute(fields, {_MOMENT: moment, "parse_error": failed})
-    named = compute(
-        timed,
+    timed = fields.withColumns({_MOMENT: moment, "parse_error": failed})
+    named = timed.withColumns(
         {
             "timestamp": F.coalesce(F.col(_MOMENT), now.cast("timestamp")),
             "ts_ok": F.col(_MOMENT).isNotNull(),
@@ -174,8 +173,7 @@ def parse_lines(
             .otherwise(DEFAULT_SERVICE),
         },
     )
-    out = compute(
-        named,
+    out = named.withColumns(
         {
             "body": F.when(fmt == "json", or_else(MESSAGE_KEYS, text))
             .when(fmt.isin("standard", "syslog"), g[3])

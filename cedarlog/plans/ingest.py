@@ -50,11 +50,10 @@ def structure(
     given, js, context = F.col("context"), F.col("json"), F.col("_context")
     odd, raw, texts, fields = (F.col(c) for c in ("odd_keys", "_raw", "_texts", "_fields"))
 
-    masked = compute(parsed, {"message": mask_text(F.col("body")), "_raw": F.to_json(js)})
-    looked = compute(masked, {"_texts": F.when(suspect_json(raw), texts_of(raw))})
+    masked = parsed.withColumns({"message": mask_text(F.col("body")), "_raw": F.to_json(js)})
+    looked = masked.withColumns({"_texts": F.when(suspect_json(raw), texts_of(raw))})
     nothing = (js.isNull() & given.isNull()) | (raw == "{}")
-    contexts = compute(
-        looked,
+    contexts = looked.withColumns(
         {
             "_context": F.when(nothing, F.to_json(kv_context(F.col("message"))))
             .when(js.isNull(), F.to_json(mask_string_map(given)))
@@ -65,6 +64,7 @@ def structure(
     usable = let(
         context, lambda c: F.to_json(let(texts_of(c), lambda t: worthwhile(F.parse_json(c), t)))
     )
+    # Predicates on what is read from the context stay above this step, see :func:`compute`.
     cleaned = compute(
         contexts,
         {
@@ -72,13 +72,12 @@ def structure(
             "_base": json_without(context, "source_file"),
         },
     )
-    read = compute(cleaned, {"_fields": fields_of(F.col("_clean"), PROMOTED_KEYS)})
+    read = cleaned.withColumns({"_fields": fields_of(F.col("_clean"), PROMOTED_KEYS)})
     coerced = F.lit(False)
     for keys in PROMOTED.values():
         coerced = coerced | first_in(fields, keys, odd)
     source = F.col("source_file") if "source_file" in lines.columns else F.lit(None).cast("string")
-    stored = compute(
-        read,
+    stored = read.withColumns(
         {
             **promote_attributes(fields),
             "parse_error": F.coalesce(
@@ -113,7 +112,10 @@ def with_mined_templates(
 
 
 def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that could be read, and the others; a value taken over as text was read."""
+    """Rows that could be read, and the others; a value taken over as text was read.
+
+    Each is a query of its own, so rows that are still to be parsed should be stored before.
+    """
     bad = F.coalesce(F.col("parse_error"), F.lit(TYPE_COERCED)) != TYPE_COERCED
     return df.filter(~bad), df.filter(bad)
 

@@ -210,3 +210,18 @@ def test_log_table_has_the_stored_columns(spark):
     assert df.columns == LOG_TABLE.fieldNames()
     r = df.first()
     assert r.body == "took <*> ms" and r.params == ["5"] and r.message == "took 5 ms"
+
+
+def test_columns_that_nobody_reads_are_not_computed(spark):
+    rows = load(spark, "2025-11-24 10:00:00 INFO auth-service: User logged in user=1", source="a.log")
+    plan = rows.select("i", "message")._jdf.queryExecution().optimizedPlan().toString()
+    assert "trace_id" not in plan and "yyyy-MM-dd HH:mm:ss" not in plan
+
+
+def test_the_sinks_of_a_load_are_told_apart_after_one_parse(spark, monkeypatch):
+    from cedarlog.registry import parsing
+
+    parsed = []
+    monkeypatch.setattr(parsing, "materialise", lambda df, name: parsed.append(name) or df.limit(1_000_000))
+    assert parsing.parse_quarantine(spark, "/root/testdata/sf0.001").count() == 2
+    assert parsed == ["structured"]
