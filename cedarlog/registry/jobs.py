@@ -246,15 +246,28 @@ def stream_late_counts(spark, d):
     return period_counts(spark, f"{out}/counts").select(stamp("period").alias("period"), "n", "errors", "closed")
 
 
+#: Event numbers of one file, which one task writes in order.
+FILE = 200_000
+
+
+def _write_files(lines, last: int, folder: str) -> None:
+    """Lines in the order of their events as files that each hold the same events however far the writing got.
+
+    A service rotates a file that has grown full, so no file and no task grows with the input.
+    """
+    number = F.floor(F.col("event_id") / FILE).cast("int")
+    dealt = lines.repartitionById(last // FILE + 1, number).sortWithinPartitions("event_id")
+    dealt.select("value").write.text(folder)
+
+
 @query("bulk_load_rotated", with_parsed(_COUNTS))
 def bulk_load_rotated(spark, d):
-    """Half of the lines are loaded, then the file is found again under another name and longer: each line once."""
+    """Half of the lines are loaded, then the files are found again under other names, the last one longer: each line once."""
     out = scratch_path(spark, "rotated")
     lines = materialise(event_lines(spark, d).select("event_id", "value"), "lines")
-    middle = lines.agg(F.max("event_id")).first()[0] // 2
-    for name, part in (("before", lines.filter(F.col("event_id") <= middle)), ("after", lines)):
-        # One file that grows, so its lines are written by one task.
-        part.coalesce(1).sortWithinPartitions("event_id").select("value").write.text(f"{out}/{name}")
+    last = lines.agg(F.max("event_id")).first()[0]
+    for name, part in (("before", lines.filter(F.col("event_id") <= last // 2)), ("after", lines)):
+        _write_files(part, last, f"{out}/{name}")
         bulk_load(
             spark, f"{out}/{name}", f"{out}/logs", f"{out}/templates", feed.DEFAULT_YEAR, feed.INGEST_TS,
             glob="*.txt", ledger_path=f"{out}/ledger",

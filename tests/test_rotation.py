@@ -2,6 +2,8 @@
 
 import gzip
 
+from pyspark.sql import functions as F
+
 from cedarlog.plans.ingest import bulk_load
 from cedarlog.sources.rotation import load_ledger, read_new_lines, save_ledger
 from cedarlog.sources.tables import read_logs
@@ -68,3 +70,18 @@ def test_bulk_load_between_rotations(spark, tmp_path):
     assert bulk_load(spark, str(zone), **where)
     assert not bulk_load(spark, str(zone), **where)
     assert read_logs(spark, f"{tmp_path}/logs").count() == 8
+
+
+def test_files_of_the_feed_are_bounded_and_grow_at_their_end(spark, tmp_path, monkeypatch):
+    from cedarlog.registry import jobs
+
+    monkeypatch.setattr(jobs, "FILE", 10)
+    lines = spark.range(35).repartition(3).select(F.col("id").alias("event_id"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("value"))
+    held = {}
+    for name, part in (("before", lines.filter("event_id <= 17")), ("after", lines)):
+        jobs._write_files(part, 34, f"{tmp_path}/{name}")
+        texts = sorted((p.read_text().split("\n")[:-1] for p in (tmp_path / name).glob("*.txt")), key=lambda t: int(t[0].split()[1]) if t else -1)
+        held[name] = [t for t in texts if t]
+    want = [f"line {i}" for i in range(35)]
+    assert held["after"] == [want[:10], want[10:20], want[20:30], want[30:]]
+    assert held["before"] == [want[:10], want[10:18]]
