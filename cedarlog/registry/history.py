@@ -14,7 +14,7 @@ from cedarlog.operators import history as h
 from cedarlog.operators import retrieval as rt
 from cedarlog.operators.templates import with_signature_template
 from cedarlog.registry.base import query, sql_stamp, stamp, with_feed
-from cedarlog.session import scratch_path
+from cedarlog.session import materialise, scratch_path
 from cedarlog.sources import feed, tables
 
 
@@ -215,7 +215,9 @@ def purge_subject(spark, d):
 def categorise_kmeans(spark, d):
     """Documents grouped by their word-hash vectors; fixed seed."""
     docs = rt.embed(feed.table(spark, d, "documents").select("doc_id", "text"), "text", 64)
-    vectors = docs.select("doc_id", array_to_vector("embedding").alias("features"))
+    # Stored, so that training and placing do not both read and split the texts.
+    held = materialise(docs.select("doc_id", "embedding"), "vectors")
+    vectors = held.select("doc_id", array_to_vector("embedding").alias("features"))
     model = KMeans(k=8, seed=7, maxIter=5, featuresCol="features", predictionCol="category").fit(vectors)
     return model.transform(vectors).groupBy("category").agg(F.count("*").alias("n"))
 

@@ -191,3 +191,14 @@ def test_alignment():
     assert induce.to_pattern([("is", "a+"), ("slot", "k.v", "number"), ("slot", None, "number"), ("slot", None, "number")]) == (
         r"\s*a\+\s+k\.v=(?P<k_v>\d+)\s+(?P<number>\d+)\s+(?P<number_2>\d+)\s*$"
     )
+
+
+def test_documents_are_split_once_for_training_and_placing(spark, monkeypatch):
+    from cedarlog.registry import history
+
+    stored, store = [], history.materialise
+    monkeypatch.setattr(history, "materialise", lambda df, name: stored.append(name) or store(df, name))
+    found = history.categorise_kmeans(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert stored == ["vectors"] and "regexp_replace" not in plan
+    assert found.agg({"n": "sum"}).first()[0] == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
