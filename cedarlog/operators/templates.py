@@ -21,10 +21,14 @@ template in it, and lists the ids of others it took in as ``former``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cedarlog.functions.text import collapse_space, compute, strip
 from cedarlog.operators.joins import is_small, join_by_weight
@@ -47,8 +51,6 @@ TOGETHER, PAIRED = 2, 24
 #: Cells of one comparison of rows with rows.
 CELLS = 16_000_000
 
-_ROUND = "leaf string, text string, template string, weight bigint, ids array<string>, parts bigint"
-
 
 def signature(message: Column) -> Column:
     """Every blank-separated word that holds a digit becomes the wildcard."""
@@ -131,60 +133,86 @@ def _seed_rows(templates: DataFrame) -> DataFrame:
     )
 
 
-def _cluster_part(threshold: float):
-    """Pandas function that clusters one part of a leaf, which the caller keeps below a bound."""
+def _with_groups(rows: DataFrame, keys: list[str], order: list[Column], name: str, kind: T.DataType, look) -> DataFrame:
+    """Add ``name``: what ``look`` gives for the texts of each group, in the given order.
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(seed=pdf["ids"].map(len) > 0).sort_values(
-            ["seed", "weight", "text"], ascending=[False, False, True]
-        )
-        words = np.stack([np.asarray(t.split(" "), dtype=object) for t in pdf["text"]])
-        n = words.shape[1]
-        codes, vocab = pd.factorize(words.ravel())
-        codes = codes.reshape(words.shape)
-        hit = np.flatnonzero(vocab == WILDCARD)
-        wild = int(hit[0]) if len(hit) else len(vocab)
-        vocab = list(vocab) + ([] if len(hit) else [WILDCARD])
-
-        clusters = np.empty((16, n), dtype=np.int64)
+    Rows come sorted by group, so a task goes through groups as they come and holds one Arrow batch and
+    one group; most groups are far smaller than a batch, and a call for each would cost more than the work.
+    """
+
+    def of(table: pa.Table, starts: list[int], end: int) -> Iterator[pa.RecordBatch]:
+        texts = table["text"].slice(0, end).to_pylist()
+        found = [x for a, b in zip(starts, [*starts[1:], end], strict=True) for x in look(texts[a:b])]
+        done = table.slice(0, end).append_column(name, pa.array(found, to_arrow_type(kind)))
+        yield from done.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            key = list(zip(*(held[k].to_pylist() for k in keys), strict=True))
+            starts = [i for i in range(len(key)) if not i or key[i] != key[i - 1]]
+            if len(starts) > 1:  # the last group may go on
+                yield from of(held, starts[:-1], starts[-1])
+                held = held.slice(starts[-1])
+        if held is not None and len(held):
+            yield from of(held, [0], len(held))
+
+    shape = T.StructType([*rows.schema.fields, T.StructField(name, kind)])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, shape)
+
+
+def _cluster_part(threshold: float):
+    """Function that clusters one part of a leaf, which the caller keeps below a bound: the template of each text."""
+
+    def cluster(texts: list[str]) -> list[str]:
+        if len(texts) == 1:
+            return texts
+        # The wildcard is -2 in rows and -1, the last of the vocabulary, in clusters: it equals nothing.
+        number = {WILDCARD: -2}
+        codes = np.array([[number.setdefault(w, len(number) - 1) for w in t.split(" ")] for t in texts], np.int32)
+        vocab = [*number][1:] + [WILDCARD]
+        m, n = codes.shape
+        fixed = np.count_nonzero(codes >= 0, axis=1)
+
+        clusters = np.empty((min(m, 16), n), dtype=np.int32)
+        left = np.empty(m, dtype=np.int64)  # words of a cluster that are no wildcards
         used = 0
-        owner = np.empty(len(pdf), dtype=np.int64)
+        owner = np.empty(m, dtype=np.int64)
         for row, code in enumerate(codes):
             best = -1
             if used:
-                known = clusters[:used]
-                is_wild = known == wild
-                same = ((known == code) & ~is_wild).sum(axis=1)
-                exact = (known == code).all(axis=1)
+                same = np.count_nonzero(clusters[:used] == code, axis=1)
+                exact = (same == fixed[row]) & (left[:used] == same)
                 score = np.where(exact, n, same)
                 top = score.max()
                 if exact.any() or top >= threshold * n:
                     ties = np.flatnonzero(score == top)
-                    best = int(ties[np.argmax(is_wild[ties].sum(axis=1))])
+                    best = int(ties[np.argmin(left[ties])])
             if best < 0:
                 if used == len(clusters):
                     clusters = np.concatenate([clusters, np.empty_like(clusters)])
-                clusters[used] = code
+                clusters[used], left[used] = np.maximum(code, -1), fixed[row]
                 best = used
                 used += 1
             else:
-                clusters[best] = np.where(clusters[best] == code, code, wild)
+                clusters[best] = np.where(clusters[best] == code, code, -1)
+                left[best] = np.count_nonzero(clusters[best] >= 0)
             owner[row] = best
-        texts = [" ".join(vocab[i] for i in c) for c in clusters[:used]]
-        return pd.DataFrame(
-            {
-                "leaf": pdf["leaf"].to_numpy(),
-                "text": pdf["text"].to_numpy(),
-                "template": [texts[o] for o in owner],
-                "weight": pdf["weight"].to_numpy(),
-                "ids": pdf["ids"].to_numpy(),
-                "parts": pdf["parts"].to_numpy(),
-            }
-        )
+        found = [" ".join(vocab[i] for i in c) for c in clusters[:used]]
+        return [found[o] for o in owner]
 
     return cluster
 
 
+def _clustered(rows: DataFrame, threshold: float) -> DataFrame:
+    """``leaf, text, template, weight, ids, parts`` of rows that also have their ``part``."""
+    order = [(F.size("ids") > 0).desc(), F.desc("weight"), F.col("text")]
+    found = _with_groups(rows, ["leaf", "part"], order, "template", T.StringType(), _cluster_part(threshold))
+    return found.select("leaf", "text", "template", "weight", "ids", "parts")
+
+
 def _merged(rows: DataFrame, text: str) -> DataFrame:
     """One row per leaf and text; ids go by falling weight of the rows they come with."""
     ranked = F.array_sort(
@@ -197,13 +225,13 @@ def _merged(rows: DataFrame, text: str) -> DataFrame:
 
 
 def _with_partner(threshold: float):
-    """Pandas function that keeps the rows of a group that can merge with another of it."""
+    """Function that tells which texts of a group can merge with another of it."""
 
-    def partners(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = np.stack([np.asarray(t.split(" "), dtype=object) for t in pdf["text"]])
-        m, n = words.shape
-        codes = pd.factorize(words.ravel())[0].reshape(m, n)
-        fixed = words != WILDCARD
+    def partners(texts: list[str]) -> list[bool]:
+        number = {WILDCARD: -1}
+        codes = np.array([[number.setdefault(w, len(number) - 1) for w in t.split(" ")] for t in texts], np.int32)
+        m, n = codes.shape
+        fixed = codes >= 0
         found = np.zeros(m, dtype=bool)
         step = max(1, CELLS // m)
         for a in range(0, m, step):
@@ -212,7 +240,7 @@ def _with_partner(threshold: float):
                 same += (codes[a : a + step, p, None] == codes[None, :, p]) & fixed[a : a + step, p, None]
             same[np.arange(len(same)), np.arange(a, a + len(same))] = -1
             found[a : a + step] = (same >= threshold * n).any(axis=1)
-        return pdf.loc[found, ["key", "mark", "low", "high"]]
+        return found.tolist()
 
     return partners
 
@@ -261,7 +289,8 @@ def _meetings(rows: DataFrame, threshold: float, part_rows: int, part_tokens: in
         .select("key", *by, "text", own, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
         .select("key", *by, "text", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     )
-    found = dealt.groupBy(*by, "low", "high").applyInPandas(_with_partner(threshold), "key string, mark string, low bigint, high bigint")
+    meets = _with_groups(dealt, [*by, "low", "high"], [], "meets", T.BooleanType(), _with_partner(threshold))
+    found = meets.filter("meets")
     at = F.struct(F.xxhash64("mark", "low", "high", F.lit(turn)).alias("h"), "mark", "low", "high")
     chosen = found.groupBy("key").agg(F.min(at).alias("part"))
     return rows.join(chosen, "key").select("leaf", "part", "text", "weight", "ids", F.lit(1).cast("bigint").alias("parts"))
@@ -277,7 +306,7 @@ def _bring_together(rows: DataFrame, threshold: float, part_rows: int, part_toke
         meeting = materialise(_meetings(rows, threshold, part_rows, part_tokens, turn), "meeting")
         if meeting.isEmpty():
             return trail
-        out = materialise(meeting.groupBy("leaf", "part").applyInPandas(_cluster_part(threshold), _ROUND), "met")
+        out = materialise(_clustered(meeting, threshold), "met")
         step = out.select("leaf", F.col("text").alias("template"), F.col("template").alias("now"))
         trail = materialise(
             trail.join(step, ["leaf", "template"], "left").select("leaf", "text", F.coalesce("now", "template").alias("template")),
@@ -300,10 +329,7 @@ def _cluster_leaves(rows: DataFrame, threshold: float, part_rows: int, part_toke
         )
         part = F.pmod(F.xxhash64("text", F.lit(turn)), F.col("parts")).alias("part")
         out = materialise(
-            pending.join(sizes, "leaf")
-            .select("leaf", part, "text", "weight", "ids", "parts")
-            .groupBy("leaf", "part")
-            .applyInPandas(_cluster_part(threshold), _ROUND),
+            _clustered(pending.join(sizes, "leaf").select("leaf", part, "text", "weight", "ids", "parts"), threshold),
             "round",
         )
         step = out.select("leaf", "text", "template", "parts")

@@ -13,6 +13,7 @@ from cedarlog.operators.templates import (
     templates_of,
     with_signature_template,
 )
+from cedarlog.operators import templates
 from cedarlog.operators.joins import join_by_weight
 from cedarlog.plans.ingest import load_templates, save_next
 
@@ -158,3 +159,29 @@ def test_hot_keys_join_without_shuffle_and_keep_all_rows(spark):
 def test_signature_marks_whole_words(spark):
     df = spark.createDataFrame([("a1 b c2d  x=3, é 9",)], "m string")
     assert df.select(signature(F.col("m"))).first()[0] == "<*> b <*>  <*> é <*>"
+
+
+def test_groups_stream_through_tasks(spark):
+    """No call for each leaf, and leaves that go over several Arrow batches stay whole."""
+    rows = [(f"2 L{i % 40}", i % 3, f"L{i % 40} w{i}", i % 5 + 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "leaf string, part bigint, text string, weight bigint").withColumns(
+        {"ids": F.array().cast("array<string>"), "parts": F.lit(1).cast("bigint")}
+    )
+    found = templates._clustered(df, 0.5)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    whole = {tuple(r) for r in found.select("leaf", "text", "template", "weight").collect()}
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "2")
+    try:
+        assert whole == {tuple(r) for r in templates._clustered(df, 0.5).select("leaf", "text", "template", "weight").collect()}
+    finally:
+        spark.conf.set(size, before)
+    members: dict = {}
+    for leaf, part, text, _ in rows:
+        members.setdefault((leaf, part), []).append(text)
+    template = {(leaf, text): t for leaf, text, t, _ in whole}
+    for (leaf, _), texts in members.items():
+        want = f"{leaf[2:]} <*>" if len(texts) > 1 else texts[0]
+        assert {template[leaf, t] for t in texts} == {want}
+    assert len(whole) == len(rows)
