@@ -77,7 +77,9 @@ def embed(docs: DataFrame, text: str = "embed_text", dimensions: int = DIMENSION
 
     Any function that adds an ``array<float>`` column of this name can take its place.
     """
-    words = docs.withColumn("_words", tokens(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))))
+    # Between words stands one blank, so that only the ends can give empty ones.
+    plain = F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " ")
+    words = docs.withColumn("_words", F.array_remove(plain, ""))
     counted = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dimensions).transform(words)
     unit = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(counted)
     return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop(

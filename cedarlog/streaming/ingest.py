@@ -29,18 +29,17 @@ def dual_sink(logs_path: str, documents_path: str | None = None):
 
     Each batch is a load of the ``logs`` table of its own, and has a folder in the document sink. It
     replaces both as a whole, so a batch that is repeated after a failure between the two writes adds
-    nothing, even if its rows now fall on other days.
+    nothing, even if its rows now fall on other days. Documents are made from the log rows as stored, so lines
+    are parsed once and a big batch is not kept in memory.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            write_logs(kept, logs_path, f"{STREAM}{batch_id}")
-            if documents_path is not None:
-                docs = embed(to_documents(kept)).select(DOCUMENT.fieldNames())
-                docs.write.mode("overwrite").parquet(f"{documents_path}/batch_id={batch_id}")
-        finally:
-            kept.unpersist()
+        load = f"{STREAM}{batch_id}"
+        write_logs(batch, logs_path, load)
+        if documents_path is not None:
+            stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{logs_path}/load_id={load}")
+            docs = embed(to_documents(stored)).select(DOCUMENT.fieldNames())
+            docs.write.mode("overwrite").parquet(f"{documents_path}/batch_id={batch_id}")
 
     return write
 

@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from cedarlog.functions.mask import leaks
+from cedarlog.operators.retrieval import embed, to_documents
 from cedarlog.plans.ingest import structure, with_signatures
 from cedarlog.sources.lines import stream_lines
 from cedarlog.streaming.ingest import dual_sink, start_ingest, streaming_error_rate
@@ -62,3 +64,15 @@ def test_rate_emits_closed_periods_only(spark, tmp_path):
     job.awaitTermination()
     (r,) = spark.table("rates").collect()
     assert (r.n, r.errors, r.rate) == (2, 1, 0.5)
+
+
+def test_documents_come_from_the_stored_rows(spark, tmp_path, monkeypatch):
+    """A batch is neither kept in memory nor parsed twice."""
+    df = with_signatures(structure(spark.createDataFrame([(x,) for x in SEVEN], "value string"), 2025, NOW))
+    monkeypatch.setattr(type(df), "persist", lambda *_: pytest.fail("a batch may be as large as the input"))
+    dual_sink(f"{tmp_path}/logs", f"{tmp_path}/docs")(df, 0)
+    want = embed(to_documents(spark.read.parquet(f"{tmp_path}/logs"))).select("doc_key", "text", "embedding").collect()
+    got = spark.read.parquet(f"{tmp_path}/docs").select("doc_key", "text", "embedding").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 7
+    dual_sink(f"{tmp_path}/logs", f"{tmp_path}/docs")(df.limit(0), 1)
+    assert spark.read.parquet(f"{tmp_path}/docs").count() == 7
