@@ -6,8 +6,13 @@ than the angle to the centroid less the radius. A search opens the nearest cells
 bounds the k-th best similarity, and then only cells whose bound reaches that far.
 
 Queries stay in a DataFrame; the centroids, at most ``MAX_CELLS``, travel to the tasks. Cells are stored in parts of
-about ``PART`` vectors by hash of the id, and a task compares one part with the queries that ask for
-it, ``QUERIES`` at a time, so neither a cell with a third of all documents nor a favourite cell lands in one task.
+at most about ``PART`` vectors by hash of the id, and a task compares one part with a block of at most about ``QUERIES``
+queries that ask for it, so neither a cell with a third of all documents nor a favourite cell lands in one task.
+Parts and blocks are as large as memory allows, because each part travels once for every block and the reverse.
+
+Where bounds cut nothing off, asking with every vector is quadratic by nature, so a pair must be cheap: products are in
+single precision, and only pairs that can reach the k-th similarity, the error of that precision considered, are computed
+again in double precision and ordered. The second round starts from the k-th similarity of the first.
 Vectors of length 0 are similar to nothing (0) and have a cell of their own; vectors that are null are left out.
 """
 
@@ -17,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,8 +36,15 @@ from cedarlog.session import materialise
 MAX_CELLS = 4096
 #: Vectors that placing the centroids looks at; where they lie changes the speed, not the result.
 SAMPLE = 100_000
-PART = 4_096
-QUERIES = 1_024
+#: Vectors of a part and queries of a block, less where they hold more than ``VALUES`` numbers.
+PART = 65_536
+QUERIES = 16_384
+VALUES = 1 << 22
+#: Multiplications that are worth a task, and tasks of a round at most.
+WORK = 1 << 28
+MAX_TASKS = 4_000
+#: Queries and vectors of one matrix product; with more than one hit in ``SPARSE`` pairs, all are computed again.
+ROWS, COLUMNS, SPARSE = 256, 4_096, 64
 NO_CELL = -1
 #: Room for rounding when bounds are compared.
 ROOM = 2e-6
@@ -45,7 +58,15 @@ def _unit(v: np.ndarray) -> np.ndarray:
 def _matrix(column: pa.Array) -> np.ndarray:
     if not len(column):
         return np.zeros((0, 0))
-    return np.stack([np.asarray(x, dtype=np.float64) for x in column.to_pylist()])
+    widths = pc.min_max(pc.list_value_length(column))
+    if widths["min"] != widths["max"]:
+        raise ValueError(f"vectors of {widths['min']} and of {widths['max']} numbers")
+    values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return values.reshape(len(column), widths["min"].as_py())
+
+
+def _at_most(rows: int, width: int) -> int:
+    return max(1, min(rows, VALUES // max(width, 1)))
 
 
 def _angles(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -93,19 +114,20 @@ def write_store(docs: DataFrame, path: str, cells: int = 256, id_col: str = "id"
     spark = docs.sparkSession
     centers = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>")
     sizes.join(centers, "cell", "left").write.mode("overwrite").parquet(f"{path}/cells")
+    size = _at_most(PART, centroids.shape[1])
     known = broadcast_if_small(sizes.select("cell", "n"))
-    parts = placed.join(known, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PART)).cast("int")).drop("n", "angle")
+    parts = placed.join(known, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / size)).cast("int")).drop("n", "angle")
     parts.limit(0).write.mode("overwrite").parquet(f"{path}/shape")
     parts.repartition("cell", "part").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("cell").parquet(f"{path}/vectors")
 
 
-def _bounds(cells: list, k: int):
-    """For each query every cell with the best similarity it can hold, and whether the nearest ones hold it."""
+def _wanted(cells: list, k: int, rest: bool):
+    """Adds to each query its nearest ``cells``, which hold ``k`` documents, or with ``rest`` the others that can reach ``least``."""
     number = np.array([c["cell"] for c in cells], np.int32)
     radius = np.array([c["radius"] for c in cells])
     size = np.array([c["n"] for c in cells], np.int64)
     none = number == NO_CELL
-    width = max((len(c["centroid"]) for c in cells if c["centroid"]), default=0)
+    width = _width(cells)
     centroids = np.array([c["centroid"] or [0.0] * width for c in cells]).reshape(len(cells), width)
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -113,70 +135,156 @@ def _bounds(cells: list, k: int):
             if not len(batch):
                 continue
             v = _unit(_matrix(batch["v"]))
-            best = np.cos(np.maximum(_angles(v, centroids) - radius, 0.0)) if width else np.zeros((len(v), len(cells)))
-            best[:, none] = 0.0
-            best[~v.any(axis=1)] = 0.0
-            order = np.argsort(-best, axis=1, kind="stable")
+            angles = _angles(v, centroids) if width else np.zeros((len(v), len(cells)))
+            order = np.argsort(angles, axis=1, kind="stable")
             before = np.cumsum(size[order], axis=1) - size[order]
-            first = np.empty(order.shape, bool)
-            np.put_along_axis(first, order, before < k, axis=1)
-            rows = np.repeat(np.arange(len(v)), len(cells))
-            yield pa.RecordBatch.from_arrays(
-                [batch["query_id"].take(pa.array(rows)), pa.array(np.tile(number, len(v))), pa.array(best.ravel()), pa.array(first.ravel())],
-                ["query_id", "cell", "best", "first"],
-            )
+            opened = np.empty(order.shape, bool)
+            np.put_along_axis(opened, order, before < k, axis=1)
+            if rest:
+                best = np.cos(np.maximum(angles - radius, 0.0)) if width else np.zeros(angles.shape)
+                best[:, none] = 0.0
+                best[~v.any(axis=1)] = 0.0
+                least = _bound(batch["least"])[:, None]
+                opened = ~opened & ~(best + ROOM < least)  # a bound that is no number cuts nothing off
+            ends = np.append(0, np.cumsum(opened.sum(axis=1))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(number[np.nonzero(opened)[1]]))
+            columns = ["query_id", "v", "least"]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in columns], lists], [*columns, "cells"])
 
     return run
 
 
+def _width(cells: list) -> int:
+    return max((len(c["centroid"]) for c in cells if c["centroid"]), default=0)
+
+
+def _bound(least: pa.Array) -> np.ndarray:
+    return least.fill_null(-np.inf).to_numpy(zero_copy_only=False)
+
+
+def _best(of: np.ndarray, at: np.ndarray, sims: np.ndarray, k: int):
+    """The ``k`` best places of each query, equal ones by place; a place counts once. Also which rows are a ``k``-th."""
+    order = np.lexsort((-sims, at, of))
+    of, at, sims = of[order], at[order], sims[order]
+    once = np.append(True, (of[1:] != of[:-1]) | (at[1:] != at[:-1]))[: len(of)]
+    of, at, sims = of[once], at[once], sims[once]
+    order = np.lexsort((at, -sims, of))
+    of, at, sims = of[order], at[order], sims[order]
+    starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
+    rank = np.arange(len(of)) - np.repeat(starts, np.diff(np.append(starts, len(of))))
+    kept = rank < k
+    return of[kept], at[kept], sims[kept], rank[kept] == k - 1
+
+
+def _best_of_all(sims: np.ndarray, k: int) -> np.ndarray:
+    """Where the ``k`` best of each row stand, of equal ones the first."""
+    if sims.shape[1] <= k:
+        return np.ones(sims.shape, bool)
+    last = np.partition(sims, -k, axis=1)[:, [-k]]
+    above, equal = sims > last, sims == last
+    return above | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= k - above.sum(axis=1, keepdims=True)))
+
+
+def _nearest(asked: np.ndarray, docs: np.ndarray, place: np.ndarray, least: np.ndarray, k: int):
+    """For unit vectors: rows of ``asked``, places and similarities of the best ``k`` that are not under ``least``.
+
+    ``place`` numbers the ids of ``docs`` and ascends, so rows of one id stand together.
+    """
+    few, many = asked.astype(np.float32), docs.astype(np.float32)
+    # Twice the error of a product in single precision, and what rounding adds.
+    room = (docs.shape[1] + 8) * 2.0**-23 + 1e-6
+    out = []
+    for a in range(0, len(asked), ROWS):
+        rows, low = asked[a : a + ROWS], least[a : a + ROWS].copy()
+        found: list[tuple] = []
+
+        def merge():
+            of, at, sims, last = _best(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
+            found[:] = [(of, at, sims)]
+            low[of[last]] = np.maximum(low[of[last]], sims[last])
+            # What follows has larger ids, so it cannot come before k of similarity 1.
+            low[of[last & (sims >= 1.0)]] = np.inf
+
+        for c in range(0, len(docs), COLUMNS):
+            held, names = docs[c : c + COLUMNS], place[c : c + COLUMNS]
+            hits = few[a : a + ROWS] @ many[c : c + COLUMNS].T >= (low - room).astype(np.float32)[:, None]
+            n = np.count_nonzero(hits)
+            if n * SPARSE > hits.size:
+                sims = np.round(rows @ held.T, 6) + 0.0
+                starts = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+                if len(starts) < len(names):
+                    sims, names = np.maximum.reduceat(sims, starts, axis=1), names[starts]
+                of, at = np.nonzero(_best_of_all(sims, k) & (sims >= low[:, None]))
+                found.append((of, names[at], sims[of, at]))
+                merge()
+            elif n:
+                of, at = np.divmod(np.flatnonzero(hits), hits.shape[1])
+                sims = np.round(np.einsum("ij,ij->i", rows[of], held[at]), 6) + 0.0
+                fit = sims >= low[of]
+                found.append((of[fit], names[at[fit]], sims[fit]))
+                if sum(len(x[0]) for x in found) > 4 * k * ROWS:
+                    merge()
+        if found:
+            merge()
+            of, at, sims = found[0]
+            out.append((of + a, at, sims))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
 def _compare(k: int, id_type: pa.DataType, q_type: pa.DataType):
     """Arrow function: the best ``k`` ids of a part for each of some queries, equal ones by id; an id counts once."""
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
         names, ids = asked["query_id"], held["id"]
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        of, at, sims = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
         if len(asked) and len(held):
-            docs, vectors = _unit(_matrix(held["embedding"].combine_chunks())), _unit(_matrix(asked["v"].combine_chunks()))
-            names_of = np.asarray(ids.to_pylist(), dtype=object)
-            order = np.argsort(names_of, kind="stable")
-            docs, names_of = docs[order], names_of[order]
-            starts = np.flatnonzero(np.append(True, names_of[1:] != names_of[:-1]))
-            for a in range(0, len(vectors), 256):
-                sims = np.round(vectors[a : a + 256] @ docs.T, 6) + 0.0
-                if len(starts) < len(docs):
-                    sims = np.maximum.reduceat(sims, starts, axis=1)
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(a, a + len(sims)), top.shape[1])
-                found.append((rows, order[starts[top.ravel()]], np.take_along_axis(sims, top, axis=1).ravel()))
-        rows, at, sims = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+            order = pc.sort_indices(ids)
+            ids = ids.take(order)
+            new = pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), True).to_numpy()
+            starts = np.flatnonzero(np.append(True, new))
+            place = np.append(0, np.cumsum(new))
+            docs = _unit(_matrix(held["embedding"].combine_chunks()))[order.to_numpy()]
+            least = _bound(asked["least"].combine_chunks())
+            of, at, sims = _nearest(_unit(_matrix(asked["v"].combine_chunks())), docs, place, least, k)
+            at = starts[at]
         return pa.table({
-            "query_id": names.take(pa.array(rows, pa.int64())).cast(q_type), "id": ids.take(pa.array(at, pa.int64())).cast(id_type),
+            "query_id": names.take(pa.array(of, pa.int64())).cast(q_type), "id": ids.take(pa.array(at, pa.int64())).cast(id_type),
             "similarity": pa.array(sims, pa.float64()),
         })
 
     return run
 
 
-def _meet(store: DataFrame, asked: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` of each query among the cells it is paired with (``query_id, cell``)."""
-    needed = [r[0] for r in pairs.select("cell").distinct().collect()]  # at most MAX_CELLS
-    docs = store.filter(F.col("cell").isin(needed)).select("id", "embedding", "cell", "part")
+def _meet(store: DataFrame, asked: DataFrame, cells: list, k: int) -> DataFrame:
+    """The best ``k`` of each query (``query_id, v, least, cells``) among its cells, as far as they reach ``least``."""
+    pairs = asked.withColumn("cell", F.explode("cells")).drop("cells")
+    wanted = {r["cell"]: r["n"] for r in pairs.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most MAX_CELLS
+    width, size = _width(cells), {c["cell"]: c["n"] for c in cells}
+    blocks = {c: -(-n // _at_most(QUERIES, width)) for c, n in wanted.items()}
+    groups = sum(n * -(-size[c] // _at_most(PART, width)) for c, n in blocks.items())
+    work = sum(n * size[c] * max(width, 1) for c, n in wanted.items())
+    tasks = max(1, min(groups, MAX_TASKS, work // WORK + 1))
+    split = F.broadcast(store.sparkSession.createDataFrame(list(blocks.items()), "cell int, blocks int"))
+    docs = store.filter(F.col("cell").isin(list(wanted))).select("id", "embedding", "cell", "part")
     parts = broadcast_if_small(docs.select("cell", "part").distinct())
-    wanted = F.broadcast(pairs.groupBy("cell").agg(F.count("*").alias("wanted")))  # at most MAX_CELLS rows
-    block = F.pmod(F.xxhash64("query_id"), F.ceil(F.col("wanted") / QUERIES)).cast("int")
-    dealt = pairs.join(wanted, "cell").withColumn("block", block).join(asked, "query_id").join(parts, "cell")
-    blocks = broadcast_if_small(dealt.select("cell", "part", "block").distinct())
+    # Of equal vectors only the k smallest ids can be among the best.
+    equal = Window.partitionBy("embedding").orderBy("id")
+    few = docs.withColumn("n", F.dense_rank().over(equal)).filter(F.col("n") <= k).drop("n")
+    block = F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")
+    dealt = pairs.join(split, "cell").withColumn("block", block).drop("blocks").join(parts, "cell")
+    held = few.join(split, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    keys = ["cell", "part", "block"]
+    own = [f"_{c}" for c in keys]
+    held = held.withColumnsRenamed(dict(zip(keys, own, strict=True)))
     id_type, q_type = docs.schema["id"].dataType, asked.schema["query_id"].dataType
     shape = f"query_id {q_type.simpleString()}, id {id_type.simpleString()}, similarity double"
-    keys = ["cell", "part", "block"]
-    held = docs.join(blocks, ["cell", "part"]).select(*[F.col(c).alias(f"_{c}") for c in keys], "id", "embedding")
-    return dealt.groupBy(*keys).cogroup(held.groupBy(*[f"_{c}" for c in keys])).applyInArrow(
+    return dealt.repartition(tasks, *keys).groupBy(*keys).cogroup(held.repartition(tasks, *own).groupBy(*own)).applyInArrow(
         _compare(k, to_arrow_type(id_type), to_arrow_type(q_type)), shape
     )
 
 
 def _rank(found: DataFrame, k: int) -> DataFrame:
-    once = found.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
+    once = found.repartition("query_id").groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -190,21 +298,19 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 2, where
     cells = spark.read.parquet(f"{path}/cells").collect()  # at most MAX_CELLS rows
     store = spark.read.schema(spark.read.parquet(f"{path}/shape").schema).parquet(f"{path}/vectors")
     store = store if where is None else store.filter(where)
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
-    asked = materialise(asked.filter(F.col("v").isNotNull()), "asked")
-    q_type = asked.schema["query_id"].dataType.simpleString()
-    bounds = materialise(
-        asked.mapInArrow(_bounds(cells, k), f"query_id {q_type}, cell int, best double, first boolean"), "bounds"
-    )
-    near = materialise(_meet(store, asked, bounds.filter("first").select("query_id", "cell"), k), "nearest")
+    v = F.col("embedding") if queries.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else F.col("embedding").cast("array<double>")
+    asked = queries.select(F.col(query_id).alias("query_id"), v.alias("v"), F.lit(None).cast("double").alias("least"))
+    asked = asked.filter(F.col("v").isNotNull())
+    shape = T.StructType([*asked.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    first = materialise(asked.mapInArrow(_wanted(cells, k, rest=False), shape), "first")
+    near = materialise(_meet(store, first, cells, k), "nearest")
     # With fewer than k found nothing is bounded.
     least = _rank(near, k).groupBy("query_id").agg(F.count("*").alias("found"), F.min("similarity").alias("least"))
-    reach = bounds.filter("NOT first").join(least, "query_id", "left").filter(
-        (F.coalesce("found", F.lit(0)) < k) | (F.col("best") + ROOM >= F.col("least"))
+    bounded = least.filter(F.col("found") >= k).drop("found")
+    known = first.drop("least", "cells").join(bounded, "query_id", "left")
+    rest = materialise(known.mapInArrow(_wanted(cells, k, rest=True), shape), "rest")
+    found = _rank(near.unionByName(_meet(store, rest, cells, k)), k)
+    opened = first.unionByName(rest).groupBy("query_id").agg(F.sum(F.size("cells")).alias("opened")).withColumn(
+        "cells", F.lit(len(cells)).cast("bigint")
     )
-    rest = materialise(reach.select("query_id", "cell"), "reach")
-    found = _rank(near.unionByName(_meet(store, asked, rest, k)), k)
-    opened = bounds.filter("first").select("query_id", "cell").unionByName(rest).groupBy("query_id").agg(
-        F.count("*").alias("opened")
-    ).withColumn("cells", F.lit(len(cells)).cast("bigint"))
     return found, opened

@@ -146,3 +146,58 @@ def test_store_of_few_and_of_nothing(spark, tmp_path):
         asked = spark.createDataFrame([(7, [2.0, 1.0]), (8, [0.0, 0.0])], "query_id long, embedding array<double>")
         found, _ = vs.search(spark, f"{tmp_path}/{name}", asked, 2)
         _same(found, top_k(docs, asked, 2))
+
+
+def test_second_round_hands_on_only_what_reaches_the_first(spark, tmp_path, monkeypatch):
+    """Where no cell can be left out, a part still gives no row that the k-th similarity of the nearest cells rules out."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 24)))]
+    docs = spark.createDataFrame(rows, "id long, embedding array<float>")
+    vs.write_store(docs, f"{tmp_path}/store", cells=8)
+    handed, keep = [], vs._rank
+    monkeypatch.setattr(vs, "_rank", lambda found, k: handed.append(found.count()) or keep(found, k))
+    asked = docs.withColumnRenamed("id", "query_id")
+    found, opened = vs.search(spark, f"{tmp_path}/store", asked, 2)
+    _same(found, top_k(docs, asked, 2))
+    pairs = opened.agg(F.sum("opened")).first()[0]
+    assert pairs > 400 * 6 and handed[-1] < 2 * pairs * 0.6
+
+
+def _brute_nearest(asked, docs, place, least, k):
+    out = []
+    for i, sims in enumerate(np.round(asked @ docs.T, 6) + 0.0):
+        best = {}
+        for p, s in zip(place, sims):
+            best[p] = max(s, best.get(p, -2.0))
+        out += [(i, p, s) for p, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k] if s >= least[i]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("sparse", [1, 64, 10**9])
+@pytest.mark.parametrize("repeats", [False, True])
+def test_screened_products_give_the_exact_best(monkeypatch, sparse, repeats):
+    monkeypatch.setattr(vs, "ROWS", 16)
+    monkeypatch.setattr(vs, "COLUMNS", 50)
+    monkeypatch.setattr(vs, "SPARSE", sparse)
+    rng = np.random.default_rng(6)
+    docs = rng.normal(size=(700, 8))
+    docs[100:400:2] = docs[3] * rng.uniform(0.5, 2, (150, 1))  # copies of one direction
+    docs[400:500] = docs[4] + rng.normal(0, 1e-4, (100, 8))  # nearer to each other than single precision tells
+    docs[50:60] = 0.0
+    asked = np.concatenate([docs[::9], rng.normal(size=(30, 8)), np.zeros((2, 8))])
+    docs, asked = vs._unit(docs), vs._unit(asked)
+    place = np.arange(700) // 3 if repeats else np.arange(700)
+    for k in (1, 5, 60):
+        for least in (np.full(len(asked), -np.inf), rng.uniform(0, 1, len(asked)), np.ones(len(asked))):
+            got = sorted(zip(*(x.tolist() for x in vs._nearest(asked, docs, place, least, k)), strict=True))
+            want = _brute_nearest(asked, docs, place, least, k)
+            assert [x[:2] for x in got] == [x[:2] for x in want]
+            assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=2e-6)
+
+
+def test_vectors_of_two_widths_are_refused():
+    import pyarrow as pa
+
+    assert vs._matrix(pa.array([[1.0, 2.0], [3.0, 4.0]]).slice(1)).tolist() == [[3.0, 4.0]]
+    with pytest.raises(ValueError):
+        vs._matrix(pa.array([[1.0, 2.0], [3.0], [4.0, 5.0, 6.0]]))
