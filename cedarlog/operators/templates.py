@@ -21,18 +21,18 @@ template in it, and lists the ids of others it took in as ``former``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cedarlog.functions.text import collapse_space, compute, strip
 from cedarlog.operators.joins import is_small, join_by_weight
-from cedarlog.session import materialise
+from cedarlog.session import materialise, materialise_lean
 
 # Wildcard mark and default similarity threshold.
 WILDCARD = "<*>"
@@ -70,7 +70,11 @@ def has_digit(token: Column) -> Column:
 
 
 def _signatures(messages: DataFrame, col: str) -> DataFrame:
-    """``sig, n_tokens, tokens, weight``: signatures with constant digit words put back."""
+    """``sig, text, weight``: signatures and their texts, which have constant digit words put back.
+
+    Only the row of the signature itself carries it through the shuffle, those of its digit words have a digest;
+    and only signatures with a wildcard can have words to put back, so the others are not moved again.
+    """
     message = normal_message(F.col(col))
     base = messages.select(signature(message).alias("sig"), message.alias("m"))
     slots = F.filter(
@@ -80,38 +84,34 @@ def _signatures(messages: DataFrame, col: str) -> DataFrame:
         lambda x: has_digit(x["tok"]),
     )
     whole = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("tok")))
+    digest = F.unhex(F.md5("sig"))
     per_slot = (
         base.select("sig", F.explode(F.concat(whole, slots)).alias("s"))
-        .groupBy("sig", F.col("s.pos").alias("pos"))
+        .select(
+            F.when(F.col("s.pos") < 0, F.col("sig")).alias("sig"),
+            F.when(F.col("s.pos") >= 0, digest).alias("key"),
+            "s.pos",
+            "s.tok",
+        )
+        .groupBy("sig", "key", "pos")
         .agg(
             F.count("*").alias("n"),
-            F.min("s.tok").alias("low"),
-            F.max("s.tok").alias("high"),
+            F.min("tok").alias("low"),
+            F.max("tok").alias("high"),
         )
     )
+    found = materialise_lean(messages.sparkSession, "signatures", lambda: per_slot.filter("pos < 0 OR low = high").drop("high"))
     # One row per word position at most, so the collected list is as long as one message.
-    constants = F.map_from_entries(
-        F.collect_list(
-            F.when(
-                (F.col("pos") >= 0) & (F.col("low") == F.col("high")), F.struct("pos", "low")
-            )
-        )
+    constants = found.filter("pos >= 0").groupBy("key").agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", "low"))).alias("c")
     )
-    return (
-        per_slot.groupBy("sig")
-        .agg(F.max(F.when(F.col("pos") == -1, F.col("n"))).alias("weight"), constants.alias("c"))
-        .withColumn("sig_tokens", F.split("sig", " "))
-        .select(
-            "sig",
-            F.size("sig_tokens").alias("n_tokens"),
-            "sig_tokens",
-            F.transform(
-                "sig_tokens",
-                lambda t, i: F.coalesce(F.try_element_at(F.col("c"), i), t),
-            ).alias("tokens"),
-            "weight",
-        )
+    sigs = found.filter("pos < 0").select("sig", F.col("n").alias("weight"))
+    open_ = F.contains("sig", F.lit(WILDCARD))
+    text = F.concat_ws(
+        " ", F.transform(F.split("sig", " "), lambda t, i: F.coalesce(F.try_element_at(F.col("c"), i), t))
     )
+    put_back = sigs.filter(open_).withColumn("key", digest).join(constants, "key", "left").select("sig", text.alias("text"), "weight")
+    return sigs.filter(~open_).select("sig", F.col("sig").alias("text"), "weight").unionByName(put_back)
 
 
 def _saved_ids(templates: DataFrame) -> Column:
@@ -125,9 +125,8 @@ def _seed_rows(templates: DataFrame) -> DataFrame:
     words = F.split("template", " ")
     return templates.select(
         F.lit(None).cast("string").alias("sig"),
-        F.size(words).alias("n_tokens"),
-        F.transform(words, lambda t: F.when(has_digit(t), WILDCARD).otherwise(t)).alias("sig_tokens"),
-        words.alias("tokens"),
+        F.concat_ws(" ", F.transform(words, lambda t: F.when(has_digit(t), WILDCARD).otherwise(t))).alias("sig_text"),
+        F.col("template").alias("text"),
         F.col("size").alias("weight"),
         _saved_ids(templates).alias("ids"),
     )
@@ -207,13 +206,13 @@ def _cluster_part(threshold: float):
 
 
 def _clustered(rows: DataFrame, threshold: float) -> DataFrame:
-    """``leaf, text, template, weight, ids, parts`` of rows that also have their ``part``."""
+    """Rows that also have their ``part`` with their ``template`` in its place."""
     order = [(F.size("ids") > 0).desc(), F.desc("weight"), F.col("text")]
     found = _with_groups(rows, ["leaf", "part"], order, "template", T.StringType(), _cluster_part(threshold))
-    return found.select("leaf", "text", "template", "weight", "ids", "parts")
+    return found.select("leaf", "text", "template", "weight", "ids", "parts", *[c for c in rows.columns if c == "members"])
 
 
-def _merged(rows: DataFrame, text: str) -> DataFrame:
+def _merged(rows: DataFrame, text: str, *more: Column) -> DataFrame:
     """One row per leaf and text; ids go by falling weight of the rows they come with."""
     ranked = F.array_sort(
         F.collect_list(F.when(F.size("ids") > 0, F.struct((-F.col("weight")).alias("w"), "ids")))
@@ -221,6 +220,7 @@ def _merged(rows: DataFrame, text: str) -> DataFrame:
     return rows.groupBy("leaf", F.col(text).alias("text")).agg(
         F.sum("weight").alias("weight"),
         F.array_distinct(F.flatten(F.transform(ranked, lambda r: r["ids"]))).alias("ids"),
+        *more,
     )
 
 
@@ -303,7 +303,10 @@ def _bring_together(rows: DataFrame, threshold: float, part_rows: int, part_toke
     """
     trail, turn = rows.select("leaf", "text", F.col("text").alias("template")), 0
     while True:
-        meeting = materialise(_meetings(rows, threshold, part_rows, part_tokens, turn), "meeting")
+        now, at = rows, turn
+        meeting = materialise_lean(
+            rows.sparkSession, "meeting", lambda: _meetings(now, threshold, part_rows, part_tokens, at)  # noqa: B023
+        )
         if meeting.isEmpty():
             return trail
         out = materialise(_clustered(meeting, threshold), "met")
@@ -316,40 +319,48 @@ def _bring_together(rows: DataFrame, threshold: float, part_rows: int, part_toke
         turn += 1
 
 
+def _round(pending: DataFrame, threshold: float, part_rows: int, part_tokens: int, turn: int) -> DataFrame:
+    """The rows clustered in parts of their leaves; a template that is the text itself is null."""
+    width = F.size(F.split("text", " "))
+    parts = F.greatest(
+        F.ceil(F.count("*") / part_rows),
+        F.when(F.count("*") > 1, F.ceil(F.count("*") * F.first(width) / part_tokens)).otherwise(1),
+    )
+    # A leaf of several parts has a part's worth of rows at least, so they are few and the rows are not shuffled for this join.
+    big = pending.groupBy("leaf").agg(parts.alias("parts")).filter("parts > 1")
+    counted = pending.join(F.broadcast(big), "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
+    part = F.pmod(F.xxhash64("text", F.lit(turn)), F.col("parts"))
+    out = _clustered(counted.withColumn("part", part), threshold)
+    return out.withColumn("template", F.nullif("template", "text"))
+
+
 def _cluster_leaves(rows: DataFrame, threshold: float, part_rows: int, part_tokens: int) -> DataFrame:
-    """``leaf, text, template``: the final template of every text of ``leaf, text, weight, ids``."""
-    pending, trail, settled, quiet, turn = rows, None, None, 0, 0
+    """``leaf, text, template, weight, members``: the final template of every row of ``leaf, text, weight, ids, members``."""
+    spark, pending, trail, settled, quiet, turn = rows.sparkSession, rows, None, None, 0, 0
+    kept = ["text", "weight", "members"]
     while True:
-        width = F.size(F.split("text", " "))
-        sizes = pending.groupBy("leaf").agg(
-            F.greatest(
-                F.ceil(F.count("*") / part_rows),
-                F.when(F.count("*") > 1, F.ceil(F.count("*") * F.first(width) / part_tokens)).otherwise(1),
-            ).alias("parts")
-        )
-        part = F.pmod(F.xxhash64("text", F.lit(turn)), F.col("parts")).alias("part")
-        out = materialise(
-            _clustered(pending.join(sizes, "leaf").select("leaf", part, "text", "weight", "ids", "parts"), threshold),
-            "round",
-        )
-        step = out.select("leaf", "text", "template", "parts")
-        if trail is not None:
-            step = trail.join(step.withColumnRenamed("text", "now"), ["leaf", "now"]).drop("now")
+        now, at = pending, turn
+        out = materialise_lean(spark, "round", lambda: _round(now, threshold, part_rows, part_tokens, at))  # noqa: B023
+        out = out.withColumn("template", F.coalesce("template", "text"))
         big = out.filter("parts > 1")
         before = big.count()
         if before:
             pending = materialise(_merged(big, "template"), "pending")
             quiet = 0 if pending.count() < before else quiet + 1
-        final = step.filter("parts = 1").select("leaf", "text", "template")
+        if trail is None:
+            step = out
+        else:
+            step = trail.join(out.select("leaf", F.col("text").alias("now"), "template", "parts"), ["leaf", "now"])
+        final = step.filter("parts = 1").select("leaf", "template", *kept)
         settled = final if settled is None else settled.union(final)
         if not before:
             return settled
         trail = materialise(
-            step.filter("parts > 1").select("leaf", "text", F.col("template").alias("now")), "trail"
+            step.filter("parts > 1").select("leaf", F.col("template").alias("now"), *kept), "trail"
         )
         if quiet == QUIET_ROUNDS:
             met = _bring_together(pending, threshold, part_rows, part_tokens).withColumnRenamed("text", "now")
-            return settled.union(trail.join(met, ["leaf", "now"]).select("leaf", "text", "template"))
+            return settled.union(trail.join(met, ["leaf", "now"]).select("leaf", "template", *kept))
         turn += 1
 
 
@@ -367,7 +378,7 @@ def assign_signatures(
 
     Rows without ``sig`` are saved templates that were passed as ``seeds``.
     """
-    return assign_known(_signatures(messages, col), similarity, prefix_tokens, seeds, part_rows, part_tokens)
+    return _assigned(lambda: _signatures(messages, col), messages.sparkSession, similarity, prefix_tokens, seeds, part_rows, part_tokens)
 
 
 def assign_known(
@@ -378,26 +389,55 @@ def assign_known(
     part_rows: int = PART_ROWS,
     part_tokens: int = PART_TOKENS,
 ) -> DataFrame:
-    """:func:`assign_signatures` for messages that are already collapsed to ``sig, n_tokens, sig_tokens, tokens, weight``."""
-    sigs = materialise(signatures, "signatures").withColumn("ids", F.array().cast("array<string>"))
-    rows = sigs if seeds is None else sigs.unionByName(_seed_rows(seeds))
-    leaf = F.concat_ws(" ", F.col("n_tokens").cast("string"), F.slice("sig_tokens", 1, prefix_tokens))
-    texts = rows.select("sig", leaf.alias("leaf"), F.concat_ws(" ", "tokens").alias("text"), "weight", "ids")
-    found = _cluster_leaves(_merged(texts, "text"), similarity, part_rows, part_tokens)
-    placed = materialise(texts.join(found, ["leaf", "text"]), "placed")
-    named = _merged(placed.filter(F.size("ids") > 0), "template").select(
-        "leaf", F.col("text").alias("template"), F.col("ids").alias("known")
-    )
-    return materialise(
-        placed.join(named, ["leaf", "template"], "left").select(
-            "sig",
-            "template",
-            F.coalesce(F.get("known", F.lit(0)), template_id(F.col("template"))).alias("template_id"),
-            F.coalesce(F.slice("known", 2, F.greatest(F.size("known") - 1, F.lit(0))), F.array().cast("array<string>"))
-            .alias("former"),
-            "weight",
-        ),
-        "assignment",
+    """:func:`assign_signatures` for messages that are already collapsed to ``sig, n_tokens, sig_tokens, tokens, weight``,
+    a row for each ``sig``."""
+    sigs = signatures.select("sig", F.concat_ws(" ", "tokens").alias("text"), "weight")
+    return _assigned(lambda: materialise(sigs, "signatures"), signatures.sparkSession, similarity, prefix_tokens, seeds, part_rows, part_tokens)
+
+
+def _assigned(
+    signatures: Callable[[], DataFrame], spark: SparkSession, similarity: float, prefix_tokens: int, seeds: DataFrame | None,
+    part_rows: int, part_tokens: int,
+) -> DataFrame:
+    """``sig, template, template_id, former, weight`` of ``sig, text, weight``.
+
+    A text goes through one shuffle to its leaf and is not joined again: its row takes along its ``members``, which are the
+    signature and the saved template it stands for, or null if it is itself the only signature. What can be computed
+    from other columns is not stored, and the tables on the way are removed.
+    """
+    no_ids = F.array().cast("array<string>")
+
+    def make() -> DataFrame:
+        rows = signatures().select("sig", F.col("sig").alias("sig_text"), "text", "weight", no_ids.alias("ids"))
+        if seeds is not None:
+            rows = rows.unionByName(_seed_rows(seeds))
+        words = F.split("sig_text", " ")
+        leaf = F.concat_ws(" ", F.size(words).cast("string"), F.slice(words, 1, prefix_tokens))
+        texts = rows.select("sig", leaf.alias("leaf"), "text", "weight", "ids")
+        member = F.struct("sig", "weight", "ids")
+        if seeds is None:  # a text has one signature
+            only = texts.withColumn("members", F.when(F.col("sig") != F.col("text"), F.array(member))).drop("sig")
+        else:
+            only = materialise(_merged(texts, "text", F.collect_list(member).alias("members")), "texts")
+        found = _cluster_leaves(only, similarity, part_rows, part_tokens)
+        itself = F.array(F.struct(F.col("text").alias("sig"), "weight", no_ids.alias("ids")))
+        placed = found.select("leaf", "template", F.inline(F.coalesce("members", itself)))
+        if seeds is None:
+            done = placed.withColumn("known", F.lit(None).cast("array<string>"))
+        else:
+            named = _merged(placed.filter(F.size("ids") > 0), "template").select(
+                "leaf", F.col("text").alias("template"), F.col("ids").alias("known")
+            )
+            done = placed.join(named, ["leaf", "template"], "left")
+        return done.select("sig", F.when(F.col("sig").eqNullSafe(F.col("template")), None).otherwise(F.col("template")).alias("template"), "known", "weight")
+
+    stored = materialise_lean(spark, "assignment", make).withColumn("template", F.coalesce("template", "sig"))
+    return stored.select(
+        "sig",
+        "template",
+        F.coalesce(F.get("known", F.lit(0)), template_id(F.col("template"))).alias("template_id"),
+        F.coalesce(F.slice("known", 2, F.greatest(F.size("known") - 1, F.lit(0))), no_ids).alias("former"),
+        "weight",
     )
 
 

@@ -7,6 +7,7 @@ import re
 import tempfile
 import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -100,3 +101,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Spark removes the shuffle files of a query when it ends; else they stay until the driver collects garbage.
+REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise_lean(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """:func:`materialise` for tables about as big as the input, of what ``make`` gives.
+
+    Of the way there nothing stays on disk: neither the tables that ``make`` wrote nor the shuffle files of this query.
+    """
+    path = scratch_path(spark, name)
+    with scratch_scope(spark):
+        df, before = make(), spark.conf.get(REMOVE_SHUFFLES, None)
+        spark.conf.set(REMOVE_SHUFFLES, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            spark.conf.unset(REMOVE_SHUFFLES) if before is None else spark.conf.set(REMOVE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,3 +1,4 @@
+import pathlib
 import random
 
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from cedarlog.operators.templates import (
 from cedarlog.operators import templates
 from cedarlog.operators.joins import join_by_weight
 from cedarlog.plans.ingest import load_templates, save_next
+from cedarlog.session import REMOVE_SHUFFLES, shared_dir
 
 FOUR = [
     "Batch baked at tray=14 minutes=22",
@@ -185,3 +187,36 @@ def test_groups_stream_through_tasks(spark):
         want = f"{leaf[2:]} <*>" if len(texts) > 1 else texts[0]
         assert {template[leaf, t] for t in texts} == {want}
     assert len(whole) == len(rows)
+
+
+def test_mining_leaves_one_compact_table(spark):
+    """Tables and shuffle files of the way there are removed; a template that is the signature is not stored again."""
+    texts = corpus() + [f"only {a}{b} here" for a in "abcdefgh" for b in "ijklmnop"]
+    shared = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    before, setting = set(shared.glob("*")), spark.conf.get(REMOVE_SHUFFLES, None)
+    for seeds in (None, mine_templates(messages(spark, FOUR)).localCheckpoint()):
+        before = set(shared.glob("*"))
+        for part_rows in (5000, 7):
+            done = assign_signatures(messages(spark, texts), similarity=0.9, seeds=seeds, part_rows=part_rows)
+            (left,) = set(shared.glob("*")) - before
+            before.add(left)
+            stored = spark.read.parquet(str(left))
+            assert stored.filter("sig = template").count() == 0 and stored.filter("template IS NULL").count() >= 64
+            assert done.filter("template IS NULL OR template_id IS NULL OR former IS NULL").count() == 0
+            assert done.agg(F.sum("weight")).first()[0] == len(texts) + (len(FOUR) if seeds is not None else 0)
+    assert spark.conf.get(REMOVE_SHUFFLES, None) == setting
+
+
+def test_signatures_put_constant_digit_words_back(spark):
+    rng = random.Random(8)
+    words = ["a", "b", "x1", "x2", "7", "<*>", "q", "é9"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 4]))) for _ in range(400)]
+    texts += ["port 80 open", "port 80 shut", "port 80 open", "  port\t81   wide ", *[f"v{i} of 9" for i in range(5)], ""]
+    held: dict = {}
+    for t in (" ".join(x.split()) for x in texts):
+        held.setdefault(" ".join("<*>" if any(c.isdigit() for c in w) else w for w in t.split(" ")), []).append(t.split(" "))
+    want = set()
+    for sig, rows in held.items():
+        found = [{r[i] for r in rows if any(c.isdigit() for c in r[i])} for i in range(len(rows[0]))]
+        want.add((sig, " ".join(min(f) if len(f) == 1 else w for f, w in zip(found, sig.split(" "), strict=True)), len(rows)))
+    assert {tuple(r) for r in templates._signatures(messages(spark, texts), "message").collect()} == want
